@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pagelantern.llm import simhash
+from pagelantern.llm import bpe, embedding_dedup, simhash
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op3_simhash": simhash.op3_simhash,
+    "op4_bpe": bpe.op4_bpe,
 }
 
 SQL: dict[str, str] = {}
