@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +43,30 @@ def bucket(n: int, *cols) -> "F.Column":
 def unhex_long(col) -> "F.Column":
     """16 lowercase hex digits of a signed long's 64 bits."""
     return F.lpad(F.lower(F.hex(col)), 16, "0")
+
+
+def added(docs: DataFrame, col: str, of, fields: dict) -> DataFrame:
+    """docs with new columns computed from one column, batch by batch; the other columns pass through untouched.
+
+    of: from a list of the column's values to the new columns' values, a list or Arrow array for each of fields (name:
+    Spark type). A column of docs named like a new one is replaced. It may be called several times a batch, on
+    slices of a few million characters, so memory follows the longest value and not the batch.
+    """
+    rest = [c for c in docs.columns if c not in fields]
+    schema = StructType([*(docs.schema[c] for c in rest), *(StructField(n, t) for n, t in fields.items())])
+
+    def run(batches):
+        kinds = [to_arrow_type(t) for t in fields.values()]
+        for b in batches:
+            start, size, values = 0, 0, b.column(col).to_pylist()
+            for i, v in enumerate(values, 1):
+                size += len(v) if isinstance(v, (str, bytes, list)) else 1
+                if size >= 4 << 20 or i == len(values):
+                    new = of(values[start:i])
+                    new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(new, kinds)]
+                    part = b.slice(start, i - start)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *new], names=[*rest, *fields])
+                    start, size = i, 0
+
+    # a column that is replaced is still read under its own name
+    return docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*rest, col]))).mapInArrow(run, schema)

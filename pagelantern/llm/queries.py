@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pagelantern.llm import bpe, embedding_dedup, simhash
+from pagelantern.llm import bpe, chat, embedding_dedup, fingerprints, language_id, mixing, simhash
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
+    "op2_poisson_mix": mixing.op2_poisson_mix,
     "op3_simhash": simhash.op3_simhash,
     "op4_bpe": bpe.op4_bpe,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_chat": chat.op10_chat,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_poisson_mix": mixing.SQL,
+    "op10_chat": chat.SQL,
+}
