@@ -16,17 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the session's shared checkpoint folder, without their lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder for checkpoints: that of spark.checkpoint.dir, or one made where a session names none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
 
-    The folder is the one in spark.checkpoint.dir. Only where a session names none (as in tests on one
-    machine) a temporary folder is made.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the session's shared checkpoint folder, without their lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -45,12 +45,12 @@ def unhex_long(col) -> "F.Column":
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
-def added(docs: DataFrame, col: str, of, fields: dict) -> DataFrame:
+def added(docs: DataFrame, col: str, of, fields: dict, each: int = 2 << 20) -> DataFrame:
     """docs with new columns computed from one column, batch by batch; the other columns pass through untouched.
 
     of: from a list of the column's values to the new columns' values, a list or Arrow array for each of fields (name:
-    Spark type). A column of docs named like a new one is replaced. It may be called several times a batch, on
-    slices of a few million characters, so memory follows the longest value and not the batch.
+    Spark type). A column of docs named like a new one is replaced. It is called for slices of about `each` bytes,
+    so memory follows the longest value and not the batch.
     """
     rest = [c for c in docs.columns if c not in fields]
     schema = StructType([*(docs.schema[c] for c in rest), *(StructField(n, t) for n, t in fields.items())])
@@ -58,15 +58,11 @@ def added(docs: DataFrame, col: str, of, fields: dict) -> DataFrame:
     def run(batches):
         kinds = [to_arrow_type(t) for t in fields.values()]
         for b in batches:
-            start, size, values = 0, 0, b.column(col).to_pylist()
-            for i, v in enumerate(values, 1):
-                size += len(v) if isinstance(v, (str, bytes, list)) else 1
-                if size >= 4 << 20 or i == len(values):
-                    new = of(values[start:i])
-                    new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(new, kinds)]
-                    part = b.slice(start, i - start)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *new], names=[*rest, *fields])
-                    start, size = i, 0
+            step = max(1, each * b.num_rows // max(1, b.column(col).nbytes))
+            for part in (b.slice(k, step) for k in range(0, b.num_rows, step)):
+                new = of(part.column(col).to_pylist())
+                new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(new, kinds)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *new], names=[*rest, *fields])
 
     # a column that is replaced is still read under its own name
     return docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*rest, col]))).mapInArrow(run, schema)

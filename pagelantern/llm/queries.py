@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelantern.llm import bpe, chat, embedding_dedup, fingerprints, language_id, mixing, simhash
+from pagelantern.llm import bpe, chat, embedding_dedup, fingerprints, html_text, language_id, licenses, mixing, secret_scan, simhash
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -10,6 +10,9 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_bpe": bpe.op4_bpe,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_license_scan": licenses.op6_license_scan,
+    "op7_html_text": html_text.op7_html_text,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_language_id": language_id.op9_language_id,
     "op10_chat": chat.op10_chat,
 }
