@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pagelantern.plans import page_queries
+
+QUERIES: dict = {**page_queries.QUERIES}
+SQL: dict[str, str] = {**page_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of all pages."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """The findings of all page rules."""
+    return page_queries.findings(spark, sf_dir)
