@@ -66,3 +66,42 @@ PAGES_SQL = f"""select page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)'
  replace(replace(html, '</head>', {HEAD} || '</head>'), '</article>', {BODY} || '</article>') as html,
  case when page_id % 17 = 0 then 404 when page_id % 19 = 0 then 301 else 200 end as status,
  timestamp '2024-01-01 00:00:00' + to_days(cast(page_id % 200 as int)) as last_modified from pages"""
+
+
+#: Site files by host, from the lowest page_id k of the host; a sitemap file for each page (a site may have many).
+ROBOTS = """case when k % 5 = 0 then null when k % 5 = 1 then 'User-agent: *' || chr(10) || 'Disallow: /' || chr(10)
+ when k % 5 = 2 then 'User-agent: GPTBot' || chr(10) || 'User-agent: CCBot # both' || chr(10) || 'Disallow: /' || chr(10) || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /fr' || chr(10) || 'Sitemap: https://' || host || '/sitemap.xml' || chr(10)
+ when k % 5 = 3 then 'user-agent: *' || chr(10) || 'allow: /' || chr(10) || 'User-Agent: Bytespider' || chr(10) || 'User-Agent: YouBot' || chr(10) || 'User-Agent: cohere-ai' || chr(10) || 'Disallow: /' || chr(10)
+ else 'User-agent: *' || chr(10) || 'Disallow:' || chr(10) end"""
+LLMS = "case when k % 3 = 0 then '# Site' || chr(10) || '> About it' || chr(10) when k % 3 = 1 then 'plain text' end"
+LLMS_FULL = "case when k % 6 = 0 then 'everything' end"
+SITEMAP = "'<urlset><url><loc>' || url || '</loc>' || case when page_id % 3 < 2 then '<lastmod>2024-0' || cast(1 + page_id % 9 as string) || '-15</lastmod>' else '' end || '</url><url><loc>https://elsewhere.example/x</loc></url><url><loc>https://' || host || '/sub.xml</loc></url></urlset>'"
+
+
+def site_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """host, kind (robots, sitemap, llms, llms_full) and body; a null body is an absent file."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("host"))
+    hosts = p.groupBy("host").agg(F.min("page_id").alias("k"))
+    parts = [hosts.select("host", F.lit(kind).alias("kind"), F.expr(sql).alias("body")) for kind, sql in (("robots", ROBOTS), ("llms", LLMS), ("llms_full", LLMS_FULL))]
+    maps = p.where("page_id % 7 <> 0").select("host", F.lit("sitemap").alias("kind"), F.expr(SITEMAP).alias("body"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(maps)
+
+
+SITE_FILES_SQL = f"""hp as (select page_id, url, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) as host from pages),
+hk as (select host, min(page_id) as k from hp group by host),
+sf as (select host, 'robots' as kind, {ROBOTS} as body from hk union all select host, 'llms', {LLMS} from hk union all select host, 'llms_full', {LLMS_FULL} from hk
+ union all select host, 'sitemap', {SITEMAP} from hp where page_id % 7 <> 0)"""
+
+
+def edges(spark: SparkSession, features: DataFrame) -> DataFrame:
+    """Internal links of the pages, and links from a page to those of its host one, two and six ids on.
+
+    The pages of the table link to none of each other, so the link graph needs these.
+    """
+    from pagelantern.operators import site
+
+    base = features.select("page_id", "host", "path")
+    near = base.withColumn("to", F.explode(F.array(F.col("page_id") + 1, F.col("page_id") + 2, F.col("page_id") + 6)))
+    far = base.select(F.col("page_id").alias("to"), F.col("host").alias("to_host"), F.col("path").alias("dst_path"))
+    made = near.join(far, "to").where("host = to_host and path <> dst_path and page_id % 5 <> 0")
+    return site.link_edges(features).unionByName(made.select(F.col("page_id").alias("src_page"), "host", "dst_path")).distinct()
