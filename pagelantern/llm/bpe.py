@@ -10,9 +10,11 @@ encoding of a shared prefix is computed once. Words stay in a bounded cache for
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -21,11 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from pagelantern.llm.common import table
+from pagelantern.llm.common import added, table
 
-CACHED_WORDS = 250_000
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+CACHED_WORDS, CACHED_PAIRS = 400_000, 400_000
+SPACE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _words(letter: str, number: str) -> str:
@@ -89,7 +92,7 @@ class Tokenizer:
                 limit, y = self.made[y] + 1, self.parts[y][0]
             else:
                 said = True
-        if len(self.follows) > 2_000_000:
+        if len(self.follows) > CACHED_PAIRS:
             self.follows.clear()
         self.follows[key] = said
         return said
@@ -108,7 +111,7 @@ class Tokenizer:
 
     def learn(self, words) -> None:
         """Adds the encodings of words to the cache, by one depth-first walk of their trie."""
-        id_of, follow, longest = self.id_of, self.may_follow, self.longest
+        id_of, may, said, longest = self.id_of.get, self.may_follow, self.follows.get, self.longest
         path, last, start = b"", [-1], [0]  # by depth: the node's last token and the depth where that starts
         for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             shared, most = 0, min(len(path), len(raw))
@@ -116,10 +119,14 @@ class Tokenizer:
                 shared += 1
             del last[shared + 1 :], start[shared + 1 :]
             for end in range(shared + 1, len(raw) + 1):
-                for at in range(max(0, end - longest), end):
-                    token = id_of.get(raw[at:end])
-                    if token is not None and (follow(last[at], token) if at else self.stands(token)):
-                        break
+                for at in range(end - longest if end > longest else 0, end):
+                    token = id_of(raw[at:end])
+                    if token is not None:
+                        if not at:
+                            if self.stands(token):
+                                break
+                        elif (ok := said((last[at], token))) or ok is None and may(last[at], token):
+                            break
                 last.append(token)
                 start.append(at)
             path, ids, end = raw, [], len(raw)
@@ -143,8 +150,8 @@ class Tokenizer:
         for s in new & self.added.keys():
             self.known[s] = (self.added[s],)
         self.learn(new - self.added.keys())
-        known = self.known
-        return [np.fromiter(chain.from_iterable([known[w] for w in words]), dtype=np.int32) for words in cut]
+        known = self.known.__getitem__
+        return [np.fromiter(chain.from_iterable(map(known, words)), dtype=np.int32) for words in cut]
 
     def decode(self, ids) -> str:
         """The text of a list of ids; bytes that are not UTF-8 become U+FFFD."""
@@ -156,50 +163,44 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def _runs(column: pa.Array, most: int = 4 << 20):
-    """Slices of a text column of about `most` characters."""
-    texts, run, size = column.to_pylist(), [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t or "")
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+@contextmanager
+def no_collection():
+    """Without cyclic garbage collection: the many small tuples and lists of an encoding hold no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs without text_col but with the array of its token ids as column `out`.
+def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with the array of a text's token ids as column `out`, and if asked the ids' text as column `decoded`.
 
     path: a tokenizers JSON file that every executor has. A null text counts as empty and gives an empty array;
     every text is encoded whole. All other columns stay as they are, nulls and repeated rows too; a column named
-    like `out` is replaced.
+    like a new one is replaced.
     """
-    rest = [c for c in docs.columns if c not in (text_col, out)]
 
-    def of(batches):
+    def of(texts):
         coder = tokenizer(path)
-        for b in batches:
-            ids = [x for run in _runs(b.column(text_col)) for x in coder.encode(run)]
+        with no_collection():
+            ids = coder.encode(texts)
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int64).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), lists], names=[*rest, out])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            return [lists, [coder.decode(x.tolist()) for x in ids]] if decoded else [lists]
 
-    schema = docs.select(*(F.col(f"`{c}`") for c in rest)).schema.add(out, "array<int>")
-    return docs.select(*(F.col(f"`{c}`") for c in [*rest, text_col])).mapInArrow(of, schema)
+    return added(docs, text_col, of, {out: ArrayType(IntegerType())} | ({decoded: StringType()} if decoded else {}))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with the text of its token ids as column `out`; null ids give null."""
 
-    def of(batches):
-        coder = tokenizer(path)
-        for b in batches:
-            texts = [None if x is None else coder.decode(x) for x in b.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
+    def of(rows):
+        return [[None if x is None else tokenizer(path).decode(x) for x in rows]]
 
-    return docs.mapInArrow(of, docs.schema.add(out, "string"))
+    return added(docs, ids_col, of, {out: StringType()})
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -212,7 +213,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of every document."""
     path = tokenizer_path()
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
