@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelantern.plans import page_queries, site_queries
+from pagelantern.plans import history_queries, page_queries, site_queries
 
-QUERIES: dict = {**page_queries.QUERIES, **site_queries.QUERIES}
-SQL: dict[str, str] = {**page_queries.SQL, **site_queries.SQL}
+QUERIES: dict = {**page_queries.QUERIES, **site_queries.QUERIES, **history_queries.QUERIES}
+SQL: dict[str, str] = {**page_queries.SQL, **site_queries.SQL, **history_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
