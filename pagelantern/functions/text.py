@@ -1,0 +1,24 @@
+"""Text functions as columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# How known terms are written.
+TERMS = {"google": "Google", "chatgpt": "ChatGPT", "openai": "OpenAI", "json-ld": "JSON-LD", "html": "HTML", "seo": "SEO", "wikipedia": "Wikipedia", "wikidata": "Wikidata", "github": "GitHub", "youtube": "YouTube", "linkedin": "LinkedIn", "javascript": "JavaScript", "typescript": "TypeScript", "api": "API", "url": "URL", "faq": "FAQ", "mit": "MIT", "apache": "Apache", "gnu": "GNU"}
+
+
+def canonical_casing(text: Column, terms: dict[str, str] = TERMS) -> Column:
+    """Known terms in their usual case, as whole words; words in backquotes and URLs stay as they are."""
+    parts = F.split(text, " ")
+    fixed = lambda w: F.coalesce(
+        *(F.when(F.lower(F.regexp_replace(w, "[.,;:!?]+$", "")) == low, F.concat(F.lit(term), F.regexp_extract(w, "([.,;:!?]*)$", 1))) for low, term in terms.items()), w
+    )
+    keep = lambda w: w.contains("`") | w.contains("/")
+    return F.array_join(F.transform(parts, lambda w: F.when(keep(w), w).otherwise(fixed(w))), " ")
+
+
+def words(text: Column) -> Column:
+    """Number of words, split at white space."""
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
