@@ -103,6 +103,40 @@ def clusters(counts: DataFrame, least: int = 4) -> DataFrame:
     return out.where(F.col("pages") >= least).select("host", "cluster", "pages", "inbound", share.alias("top_share"))
 
 
+def homes(pages: DataFrame) -> DataFrame:
+    """host and page_id of each host's home: the page with path /, else the lowest page_id."""
+    return pages.groupBy("host").agg(F.min_by("page_id", F.struct((F.col("path") != "/").cast("int"), "page_id")).alias("page_id"))
+
+
+def first_segment(path: Column) -> Column:
+    return F.get(F.filter(F.split(path, "/"), lambda s: s != ""), 0)
+
+
+def cluster_coverage(pages: DataFrame, edges: DataFrame, least: int = 4) -> DataFrame:
+    """host, clusters and how many of them the home links into, by first path segment."""
+    deep = pages.where(F.size(F.filter(F.split("path", "/"), lambda s: s != "")) >= 2)
+    found = deep.groupBy("host", first_segment(F.col("path")).alias("cluster")).count().where(F.col("count") >= least)
+    home = homes(pages).select("host", F.col("page_id").alias("src_page"))
+    linked = edges.join(home, ["host", "src_page"], "left_semi").select("host", first_segment(F.col("dst_path")).alias("cluster"), F.lit(1).alias("hit")).distinct()
+    return found.join(linked, ["host", "cluster"], "left").groupBy("host").agg(F.count("*").alias("clusters"), F.count("hit").alias("linked"))
+
+
+def pillars(pages: DataFrame, edges: DataFrame, least_words: int = 500) -> DataFrame:
+    """host, pillars (long pages) and isolated: no page links to any of them."""
+    counts = inbound_counts(pages, edges).select("page_id", "inbound")
+    long = pages.where(F.col("words") >= least_words).join(counts, "page_id")
+    return long.groupBy("host").agg(F.count("*").alias("pillars"), F.bool_and(F.col("inbound") == 0).alias("isolated"))
+
+
+def trust_broken(pages: DataFrame) -> DataFrame:
+    """page_id, dst_path and status of links to about, contact, legal or privacy pages that answer 400 or more."""
+    words = "about|a-propos|qui-sommes|equipe|contact|mentions|legal|privacy|confidentialite"
+    links = pages.select("page_id", "host", "url", F.explode("links").alias("a")).where(F.lower(F.concat_ws(" ", "a.href", "a.text")).rlike(words))
+    links = links.select("page_id", "host", urls.internal_path(F.col("a.href"), F.col("url")).alias("dst_path")).distinct()
+    bad = pages.where("status >= 400").groupBy("host", F.col("path").alias("dst_path")).agg(F.max("status").alias("status"))
+    return links.join(bad, ["host", "dst_path"]).select("page_id", "dst_path", "status")
+
+
 def repeated(features: DataFrame, column: Column, least_pages: int = 5, least: int = 3) -> DataFrame:
     """host, value and n of what `least` or more pages of a host share, on hosts of more than `least_pages` pages."""
     counts = features.select("host", column.alias("value")).where("value is not null and value <> ''").groupBy("host", "value").count()
@@ -167,10 +201,9 @@ def reachable(pages: DataFrame, edges: DataFrame, cut, rounds: int = 20) -> Data
 
     The home is the page with path /, else the lowest page_id of the host. cut: writes a frame and returns it without its lineage.
     """
-    homes = pages.groupBy("host").agg(F.min_by("page_id", F.struct((F.col("path") != "/").cast("int"), "page_id")).alias("page_id"))
     known = pages.select("page_id", "host", "path")
     hops = cut(edges.join(known.select("host", F.col("path").alias("dst_path"), F.col("page_id").alias("dst")), ["host", "dst_path"]).select("src_page", "dst").distinct())
-    seen = cut(homes.select("page_id", F.lit(0).alias("depth")))
+    seen = cut(homes(pages).select("page_id", F.lit(0).alias("depth")))
     front = seen
     for depth in range(1, rounds + 1):
         step = front.join(hops, front.page_id == hops.src_page).select(F.col("dst").alias("page_id")).distinct()

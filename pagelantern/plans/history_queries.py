@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelantern.operators import history, scoring
+from pagelantern.operators import history, scoring, synthesis
 from pagelantern.sources import history as src
 
 AS_OF = "2024-01-15 00:00:00"
@@ -53,6 +53,7 @@ QUERIES = {
     "strengths_weaknesses": lambda s, d: scoring.extremes(_ps(s, d)),
     "weak_phases": lambda s, d: scoring.weak_phases(_ps(s, d)),
     "severity_rollup": lambda s, d: scoring.rollup(_a(s, d), _f(s, d)),
+    "synthesis": lambda s, d: synthesis.synthesis(_a(s, d), _f(s, d), _ps(s, d)),
     "previous_run": _runs,
     "phase_delta": lambda s, d: history.phase_deltas(_ps(s, d), _runs(s, d)),
     "finding_delta": lambda s, d: history.finding_deltas(_f(s, d), _runs(s, d)),
@@ -105,6 +106,12 @@ SQL = {
     "strengths_weaknesses": f"with {_PS}, r as (select audit_id, phase, round(score / score_max, 6) as ratio from ps), x as (select *, row_number() over (partition by audit_id order by ratio desc, phase) as best, row_number() over (partition by audit_id order by ratio, phase) as worst from r) select * from x where best <= 3 or worst <= 3",
     "weak_phases": f"with {_PS} select audit_id, count(*) as weak, string_agg(phase, ',' order by phase) as phases from ps where score < 0.5 * score_max group by audit_id having count(*) >= 3",
     "severity_rollup": _C + "select org_id, phase, severity, count(*) as findings, floor(sum(points) * 10 + 0.5) / 10 as points from fd join a using (audit_id) group by rollup (org_id, phase, severity)",
+    "synthesis": f"""with {_PS}, h as (select audit_id, count(*) as hot from (select audit_id, url from fd group by audit_id, url having count(*) >= 3 and count(distinct phase) >= 2) group by audit_id),
+      k as (select audit_id, count(*) as weak from ps where score < 0.5 * score_max group by audit_id),
+      g as (select audit_id, count(*) filter (severity in ('critical', 'high')) as grave, count(*) filter (effort = 'quick' and points >= 0.5) as quick, count(*) as n from fd group by audit_id),
+      w as (select a.audit_id, coalesce(grave, 0) as grave, coalesce(quick, 0) as quick, coalesce(n, 0) as n, coalesce(hot, 0) as hot, coalesce(weak, 0) as weak from a left join g using (audit_id) left join h using (audit_id) left join k using (audit_id))
+      select audit_id, 'Y01' as rule_id, 'critical' as severity, grave as metric from w where grave >= 1 union all select audit_id, 'Y02', 'info', quick from w where quick >= 3
+      union all select audit_id, 'Y03', 'high', hot from w where hot >= 1 union all select audit_id, 'Y04', 'high', weak from w where weak >= 3 union all select audit_id, 'Y05', 'info', n from w""",
     "previous_run": _C + f", {_RUNS} select * from pr",
     "phase_delta": f"with {_PS}, {_RUNS}, x as (select pr.audit_id, ps.phase, ps.score from pr join ps on ps.audit_id = pr.audit_id), y as (select pr.audit_id, ps.phase, ps.score as previous from pr join ps on ps.audit_id = pr.previous_id) select audit_id, phase, coalesce(score, 0) as score, coalesce(previous, 0) as previous, floor((coalesce(score, 0) - coalesce(previous, 0)) * 10 + 0.5) / 10 as delta from x full join y using (audit_id, phase)",
     "finding_delta": _C + f", {_RUNS}, k as (select distinct audit_id, phase || ':' || substring(lower(title), 1, 60) || ':' || url as key from fd), x as (select pr.audit_id, key, 1 as here from pr join k on k.audit_id = pr.audit_id), y as (select pr.audit_id, key, 1 as there from pr join k on k.audit_id = pr.previous_id) select audit_id, key, case when here is null then 'resolved' when there is null then 'introduced' else 'persistent' end as change from x full join y using (audit_id, key)",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelantern.operators import rules, site
+from pagelantern.operators import site
+from pagelantern.operators.checkpoint import cut
 from pagelantern.plans import page_queries, page_sql
 from pagelantern.sources import tables
 from pagelantern.sources.tables import SITE_FILES_SQL
@@ -40,6 +41,10 @@ QUERIES = {
     "inbound_links": _graph(site.inbound_counts),
     "orphans": _graph(site.orphan_pages),
     "broken_links": _graph(site.broken_links),
+    "link_reachability": _graph(lambda p, e: site.reachable(p, e, cut)),
+    "cluster_coverage": _graph(site.cluster_coverage),
+    "pillars": _graph(site.pillars),
+    "trust_broken": lambda s, d: site.trust_broken(_slim(s, d)),
     "clusters": _graph(lambda p, e: site.clusters(site.inbound_counts(p, e))),
     "dup_titles": lambda s, d: site.repeated(_slim(s, d), F.lower("title"), least=2),
     "dup_content": lambda s, d: site.repeated(_slim(s, d), F.col("content_hash"), least=2),
@@ -107,6 +112,17 @@ SQL = {
     "inbound_links": _F + "select * from ic",
     "orphans": _F + _ORPHAN,
     "broken_links": _F + "select distinct e.host, e.src_page, e.dst_path, f.status from e join f on e.host = f.host and e.dst_path = f.path where f.status >= 300",
+    "link_reachability": _F.replace("with ", "with recursive ", 1) + """, hm as (select host, arg_min(page_id, (case when path = '/' then 0 else 1 end) * 1000000000000 + page_id) as page_id from f group by host),
+      hop as (select distinct e.src_page, f.page_id as dst from e join f on e.host = f.host and e.dst_path = f.path),
+      rc as (select page_id, 0 as depth from hm union select hop.dst, depth + 1 from rc join hop on hop.src_page = rc.page_id where depth < 20)
+      select page_id, min(depth) as depth from rc group by page_id""",
+    "cluster_coverage": _F + """, hm as (select host, arg_min(page_id, (case when path = '/' then 0 else 1 end) * 1000000000000 + page_id) as page_id from f group by host),
+      cl as (select host, string_split(path, '/')[2] as cluster from f where len(string_split(path, '/')) >= 3 group by all having count(*) >= 4),
+      lk as (select distinct e.host, string_split(dst_path, '/')[2] as cluster from e join hm on e.host = hm.host and e.src_page = hm.page_id)
+      select cl.host, count(*) as clusters, count(lk.cluster) as linked from cl left join lk on cl.host = lk.host and cl.cluster = lk.cluster group by cl.host""",
+    "pillars": _F + "select f.host, count(*) as pillars, bool_and(ic.inbound = 0) as isolated from f join ic on f.page_id = ic.page_id where f.words >= 500 group by f.host",
+    "trust_broken": f"""with {page_sql.FEATURES}, tl as (select page_id, host, url, unnest(links, recursive := true) from f), tt as (select distinct page_id, host, {page_sql.internal_path('href')} as dst from tl where regexp_matches(lower(href) || ' ' || text, 'about|a-propos|qui-sommes|equipe|contact|mentions|legal|privacy|confidentialite'))
+      select tt.page_id, tt.dst as dst_path, max(f.status) as status from tt join f on f.host = tt.host and f.path = tt.dst where f.status >= 400 group by all""",
     "clusters": _F + "select host, string_split(path, '/')[2] as cluster, count(*) as pages, cast(sum(inbound) as bigint) as inbound, round(max(inbound) / nullif(sum(inbound), 0), 4) as top_share from ic where len(string_split(path, '/')) >= 3 group by all having count(*) >= 4",
     "dup_titles": f"with {page_sql.FEATURES} {_REPEAT.format('lower(title)', 2)}",
     "dup_content": f"with {page_sql.FEATURES} {_REPEAT.format('content_hash', 2)}",
