@@ -5,7 +5,7 @@ depth-first order: going from one word to the next, only the nodes below their c
 is the last token of the encoding of its prefix. It is the one token ending there that starts at the root, or whose
 neighbour, the last token at the node where it starts, it may follow: no merge across their border would have come
 before the merges that made them. So a node's encoding is that of an earlier node and one more token, and the
-encoding of a shared prefix is computed once. Words stay in a bounded cache for later batches of the same worker.
+encoding of a shared prefix is computed once. Words stay in a bounded cache for later batches of the same task.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from pagelantern.llm.common import added, table
 
-CACHED_WORDS, CACHED_PAIRS = 400_000, 400_000
+CACHED_WORDS, CACHED_PAIRS = 120_000, 120_000
 SPACE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
@@ -153,6 +153,10 @@ class Tokenizer:
         known = self.known.__getitem__
         return [np.fromiter(chain.from_iterable(map(known, words)), dtype=np.int32) for words in cut]
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.known, self.follows = {}, {}
+
     def decode(self, ids) -> str:
         """The text of a list of ids; bytes that are not UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -191,7 +195,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
             return [lists, [coder.decode(x.tolist()) for x in ids]] if decoded else [lists]
 
-    return added(docs, text_col, of, {out: ArrayType(IntegerType())} | ({decoded: StringType()} if decoded else {}))
+    forget = lambda: tokenizer(path).forget()
+    return added(docs, text_col, of, {out: ArrayType(IntegerType())} | ({decoded: StringType()} if decoded else {}), done=forget)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

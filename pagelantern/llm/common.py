@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 import pyarrow as pa
@@ -45,12 +47,22 @@ def unhex_long(col) -> "F.Column":
     return F.lpad(F.lower(F.hex(col)), 16, "0")
 
 
-def added(docs: DataFrame, col: str, of, fields: dict, each: int = 2 << 20) -> DataFrame:
+def release() -> None:
+    """Gives memory that is free in this worker back to the machine: workers are kept for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def added(docs: DataFrame, col: str, of, fields: dict, each: int = 2 << 20, done=None) -> DataFrame:
     """docs with new columns computed from one column, batch by batch; the other columns pass through untouched.
 
     of: from a list of the column's values to the new columns' values, a list or Arrow array for each of fields (name:
     Spark type). A column of docs named like a new one is replaced. It is called for slices of about `each` bytes,
-    so memory follows the longest value and not the batch.
+    so memory follows the longest value and not the batch. done, if given, is called when a task's rows are through:
+    workers are used again for other stages, and should not keep large caches.
     """
     rest = [c for c in docs.columns if c not in fields]
     schema = StructType([*(docs.schema[c] for c in rest), *(StructField(n, t) for n, t in fields.items())])
@@ -63,6 +75,9 @@ def added(docs: DataFrame, col: str, of, fields: dict, each: int = 2 << 20) -> D
                 new = of(part.column(col).to_pylist())
                 new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(new, kinds)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *new], names=[*rest, *fields])
+        if done:
+            done()
+        release()
 
     # a column that is replaced is still read under its own name
     return docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*rest, col]))).mapInArrow(run, schema)

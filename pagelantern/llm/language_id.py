@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from pagelantern.llm.common import added, table
+from pagelantern.llm.common import added, release, table
 
 ORDERS, HASHES = 5, 4
 UNKNOWN = "und"
@@ -112,13 +112,18 @@ def learn(labelled: DataFrame, sample: int = 4000, least_rate: float = 2e-5, nea
 
     def count(batches):
         held: dict[str, list[list[np.ndarray]]] = {}
+        size: dict[str, int] = {}
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
                 held.setdefault(lang, []).append(grams(text))
-                if len(held[lang]) >= 500:
+                size[lang] = size.get(lang, 0) + len(text)
+                if size[lang] >= 500_000:  # characters, of about 40 bytes of hashes each
                     yield summed(lang, held.pop(lang))
+                    size[lang] = 0
         for lang, rows in held.items():
             yield summed(lang, rows)
+        held.clear()
+        release()
 
     def summed(lang, rows) -> pd.DataFrame:
         out = []

@@ -153,6 +153,10 @@ class Field:
         self.weight, self.step = state
         self.__post_init__()
 
+    def forget(self) -> None:
+        """Empties the cache."""
+        self.index, self.parts = {}, self.parts[:0].copy()
+
     def meet(self, tokens) -> None:
         """Adds tokens' parts in the scores of themselves and of their neighbours to the cache."""
         if len(self.index) > CACHED_TOKENS:
@@ -309,38 +313,34 @@ def spans(text: str | None, model: Field) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
-def scan(docs: DataFrame, model: Field) -> DataFrame:
+def redacted(text: str | None, found, mark: str) -> str | None:
+    """A text with `mark` in place of every span; overlapping spans are replaced as one."""
+    if not text or not found:
+        return text
+    parts, at = [], 0
+    for start, end, _ in found:
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def scan(docs: DataFrame, model: Field, mark: str | None = None) -> DataFrame:
     """docs with `spans`: an array of start, end (code points, end exclusive) and kind of every secret of the whole text.
 
-    A null text counts as empty. Other columns, nulls and repeated rows stay; a column named spans is replaced.
+    If mark is given, the text has it in place of every span. A null text counts as empty. Other columns, nulls
+    and repeated rows stay; a column named spans is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("kind", StringType())]))
 
     def of(texts):
-        return [[[{"start": s, "end": e, "kind": KINDS[k]} for s, e, k in spans(t, sent.value)] for t in texts]]
-
-    return added(docs, "text", of, {"spans": kind})
-
-
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """Scanned docs whose text has `mark` in place of every span; overlapping spans are replaced as one."""
-
-    def of(rows):
-        out = []
-        for row in rows:
-            text, parts, at = row["text"], [], 0
-            if text is not None and row["spans"]:
-                for s in sorted(row["spans"], key=lambda s: s["start"]):
-                    if s["start"] >= at:
-                        parts += [text[at : s["start"]], mark]
-                    at = max(at, s["end"])
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        return [out]
+        found = [spans(t, sent.value) for t in texts]
+        out = [[{"start": s, "end": e, "kind": KINDS[k]} for s, e, k in f] for f in found]
+        return [out] if mark is None else [out, [redacted(t, f, mark) for t, f in zip(texts, found)]]
 
-    both = docs.withColumn("both", F.struct("text", "spans"))
-    return added(both.drop("text", "spans"), "both", of, {"text": StringType()}).drop("both")
+    fields = {"spans": kind} if mark is None else {"spans": kind, "text": StringType()}
+    return added(docs, "text", of, fields, done=lambda: sent.value.forget())
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

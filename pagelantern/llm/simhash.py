@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelantern.llm.common import bucket, cut, dealt, table, unhex_long
+from pagelantern.llm.common import bucket, cut, dealt, release, table, unhex_long
 from pagelantern.llm.components import components
 
 BITS = 64
@@ -53,6 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def of(batches):
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)})
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(of, f"doc_id {kind}, fp long")
