@@ -3,9 +3,15 @@
 A pass hashes every vector with `BITS` random hyperplanes, concatenates the sign bits and orders all vectors by
 them (a range shuffle). A vector is compared with the `window` vectors before it in this order, by cosine in double
 precision; pairs at or above the threshold are links. The links of all passes are united and their connected
-components taken. Two vectors at the threshold share their first d bits with probability (1 - angle / pi) ** d, and
-d = log2(vectors / window) bits leave about a window of vectors, so the number of passes follows from the number of
-vectors and the `miss` that is accepted for a pair: about 20 passes for 50,000 vectors, 100 for a billion.
+components taken. Two vectors at the threshold share their first d bits, their cell, with probability
+(1 - angle / pi) ** d. d = log2(vectors / window) bits, rounded up, leave about a window of evenly spread vectors, so
+the number of passes follows from the number of vectors and the `miss` that is accepted for a pair: about 20 passes
+for 50,000 vectors, 100 for a billion.
+
+The miss must not depend on how the vectors lie. A cell of at most window + 1 vectors is compared in full by the
+windows. Cells with more are counted, and all pairs inside each are compared in blocks; where the cells of all passes
+overlap so much that this takes more products than all pairs of the vectors in them, those are compared once instead.
+So a pair that shares its cell in any pass is compared, in a dense cloud of vectors too.
 
 Links exist inside components only, so the windows need to find enough links to connect a group, not all of
 them: afterwards each component is compared in full, in blocks of about `block` vectors, every pair of blocks in a
@@ -32,9 +38,14 @@ USABLE = """vec_id is not null and embedding is not null and size(embedding) > 0
  and exists(embedding, x -> x <> 0)"""
 
 
+def cell_bits(vectors: int, window: int) -> int:
+    """Leading bits of a key that name its cell: so many that an even spread leaves a window of vectors or fewer."""
+    return min(BITS, max(0, math.ceil(math.log2(max(vectors, 1) / window))))
+
+
 def passes_for(vectors: int, threshold: float, window: int, miss: float) -> int:
-    """Passes after which a pair at the threshold was in no common window with probability `miss` at most."""
-    together = (1 - math.acos(threshold) / math.pi) ** max(0.0, math.log2(max(vectors, 1) / window))
+    """Passes after which a pair at the threshold was in no common cell with probability `miss` at most."""
+    together = (1 - math.acos(threshold) / math.pi) ** cell_bits(vectors, window)
     return 1 if together >= 1 else math.ceil(math.log(miss) / math.log1p(-together))
 
 
@@ -65,6 +76,15 @@ def _edges(x, ids, new, window, threshold) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[at], "b": ids[root[at]]})
 
 
+def _keys(part: pd.DataFrame, dim: int, passes: int, planes: dict, seed: int):
+    """Yields each pass with the keys of a batch's vectors of one length. planes: those made so far."""
+    x = _matrix(part["x"])
+    for p in range(passes):
+        if (p, dim) not in planes:
+            planes[p, dim] = np.random.default_rng([seed, p, dim]).standard_normal((dim, BITS))
+        yield p, (x @ planes[p, dim] > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+
+
 def window_links(classes: DataFrame, threshold: float, window: int, miss: float, seed: int) -> DataFrame:
     """Edges a, b (class ids) found in the windows of all passes. classes: rep, x (unit vector as bytes), dim."""
     n = classes.count()
@@ -74,12 +94,8 @@ def window_links(classes: DataFrame, threshold: float, window: int, miss: float,
         planes = {}
         for b in batches:
             for dim, part in b.groupby("dim"):
-                x, reps = _matrix(part["x"]), part["rep"].to_numpy()
-                for p in range(passes):
-                    if (p, dim) not in planes:
-                        planes[p, dim] = np.random.default_rng([seed, p, dim]).standard_normal((dim, BITS))
-                    key = (x @ planes[p, dim] > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                    yield pd.DataFrame({"pass": p, "dim": dim, "key": key, "rep": reps, "x": part["x"].to_numpy()})
+                for p, key in _keys(part, dim, passes, planes, seed):
+                    yield pd.DataFrame({"pass": p, "dim": dim, "key": key, "rep": part["rep"].to_numpy(), "x": part["x"].to_numpy()})
 
     def swept(batches):
         at, head, group, x, ids, blobs = TaskContext.get().partitionId(), 0, None, None, None, None
@@ -114,15 +130,76 @@ def window_links(classes: DataFrame, threshold: float, window: int, miss: float,
     return found.where("seam = -1 and x is null").select("a", "b").union(seams)
 
 
-def full_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """rep and links, the other vectors that a class links with. members: c (component), rep, n (copies), x, dim."""
+def blocked(members: DataFrame, block: int) -> DataFrame:
+    """members (c, rep, x, dim, any others) once for every pair lo, hi of blocks of their group c that they belong to.
+
+    own is the row's block, task the bucket in which a pair of blocks meets.
+    """
     sizes = cut(members.groupBy("c").count())
     work = sizes.select(F.sum(F.col("count") * F.ceil(F.col("count") / block))).first()[0] or 0
     rows = members.join(sizes.select("c", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "c")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    rows = rows.withColumn("task", bucket(dealt(work, 2 * block), "c", "lo", "hi"))
+    return rows.withColumn("task", bucket(dealt(work, 2 * block), "c", "lo", "hi"))
+
+
+def crowded_links(classes: DataFrame, threshold: float, window: int, miss: float, block: int, seed: int) -> DataFrame | None:
+    """Edges a, b of the pairs that share a cell with more vectors than the windows compare in full; None without such cells."""
+    n = classes.count()
+    passes, shift = passes_for(n, threshold, window, miss), BITS - cell_bits(n, window)
+
+    def counted(batches):
+        planes = {}
+        for b in batches:
+            for dim, part in b.groupby("dim"):
+                for p, key in _keys(part, dim, passes, planes, seed):
+                    cell, size = np.unique(key >> shift, return_counts=True)
+                    yield pd.DataFrame({"pass": p, "dim": dim, "cell": cell, "size": size})
+
+    def celled(batches):
+        planes = {}
+        for b in batches:
+            for dim, part in b.groupby("dim"):
+                for p, key in _keys(part, dim, passes, planes, seed):
+                    yield pd.DataFrame({"pass": p, "dim": dim, "cell": key >> shift, "rep": part["rep"].to_numpy()})
+
+    source = classes.select("rep", "x", "dim")
+    sizes = source.mapInPandas(counted, "pass int, dim int, cell long, size long").groupBy("pass", "dim", "cell").agg(F.sum("size").alias("size"))
+    crowded = cut(sizes.where(F.col("size") > window + 1))
+    by_cell = crowded.select(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0]
+    if by_cell is None:
+        return None
+    held = source.mapInPandas(celled, "pass int, dim int, cell long, rep long").join(crowded.drop("size"), ["pass", "dim", "cell"])
+    held = cut(held.select(F.xxhash64("pass", "dim", "cell").alias("c"), "rep", "dim"))
+    everyone = cut(held.select("rep", "dim").distinct())
+    at_once = everyone.groupBy("dim").count().select(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0]
+    chosen = everyone.select(F.col("dim").cast("long").alias("c"), "rep") if at_once <= by_cell else held.select("c", "rep")
+    rows = blocked(chosen.join(classes.select("rep", "x", "dim"), "rep"), block)
+
+    def pairs(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, lo, hi, _), g in part.groupby(["c", "lo", "hi", "dim"]):
+            own = (g["own"] == lo).to_numpy()
+            at, to = np.flatnonzero(own), np.flatnonzero(~own) if lo != hi else np.flatnonzero(own)
+            x, ids = _matrix(g["x"]), g["rep"].to_numpy()
+
+            def near():
+                for s in range(0, len(at), 1024):
+                    i, j = np.nonzero(x[at[s : s + 1024]] @ x[to].T >= threshold)
+                    yield at[s + i], to[j]
+
+            root = forest(len(g), near())
+            linked = np.flatnonzero(root != np.arange(len(g)))
+            out.append(pd.DataFrame({"a": ids[linked], "b": ids[root[linked]]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    return rows.select("task", "c", "lo", "hi", "own", "rep", "x", "dim").groupBy("task").applyInPandas(pairs, "a long, b long")
+
+
+def full_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """rep and links, the other vectors that a class links with. members: c (component), rep, n (copies), x, dim."""
+    rows = blocked(members, block)
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -165,7 +242,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, window: int = 256,
             yield b.assign(x=blobs, dim=dims)[["h", "h2", "rep", "n", "x", "dim"]]
 
     classes = cut(classes.mapInPandas(scaled, "h long, h2 long, rep long, n long, x binary, dim int"))
-    groups = components(window_links(classes, threshold, window, miss, seed))
+    edges = window_links(classes, threshold, window, miss, seed)
+    crowded = crowded_links(classes, threshold, window, miss, block, seed)
+    groups = components(edges if crowded is None else edges.union(crowded))
     members = classes.join(groups, classes.rep == groups.v).select("c", "rep", "n", "x", "dim")
     linked = cut(full_links(members, threshold, block))
     found = classes.drop("x", "dim").join(groups, classes.rep == groups.v, "left").drop("v")

@@ -44,3 +44,32 @@ def test_query_on_table(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").collect()
     got = embedding_dedup.op1_embedding_dedup(spark, sf_dir).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute([r.vec_id for r in rows], [r.embedding for r in rows])
+
+
+def test_pairs_in_a_dense_cloud_are_found(frame):
+    rng = np.random.default_rng(2)
+    turned = lambda v, cosine: cosine * v + np.sqrt(1 - cosine**2) * aside(v)
+
+    def aside(v):
+        r = rng.standard_normal(len(v))
+        r -= (r @ v) * v
+        return r / np.linalg.norm(r)
+
+    centre = aside(np.eye(64)[0])
+    cloud = [turned(centre, 0.9**0.5) for _ in range(1500)]
+    rows = np.array(cloud + [turned(v, 0.955) for v in cloud[:300]])
+    near = rows @ rows.T >= 0.95
+    got = embedding_dedup.near_vectors(frame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>"), window=16).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate((near.sum(1) - 1).tolist()))
+    assert sum(r.n_links > 0 for r in got) >= 600 and sum(not r.kept for r in got) >= 300
+
+
+def test_many_dense_clouds_are_swept_by_cell(frame):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centres = unit(rng.standard_normal((40, 64)))
+    cloud = unit(centres[np.arange(2000) % 40] + 0.33 * unit(rng.standard_normal((2000, 64))))
+    rows = np.r_[cloud, unit(cloud[:300] + 0.3 * unit(rng.standard_normal((300, 64))))]
+    near = rows @ rows.T >= 0.95
+    got = embedding_dedup.near_vectors(frame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>"), window=16, block=64).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate((near.sum(1) - 1).tolist()))
