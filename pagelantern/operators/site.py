@@ -5,6 +5,8 @@ Everything is keyed by host; html never reaches a shuffle, only what the feature
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,19 +198,18 @@ def site_findings(facts: DataFrame, penalties: DataFrame, files: DataFrame, orph
     return wide.select("host", F.explode(F.array_compact(F.array(*made))).alias("f")).select("host", "f.*")
 
 
-def reachable(pages: DataFrame, edges: DataFrame, cut, rounds: int = 20) -> DataFrame:
-    """page_id and depth of the pages that links reach from each host's home, breadth first.
+def reachable(pages: DataFrame, edges: DataFrame, cut) -> DataFrame:
+    """page_id and depth of all pages that links reach from each host's home, breadth first, at any depth.
 
-    The home is the page with path /, else the lowest page_id of the host. cut: writes a frame and returns it without its lineage.
+    Each round adds pages or is the last. The home is the page with path /, else the lowest page_id of the host. cut: writes a frame and returns it without its lineage.
     """
     known = pages.select("page_id", "host", "path")
     hops = cut(edges.join(known.select("host", F.col("path").alias("dst_path"), F.col("page_id").alias("dst")), ["host", "dst_path"]).select("src_page", "dst").distinct())
     seen = cut(homes(pages).select("page_id", F.lit(0).alias("depth")))
     front = seen
-    for depth in range(1, rounds + 1):
+    for depth in itertools.count(1):
         step = front.join(hops, front.page_id == hops.src_page).select(F.col("dst").alias("page_id")).distinct()
         front = cut(step.join(seen, "page_id", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(front))
-    return seen

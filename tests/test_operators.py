@@ -72,6 +72,14 @@ def test_reachable(spark):
     assert {r.page_id: r.depth for r in site.reachable(pages, edges, cut).collect()} == {5: 0, 1: 1, 2: 2, 3: 3}
 
 
+def test_reachable_at_any_depth(spark):
+    pages = spark.createDataFrame([(k, "h", f"/p{k}") for k in range(27)], "page_id long, host string, path string")
+    edges = spark.createDataFrame([(k, "h", f"/p{k + 1}") for k in range(25)], "src_page long, host string, dst_path string")
+    from pagelantern.operators.checkpoint import cut
+
+    assert {r.page_id: r.depth for r in site.reachable(pages, edges, cut).collect()} == {k: k for k in range(26)}
+
+
 def test_suppressed_alerts(spark):
     import datetime as dt
 
