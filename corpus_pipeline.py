@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from pagelantern.llm import bpe, language_id, mixing, secret_scan, simhash
-from pagelantern.llm.common import shared_folder
+from pagelantern.llm.common import added, cut, shared_folder
+from pagelantern.llm.components import components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,11 +23,25 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash group the document with the smallest id, once."""
-    groups = simhash.simhash_groups(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    docs = docs.select(*COLUMNS)
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps exactly one document of each SimHash group: the one with the smallest id (null last), then row hash.
+
+    Groups are those of the fingerprints, whatever the ids: documents without an id, or with the same one, whose texts
+    do not link are in groups of their own and all stay.
+    """
+    docs, nulls = docs.select(*COLUMNS), [F.col(c).isNull() for c in COLUMNS]  # nulls alone do not change a hash
+    docs = docs.withColumns({"h": F.xxhash64(*COLUMNS, *nulls), "h2": F.xxhash64(F.lit(1), *COLUMNS, *nulls)})
+    texts = docs.select("doc_id", "h", "h2", F.col("text").alias("fp"))
+
+    def of(batch):
+        return [np.array([simhash.fingerprint(t) for t in batch], dtype=np.uint64).view(np.int64).tolist()]
+
+    prints = cut(added(texts, "fp", of, {"fp": LongType()}))
+    classes = cut(prints.select("fp", F.col("fp").alias("rep")).distinct())
+    linked = components(simhash.trie_links(classes))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "h2")).alias("first")
+    kept = prints.join(linked, prints.fp == linked.v, "left").groupBy(F.coalesce("c", "fp").alias("group")).agg(first)
+    kept = kept.select("first.h", "first.h2")
+    return docs.join(kept, ["h", "h2"], "left_semi").dropDuplicates(["h", "h2"]).select(*COLUMNS)  # rows of equal hashes are copies
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

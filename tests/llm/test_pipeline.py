@@ -33,3 +33,17 @@ def test_run_and_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in got} <= {1, None}
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert p.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    a, b, c, d, e = (" ".join(f"{w}{k}" for k in range(9)) for w in ("alpha", "beta", "gamma", "delta", "eps"))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (None, c), (3, d), (9, e), (9, e)]
+    docs = spark.createDataFrame([(k, text, "en", None if k else "s", n) for n, (k, text) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.near_duplicates(spark, docs.repartition(3), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", a), ("None", b), ("7", c), ("3", d), ("9", e)])
+
+
+def test_texts_that_share_an_id_both_stay(spark):
+    rows = [(7, "one two three four five six seven", "en", "s", 1), (7, "quite other words stand here for once", "en", "s", 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.text for r in p.near_duplicates(spark, docs, "").collect()) == sorted({r[1] for r in rows})
