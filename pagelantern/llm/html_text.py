@@ -36,7 +36,10 @@ ASIDE = set("script style noscript template svg iframe object canvas audio video
 WALLS = set("html body article main section nav footer aside header form table td th".split())
 # Class and id words that usually mark what is not article text, and what is.
 OFF = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|sidebar|footer|header|masthead|breadcrumbs?|cookies?|consent|gdpr|notices?|notification|popup|modal|newsletter|subscribe|subscription|signup|share|sharing|social|related|recommend\w*|comments?|comment-\w+|disqus|replies|respond|login|search|widgets?|pagination|pager|toolbar|skip\w*|copyright|disclaimer)(?:$|[\s_-])", re.I)
-COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|review)(?:$|[\s_-])", re.I)
+COMMENT = re.compile(r"(?:^|\s)(?:comments?|replies|reply|review)(?:$|[\s_-])", re.I)
+# Inside an article: states of an element, sections of papers and result lists, and an article's own header and comments' counts are its text.
+PLAIN = re.compile(r"(?:^|(?<=\s))(?:(?:has|with|no|without)[_-]\S+|related-work|search-results|\S+[_-](?:header|comments?|replies|respond|comment-\w+))(?=$|\s)", re.I)
+THREAD = re.compile(r"(?:^|\s)(?:comments?|comment-?list|comments-area|replies|respond|disqus_thread)(?:$|\s)", re.I)
 ON = re.compile(r"(?:^|\s)(?:article-?(?:body|content|text)|post-?(?:body|content)|entry-?content|story-?(?:body|content)|main-?content)(?:$|\s)", re.I)
 ROLES_OFF = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
@@ -59,15 +62,17 @@ def _places(tag: str, raw: str, off: bool, inside: bool) -> tuple[bool, bool]:
     role = attr.get("role", "").lower()
     hidden = "hidden" in attr or attr.get("aria-hidden") == "true" or "display:none" in attr.get("style", "").replace(" ", "").lower()
     if tag in ("article", "main") or role in ("main", "article"):
-        comment = bool(COMMENT.search(names))
+        comment = inside and bool(COMMENT.search(names))  # an outermost one only in a thread of comments
         return off == 2 or comment or hidden or bool(off and inside), True
     if tag in ASIDE or role in ROLES_OFF or hidden or (tag == "header" and not inside):
         return 2, inside
+    if tag not in ("html", "body") and not inside and names and THREAD.search(names):
+        return 2, inside
     if off or tag in ("html", "body"):
         return off, inside
     if names and ON.search(names) or attr.get("itemprop", "").lower() == "articlebody":
         return off, True
-    return (1 if names and OFF.search(names) else 0), inside
+    return (1 if names and OFF.search(PLAIN.sub("", names) if inside else names) else 0), inside
 
 
 def blocks(page: str | None) -> list[tuple[int, str, str]]:

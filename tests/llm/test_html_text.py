@@ -35,6 +35,23 @@ def test_pages(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article class='review'><p>a film</p></article>", "a film"),
+        ("<main id='product-review'><p>a pan</p></main>", "a pan"),
+        ("<article><div class='entry-header'><h1>T</h1></div><p>b</p></article>", "T b"),
+        ("<article class='x'><div class='article-header wide'>T</div><div class='has-sidebar'>s</div><div class='with-banner'>t</div></article>", "T s t"),
+        ("<article><section class='related-work'>r</section><div class='search-results'>q</div></article>", "r q"),
+        ("<article>a<div class='comment-list'>c</div><div class='header'>h</div><div class='has-sidebar sidebar'>s</div><div class='related-posts'>r</div></article>", "a"),
+        ("<article>a</article><div id='comments'><article>reader</article></div>", "a"),
+        ("<article>a<article class='comment'>reader</article></article>", "a"),
+    ],
+)
+def test_class_words_do_not_take_article_text(page, want):
+    assert text(page) == want
+
+
 def test_shared_runs_go_and_unique_ones_stay(frame):
     menu, foot = "Home News Sport Weather Contact Login", "All about us since 1999 in town"
     page = lambda k: f"<div>{menu}</div><div><p>story {k} tells of number {k} and more of {k}</p></div><div>{foot}</div>"
