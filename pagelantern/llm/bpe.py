@@ -5,7 +5,11 @@ depth-first order: going from one word to the next, only the nodes below their c
 is the last token of the encoding of its prefix. It is the one token ending there that starts at the root, or whose
 neighbour, the last token at the node where it starts, it may follow: no merge across their border would have come
 before the merges that made them. So a node's encoding is that of an earlier node and one more token, and the
-encoding of a shared prefix is computed once. Words stay in a bounded cache for later batches of the same task.
+encoding of a shared prefix is computed once. The tokens that end at a node are found by a second trie, of
+the vocabulary's tokens read backwards.
+
+Most words of a text are cut at single spaces, so texts are cut there first, and only pieces that were not met before
+into words. Pieces and words stay, with the bytes of their ids, in a bounded cache for later batches of the same task.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import gc
 import json
 import re
 import unicodedata
+from array import array
 from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
@@ -27,7 +32,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from pagelantern.llm.common import added, table
 
-CACHED_WORDS, CACHED_PAIRS = 120_000, 120_000
+CACHED_WORDS, CACHED_PAIRS = 500_000, 400_000
+TOKEN = -1  # where a node of `tails` holds the token that ends the walk
 SPACE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
@@ -43,6 +49,30 @@ def splitters():
     return re.compile(_words(kinds["L"], kinds["N"])).findall, regex.compile(_words(r"\p{L}", r"\p{N}")).findall, re.compile("[\u0250-\U0010ffff]").search
 
 
+@lru_cache(1)
+def runs():
+    """Runs of two or more white space characters."""
+    return re.compile(f"[{SPACE}]{{2,}}")
+
+
+def pieces(text: str) -> list[str]:
+    """A text cut before single spaces and around longer white space, where words always end.
+
+    A single space starts the word after it. Of a longer run of white space all but the last character, or all at the end
+    of the text, is a word.
+    """
+    mark = next(c for c in map(chr, range(0xFDD0, 0x10FFFF)) if c not in text)
+    cut = lambda x: x.replace(" ", mark + " ").split(mark)
+    out, at = [], 0
+    for m in runs().finditer(text):
+        start, end = m.span()
+        end -= end < len(text)
+        out += cut(text[at:start])
+        out.append(text[start:end])
+        at = end
+    return out + cut(text[at:]) if out else cut(text)
+
+
 class Tokenizer:
     """The vocabulary, merges and added tokens of a tokenizers JSON file, and encodings of words by trie."""
 
@@ -52,6 +82,8 @@ class Tokenizer:
         model, kind = spec["model"], spec.get("pre_tokenizer") or {}
         if model["type"] != "BPE" or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("only byte-level BPE without a normalizer or prefix space")
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("only added tokens that match wherever they stand, without white space around them")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -71,10 +103,15 @@ class Tokenizer:
             a, b = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
             i, j, k = self.id_of[a], self.id_of[b], self.id_of[a + b]
             self.rank[i, j], self.made[k], self.parts[k] = r, r, (i, j)
-        self.longest = max(map(len, self.id_of))
+        self.tails: dict = {}  # tokens by their bytes from the last to the first
+        for b, i in self.id_of.items():
+            node = self.tails
+            for x in reversed(b):
+                node = node.setdefault(x, {})
+            node[TOKEN] = i
         self.follows: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def may_follow(self, x: int, y: int) -> bool:
         """Whether BPE leaves the border between tokens x and y, by undoing their merges, the latest first."""
@@ -111,7 +148,7 @@ class Tokenizer:
 
     def learn(self, words) -> None:
         """Adds the encodings of words to the cache, by one depth-first walk of their trie."""
-        id_of, may, said, longest = self.id_of.get, self.may_follow, self.follows.get, self.longest
+        tails, may, said = self.tails, self.may_follow, self.follows.get
         path, last, start = b"", [-1], [0]  # by depth: the node's last token and the depth where that starts
         for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             shared, most = 0, min(len(path), len(raw))
@@ -119,43 +156,57 @@ class Tokenizer:
                 shared += 1
             del last[shared + 1 :], start[shared + 1 :]
             for end in range(shared + 1, len(raw) + 1):
-                for at in range(end - longest if end > longest else 0, end):
-                    token = id_of(raw[at:end])
-                    if token is not None:
-                        if not at:
-                            if self.stands(token):
-                                break
-                        elif (ok := said((last[at], token))) or ok is None and may(last[at], token):
-                            break
-                last.append(token)
-                start.append(at)
+                found, at, node = [], end, tails
+                while at and (node := node.get(raw[at - 1])):
+                    at -= 1
+                    if TOKEN in node:
+                        found.append((at, node[TOKEN]))
+                for at, token in reversed(found):  # the longest first
+                    if at:
+                        if (ok := said((last[at], token))) is None:
+                            ok = may(last[at], token)
+                    else:
+                        ok = self.stands(token)
+                    if ok:
+                        last.append(token)
+                        start.append(at)
+                        break
             path, ids, end = raw, [], len(raw)
             while end:
                 ids.append(last[end])
                 end = start[end]
-            self.known[word] = tuple(ids[::-1])
+            self.known[word] = array("i", ids[::-1]).tobytes()
 
     def encode(self, texts) -> list[np.ndarray]:
         """The ids of each text; None counts as empty."""
         fast, whole, wide = splitters()
         cut = []
         for text in texts:
-            words = []
-            for k, piece in enumerate(self.cut(text) if self.cut and text else [text or ""]):
-                words += [piece] if k % 2 else (whole if wide(piece) else fast)(piece)
-            cut.append(words)
+            parts = []
+            for k, part in enumerate(self.cut(text) if self.cut and text else [text or ""]):
+                parts += [part] if k % 2 else pieces(part)
+            cut.append(parts)
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+            self.known = {"": b""}
         new = set(chain.from_iterable(cut)).difference(self.known)
         for s in new & self.added.keys():
-            self.known[s] = (self.added[s],)
-        self.learn(new - self.added.keys())
+            self.known[s] = array("i", [self.added[s]]).tobytes()
+        words, several = set(), {}
+        for piece in new - self.added.keys():
+            if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+                words.add(piece)
+            else:
+                several[piece] = said = (whole if wide(piece) else fast)(piece)
+                words.update(said)
+        self.learn(words.difference(self.known))
         known = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(known, words)), dtype=np.int32) for words in cut]
+        for piece, said in several.items():
+            self.known[piece] = b"".join(map(known, said))
+        return [np.frombuffer(b"".join(map(known, parts)), dtype=np.int32) for parts in cut]
 
     def forget(self) -> None:
         """Empties the caches."""
-        self.known, self.follows = {}, {}
+        self.known, self.follows = {"": b""}, {}
 
     def decode(self, ids) -> str:
         """The text of a list of ids; bytes that are not UTF-8 become U+FFFD."""

@@ -65,6 +65,23 @@ def test_query_on_table(spark, sf_dir):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op4_bpe(spark, sf_dir).collect()} == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "\u3000", "a", "it's", ".", "7", "\ufdd0", "\ufdd1 ", "é"]), max_size=14))
+def test_white_space_runs_and_marks(parts):
+    check("".join(parts))
+    assert "".join(bpe.pieces("".join(parts))) == "".join(parts)
+
+
+def test_added_tokens_with_conditions_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["added_tokens"] = [*spec.get("added_tokens", []), {"id": 60000, "content": "<x>", "lstrip": True}]
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe.Tokenizer(str(tmp_path / "t.json"))
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         bpe.Tokenizer(bpe.tokenizer_path("word_bpe_49k.json"))
