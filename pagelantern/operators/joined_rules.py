@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelantern.functions import urls
+from pagelantern.operators import rules
 
 
 def _broken(df: DataFrame, keys: list[str], rules: list[tuple]) -> DataFrame:
@@ -67,10 +68,8 @@ def entity_rules(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def brand_roots(inputs: DataFrame) -> DataFrame:
-    """page_id and roots of pages whose brand names (organization, site name, title) start with different words: rule N01."""
-    names = F.array_compact(F.array("org_name", F.nullif("og_site_name", F.lit("")), F.nullif("title", F.lit(""))))
-    roots = F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda n: F.get(F.split(F.lower(F.trim(n)), r"[\s|·—-]"), 0)), lambda r: F.length(r) >= 3)))
-    return inputs.select("page_id", roots.alias("r")).where(F.size("r") > 1).select("page_id", F.array_join("r", ",").alias("roots"))
+    """page_id and roots of pages whose brand names start with different words: what rule N01 finds."""
+    return inputs.select("page_id", rules.brand_roots().alias("r")).where(F.size("r") > 1).select("page_id", F.array_join("r", ",").alias("roots"))
 
 
 def link_status_rules(broken: DataFrame) -> DataFrame:

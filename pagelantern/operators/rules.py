@@ -1,6 +1,6 @@
 """The catalogue of page rules, evaluated for all pages in one narrow pass.
 
-A rule is a predicate and points, both SQL over the columns of page_features joined with jsonld_facts. Points and
+A rule is a predicate and points, both SQL over the columns of rule_inputs. Points and
 categories are fixed values of the audit; a user adds rules of their own to the list that `page_findings` takes.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelantern.sources import features as fx
@@ -64,7 +64,7 @@ T19 | technical-html-size | low | 0.5 | medium | html_bytes > 500000
 """),
     *_rules("structured_data", """
 S01 | schema-syntax | high | 2 | quick | n_broken > 0
-S02 | schema-organization | critical | 3 | medium | n_objects > 0 and not has_org
+S02 | schema-organization | critical | 3 | medium | not has_org
 S03 | schema-organization | medium | org_missing | quick | has_org and org_missing > 0
 S04 | schema-sameas | high | 3 | medium | has_org and org_same_as = 0
 S05 | schema-sameas | medium | 2 | medium | has_org and org_same_as between 1 and 4
@@ -96,8 +96,10 @@ G13 | geo-semantic-html | medium | 1 | medium | words >= 400 and semantic = 0
 G15 | geo-tone | info | 0 | medium | hedges >= 4
 """),
     *_rules("entity", """
+N01 | entity-brand-coherence | high | 2 | quick | n_brand_roots > 1
 N04 | entity-wikipedia | low | 1 | heavy | has_org and org_same_as > 0 and not org_wikipedia
 N05 | entity-searchaction | low | 1 | quick | not has_search
+N06 | entity-linking | low | 1 | medium | n_nouns >= 15 and n_nouns_linked < 0.3 * n_nouns
 """),
     *_rules("eeat", """
 E01 | eeat-https | critical | 3 | medium | url not like 'https://%'
@@ -153,18 +155,22 @@ C08 | common-js-only-nav | medium | 1 | medium | has_js_nav
 ]
 
 
-def rule_inputs(features: DataFrame, facts: DataFrame) -> DataFrame:
-    """page_features with jsonld_facts (zero or false without structured data) and what only rules need."""
-    wide = features.join(facts.withColumnRenamed("page_id", "fact_page"), F.col("page_id") == F.col("fact_page"), "left").drop("fact_page")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_objects", "n_broken", "org_missing", "org_same_as", "article_missing", "person_missing")}
-    no = {c: F.coalesce(c, F.lit(False)) for c in ("has_org", "org_wikidata", "org_wikipedia", "has_site", "has_search", "has_article_type", "article_author", "author_text", "image_relative", "has_person", "has_dates")}
-    wide = wide.withColumns(zero | no | {"types": F.coalesce("types", F.array().cast("array<string>"))})
+def brand_roots() -> Column:
+    """The first words, of three letters or more, that the brand's names (organization, site name, title) start with."""
+    names = F.array_compact(F.array("org_name", F.nullif("og_site_name", F.lit("")), F.nullif("title", F.lit(""))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda n: F.get(F.split(F.lower(F.trim(n)), r"[\s|·—-]"), 0)), lambda r: F.length(r) >= 3)))
+
+
+def rule_inputs(features: DataFrame) -> DataFrame:
+    """page_features with the facts of its structured data and what only rules need; no shuffle."""
+    wide = fx.jsonld_facts(features)
     has = lambda *names: F.arrays_overlap("types", F.lit(list(names)))
     strip = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "/+$", ""), r"\?.*$", ""), "#.*$", "")
     loose = lambda c: F.regexp_replace(F.regexp_replace(c, "^https?://", ""), "/$", "")
     return wide.withColumns(
         {
             "n_types": F.size("types"),
+            "n_brand_roots": F.size(brand_roots()),
             "has_breadcrumb": has("breadcrumblist"),
             "has_webapp": has("webapplication", "softwareapplication"),
             "has_product": has("product", "offer"),
@@ -183,7 +189,7 @@ def rule_inputs(features: DataFrame, facts: DataFrame) -> DataFrame:
             "url_loose": loose(F.col("url")),
             "self_lang": F.coalesce("self_lang", F.lit("")),
             "top_text": F.coalesce("top_text", F.lit(0)),
-            "n_no_context": fx.count("jsonld", lambda b: F.try_parse_json(b).isNotNull() & ~b.contains('"@context"')),
+            "n_no_context": fx.count("jsonld", lambda b: ~b.contains('"@context"') & F.try_parse_json(b).isNotNull()),
             "n_http_context": fx.count("jsonld", lambda b: b.rlike(r'"@context"\s*:\s*"http://')),
         }
     )

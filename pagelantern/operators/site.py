@@ -73,9 +73,15 @@ def disallowed(paths: DataFrame, site_files: DataFrame) -> DataFrame:
 
 def link_edges(features: DataFrame) -> DataFrame:
     """src_page, host and dst_path of internal links, distinct, without links of a page to itself."""
-    links = features.select("page_id", "host", "url", "path", F.explode("links.href").alias("href"))
-    links = links.withColumn("dst_path", urls.internal_path(F.col("href"), F.col("url")))
-    return links.where("dst_path is not null and dst_path <> path").select(F.col("page_id").alias("src_page"), "host", "dst_path").distinct()
+    links = features.select(F.col("page_id").alias("src_page"), "host", "path", F.explode("dst_paths").alias("dst_path"))
+    return links.where("dst_path <> path").select("src_page", "host", "dst_path").distinct()
+
+
+def frontier(edges: DataFrame, site_files: DataFrame) -> DataFrame:
+    """The edges that a crawl may follow: to no asset, and to no path that robots' `*` group forbids."""
+    worth = edges.where(urls.crawlable(F.col("dst_path")))
+    barred = disallowed(worth.select("host", F.col("dst_path").alias("path")).distinct(), site_files)
+    return worth.join(barred.withColumnRenamed("path", "dst_path"), ["host", "dst_path"], "left_anti")
 
 
 def inbound_counts(pages: DataFrame, edges: DataFrame) -> DataFrame:
@@ -123,7 +129,7 @@ def cluster_coverage(pages: DataFrame, edges: DataFrame, least: int = 4) -> Data
     return found.join(linked, ["host", "cluster"], "left").groupBy("host").agg(F.count("*").alias("clusters"), F.count("hit").alias("linked"))
 
 
-def pillars(pages: DataFrame, edges: DataFrame, least_words: int = 500) -> DataFrame:
+def pillars(pages: DataFrame, edges: DataFrame, least_words: int = 3000) -> DataFrame:
     """host, pillars (long pages) and isolated: no page links to any of them."""
     counts = inbound_counts(pages, edges).select("page_id", "inbound")
     long = pages.where(F.col("words") >= least_words).join(counts, "page_id")
@@ -148,7 +154,7 @@ def repeated(features: DataFrame, column: Column, least_pages: int = 5, least: i
 
 def hreflang_asymmetric(features: DataFrame) -> DataFrame:
     """host, src_path, dst_path of alternates in the corpus that do not link back."""
-    alt = features.select("host", "path", "url", F.explode("hreflangs.href").alias("href"))
+    alt = features.select("host", "path", "url", F.explode("hreflangs").alias("x")).where("lower(x.lang) <> 'x-default'").select("host", "path", "url", "x.href")
     alt = alt.withColumn("full", urls.resolve(F.col("href"), F.col("url")))
     edges = alt.select("host", F.col("path").alias("src"), urls.host(F.col("full")).alias("dst_host"), urls.path(F.col("full")).alias("dst")).where("dst_host = host and src <> dst").select("host", "src", "dst").distinct()
     known = features.select("host", F.col("path").alias("dst")).distinct()
@@ -168,30 +174,71 @@ def host_facts(inputs: DataFrame) -> DataFrame:
     )
 
 
-def site_findings(facts: DataFrame, penalties: DataFrame, files: DataFrame, orphans: DataFrame, titles: DataFrame, copies: DataFrame) -> DataFrame:
-    """host, rule_id, phase, severity, points of the site rules. Inputs: the frames that this module makes."""
-    kinds = files.groupBy("host").agg(*(F.max(F.when(F.col("kind") == k, F.col("body"))).alias(k) for k in ("robots", "sitemap", "llms", "llms_full")))
-    lonely = orphans.groupBy("host").agg(F.count("*").alias("orphans"))
-    same = titles.groupBy("host").agg(F.max("n").alias("same_title"))
-    copied = copies.groupBy("host").agg(F.max("n").alias("same_text"))
-    wide = facts.join(kinds, "host", "left").join(penalties.select("host", "blocked", F.col("points").alias("bot_points"), F.col("severity").alias("bot_severity")), "host", "left")
-    wide = wide.join(lonely, "host", "left").join(same, "host", "left").join(copied, "host", "left")
+def page_link_findings(pages: DataFrame, broken_trust: DataFrame, asymmetric: DataFrame) -> DataFrame:
+    """page_id, rule_id, phase, severity, points and n of the page rules that need other pages: E09 and I09.
+
+    pages: page_id, host, path; broken_trust: trust_broken; asymmetric: hreflang_asymmetric.
+    """
+    trust = broken_trust.groupBy("page_id").agg(F.count("*").alias("n"))
+    trust = trust.select("page_id", F.lit("E09").alias("rule_id"), F.lit("eeat").alias("phase"), F.lit("high").alias("severity"), F.lit(1.0).alias("points"), "n")
+    alone = asymmetric.groupBy("host", F.col("src_path").alias("path")).agg(F.count("*").alias("n")).join(pages.select("page_id", "host", "path"), ["host", "path"])
+    alone = alone.select("page_id", F.lit("I09").alias("rule_id"), F.lit("international").alias("phase"), F.lit("high").alias("severity"), F.lit(2.0).alias("points"), "n")
+    return trust.unionByName(alone)
+
+
+def sitemap_ages(entries: DataFrame, as_of: str, days: int = 180) -> DataFrame:
+    """host, listed, dated and recent: the entries of a host's sitemaps, those with a date, and those of the last `days`."""
+    recent = F.col("lastmod") >= F.expr(f"timestamp'{as_of}' - interval {days} days")
+    return entries.groupBy("host").agg(F.count("*").alias("listed"), F.count("lastmod").alias("dated"), F.count_if(recent).alias("recent"))
+
+
+def site_findings(pages: DataFrame, edges: DataFrame, files: DataFrame, as_of: str) -> DataFrame:
+    """host, rule_id, phase, severity, points of the site rules.
+
+    pages: page_id, host, path, status, title, h1_count, words, robots, has_breadcrumb, content_hash; edges: link_edges;
+    files: host, kind, body, of which a host may have many of a kind. Every part is one row a host before they meet.
+    """
+    has = lambda kind, test: F.bool_or((F.col("kind") == kind) & F.expr(test))
+    kinds = files.where("body is not null").groupBy("host").agg(
+        *(has(k, "true").alias(k) for k in ("robots", "sitemap", "llms_full")),
+        has("robots", r"body rlike r'(?i)user-agent:\s*\*\s*\n(allow:[^\n]*\n)*disallow:\s*/\s*(\n|$)'").alias("robots_closed"),
+        has("robots", r"body rlike r'(?im)^\s*sitemap\s*:'").alias("robots_map"),
+        has("sitemap", r"body rlike r'(?i)<url>|<sitemap>'").alias("sitemap_filled"),
+        has("llms", "body <> ''").alias("llms"),
+        has("llms", r"body rlike r'(?m)^# ' and body rlike r'(?m)^> '").alias("llms_formed"),
+    )
+    lonely = orphan_pages(pages, edges)
+    bare = pages.select("page_id", ((F.col("title") == "") & (F.col("h1_count") == 0)).alias("bare"))
+    lonely = lonely.join(bare, "page_id").groupBy("host").agg(F.count("*").alias("orphans"), F.count_if("bare").alias("bare_orphans"))
+    flat = clusters(inbound_counts(pages, edges)).where("inbound > 0").groupBy("host").agg(F.count_if(F.col("top_share") < 0.3).alias("flat"))
+    penalties = bot_penalty(files).select("host", F.col("points").alias("bot_points"), F.col("severity").alias("bot_severity"))
+    same = repeated(pages, F.lower("title")).groupBy("host").agg(F.max("n").alias("same_title"))
+    copied = repeated(pages, F.col("content_hash")).groupBy("host").agg(F.max("n").alias("same_text"))
+    wide = host_facts(pages)
+    for part in (kinds, penalties, lonely, same, copied, flat, pillars(pages, edges), cluster_coverage(pages, edges), sitemap_ages(sitemap_entries(files), as_of)):
+        wide = wide.join(part, "host", "left")
+    wide = wide.na.fill(False, ["robots", "sitemap", "llms", "llms_full", "robots_closed", "robots_map", "sitemap_filled", "llms_formed"])
     rules = [
-        ("T20", "technical", "'medium'", "1", "robots is null"),
-        ("T21", "technical", "'critical'", "3", r"robots rlike r'(?i)user-agent:\s*\*\s*\n(allow:[^\n]*\n)*disallow:\s*/\s*(\n|$)'"),
-        ("T22", "technical", "'low'", "0.5", r"robots is not null and sitemap is not null and not robots rlike r'(?im)^\s*sitemap\s*:'"),
+        ("T20", "technical", "'medium'", "1", "not robots"),
+        ("T21", "technical", "'critical'", "3", "robots_closed"),
+        ("T22", "technical", "'low'", "0.5", "robots and sitemap and not robots_map"),
         ("T23", "technical", "'medium'", "1", "pages > 1 and noindex > 0"),
-        ("T24", "technical", "'medium'", "2", "sitemap is null"),
-        ("T25", "technical", "'low'", "1", "sitemap is not null and not sitemap rlike r'(?i)<url>|<sitemap>'"),
+        ("T24", "technical", "'medium'", "2", "not sitemap"),
+        ("T25", "technical", "'low'", "1", "sitemap and not sitemap_filled"),
         ("S17", "structured_data", "'low'", "0.5", "pages > 10 and breadcrumb < 0.5 * pages"),
-        ("G01", "geo", "'high'", "4", "coalesce(llms, '') = ''"),
-        ("G02", "geo", "'low'", "1", r"llms <> '' and not (llms rlike r'(?m)^# ' and llms rlike r'(?m)^> ')"),
+        ("G01", "geo", "'high'", "4", "not llms"),
+        ("G02", "geo", "'low'", "1", "llms and not llms_formed"),
         ("G03", "geo", "bot_severity", "bot_points", "bot_points > 0"),
-        ("G14", "geo", "'info'", "0", "llms <> '' and llms_full is null"),
+        ("G14", "geo", "'info'", "0", "llms and not llms_full"),
+        ("F04", "freshness", "'medium'", "1", "listed >= 10 and dated >= 5 and recent < 0.3 * dated"),
         ("F05", "freshness", "'low'", "1", "same_text >= 3"),
         ("O06", "topical", "'info'", "0", "pages > 50"),
         ("O07", "topical", "'medium'", "1", "pages > 5 and orphans >= 0.2 * pages"),
         ("O08", "topical", "'medium'", "1", "pages > 5 and thin >= 0.5 * pages"),
+        ("O09", "topical", "'medium'", "0.5", "isolated"),
+        ("O10", "topical", "'low'", "0", "bare_orphans >= 3"),
+        ("O11", "topical", "'low'", "0.5", "flat > 0"),
+        ("O12", "topical", "'low'", "0.5", "clusters >= 2 and linked < 0.5 * clusters"),
         ("C11", "common_mistakes", "'medium'", "0.5", "same_title >= 3"),
     ]
     made = [F.expr(f"case when {when} then named_struct('rule_id', '{i}', 'phase', '{p}', 'severity', {s}, 'points', cast({pts} as double)) end") for i, p, s, pts, when in rules]

@@ -15,7 +15,7 @@ GROUPS = {
     "feat_social": ["og_title", "og_description", "og_image", "og_url", "og_type", "og_locale", "og_site_name", "tw_card", "tw_title", "tw_description", "tw_image"],
     "feat_headings": ["h1_count", "h1", "h2_count", "h2_questions", "h2_unanswered", "guide_heading"],
     "feat_text": ["first_paragraph_words", "words", "body_chars", "html_bytes", "content_hash", "has_evidence", "hedges", "citable", "semantic", "has_article", "has_noscript", "has_time", "has_review"],
-    "feat_links": ["n_links", "n_internal", "n_internal_text", "n_external", "n_authority", "n_generic", "n_bare", "n_hash_routes", "n_blank", "n_blank_open", "n_trust_missing", "has_skip", "has_policy", "is_saas"],
+    "feat_links": ["n_links", "n_internal", "n_internal_text", "n_external", "n_authority", "n_generic", "n_bare", "n_hash_routes", "n_blank", "n_blank_open", "n_trust_missing", "has_skip", "has_policy", "is_saas", "n_nouns", "n_nouns_linked"],
     "feat_images": ["n_imgs", "n_no_alt", "n_modern", "n_lazy", "n_unsized"],
     "feat_hreflang": ["n_hreflang", "n_hreflang_distinct", "has_x_default", "n_hreflang_bad"],
     "feat_resources": ["n_insecure", "n_blocking", "has_preconnect", "has_far_style", "has_woff2", "has_font_preload", "has_js_nav"],
@@ -28,13 +28,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = features(spark, sf_dir)
-    return rules.rule_inputs(made, fx.jsonld_facts(fx_blocks(spark, sf_dir)))
-
-
-def fx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the structured-data blocks: the other features are not computed for them."""
-    return features(spark, sf_dir).select("page_id", "jsonld")
+    return rules.rule_inputs(features(spark, sf_dir))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

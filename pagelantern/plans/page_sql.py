@@ -73,6 +73,7 @@ WORDS = "len(list_filter(string_split({}, ' '), lambda w: w <> ''))"
 TRUST = " + ".join(f"(case when len(list_filter(links, lambda x: regexp_matches(lower(x.href), '{'|'.join(w)}') or regexp_matches(x.text, '{'|'.join(w)}'))) > 0 then 0 else 1 end)" for w in fx.TRUST)
 GENERIC = ", ".join(f"'{g}'" for g in fx.GENERIC)
 
+NOUNS = "list_filter(list_distinct(list_transform(regexp_extract_all(body_text, '\\b[A-Z][a-zà-ÿ]{2,}(?:\\s[A-Z][a-zà-ÿ]{2,})?\\b'), lambda y: lower(y))), lambda y: y not in ('le', 'la', 'les', 'un', 'une', 'des', 'de', 'du', 'the'))"
 COLUMNS = {
     "path": path("url"),
     "title": f"coalesce({squeeze('titles[1]')}, '')",
@@ -93,7 +94,7 @@ COLUMNS = {
     "h2_count": "len(h2s)",
     "h2_questions": n("h2s", f"regexp_matches(x, {_s(fx.QUESTION)})"),
     "h2_unanswered": n("sections[2:]", f"{WORDS.format(squeeze("regexp_extract(x, '(?is)</h2>.*?<p(?:\\s[^>]*)?>(.*?)</p>', 1)"))} not between 1 and 60"),
-    "first_paragraph_words": WORDS.format("coalesce(paragraphs[1], '')"),
+    "first_paragraph_words": n("string_split(coalesce(paragraphs[1], ''), ' ')", "regexp_matches(x, '[A-Za-z0-9_À-ɏ]')"),
     "words": WORDS.format("body_text"),
     "body_chars": "length(body_text)",
     "html_bytes": "octet_length(encode(html))",
@@ -111,9 +112,11 @@ COLUMNS = {
     "n_internal_text": n("links", f"x.href <> '' and x.text <> '' and {INTERNAL}"),
     "n_external": n("links", EXTERNAL),
     "n_authority": n("links", f"{EXTERNAL} and regexp_matches({host('x.href')}, {_s(fx.AUTHORITY)})"),
-    "n_generic": n("links", f"x.href <> '' and x.text in ({GENERIC})"),
+    "n_generic": n("links", f"x.href <> '' and x.text <> '' and len(list_filter([{GENERIC}], lambda g: x.text = g or ends_with(x.text, ' ' || g))) > 0"),
     "n_bare": n("links", "x.href like 'http%' and regexp_matches(x.text, '^https?://\\S+$')"),
     "top_text": f"list_max(list_transform(list_transform(list_filter(links, lambda x: x.href <> '' and x.text <> '' and {INTERNAL}), lambda x: x.text), lambda t: len(list_filter(links, lambda x: x.href <> '' and x.text = t and {INTERNAL}))))",
+    "n_nouns": f"len({NOUNS})",
+    "n_nouns_linked": f"len(list_filter({NOUNS}, lambda n: len(list_filter(links, lambda x: regexp_matches(x.href, '^[/.]') and contains(x.text, n))) > 0))",
     "n_hash_routes": n("links", "regexp_matches(x.href, '^/?#/\\w')"),
     "n_blank": n("links", f"{EXTERNAL} and lower(x.target) = '_blank'"),
     "n_blank_open": n("links", f"{EXTERNAL} and lower(x.target) = '_blank' and not regexp_matches(x.rel, '(?i)noopener')"),
@@ -156,48 +159,60 @@ u as (select *, list_transform(anchors, lambda x: {{'href': {attr('x.start', 'hr
   list_filter(list_transform(regexp_extract_all(body, '(?is)<p(?:\\s[^>]*)?>(.*?)(?:</p>|<p[\\s>]|<h[1-6]|<ul|<div|</article>)', 1), lambda y: {squeeze('y')}), lambda y: y <> '') as paragraphs from t),
 f as (select page_id, host, url, status, last_modified, links, hreflangs, jsonld, {', '.join(f'{e} as {k}' for k, e in COLUMNS.items())} from u)"""
 
-_HAS = lambda p: f"json_extract(o, '$.\"{p}\"') is not null"
-_MISS = lambda p: f"(case when {_HAS(p)} then 0 else 1 end)"
+def _get(o: str, field: str) -> str:
+    return f"json_extract({o}, '$.\"{field}\"')"
+
+
+def _str(x: str) -> str:
+    return f"case when json_type({x}) = 'VARCHAR' then json_extract_string({x}, '$') end"
+
+
+def _named(o: str, field: str) -> str:
+    x = _get(o, field)
+    return f"nullif(case when json_type({x}) = 'VARCHAR' then json_extract_string({x}, '$') when json_type({x}) <> 'OBJECT' then null when {_get(x, 'name')} is not null then {_str(_get(x, 'name'))} else {_str(_get(x, 'url'))} end, '')"
+
+
+def _holds(o: str, field: str) -> str:
+    return f"coalesce({_get(o, field)}::varchar not in ('null', 'false', '0', '\"\"'), false)"
+
+
+def _list(x: str) -> str:
+    return f"(case when json_type({x}) = 'ARRAY' then json_extract_string({x}, '$[*]') when json_type({x}) = 'VARCHAR' then [json_extract_string({x}, '$')] else [] end)"
+
+
+def _missing(o: str, test, *fields: str) -> str:
+    return "(" + " + ".join(f"(case when {test(o, f)} then 0 else 1 end)" for f in fields) + ")"
+
+
+_TYPES = lambda o: f"list_transform({_list(_get(o, '@type'))}, lambda t: lower(t))"
+_FIRST = lambda t: f"list_filter(os, lambda o: list_contains({_TYPES('o')}, '{t}'))[1]"
 _TYPE = lambda *names: "(" + " or ".join(f"list_contains(types, '{t}')" for t in names) + ")"
-_OR = lambda test: f"coalesce(bool_or({test}), false)"
-SAME = "case when json_type(json_extract(o, '$.sameAs')) = 'ARRAY' then len(json_extract_string(o, '$.sameAs[*]')) when json_extract(o, '$.sameAs') is not null then 1 else 0 end"
-
-FACTS = f"""b as (select page_id, unnest(jsonld) as raw from f),
-v as (select page_id, json_valid(raw) as ok, case when json_valid(raw) then raw end as raw from b),
-o1 as (select page_id, unnest(case when json_type(raw) = 'ARRAY' then json_extract(raw, '$[*]') when json_type(json_extract(raw, '$."@graph"')) = 'ARRAY' then json_extract(raw, '$."@graph"[*]') else [raw::json] end) as o from v where ok),
-o2 as (select page_id, o, list_transform(case when json_type(json_extract(o, '$."@type"')) = 'ARRAY' then json_extract_string(o, '$."@type"[*]') when json_extract(o, '$."@type"') is null then [] else [json_extract_string(o, '$."@type"')] end, lambda x: lower(x)) as types from o1),
-g as (select page_id, count(*) as n_objects, list_distinct(flatten(list(types))) as types,
-  {_OR(_TYPE('organization'))} as has_org,
-  min({_MISS('name')} + {_MISS('url')} + {_MISS('logo')}) filter ({_TYPE('organization')}) as org_missing,
-  max({SAME}) filter ({_TYPE('organization')}) as org_same_as,
-  {_OR(_TYPE('organization') + " and cast(json_extract(o, '$.sameAs') as varchar) like '%wikidata.org%'")} as org_wikidata,
-  {_OR(_TYPE('organization') + " and cast(json_extract(o, '$.sameAs') as varchar) like '%wikipedia.org%'")} as org_wikipedia,
-  max(json_extract_string(o, '$.name')) filter ({_TYPE('organization')}) as org_name,
-  {_OR(_TYPE('website') + ' and ' + _HAS('potentialAction'))} as has_search,
-  {_OR(_TYPE('article', 'blogposting', 'newsarticle'))} as has_article_type,
-  min({' + '.join(map(_MISS, ['headline', 'author', 'datePublished', 'dateModified', 'image', 'publisher', 'mainEntityOfPage']))}) filter ({_TYPE('article', 'blogposting', 'newsarticle')}) as article_missing,
-  {_OR(_TYPE('article', 'blogposting', 'newsarticle') + ' and ' + _HAS('author'))} as article_author,
-  {_OR(_TYPE('article', 'blogposting', 'newsarticle') + " and json_type(json_extract(o, '$.author')) = 'VARCHAR'")} as author_text,
-  {_OR(_TYPE('article', 'blogposting', 'newsarticle') + " and not regexp_matches(json_extract_string(o, '$.image'), '(?i)^https?://')")} as image_relative,
-  {_OR(_TYPE('person'))} as has_person,
-  min({_MISS('jobTitle')} + (case when {SAME} = 0 then 1 else 0 end) + {_MISS('knowsAbout')}) filter ({_TYPE('person')}) as person_missing,
-  {_OR(_HAS('datePublished') + ' or ' + _HAS('dateModified'))} as has_dates,
-  max(try_cast(json_extract_string(o, '$.datePublished') as timestamp)) as ld_date
-  from o2 group by page_id),
-broken as (select page_id, count(*) as n_broken from v where not ok group by page_id)"""
+SAME = _list(_get("org", "sameAs"))
+
+FACTS = f"""v as (select page_id, list_filter(jsonld, lambda x: json_valid(x)) as good, len(list_filter(jsonld, lambda x: not json_valid(x))) as n_broken from f),
+o1 as (select page_id, n_broken, list_filter(flatten(list_transform(good, lambda r: case when json_type(r) = 'ARRAY' then json_extract(r, '$[*]') when json_type(json_extract(r, '$."@graph"')) = 'ARRAY' then json_extract(r, '$."@graph"[*]') else [r::json] end)), lambda o: json_type(o) = 'OBJECT') as os from v),
+o2 as (select *, {_FIRST('organization')} as org, {_FIRST('website')} as site, coalesce({_FIRST('article')}, {_FIRST('blogposting')}, {_FIRST('newsarticle')}) as art, {_FIRST('person')} as person from o1),
+g as (select page_id, n_broken, len(os) as n_objects, list_distinct(flatten(list_transform(os, lambda o: {_TYPES('o')}))) as types,
+  org is not null as has_org, site is not null as has_site, art is not null as has_article_type, person is not null as has_person,
+  case when org is null then 0 else {_missing('org', lambda o, f: f"{_named(o, f)} is not null", 'name', 'url', 'logo')} end as org_missing,
+  case when org is null then 0 else len({SAME}) end as org_same_as,
+  len(list_filter({SAME}, lambda x: x like '%wikidata.org%')) > 0 as org_wikidata, len(list_filter({SAME}, lambda x: x like '%wikipedia.org%')) > 0 as org_wikipedia,
+  {_named('org', 'name')} as org_name,
+  len(list_filter({_list("json_extract(site, '$.potentialAction.\"@type\"')")}, lambda x: lower(x) like '%searchaction%')) > 0 as has_search,
+  case when art is null then 0 else {_missing('art', _holds, 'headline', 'author', 'datePublished', 'dateModified', 'image', 'publisher', 'mainEntityOfPage')} end as article_missing,
+  {_holds('art', 'author')} as article_author, coalesce(json_type({_get('art', 'author')}) = 'VARCHAR', false) as author_text,
+  coalesce(not regexp_matches({_str(_get('art', 'image'))}, '(?i)^https?://'), false) as image_relative,
+  case when person is null then 0 else {_missing('person', _holds, 'jobTitle', 'knowsAbout')} + (case when len({_list(_get('person', 'sameAs'))}) = 0 then 1 else 0 end) end as person_missing,
+  len(list_filter(os, lambda o: {_holds('o', 'datePublished')} or {_holds('o', 'dateModified')})) > 0 as has_dates,
+  list_max(list_transform(os, lambda o: try_cast(coalesce({_str(_get('o', 'dateModified'))}, {_str(_get('o', 'datePublished'))}) as timestamp))) as ld_date from o2)"""
 
 _STRIP = lambda c: f"regexp_replace(regexp_replace(regexp_replace({c}, '/+$', ''), '\\?.*$', ''), '#.*$', '')"
 _LOOSE = lambda c: f"regexp_replace(regexp_replace({c}, '^https?://', ''), '/$', '')"
-_N = "coalesce({0}, 0) as {0}"
-_B = "coalesce({0}, false) as {0}"
 _CANON = f"(case when canonical <> '' then {resolve('canonical')} else '' end)"
 
-INPUTS = f"""w as (select f.* exclude (top_text), coalesce(top_text, 0) as top_text, f.has_article or regexp_matches(f.url, {_s(fx.EDITORIAL)}) as is_editorial,
-  {', '.join(_N.format(c) for c in ('n_objects', 'n_broken', 'org_missing', 'org_same_as', 'article_missing', 'person_missing'))},
-  {', '.join(_B.format(c) for c in ('has_org', 'org_wikidata', 'org_wikipedia', 'has_search', 'has_article_type', 'article_author', 'author_text', 'image_relative', 'has_person', 'has_dates'))},
-  coalesce(types, []) as types, org_name, ld_date,
-  {_CANON} as canonical_url from f left join g using (page_id) left join broken using (page_id)),
-i as (select *, len(types) as n_types, {', '.join(f"{_TYPE(*t)} as {k}" for k, t in {'has_breadcrumb': ['breadcrumblist'], 'has_webapp': ['webapplication', 'softwareapplication'], 'has_product': ['product', 'offer'], 'has_faq': ['faqpage'], 'has_qa': ['qapage'], 'has_howto': ['howto']}.items())},
+INPUTS = f"""w as (select f.* exclude (top_text), coalesce(top_text, 0) as top_text, f.has_article or regexp_matches(f.url, {_s(fx.EDITORIAL)}) as is_editorial, g.* exclude (page_id),
+  {_CANON} as canonical_url from f join g using (page_id)),
+i as (select *, len(types) as n_types, len(list_distinct(list_filter(list_transform(list_filter([org_name, nullif(og_site_name, ''), nullif(title, '')], lambda x: x is not null), lambda x: string_split_regex(lower(trim(x)), '[\\s|·—-]')[1]), lambda r: length(r) >= 3))) as n_brand_roots, {', '.join(f"{_TYPE(*t)} as {k}" for k, t in {'has_breadcrumb': ['breadcrumblist'], 'has_webapp': ['webapplication', 'softwareapplication'], 'has_product': ['product', 'offer'], 'has_faq': ['faqpage'], 'has_qa': ['qapage'], 'has_howto': ['howto']}.items())},
   is_editorial or regexp_matches(og_type, '(?i)article') as article_like,
   regexp_matches(url, '(?i)/(product|produit|item|article|shop)/') as product_url,
   regexp_matches(url, '(?i)/(guide|tutoriel|comment|how[- ]to|step|instructions)\\b') as guide_url,

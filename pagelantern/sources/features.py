@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelantern.functions import urls
 
-# Hosts of authorities, generic link texts, hedging phrases, quantified evidence, question openings.
+# Hosts of authorities, generic link texts, hedging phrases, quantified evidence, question openings, editorial and product paths and words.
 AUTHORITY = r"(?i)\.gov(\.[a-z]{2})?$|\.edu(\.[a-z]{2})?$|(^|\.)(wikipedia\.org|wikidata\.org|britannica\.com|who\.int|europa\.eu|insee\.fr|nature\.com|sciencedirect\.com|nih\.gov|ieee\.org|acm\.org)$"
 GENERIC = ["ici", "cliquez", "cliquez ici", "voir plus", "en savoir plus", "lire la suite", "click here", "read more", "learn more", "more"]
 HEDGING = r"(?i)\b(peut[- ]être|il semble que|pourrait être|possiblement|probablement|il est possible que|maybe|perhaps|might be|seems to be)\b"
@@ -20,6 +20,10 @@ QUESTION = r"(?i)\?$|^(qu[iemo]|comment|pourquoi|où|quand|quel|quelle|quels|que
 EDITORIAL = r"(?i)/(blog|article|post|news|actualit|journal)/"
 SAAS_PATH = r"(?i)/(pricing|tarif[fs]?|plans?|features?|fonctionnalit|dashboard|signup|register|trial|essai)\b"
 SAAS_WORDS = r"(?i)\b(free trial|essai gratuit|abonnement|subscription|sign up|créer un compte|pricing)\b"
+# Fixed values of the rules on proper nouns and trust pages.
+WORD_END = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"  # a border of words of ASCII letters, as in URLs
+NOUN = rf"(?<![A-Za-z0-9_])[A-Z][a-zà-ÿ]{{2,}}(?:\s[A-Z][a-zà-ÿ]{{2,}})?{WORD_END}"
+NO_NOUNS = ["le", "la", "les", "un", "une", "des", "de", "du", "the"]
 TRUST = [["about", "a-propos", "qui-sommes", "equipe"], ["contact"], ["mentions", "legal", "legales"], ["privacy", "confidentialite"]]
 
 
@@ -57,6 +61,17 @@ def count(array, test):
     return F.size(F.filter(array, test))
 
 
+def longest_run(items):
+    """The length of the longest run of equal items of a sorted array of strings, 0 if it is empty."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(at, x):
+        run = F.when(at["last"] == x, at["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(at["most"], run).alias("most"))
+
+    return F.aggregate(items, start, step, lambda at: at["most"])
+
+
 def page_features(pages: DataFrame) -> DataFrame:
     """One row of features for each page (page_id, host, url, html, status, last_modified).
 
@@ -102,6 +117,8 @@ def page_features(pages: DataFrame) -> DataFrame:
     texts = F.transform(F.filter(both, internal), lambda a: a["text"])
     blank = F.filter("links", lambda a: external(a) & (F.lower(a["target"]) == "_blank"))
     canonical = F.trim(F.coalesce(attr(F.get(link_tag("canonical"), 0), "href"), F.lit("")))
+    nouns = F.array_except(F.array_distinct(F.transform(F.regexp_extract_all("body_text", F.lit(NOUN), F.lit(0)), F.lower)), F.lit(NO_NOUNS))
+    linked_texts = F.array_join(F.transform(F.filter("links", lambda a: a["href"].rlike(r"^[/.]")), lambda a: a["text"]), "\n")
     # an answer is a paragraph of 1 to 60 words after the heading and before the next
     answer = lambda s: squeeze(F.regexp_extract(s, r"(?is)</h2>.*?<p(?:\s[^>]*)?>(.*?)</p>", 1))
     out = {
@@ -124,8 +141,8 @@ def page_features(pages: DataFrame) -> DataFrame:
         "h1": F.coalesce(F.get("h1s", 0), F.lit("")),
         "h2_count": F.size("h2s"),
         "h2_questions": count("h2s", lambda h: h.rlike(QUESTION)),
-        "h2_unanswered": count(F.slice("sections", 2, 100_000), lambda s: ~word(answer(s)).between(1, 60)),
-        "first_paragraph_words": word(F.coalesce(F.get("paragraphs", 0), F.lit(""))),
+        "h2_unanswered": count(F.slice("sections", F.lit(2), F.size("sections")), lambda s: ~word(answer(s)).between(1, 60)),
+        "first_paragraph_words": count(F.split(F.coalesce(F.get("paragraphs", 0), F.lit("")), " "), lambda w: w.rlike(r"[A-Za-z0-9_\u00C0-\u024F]")),
         "words": word(F.col("body_text")),
         "body_chars": F.length("body_text"),
         "html_bytes": F.octet_length("html"),
@@ -138,14 +155,17 @@ def page_features(pages: DataFrame) -> DataFrame:
         "has_noscript": F.col("clean").rlike(r"(?i)<noscript[\s>]"),
         "has_time": F.col("clean").rlike(r"(?i)<time[^>]*\sdatetime="),
         "has_review": F.lower("body_text").rlike(r"\breviewed\s+by\b|\brelu\s+par\b|\bfact[- ]check"),
+        "n_nouns": F.size(nouns),
+        "n_nouns_linked": F.size(F.filter(nouns, linked_texts.contains)),
+        "dst_paths": F.array_distinct(F.array_compact(F.transform("links", lambda a: urls.internal_path(a["href"], base)))),
         "n_links": F.size(both),
         "n_internal": count("links", internal),
         "n_internal_text": F.size(texts),
         "n_external": count("links", external),
         "n_authority": count("links", lambda a: external(a) & urls.host(a["href"]).rlike(AUTHORITY)),
-        "n_generic": count(both, lambda a: a["text"].isin(GENERIC)),
+        "n_generic": count(both, lambda a: a["text"].rlike(rf"(^|\s)({'|'.join(GENERIC)})$")),
         "n_bare": count("links", lambda a: a["href"].startswith("http") & a["text"].rlike(r"^https?://\S+$")),
-        "top_text": F.array_max(F.transform(F.array_distinct(texts), lambda t: count(texts, lambda x: x == t))),
+        "top_text": longest_run(F.array_sort(texts)),
         "n_hash_routes": count("links", lambda a: a["href"].rlike(r"^/?#/\w")),
         "n_blank": F.size(blank),
         "n_blank_open": count(blank, lambda a: ~a["rel"].rlike("(?i)noopener")),
@@ -183,62 +203,91 @@ def page_features(pages: DataFrame) -> DataFrame:
     )
 
 
-def jsonld_objects(features: DataFrame) -> DataFrame:
-    """page_id and obj (variant): every structured-data object, through arrays and @graph, to a depth of three.
+def _at(field: str) -> str:
+    return f"try_variant_get(v, r'$[\"{field}\"]', 'variant')"
+
+
+def _text(x: str) -> str:
+    """A variant's string, null if it is none."""
+    return f"case when schema_of_variant({x}) = 'STRING' then try_variant_get({x}, '$', 'string') end"
+
+
+def _named(field: str) -> str:
+    """A field that is a string, or an object's name, or without one its url; null if empty."""
+    x = _at(field)
+    inner = lambda k: f"try_variant_get({x}, r'$[\"{k}\"]', 'variant')"
+    return f"nullif(case when schema_of_variant({x}) = 'STRING' then {_text(x)} when {inner('name')} is not null then {_text(inner('name'))} else {_text(inner('url'))} end, '')"
+
+
+def _holds(field: str) -> str:
+    """Whether a field has a value: not null, false, zero or the empty string."""
+    x = _at(field)
+    return f"coalesce(case when schema_of_variant({x}) like 'OBJECT%' or schema_of_variant({x}) like 'ARRAY%' then true else try_variant_get({x}, '$', 'string') not in ('', 'false', '0') end, false)"
 
-    Blocks that do not parse give a row with a null obj and broken true.
-    """
-    blocks = features.select("page_id", F.posexplode("jsonld").alias("block", "raw")).withColumn("v", F.try_parse_json("raw"))
-    good = blocks.where("v is not null").select("page_id", "block", "v")
-    for _ in range(3):  # each turn opens arrays and graphs by a level and lets everything else through
-        kind = "schema_of_variant(v)"
-        opened = good.withColumn("inside", F.expr(f"case when {kind} like 'ARRAY%' then v when {kind} like 'OBJECT%' then try_variant_get(v, r'$[\"@graph\"]', 'variant') end"))
-        whole = opened.where("inside is null").select("page_id", "block", "v")
-        opened.where("inside is not null").createOrReplaceTempView("opened_jsonld")
-        parts = features.sparkSession.sql("select page_id, block, e.value as v from opened_jsonld, lateral variant_explode(inside) e")
-        good = whole.unionByName(parts)
-    good = good.where(F.expr("schema_of_variant(v) like 'OBJECT%'")).select("page_id", "block", F.col("v").alias("obj"), F.lit(False).alias("broken"))
-    bad = blocks.where("v is null").select("page_id", "block", F.col("v").alias("obj"), F.lit(True).alias("broken"))
-    return good.unionByName(bad)
+
+def _list(x: str) -> str:
+    """A string or an array's strings."""
+    return f"array_compact(case when schema_of_variant({x}) like 'ARRAY%' then try_variant_get({x}, '$', 'array<string>') else array({_text(x)}) end)"
+
+
+# What an article of structured data should state.
+ARTICLE = ["headline", "datePublished", "dateModified", "author", "publisher", "image", "mainEntityOfPage"]
+#: An object of structured data as the rules see it: SQL over a variant v.
+OBJECT = {
+    "types": f"transform({_list(_at('@type'))}, t -> lower(t))",
+    "name": _named("name"),
+    "same_as": _list(_at("sameAs")),
+    "n_org_missing": " + ".join(f"int({_named(f)} is null)" for f in ("name", "url", "logo")),
+    "n_article_missing": " + ".join(f"int(not {_holds(f)})" for f in ARTICLE),
+    "n_person_missing": f"int(not {_holds('jobTitle')}) + int(size({_list(_at('sameAs'))}) = 0) + int(not {_holds('knowsAbout')})",
+    "search": f"exists({_list("try_variant_get(v, r'$.potentialAction[\"@type\"]', 'variant')")}, t -> lower(t) like '%searchaction%')",
+    "author": _holds("author"),
+    "author_text": f"coalesce(schema_of_variant({_at('author')}) = 'STRING', false)",
+    "image": _text(_at("image")),
+    "published": _text(_at("datePublished")),
+    "modified": _text(_at("dateModified")),
+    "dated": f"{_holds('datePublished')} or {_holds('dateModified')}",
+}
 
 
 def jsonld_facts(features: DataFrame) -> DataFrame:
-    """One row for each page with structured data: types, and what the rules ask of its objects."""
-    text = lambda p: F.expr(f"try_variant_get(obj, r'$[\"{p}\"]', 'string')")
-    has = lambda p: F.expr(f"try_variant_get(obj, r'$[\"{p}\"]', 'variant') is not null")
-    o = jsonld_objects(features)
-    o = o.withColumn("types", F.expr("case when broken then null when schema_of_variant(try_variant_get(obj, r'$[\"@type\"]', 'variant')) like 'ARRAY%' then try_variant_get(obj, r'$[\"@type\"]', 'array<string>') else array(try_variant_get(obj, r'$[\"@type\"]', 'string')) end"))
-    o = o.withColumn("types", F.transform(F.array_compact(F.coalesce("types", F.array().cast("array<string>"))), F.lower))
-    o = o.withColumns(
-        {
-            "is_article": F.arrays_overlap("types", F.lit(["article", "blogposting", "newsarticle"])),
-            "same_as": F.expr("case when schema_of_variant(try_variant_get(obj, r'$.sameAs', 'variant')) like 'ARRAY%' then try_variant_get(obj, r'$.sameAs', 'array<string>') else array_compact(array(try_variant_get(obj, r'$.sameAs', 'string'))) end"),
-        }
-    )
-    is_ = lambda t: F.array_contains("types", t)
-    fields = ["headline", "author", "datePublished", "dateModified", "image", "publisher", "mainEntityOfPage"]
-    missing = sum((F.when(has(f), 0).otherwise(1) for f in fields), F.lit(0))
-    context = F.expr("try_variant_get(obj, r'$[\"@context\"]', 'string')")
-    return o.groupBy("page_id").agg(
-        F.count_if(~F.col("broken")).alias("n_objects"),
-        F.count_if("broken").alias("n_broken"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types"),
-        F.bool_or(is_("organization")).alias("has_org"),
-        F.min(F.when(is_("organization"), (~has("name")).cast("int") + (~has("url")).cast("int") + (~has("logo")).cast("int"))).alias("org_missing"),
-        F.max(F.when(is_("organization"), F.size("same_as"))).alias("org_same_as"),
-        F.bool_or(is_("organization") & F.exists("same_as", lambda s: s.contains("wikidata.org"))).alias("org_wikidata"),
-        F.bool_or(is_("organization") & F.exists("same_as", lambda s: s.contains("wikipedia.org"))).alias("org_wikipedia"),
-        F.max(F.when(is_("organization"), text("name"))).alias("org_name"),
-        F.bool_or(is_("website")).alias("has_site"),
-        F.bool_or(is_("website") & has("potentialAction")).alias("has_search"),
-        F.bool_or("is_article").alias("has_article_type"),
-        F.min(F.when(F.col("is_article"), missing)).alias("article_missing"),
-        F.bool_or(F.col("is_article") & has("author")).alias("article_author"),
-        F.bool_or(F.col("is_article") & F.expr("schema_of_variant(try_variant_get(obj, r'$.author', 'variant')) = 'STRING'")).alias("author_text"),
-        F.bool_or(F.col("is_article") & F.coalesce(~text("image").rlike("(?i)^https?://"), F.lit(False))).alias("image_relative"),
-        F.bool_or(is_("person")).alias("has_person"),
-        F.min(F.when(is_("person"), (~has("jobTitle")).cast("int") + (F.size("same_as") == 0).cast("int") + (~has("knowsAbout")).cast("int"))).alias("person_missing"),
-        F.bool_or(has("datePublished") | has("dateModified")).alias("has_dates"),
-        F.max(F.try_to_timestamp(F.coalesce(text("dateModified"), text("datePublished")))).alias("ld_date"),
-        F.bool_or(context.startswith("http://")).alias("context_http"),
-    )
+    """features with columns of its structured data (jsonld), computed inside the row: no second scan and no join.
+
+    Arrays and @graph lists are opened to a depth of three. Of several objects of a type the first counts. Blocks that do
+    not parse are counted in n_broken. A page without structured data has zeros, false and an empty list of types.
+    """
+    opened = "flatten(transform({}, v -> coalesce(try_variant_get(v, '$', 'array<variant>'), try_variant_get(v, r'$[\"@graph\"]', 'array<variant>'), array(v))))"
+    f = features.withColumn("parsed", F.expr("transform(jsonld, b -> try_parse_json(b))"))
+    f = f.withColumn("n_broken", F.expr("size(filter(parsed, v -> v is null))"))
+    f = f.withColumn("parsed", F.expr("filter(parsed, v -> v is not null)"))
+    for _ in range(3):
+        f = f.withColumn("parsed", F.expr(opened.format("parsed")))
+    fields = ", ".join(f"'{k}', {e}" for k, e in OBJECT.items())
+    f = f.withColumn("objects", F.expr(f"transform(filter(parsed, v -> schema_of_variant(v) like 'OBJECT%'), v -> named_struct({fields}))")).drop("parsed")
+    first = lambda *names: F.coalesce(*(F.get(F.filter("objects", lambda o: F.array_contains(o["types"], n)), 0) for n in names))
+    f = f.withColumns({"org": first("organization"), "site": first("website"), "article": first("article", "blogposting", "newsarticle"), "person": first("person")})
+    said = lambda c, field, default: F.coalesce(F.col(f"{c}.{field}"), F.lit(default))
+    same = lambda host: F.coalesce(F.exists("org.same_as", lambda s: s.contains(host)), F.lit(False))
+    dates = F.transform("objects", lambda o: F.try_to_timestamp(F.coalesce(o["modified"], o["published"])))
+    facts = {
+        "n_objects": F.size("objects"),
+        "types": F.array_sort(F.array_distinct(F.flatten(F.transform("objects", lambda o: o["types"])))),
+        "has_org": F.col("org").isNotNull(),
+        "org_missing": said("org", "n_org_missing", 0),
+        "org_same_as": F.coalesce(F.size("org.same_as"), F.lit(0)),
+        "org_wikidata": same("wikidata.org"),
+        "org_wikipedia": same("wikipedia.org"),
+        "org_name": F.col("org.name"),
+        "has_site": F.col("site").isNotNull(),
+        "has_search": said("site", "search", False),
+        "has_article_type": F.col("article").isNotNull(),
+        "article_missing": said("article", "n_article_missing", 0),
+        "article_author": said("article", "author", False),
+        "author_text": said("article", "author_text", False),
+        "image_relative": F.coalesce(~F.col("article.image").rlike("(?i)^https?://"), F.lit(False)),
+        "has_person": F.col("person").isNotNull(),
+        "person_missing": said("person", "n_person_missing", 0),
+        "has_dates": F.exists("objects", lambda o: o["dated"]),
+        "ld_date": F.array_max(dates),
+    }
+    return f.withColumns(facts).drop("objects", "org", "site", "article", "person")

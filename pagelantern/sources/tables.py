@@ -45,27 +45,37 @@ BODY = """'' || case when page_id % 3 = 0 then '<h2>What is it?</h2><p>It is sho
  || case when page_id % 10 = 8 then '<img src="http://insecure.example/i.png" alt="i">' else '' end"""
 
 
+#: Some pages move to paths that others link to, some become copies, and some are very long, so that the rules on
+#: broken trust pages, alternates, copies and long pages have cases. SQL text for both engines.
+URL = """case when page_id % 34 = 0 then regexp_extract(url, '^(https?://[^/]+)', 1) || '/about' when page_id % 13 = 6 then regexp_extract(url, '^(https?://[^/]+)', 1) || '/alt/' || page_id % 4 else url end"""
+HTML = """case when page_id % 9 = 8 then '<html><head><title>Copy</title></head><body><p>The same text on many pages.</p></body></html>' when page_id % 14 = 5 then '<html><head></head><body><p>' || repeat('long ', 3000) || '</p></body></html>' when page_id % 14 = 9 then '<html><head></head><body><p>bare</p></body></html>' else html end"""
+HOST = "regexp_extract(url, '^https?://([^/:?#]+)', 1)"
+
+
 def pages(spark: SparkSession, sf_dir: str, enriched: bool = True) -> DataFrame:
     """page_id, host, url, html, status and last_modified: the pages table, with markup added if enriched.
 
     Every seventeenth page answers 404 and every nineteenth 301, as the table has no status of its own.
     """
-    html = f"replace(replace(html, '</head>', {HEAD} || '</head>'), '</article>', {BODY} || '</article>')" if enriched else "html"
-    return table(spark, sf_dir, "pages").select(
+    made = table(spark, sf_dir, "pages")
+    if enriched:
+        made = made.selectExpr("page_id", f"{URL} as url", f"{HTML} as html")
+        made = made.withColumn("html", F.expr(f"replace(replace(html, '</head>', {HEAD} || '</head>'), '</article>', {BODY} || '</article>')"))
+    return made.select(
         "page_id",
         F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("host"),
         "url",
-        F.expr(html).alias("html"),
+        "html",
         F.expr("case when page_id % 17 = 0 then 404 when page_id % 19 = 0 then 301 else 200 end").alias("status"),
         F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(page_id % 200 as int))").alias("last_modified"),
     )
 
 
 #: The same pages as SQL for the comparison engine.
-PAGES_SQL = f"""select page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) as host, url,
+PAGES_SQL = f"""select page_id, lower({HOST}) as host, url,
  replace(replace(html, '</head>', {HEAD} || '</head>'), '</article>', {BODY} || '</article>') as html,
  case when page_id % 17 = 0 then 404 when page_id % 19 = 0 then 301 else 200 end as status,
- timestamp '2024-01-01 00:00:00' + to_days(cast(page_id % 200 as int)) as last_modified from pages"""
+ timestamp '2024-01-01 00:00:00' + to_days(cast(page_id % 200 as int)) as last_modified from (select page_id, {URL} as url, {HTML} as html from pages)"""
 
 
 #: Site files by host, from the lowest page_id k of the host; a sitemap file for each page (a site may have many).
@@ -81,10 +91,10 @@ SITEMAP = "'<urlset><url><loc>' || url || '</loc>' || case when page_id % 3 < 2
 def site_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """host, kind (robots, sitemap, llms, llms_full) and body; a null body is an absent file."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("host"))
-    hosts = p.groupBy("host").agg(F.min("page_id").alias("k"))
-    parts = [hosts.select("host", F.lit(kind).alias("kind"), F.expr(sql).alias("body")) for kind, sql in (("robots", ROBOTS), ("llms", LLMS), ("llms_full", LLMS_FULL))]
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.expr(sql).alias("body")) for kind, sql in (("robots", ROBOTS), ("llms", LLMS), ("llms_full", LLMS_FULL))]
+    hosts = p.groupBy("host").agg(F.min("page_id").alias("k")).select("host", F.explode(F.array(*kinds)).alias("x")).select("host", "x.*")
     maps = p.where("page_id % 7 <> 0").select("host", F.lit("sitemap").alias("kind"), F.expr(SITEMAP).alias("body"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(maps)
+    return hosts.unionByName(maps)
 
 
 SITE_FILES_SQL = f"""hp as (select page_id, url, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) as host from pages),

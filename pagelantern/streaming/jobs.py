@@ -17,24 +17,14 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from pagelantern.operators import rules
 from pagelantern.sources import features as fx
 
-#: Rules that need no structured data: those of a stream, which has no second pass over its pages.
-PLAIN_PHASES = ("technical", "performance", "topical")
-
-
 def read_pages(spark: SparkSession, folder: str, schema: StructType, files: int = 50) -> DataFrame:
     """New page files of a folder as they arrive, at most `files` a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def continuous_audit(pages: DataFrame) -> DataFrame:
-    """Findings of the plain page rules for every arriving page; stateless."""
-    empty = pages.sparkSession.createDataFrame([], fx.jsonld_facts(_no_pages(pages.sparkSession)).schema)
-    inputs = rules.rule_inputs(fx.page_features(pages), F.broadcast(empty))
-    return rules.page_findings(inputs, [r for r in rules.RULES if r.phase in PLAIN_PHASES])
-
-
-def _no_pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "page_id long, jsonld array<string>")
+    """Findings of all page rules for every arriving page; stateless."""
+    return rules.page_findings(rules.rule_inputs(fx.page_features(pages)))
 
 
 def counts_by_day(events: DataFrame, late: str = "2 days") -> DataFrame:

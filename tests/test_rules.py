@@ -17,7 +17,7 @@ def broken(spark, cases):
     rows = [(k, url.split("/")[2], url, html, 200, None) for k, (html, url) in enumerate(cases)]
     made = fx.page_features(spark.createDataFrame(rows, SCHEMA))
     out = {k: set() for k in range(len(cases))}
-    for r in rules.page_findings(rules.rule_inputs(made, fx.jsonld_facts(made))).collect():
+    for r in rules.page_findings(rules.rule_inputs(made)).collect():
         out[r.page_id].add(r.rule_id)
     return [out[k] for k in range(len(cases))]
 
@@ -80,18 +80,18 @@ def test_odd_pages(spark):
     rows = [(1, "h", "https://h/", None, 200, None), (2, "", None, "<p>", None, None), (3, "h", "https://h/", "<a href='x'>" * 500, 200, None), (3, "h", "https://h/", "", 200, None)]
     made = fx.page_features(spark.createDataFrame(rows, SCHEMA))
     assert made.count() == 4
-    assert rules.page_findings(rules.rule_inputs(made, fx.jsonld_facts(made))).where("page_id = 1 and rule_id = 'T01'").count() == 1
+    assert rules.page_findings(rules.rule_inputs(made)).where("page_id = 1 and rule_id = 'T01'").count() == 1
 
 
 def test_own_rules(spark):
     rows = [(1, "h", "https://h/", "<p>x</p>", 200, None)]
     made = fx.page_features(spark.createDataFrame(rows, SCHEMA))
     own = rules.Rule("X1", "own", "own-short", "low", "0.5", "quick", "words < 5")
-    assert [r.rule_id for r in rules.page_findings(rules.rule_inputs(made, fx.jsonld_facts(made)), [own]).collect()] == ["X1"]
+    assert [r.rule_id for r in rules.page_findings(rules.rule_inputs(made), [own]).collect()] == ["X1"]
 
 
 def test_plans_are_native_and_html_is_not_shuffled(spark, sf_dir):
     made = fx.page_features(tables.pages(spark, sf_dir))
-    plan = rules.page_findings(rules.rule_inputs(made, fx.jsonld_facts(made)))._jdf.queryExecution().executedPlan().toString()
+    plan = rules.page_findings(rules.rule_inputs(made))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
     assert not [line for line in plan.splitlines() if "Exchange" in line and "html#" in line]
