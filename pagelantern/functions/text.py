@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# How known terms are written.
-TERMS = {"google": "Google", "chatgpt": "ChatGPT", "openai": "OpenAI", "json-ld": "JSON-LD", "html": "HTML", "seo": "SEO", "wikipedia": "Wikipedia", "wikidata": "Wikidata", "github": "GitHub", "youtube": "YouTube", "linkedin": "LinkedIn", "javascript": "JavaScript", "typescript": "TypeScript", "api": "API", "url": "URL", "faq": "FAQ", "mit": "MIT", "apache": "Apache", "gnu": "GNU"}
-
-
-def canonical_casing(text: Column, terms: dict[str, str] = TERMS) -> Column:
-    """Known terms in their usual case, as whole words; words in backquotes and URLs stay as they are."""
-    parts = F.split(text, " ")
-    fixed = lambda w: F.coalesce(
-        *(F.when(F.lower(F.regexp_replace(w, "[.,;:!?]+$", "")) == low, F.concat(F.lit(term), F.regexp_extract(w, "([.,;:!?]*)$", 1))) for low, term in terms.items()), w
-    )
-    keep = lambda w: w.contains("`") | w.contains("/")
-    return F.array_join(F.transform(parts, lambda w: F.when(keep(w), w).otherwise(fixed(w))), " ")
+# How known terms are written, in the order in which they are set.
+TERMS = [
+    (r"(?i)\bchatgpt\b", "ChatGPT"), (r"(?i)\bgpt-?4o?\b", "GPT-4"), (r"(?i)\bopen\s*ai\b", "OpenAI"), (r"(?i)\banthropic\b", "Anthropic"), (r"(?i)\bperplexity\b", "Perplexity"), (r"(?i)\bgemini\b", "Gemini"), (r"(?i)\bcopilot\b", "Copilot"),
+    (r"(?i)\bbing\b", "Bing"), (r"(?i)\bclaude\b", "Claude"), (r"\bgoogle\b", "Google"), (r"(?i)\bgooglebot\b", "Googlebot"), (r"(?i)\bgptbot\b", "GPTBot"), (r"(?i)\bclaudebot\b", "ClaudeBot"), (r"(?i)\bperplexitybot\b", "PerplexityBot"),
+    (r"(?i)\bi\.?a\b", "IA"), (r"(?i)\bai\s+overviews?\b", "AI Overviews"), (r"(?i)\bseo\b", "SEO"), (r"(?i)\bgeo\b", "GEO"), (r"(?i)\be-?e-?a-?t\b", "E-E-A-T"), (r"(?i)\bcwv\b", "CWV"), (r"(?i)\blcp\b", "LCP"), (r"(?i)\binp\b", "INP"), (r"(?i)\bcls\b", "CLS"),
+    (r"(?i)\btbt\b", "TBT"), (r"(?i)\bfcp\b", "FCP"), (r"(?i)\bttfb\b", "TTFB"), (r"(?i)\bserp\b", "SERP"), (r"(?i)\bhtml\b", "HTML"), (r"(?i)\bjson-?ld\b", "JSON-LD"), (r"(?i)\bhttp\b(?!s|://|/\w|\w)", "HTTP"), (r"(?i)\bhttps\b(?!://|/\w|\w)", "HTTPS"),
+    (r"(?i)\bwikipedia\b", "Wikipedia"), (r"(?i)\bwikidata\b", "Wikidata"), (r"(?i)\bahrefs\b", "Ahrefs"), (r"(?i)\bsemrush\b", "Semrush"), (r"(?i)\bsurfer\s*seo\b", "Surfer SEO"), (r"(?i)\bmoz\b", "Moz"), (r"(?i)\bschema\.org\b", "Schema.org"),
+]
+PROTECTED = r"(`[^`]+`|<code>[^<]+</code>|https?://[^\s<>\"')]+)"
+
+
+def canonical_casing(text: Column, terms=TERMS) -> Column:
+    """Known terms in their usual case, as words of ASCII letters; code in backquotes or <code> and URLs stay as they are."""
+    free = F.split(text, PROTECTED)
+    kept = F.regexp_extract_all(text, F.lit(PROTECTED), F.lit(1))
+
+    def fixed(x):
+        for pattern, term in terms:
+            x = F.regexp_replace(x, ascii_borders(pattern), term)
+        return x
+
+    return F.array_join(F.flatten(F.zip_with(F.transform(free, fixed), kept, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+
+
+def ascii_borders(pattern: str) -> str:
+    """A pattern whose borders of words are those of ASCII letters, digits and the underscore."""
+    start, end = "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", "(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
+    first, *rest = pattern.split(r"\b")
+    return first + "".join((start if k % 2 == 0 else end) + part for k, part in enumerate(rest))
 
 
 def words(text: Column) -> Column:

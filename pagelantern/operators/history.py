@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelantern.operators.scoring import round1
+from pagelantern.operators.scoring import round1, subject
 
 
 def previous_runs(audits: DataFrame) -> DataFrame:
@@ -26,8 +26,9 @@ def phase_deltas(scores: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def finding_key():
-    """Phase, title and URL: what makes a finding the same in two runs."""
-    return F.concat_ws(":", "phase", F.substring(F.lower("title"), 1, 60), "url")
+    """Phase, subject (else title) and URL: what makes a finding the same in two runs, however it is worded."""
+    about = F.coalesce(subject(F.concat_ws(" ", "title", "recommendation")), F.concat(F.lit("t:"), F.substring(F.lower("title"), 1, 60)))
+    return F.concat_ws(":", "phase", about, F.coalesce("url", F.lit("")))
 
 
 def finding_deltas(findings: DataFrame, runs: DataFrame) -> DataFrame:
@@ -39,6 +40,44 @@ def finding_deltas(findings: DataFrame, runs: DataFrame) -> DataFrame:
     return now.join(before, ["audit_id", "key"], "full").select("audit_id", "key", change.alias("change"))
 
 
+def ordered_deltas(deltas: DataFrame) -> DataFrame:
+    """deltas with their place in the audit by size and by fall."""
+    by = lambda *cols: F.row_number().over(Window.partitionBy("audit_id").orderBy(*cols, "phase"))
+    return deltas.withColumns({"by_size": by(F.desc(F.abs("delta"))), "by_fall": by("delta")})
+
+
+def drift_report(alerts: DataFrame, deltas: DataFrame) -> DataFrame:
+    """audit_id, delta and the phases that fell, the worst first, of each drift alert."""
+    fell = deltas.where("delta < 0").groupBy("audit_id").agg(F.sort_array(F.collect_list(F.struct("delta", "phase"))).alias("fell"))  # ten phases at most
+    names = F.array_join(F.transform("fell", lambda x: F.concat_ws(" ", x["phase"], F.format_number(x["delta"], 1))), ", ")
+    return alerts.join(fell, "audit_id", "left").select("audit_id", "delta", F.coalesce(names, F.lit("")).alias("phases"))
+
+
+def benchmark_rows(urls: DataFrame, audits: DataFrame, scores: DataFrame) -> DataFrame:
+    """benchmark_id, target, is_reference, audit_id, phase and score; a URL without an audit stays with nulls."""
+    runs = scores.join(audits.select("audit_id", "status"), "audit_id")
+    return urls.join(runs, "audit_id", "left").select("benchmark_id", "target", "is_reference", "audit_id", "status", "phase", "score")
+
+
+def validated_benchmarks(urls: DataFrame) -> DataFrame:
+    """benchmark_id, n and reason (null if valid) of benchmarks (benchmark_id, url, label, is_reference): 2 to 5 URLs, one of them the reference."""
+    g = urls.groupBy("benchmark_id").agg(F.count("*").alias("n"), F.count_if("is_reference").alias("references"), F.bool_or(~F.col("url").rlike("^https?://") | (F.length("url") > 2048)).alias("bad_url"), F.bool_or(~F.length("label").between(1, 100)).alias("bad_label"))
+    reason = F.when(F.col("n") < 2, "too few").when(F.col("n") > 5, "too many").when(F.col("references") != 1, "reference").when(F.col("bad_url"), "url").when(F.col("bad_label"), "label")
+    return g.select("benchmark_id", "n", reason.alias("reason"))
+
+
+def valid_domain(domain):
+    """Whether a text is a domain name of at most 253 characters."""
+    return domain.rlike(r"^[a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(\.[a-zA-Z]{2,})+$") & (F.length(domain) <= 253)
+
+
+def due_with_plan(schedules: DataFrame, orgs: DataFrame, audits: DataFrame, as_of: str, n: int = 20) -> DataFrame:
+    """Due schedules with the mode that their organization's plan allows and the organization's latest completed audit."""
+    last = audits.where("status = 'completed'").groupBy("org_id").agg(F.max_by("audit_id", F.struct("created_at", "audit_id")).alias("previous_id"))
+    rows = due(schedules, as_of, n).join(orgs.select("org_id", "plan"), "org_id", "left").join(last, "org_id", "left")
+    return rows.withColumn("mode", F.when(F.col("plan") == "free", "flash").otherwise("full"))
+
+
 def drift(runs: DataFrame, threshold: float = 10.0) -> DataFrame:
     """Runs whose score fell by the threshold or more."""
     return runs.where(F.col("delta") <= -threshold)
@@ -102,10 +141,22 @@ def next_run(at, frequency):
     return F.when(frequency == "daily", at + F.expr("interval 1 day")).when(frequency == "weekly", at + F.expr("interval 7 days")).otherwise(F.add_months(at, 1).cast("timestamp"))
 
 
+def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """A page of rows in order, with the total number of rows."""
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # the total is one row
+
+
 def sliding_rate(requests: DataFrame, limit: int = 3) -> DataFrame:
-    """event_id, org_id, n (requests of the org in the hour up to this one) and allowed."""
-    w = Window.partitionBy("org_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
-    return requests.select("event_id", "org_id", F.count("*").over(w).alias("n")).withColumn("allowed", F.col("n") <= limit)
+    """event_id, org_id, n (requests of the org in the hour up to this one) and allowed.
+
+    A request also counts in the clock hour after its own, so a window never spans more than two hours of an organization.
+    """
+    hour = F.date_trunc("hour", "ts")
+    both = F.array(F.struct(hour.alias("hour"), F.lit(True).alias("own")), F.struct((hour + F.expr("interval 1 hour")).alias("hour"), F.lit(False).alias("own")))
+    spread = requests.select("event_id", "org_id", "ts", F.explode(both).alias("x")).select("event_id", "org_id", "ts", "x.*")
+    w = Window.partitionBy("org_id", "hour").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
+    return spread.withColumn("n", F.count("*").over(w)).where("own").select("event_id", "org_id", "n").withColumn("allowed", F.col("n") <= limit)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old: bool = False) -> DataFrame:

@@ -5,10 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Order of severities; phases of each mode; subjects by pattern, the first match counts.
+# Order of severities; phases of each mode; subjects by pattern, the first match counts; letters without accents; phases by audience.
 SEVERITY = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
 MODES = {"flash": ["technical", "structured_data", "geo", "eeat"], "standard": ["technical", "structured_data", "geo", "entity", "eeat", "freshness", "international", "performance"]}
-SUBJECTS = [("llms-full.txt", r"llms-full\.txt"), ("llms.txt", r"llms\.txt"), ("robots.txt", r"robots\.txt"), ("sitemap.xml", r"sitemap"), ("sameas", r"same ?as"), ("canonical", "canonical"), ("hreflang", "hreflang"), ("noindex", "noindex"), ("og-meta", "open ?graph|og:"), ("twitter-cards", "twitter ?card"), ("favicon", "favicon"), ("web-vital-lcp", r"(^|[^a-z0-9_])lcp([^a-z0-9_]|$)"), ("web-vital-inp", r"(^|[^a-z0-9_])inp([^a-z0-9_]|$)"), ("web-vital-cls", r"(^|[^a-z0-9_])cls([^a-z0-9_]|$)"), ("wikidata", "wikidata"), ("wikipedia", "wikipedia")]
+SUBJECTS = [
+    ("llms-full.txt", r"\bllms-full\.txt\b"),
+    ("llms.txt", r"\bllms\.txt\b"),
+    ("robots.txt", r"\brobots\.txt\b"),
+    ("sitemap.xml", r"\bsitemap(\.xml)?\b"),
+    ("datepublished", r"\bdate\s*published\b|\bdate de publication\b"),
+    ("datemodified", r"\bdate\s*modified\b|\bdate de modification\b"),
+    ("sameas", r"\bsame\s*as\b"),
+    ("canonical", r"\bcanonical\b"),
+    ("hreflang", r"\bhreflang\b"),
+    ("noindex", r"\bnoindex\b"),
+    ("og-meta", r"\bopen\s*graph\b|\bog\s(?:title|description|image|url|type|locale)\b"),
+    ("twitter-cards", r"\btwitter\s*cards?\b|\btwitter\s(?:title|description|image)\b"),
+    ("meta-description", r"\b(?:meta\s*)?description\s*(?:manquante?|absente?|vide)\b|\bdescription\s*non renseign"),
+    ("title-tag", r"\btitle\s*(?:manquant|absent|vide)\b|\bbalise\s*title\b"),
+    ("favicon", r"\bfavicon\b"),
+    ("schema-organization", r"\bschema\s*organization\b|\borganization\s*(?:schema|json-?ld)\b"),
+    ("schema-website", r"\bschema\s*website\b|\bwebsite\s*(?:schema|json-?ld)\b"),
+    ("schema-article", r"\bschema\s*article\b|\barticle\s*(?:schema|json-?ld)\b|\bblogposting\b"),
+    ("schema-person", r"\bschema\s*person\b|\bperson\s*(?:schema|json-?ld)\b"),
+    ("schema-breadcrumb", r"\bbreadcrumb(?:list)?\b|\bfil\s*d.ariane\b"),
+    ("schema-product", r"\bschema\s*product\b|\bproduct\s*(?:schema|json-?ld)\b"),
+    ("schema-faqpage", r"\bfaqpage\b|\bschema\s*faq\b"),
+    ("schema-howto", r"\bschema\s*howto\b|\bhow-?to\s*(?:schema|json-?ld)\b"),
+    ("web-vital-lcp", r"\blcp\b|\blargest\s*contentful\s*paint\b"),
+    ("web-vital-inp", r"\binp\b|\binteraction\s*to\s*next\s*paint\b"),
+    ("web-vital-cls", r"\bcls\b|\bcumulative\s*layout\s*shift\b"),
+    ("mixed-content", r"\bmixed\s*content\b|\bcontenu\s*mixte\b"),
+    ("redirect-chain", r"\bredirect\s*chain\b|\bchaines?\s*de\s*redirections?\b"),
+    ("wikidata", r"\bwikidata\b"),
+    ("wikipedia", r"\bwikipedia\b"),
+]
+ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+LABELS = {"critical": "Critique", "high": "Élevé", "medium": "Moyen", "low": "Faible", "info": "Info"}
+AUDIENCES = {"technical": ["technical", "structured_data", "performance", "topical", "common_mistakes"], "marketing": ["geo", "eeat", "entity", "freshness", "international"]}
 
 
 def round1(x: Column) -> Column:
@@ -77,18 +111,97 @@ def top(findings: DataFrame, k: int, by: str = "audit_id") -> DataFrame:
 
 
 def subject(text: Column) -> Column:
-    """What a finding is about, null if no pattern tells."""
-    low = F.lower(text)
-    return F.coalesce(*(F.when(low.rlike(p), s) for s, p in SUBJECTS))
+    """What a finding is about, by the first pattern that its text, in lower case without accents and marks, matches; else null."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), *ACCENTS), r"[^A-Za-z0-9_\s.-]", " "), r"\s+", " "))
+    return F.coalesce(*(F.when(plain.rlike(p), s) for s, p in SUBJECTS))
 
 
 def deduplicated(findings: DataFrame) -> DataFrame:
-    """Of findings of an audit on one subject (else one recommendation) the strongest, with the number merged."""
+    """Of findings of an audit on one subject (else one recommendation) the strongest, with the number merged.
+
+    Findings are merged in the order of arrival: the one with more points, then the graver, then the earlier stays, and
+    the other's recommendation is added to it unless one holds the other. One audit's findings on a subject are one group.
+    """
     key = F.coalesce(subject(F.concat_ws(" ", "title", "recommendation")), F.substring(F.lower(F.trim("recommendation")), 1, 80))
-    f = findings.withColumn("subject", key).withColumn("w", weight(F.col("severity")))
-    w = Window.partitionBy("audit_id", "subject").orderBy(F.desc("points"), F.desc("w"), "n")
-    f = f.withColumn("at", F.row_number().over(w)).withColumn("merged", F.count("*").over(Window.partitionBy("audit_id", "subject")))
-    return f.where("at = 1").drop("at", "w")
+    fields = ["n", "points", "w", "phase", "severity", "effort", "url", "title"]
+    f = findings.withColumns({"subject": key, "w": weight(F.col("severity"))})
+    item = F.struct(*fields, F.trim("recommendation").alias("recommendation"))
+    groups = f.groupBy("audit_id", "subject").agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+    def merge(a, b):
+        later = (b["points"] > a["points"]) | ((b["points"] == a["points"]) & (b["w"] > a["w"]))
+        pick = lambda x, y, k: F.when(later, y[k]).otherwise(x[k])
+        own, other = pick(a, b, "recommendation"), pick(b, a, "recommendation")
+        same = F.lower(own).contains(F.lower(other)) | F.lower(other).contains(F.lower(own))
+        return F.struct(*(pick(a, b, k).alias(k) for k in fields), F.when(same, own).otherwise(F.concat(own, F.lit("\n- "), other)).alias("recommendation"))
+
+    at = F.aggregate(F.slice("items", F.lit(2), F.size("items")), F.get("items", 0), merge)
+    return groups.select("audit_id", "subject", F.size("items").cast("long").alias("merged"), at.alias("at")).select("audit_id", "subject", "merged", "at.*").drop("w")
+
+
+def placed(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
+    """The k first rows of each group, with their place."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
+
+
+def quick_wins(findings: DataFrame, k: int = 10) -> DataFrame:
+    """The k dearest quick findings of each audit, after merging."""
+    return placed(deduplicated(findings.where("effort = 'quick' and severity <> 'info'")), ["audit_id"], [F.desc("points"), "n"], k)
+
+
+def teaser(findings: DataFrame, k: int = 5, chars: int = 40) -> DataFrame:
+    """The k gravest findings of each audit with recommendations cut to `chars`."""
+    cut = F.when(F.length("recommendation") > chars, F.concat(F.substring("recommendation", 1, chars), F.lit("…"))).otherwise(F.col("recommendation"))
+    return top(findings, k).withColumn("recommendation", cut)
+
+
+def content_gaps(findings: DataFrame, k: int = 3) -> DataFrame:
+    """The k dearest findings on topics and freshness of each audit, one for each title, with the brief's text."""
+    w = Window.partitionBy("audit_id", "title").orderBy(F.desc("points"), "n")
+    first = findings.where("phase in ('topical', 'freshness')").withColumn("at", F.row_number().over(w)).where("at = 1").drop("at")
+    brief = F.concat(F.lit("Phase: "), "phase", F.lit("\nProblem: "), "title", F.lit("\nRecommendation: "), "recommendation")
+    return placed(first, ["audit_id"], [F.desc("points"), "n"], k).withColumn("brief", brief)
+
+
+def top_hotspots(findings: DataFrame, k: int = 5) -> DataFrame:
+    """The k dearest hotspots of each audit that has two or more."""
+    some = hotspots(findings).withColumn("spots", F.count("*").over(Window.partitionBy("audit_id"))).where("spots >= 2").drop("spots")
+    return placed(some, ["audit_id"], [F.desc("points"), "url"], k)
+
+
+def strengths(scores: DataFrame, k: int = 5, least: float = 0.7) -> DataFrame:
+    """The k best phases of each audit with `least` of their points or more."""
+    s = scores.where("score_max > 0").withColumn("ratio", F.round(F.col("score") / F.col("score_max"), 6)).where(F.col("ratio") >= least)
+    return placed(s, ["audit_id"], [F.desc("ratio"), "phase"], k).select("audit_id", "phase", "ratio", "place")
+
+
+def bar(ratio: Column) -> Column:
+    return F.when(ratio >= 0.75, "good").when(ratio >= 0.5, "ok").when(ratio >= 0.3, "warn").otherwise("bad")
+
+
+def score_shares(scores: DataFrame) -> DataFrame:
+    """audit_id, phase, share of the audit's points that the phase may give, ratio and bar of what it gave."""
+    whole = F.sum("score_max").over(Window.partitionBy("audit_id"))
+    ratio = F.col("score") / F.col("score_max")
+    return scores.select("audit_id", "phase", F.round(F.col("score_max") / whole, 6).alias("share"), F.round(ratio, 6).alias("ratio"), bar(ratio).alias("bar"))
+
+
+def score_table(scores: DataFrame) -> DataFrame:
+    """audit_id, phase, score, score_max and percent for every phase, and a row `total` for every audit."""
+    total = scores.groupBy("audit_id").agg(round1(F.sum("score")).alias("score"), F.sum("score_max").alias("score_max")).select("audit_id", F.lit("total").alias("phase"), "score", "score_max")
+    rows = scores.select("audit_id", "phase", "score", "score_max")
+    return rows.unionByName(total).withColumn("percent", F.when(F.col("score_max") > 0, F.floor(F.col("score") / F.col("score_max") * 100 + 0.5)))
+
+
+def radar(scores: DataFrame, skipped: DataFrame) -> DataFrame:
+    """The phases of an audit that were not skipped (audit_id, phase), for audits with three or more."""
+    live = scores.where("score_max > 0 and score is not null").join(skipped, ["audit_id", "phase"], "left_anti")
+    return live.withColumn("axes", F.count("*").over(Window.partitionBy("audit_id"))).where("axes >= 3")
+
+
+def audience(findings: DataFrame) -> DataFrame:
+    """findings with the audience whose phases they belong to."""
+    return findings.withColumn("audience", F.coalesce(*(F.when(F.col("phase").isin(ps), a) for a, ps in AUDIENCES.items())))
 
 
 def roadmap(findings: DataFrame) -> DataFrame:

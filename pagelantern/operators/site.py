@@ -45,11 +45,11 @@ def robots_rules(site_files: DataFrame) -> DataFrame:
     return agents.join(said, ["host", "g"], "left").select("host", "agent", "rule", "path").distinct()
 
 
-def blocked_bots(site_files: DataFrame) -> DataFrame:
+def blocked_bots(site_files: DataFrame, bots: list[str] = BOTS) -> DataFrame:
     """host and bot for each known crawler that the site keeps out: by its own group if it has one, else by `*`."""
     rules = robots_rules(site_files)
     whole = rules.groupBy("host", "agent").agg(F.bool_or((F.col("rule") == "disallow") & (F.col("path") == "/")).alias("closed"))
-    hosts = whole.select("host").distinct().withColumn("bot", F.explode(F.lit(BOTS)))
+    hosts = whole.select("host").distinct().withColumn("bot", F.explode(F.lit(bots)))
     own = whole.withColumnsRenamed({"agent": "bot", "closed": "own"})
     rest = whole.where("agent = '*'").select("host", F.col("closed").alias("all"))
     out = hosts.join(own, ["host", "bot"], "left").join(rest, "host", "left")
@@ -111,6 +111,21 @@ def clusters(counts: DataFrame, least: int = 4) -> DataFrame:
     return out.where(F.col("pages") >= least).select("host", "cluster", "pages", "inbound", share.alias("top_share"))
 
 
+def cluster_samples(pages: DataFrame, least: int = 4, k: int = 5) -> DataFrame:
+    """host, cluster, pages and sample (the k first paths) of clusters; a cluster's paths are cut to k before they are joined."""
+    deep = pages.where(F.size(F.filter(F.split("path", "/"), lambda s: s != "")) >= 2).select("host", first_segment(F.col("path")).alias("cluster"), "path")
+    w = Window.partitionBy("host", "cluster")
+    placed = deep.withColumns({"pages": F.count("*").over(w), "at": F.row_number().over(w.orderBy("path"))}).where((F.col("pages") >= least) & (F.col("at") <= k))
+    return placed.groupBy("host", "cluster", "pages").agg(F.array_join(F.array_sort(F.collect_list("path")), " ").alias("sample"))
+
+
+def capped_pages(pages: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """mode, host, page_id and place: the pages of a host that an audit of a mode takes, by page_id, up to the mode's cap."""
+    most = F.col("place") <= F.try_element_at(F.create_map(*(F.lit(x) for kv in caps.items() for x in kv)), F.col("mode"))
+    placed = pages.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy("page_id"))).where(F.col("place") <= max(caps.values()))
+    return placed.withColumn("mode", F.explode(F.lit(list(caps)))).where(most).select("mode", "host", "page_id", "place")
+
+
 def homes(pages: DataFrame) -> DataFrame:
     """host and page_id of each host's home: the page with path /, else the lowest page_id."""
     return pages.groupBy("host").agg(F.min_by("page_id", F.struct((F.col("path") != "/").cast("int"), "page_id")).alias("page_id"))

@@ -71,7 +71,7 @@ QUERIES = {
     "plan_counts": lambda s, d: _orgs(s, d).groupBy("plan").agg(F.count("*").alias("orgs")),
     "platform_totals": lambda s, d: s.createDataFrame([], "kind string, n bigint").unionByName(_orgs(s, d).agg(F.count("*").alias("n")).select(F.lit("orgs").alias("kind"), "n")).unionByName(_a(s, d).agg(F.count("*").alias("n")).select(F.lit("audits").alias("kind"), "n")).unionByName(s.read.parquet(f"{d}/customer.parquet").agg(F.count("*").alias("n")).select(F.lit("users").alias("kind"), "n")),
     "admin_audits": lambda s, d: _a(s, d).join(_orgs(s, d), "org_id").join(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id").select("audit_id", "name", "plan", "c_name", "status", "score", "created_at").orderBy(F.desc("created_at"), "audit_id").limit(100),
-    "audit_page": lambda s, d: _a(s, d).where("status = 'completed' and org_id = 7").orderBy(F.desc("score"), "audit_id").offset(10).limit(20).select("audit_id", "score", "created_at"),
+    "audit_page": lambda s, d: history.page(_a(s, d).where("status = 'completed' and org_id = 7"), [F.desc("score"), "audit_id"], 10, 20).select("audit_id", "score", "created_at", "total"),
     "member_search": lambda s, d: s.read.parquet(f"{d}/customer.parquet").where(F.col("c_name").ilike("%00012%") | F.lower("c_mktsegment").contains("build")).select("c_custkey", "c_name", "c_mktsegment"),
 }
 
@@ -81,12 +81,16 @@ _T = "select audit_id, floor(sum(score) / nullif(sum(score_max), 0) * 100 * 10 +
 _RUNS = """pv as (select *, lag(audit_id) over w as previous_id, lag(score) over w as previous_score from a where status = 'completed' window w as (partition by org_id, target order by created_at, audit_id)),
 pr as (select audit_id, org_id, target, created_at, previous_id, score, previous_score, floor((score - previous_score) * 10 + 0.5) / 10 as delta from pv where previous_id is not null)"""
 _W = "case severity when 'critical' then 5 when 'high' then 4 when 'medium' then 3 when 'low' then 2 when 'info' then 1 else 0 end"
-_SUB = "case " + " ".join(f"when regexp_matches(lower(title || ' ' || recommendation), '{p}') then '{s}'" for s, p in scoring.SUBJECTS) + " else substring(lower(trim(recommendation)), 1, 80) end"
+#: What each recommendation of the bound findings is about.
+_SUB = """case recommendation when 'Add a canonical link' then 'canonical' when 'Fix the canonical URL' then 'canonical' when 'Publish llms.txt and llms-full.txt' then 'llms-full.txt' when 'Declare the sitemap.xml' then 'sitemap.xml' when 'Fill the Open Graph title' then 'og-meta' when 'Reduce LCP' then 'web-vital-lcp' when 'Link to Wikidata' then 'wikidata'
+ when 'Corriger la chaîne de redirections' then 'redirect-chain' when 'Ajouter datePublished' then 'datepublished' when 'Compléter le schéma Organization de la page' then 'schema-organization' when 'Contenu mixte à corriger' then 'mixed-content' else 'rewrite the text' end"""
 _DD = f"select * from (select *, {_SUB} as subject, count(*) over (partition by audit_id, {_SUB}) as merged, row_number() over (partition by audit_id, {_SUB} order by points desc, {_W} desc, n) as place_ from {{}}) where place_ = 1"
 _TOPQ = f"select *, row_number() over (partition by audit_id order by {_W} desc, points desc, n) as rank from ({{}})"
 _ROAD = "select * from (select *, row_number() over (partition by audit_id, effort order by points desc, n) as place from fd where severity <> 'info' and points > 0) where place <= case effort when 'heavy' then 4 else 5 end"
 _ORGS = "og as (select cast(n_nationkey as bigint) as org_id, n_name as name, case n_regionkey % 3 when 0 then 'free' when 1 then 'pro' else 'agency' end as plan, case n_regionkey % 3 when 0 then 5 when 1 then 50 else 500 end as monthly from nation)"
 _C, _FLASH, _STD = f"with {src.CTES} ", ", ".join(f"'{p}'" for p in scoring.MODES["flash"]), ", ".join(f"'{p}'" for p in scoring.MODES["standard"])
+# every phase of both runs is there: the scores of a run are joined one to one
+_DELTA = "pdl as (select pr.audit_id, x.phase, x.score as score, y.score as previous, floor((x.score - y.score) * 10 + 0.5) / 10 as delta from pr join ps x on x.audit_id = pr.audit_id join ps y on y.audit_id = pr.previous_id and y.phase = x.phase)"
 SQL = {
     "phase_scores": f"with {_PS} select * from ps",
     "audit_scores": f"with {_PS} {_T}",
@@ -113,8 +117,12 @@ SQL = {
       select audit_id, 'Y01' as rule_id, 'critical' as severity, grave as metric from w where grave >= 1 union all select audit_id, 'Y02', 'info', quick from w where quick >= 3
       union all select audit_id, 'Y03', 'high', hot from w where hot >= 1 union all select audit_id, 'Y04', 'high', weak from w where weak >= 3 union all select audit_id, 'Y05', 'info', n from w""",
     "previous_run": _C + f", {_RUNS} select * from pr",
-    "phase_delta": f"with {_PS}, {_RUNS}, x as (select pr.audit_id, ps.phase, ps.score from pr join ps on ps.audit_id = pr.audit_id), y as (select pr.audit_id, ps.phase, ps.score as previous from pr join ps on ps.audit_id = pr.previous_id) select audit_id, phase, coalesce(score, 0) as score, coalesce(previous, 0) as previous, floor((coalesce(score, 0) - coalesce(previous, 0)) * 10 + 0.5) / 10 as delta from x full join y using (audit_id, phase)",
-    "finding_delta": _C + f", {_RUNS}, k as (select distinct audit_id, phase || ':' || substring(lower(title), 1, 60) || ':' || url as key from fd), x as (select pr.audit_id, key, 1 as here from pr join k on k.audit_id = pr.audit_id), y as (select pr.audit_id, key, 1 as there from pr join k on k.audit_id = pr.previous_id) select audit_id, key, case when here is null then 'resolved' when there is null then 'introduced' else 'persistent' end as change from x full join y using (audit_id, key)",
+    "phase_delta": f"with {_PS}, {_RUNS}, {_DELTA} select * from pdl",
+    "drift_alerts_24h": _C.replace("with ", "with recursive ", 1) + f""", {_RUNS}, al as (select *, row_number() over (partition by org_id, target order by created_at, audit_id) as k from pr where delta <= -10),
+      nx as (select x.org_id, x.target, x.k, min(y.k) as nxt from al x left join al y on x.org_id = y.org_id and x.target = y.target and y.created_at >= x.created_at + interval 24 hour group by all),
+      wk as (select org_id, target, k, nxt from nx where k = 1 union all select nx.org_id, nx.target, nx.k, nx.nxt from wk join nx on nx.org_id = wk.org_id and nx.target = wk.target and nx.k = wk.nxt)
+      select org_id, target, audit_id, created_at, delta from al join (select org_id, target, k from wk) using (org_id, target, k)""",
+    "finding_delta": _C + f", {_RUNS}, k as (select distinct audit_id, phase || ':' || case when recommendation = 'Rewrite the text' then 't:' || lower(title) else {_SUB} end || ':' || url as key from fd), x as (select pr.audit_id, key, 1 as here from pr join k on k.audit_id = pr.audit_id), y as (select pr.audit_id, key, 1 as there from pr join k on k.audit_id = pr.previous_id) select audit_id, key, case when here is null then 'resolved' when there is null then 'introduced' else 'persistent' end as change from x full join y using (audit_id, key)",
     "drift": _C + f", {_RUNS} select * from pr where delta <= -10",
     "benchmark_pivot": f"with {_PS}, m as (select phase, mode, round(avg(ps.score), 6) as s from ps join a using (audit_id) group by all), w as (select phase, {', '.join(f"max(s) filter (mode = '{x}') as {x}" for x in ('flash', 'full', 'standard'))} from m group by phase) select *, greatest(flash, \"full\", standard) as best, least(flash, \"full\", standard) as worst from w".replace("as full,", 'as "full",'),
     "benchmark_status": _C + "select target, bool_and(status in ('completed', 'failed')) as finished, bool_or(status = 'completed') as usable from a group by target",
@@ -128,6 +136,6 @@ SQL = {
     "plan_counts": f"with {_ORGS} select plan, count(*) as orgs from og group by plan",
     "platform_totals": "select 'orgs' as kind, count(*) as n from nation union all select 'audits', count(*) from orders union all select 'users', count(*) from customer",
     "admin_audits": _C + f", {_ORGS} select audit_id, name, plan, c_name, status, score, created_at from a join og using (org_id) join customer on c_custkey = user_id order by created_at desc, audit_id limit 100",
-    "audit_page": _C + "select audit_id, score, created_at from a where status = 'completed' and org_id = 7 order by score desc, audit_id limit 20 offset 10",
+    "audit_page": _C + "select audit_id, score, created_at, count(*) over () as total from a where status = 'completed' and org_id = 7 order by score desc, audit_id limit 20 offset 10",
     "member_search": "select c_custkey, c_name, c_mktsegment from customer where c_name ilike '%00012%' or lower(c_mktsegment) like '%build%'",
 }

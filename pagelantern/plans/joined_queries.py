@@ -18,6 +18,10 @@ SITES = "case when conv_id % 3 = 0 then ' See https://www.alpha.example/x?y=1 an
 RAW = f"""'{{"output":[{{"type":"message","content":[{{"text":"Answer ' || cast(conv_id as string) || {SITES} || '","annotations":[{{"url":"https://delta.example/' || cast(turn as string) || '"}}]}}]}},{{"type":"search","results":[{{"url":"https://Alpha.example/s"}}]}}]}}'"""
 
 
+#: The texts with terms in every kind of place.
+CASED = """text || ' google, Open AI (json-ld) `seo html` <code>lcp</code> see https://google.com/seo/geo. i.a. HTTP and https' || chr(10) || 'googlebot;ai overview' """
+
+
 def _metrics(s, d):
     pages = tables.table(s, d, "pages").where("page_id % 6 <> 0")
     return joined_rules.parse_metrics(pages.select("url", F.expr(JSON).alias("json")).dropDuplicates(["url"]))
@@ -51,10 +55,10 @@ QUERIES = {
     "domain_normalise": lambda s, d: tables.table(s, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"), urls.domain(F.expr("'WWW.' || upper(url)")).alias("upper"), urls.domain(F.lit("localhost")).alias("none")),
     "url_resolve": lambda s, d: tables.table(s, d, "pages").select("page_id", *(urls.resolve(F.lit(h), F.col("url")).alias(n) for n, h in {"rooted": "/a/b", "relative": "c.html", "query": "?q=1", "fragment": "#f", "scheme": "//h.example/x", "absolute": "https://z.example/", "empty": ""}.items()), urls.internal_path(F.lit("/a/b/?x#y"), F.col("url")).alias("path")),
     "url_guard": lambda s, d: tables.table(s, d, "pages").select("page_id", urls.unsafe_reason(F.expr("case page_id % 8 when 0 then url when 1 then 'ftp://a.example/' when 2 then 'http://localhost/x' when 3 then 'http://10.' || page_id % 256 || '.0.1/' when 4 then 'http://172.' || page_id % 64 || '.0.1/' when 5 then 'http://8.8.' || page_id % 256 || '.8/' when 6 then 'http://[::1]/' else 'https://db.internal/' end")).alias("reason")),
-    "term_canonical_casing": lambda s, d: tables.table(s, d, "documents").select("doc_id", F.sha2(text.canonical_casing(F.col("text")), 256).alias("fixed")),
+    "term_canonical_casing": lambda s, d: tables.table(s, d, "documents").select("doc_id", F.sha2(text.canonical_casing(F.expr(CASED)), 256).alias("fixed")),
     "hedging_density": lambda s, d: tables.table(s, d, "documents").select("doc_id", text.words(F.col("text")).alias("words"), F.regexp_count("text", F.lit(fx.HEDGING)).alias("hedges"), F.col("text").rlike(fx.EVIDENCE).alias("evidence")),
     "outbox": lambda s, d: src.audits(s, d).where("status = 'completed'").select("audit_id", "org_id").join(tables.table(s, d, "supplier").select((F.col("s_nationkey")).cast("bigint").alias("org_id"), F.col("s_suppkey").alias("hook_id"), F.expr("case s_suppkey % 3 when 0 then 'audit.completed' when 1 then 'audit.failed, audit.completed' else 'other' end").alias("events")), "org_id").where("array_contains(transform(split(events, ','), e -> trim(e)), 'audit.completed')").select("audit_id", "hook_id"),
-    "upsert_latest": lambda s, d: history.upsert(src.audits(s, d).where("audit_id % 2 = 0").select("audit_id", "score"), src.audits(s, d).where("audit_id % 3 = 0").selectExpr("audit_id", "score + 1 as score"), ["audit_id"]),
+    "upsert_latest": lambda s, d: history.upsert(src.audits(s, d).select("audit_id", "score"), src.findings(s, d).groupBy("audit_id").agg(F.max("points").alias("score")), ["audit_id"]),
 }
 
 _I = f"{page_sql.FEATURES}, {page_sql.FACTS}, {page_sql.INPUTS}"
@@ -66,6 +70,16 @@ _DOM = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({
 _RULE_UNION = lambda keys, rel, rules: " union all ".join(f"select {keys}, '{i}' as rule_id, {s} as severity, cast({p} as double) as points from {rel} where {w}" for i, s, p, w in rules)
 _GUARD = "case page_id % 8 when 0 then url when 1 then 'ftp://a.example/' when 2 then 'http://localhost/x' when 3 then 'http://10.' || page_id % 256 || '.0.1/' when 4 then 'http://172.' || page_id % 64 || '.0.1/' when 5 then 'http://8.8.' || page_id % 256 || '.8/' when 6 then 'http://[::1]/' else 'https://db.internal/' end"
 _MX = "mx as (select url, max(1500 + page_id % 40 * 100.0) as lcp, max(case when page_id % 4 = 0 then null else 100 + page_id % 9 * 60.0 end) as inp, max(page_id % 4 / 10.0) as cls from pages where page_id % 6 <> 0 group by url)"
+_PROT = page_sql._s(r"`[^`]+`|<code>[^<]+</code>|https?://[^\s<>\"')]+")
+
+
+def _casing(x: str) -> str:
+    """Terms of the texts, by the comparison engine: its patterns have no look-ahead, so http is set apart."""
+    for pattern, term in text.TERMS:
+        x = f"regexp_replace({x}, {page_sql._s(pattern.split('(?!')[0])}, '{term}', 'g')"
+    return x
+
+
 SQL = {
     "rules_freshness": f"""with {_I}, {tables.SITE_FILES_SQL}, sb as (select host, unnest(regexp_extract_all(body, '(?is)<url>(.*?)</url>', 1)) as b from sf where kind = 'sitemap'),
       se as (select host, {page_sql.path("regexp_extract(b, '<loc>(.*?)</loc>', 1)")} as path, max(try_cast(nullif(regexp_extract(b, '<lastmod>(.*?)</lastmod>', 1), '') as timestamp)) as map_date from sb where {page_sql.host("regexp_extract(b, '<loc>(.*?)</loc>', 1)")} = host group by all),
@@ -88,7 +102,7 @@ SQL = {
     "url_resolve": "select page_id, " + ", ".join(f"{page_sql.resolve(repr(h))} as {n}" for n, h in {"rooted": "/a/b", "relative": "c.html", "query": "?q=1", "fragment": "#f", "scheme": "//h.example/x", "absolute": "https://z.example/", "empty": ""}.items()) + ", '/a/b' as path from pages",
     "url_guard": f"with g as (select page_id, {_GUARD} as u from pages) select page_id, case when page_id % 8 = 1 then 'scheme' when page_id % 8 in (2, 7) then 'blocked host' when page_id % 8 in (3, 6) then 'private address' when page_id % 8 = 4 and page_id % 64 between 16 and 31 then 'private address' end as reason from g",
     "hedging_density": f"select doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) as words, len(regexp_extract_all(text, {page_sql._s(fx.HEDGING)})) as hedges, regexp_matches(text, {page_sql._s(fx.EVIDENCE)}) as evidence from documents",
-    "term_canonical_casing": "select doc_id, sha256(array_to_string(list_transform(string_split(text, ' '), lambda w: case when w like '%`%' or w like '%/%' then w else coalesce(case lower(regexp_replace(w, '[.,;:!?]+$', '')) " + " ".join(f"when '{k}' then '{v}'" for k, v in text.TERMS.items()) + " end || regexp_extract(w, '([.,;:!?]*)$', 1), w) end), ' ')) as fixed from documents",
+    "term_canonical_casing": f"select doc_id, sha256(list_reduce(list_transform(list_zip(string_split_regex(x, {_PROT}), regexp_extract_all(x, {_PROT})), lambda z: {_casing('z[1]')} || coalesce(z[2], '')), lambda p, q: p || q)) as fixed from (select doc_id, {CASED} as x from documents)",
     "outbox": f"with {src.CTES} select audit_id, s_suppkey as hook_id from a join supplier on s_nationkey = org_id where status = 'completed' and s_suppkey % 3 < 2",
-    "upsert_latest": f"with {src.CTES} select audit_id, case when audit_id % 3 = 0 then score + 1 else score end as score from a where audit_id % 2 = 0 or audit_id % 3 = 0",
+    "upsert_latest": f"with {src.CTES} select coalesce(a.audit_id, m.audit_id) as audit_id, coalesce(m.top, a.score) as score from a full join (select audit_id, max(points) as top from fd group by audit_id) m on m.audit_id = a.audit_id",
 }

@@ -200,6 +200,7 @@ g as (select page_id, n_broken, len(os) as n_objects, list_distinct(flatten(list
   {_named('org', 'name')} as org_name,
   len(list_filter({_list("json_extract(site, '$.potentialAction.\"@type\"')")}, lambda x: lower(x) like '%searchaction%')) > 0 as has_search,
   case when art is null then 0 else {_missing('art', _holds, 'headline', 'author', 'datePublished', 'dateModified', 'image', 'publisher', 'mainEntityOfPage')} end as article_missing,
+  array_to_string(list_filter(['headline', 'datePublished', 'dateModified', 'author', 'publisher', 'image', 'mainEntityOfPage'], lambda n: coalesce(json_extract(art, '$.' || n)::varchar in ('null', 'false', '0', '\"\"'), true)), ',') as article_gaps,
   {_holds('art', 'author')} as article_author, coalesce(json_type({_get('art', 'author')}) = 'VARCHAR', false) as author_text,
   coalesce(not regexp_matches({_str(_get('art', 'image'))}, '(?i)^https?://'), false) as image_relative,
   case when person is null then 0 else {_missing('person', _holds, 'jobTitle', 'knowsAbout')} + (case when len({_list(_get('person', 'sameAs'))}) = 0 then 1 else 0 end) end as person_missing,

@@ -238,7 +238,7 @@ OBJECT = {
     "name": _named("name"),
     "same_as": _list(_at("sameAs")),
     "n_org_missing": " + ".join(f"int({_named(f)} is null)" for f in ("name", "url", "logo")),
-    "n_article_missing": " + ".join(f"int(not {_holds(f)})" for f in ARTICLE),
+    "article_gaps": "array_except(array(" + ", ".join(f"'{f}'" for f in ARTICLE) + "), array_compact(array(" + ", ".join(f"if({_holds(f)}, '{f}', null)" for f in ARTICLE) + ")))",
     "n_person_missing": f"int(not {_holds('jobTitle')}) + int(size({_list(_at('sameAs'))}) = 0) + int(not {_holds('knowsAbout')})",
     "search": f"exists({_list("try_variant_get(v, r'$.potentialAction[\"@type\"]', 'variant')")}, t -> lower(t) like '%searchaction%')",
     "author": _holds("author"),
@@ -281,7 +281,8 @@ def jsonld_facts(features: DataFrame) -> DataFrame:
         "has_site": F.col("site").isNotNull(),
         "has_search": said("site", "search", False),
         "has_article_type": F.col("article").isNotNull(),
-        "article_missing": said("article", "n_article_missing", 0),
+        "article_missing": F.coalesce(F.size("article.article_gaps"), F.lit(0)),
+        "article_gaps": F.array_join("article.article_gaps", ","),
         "article_author": said("article", "author", False),
         "author_text": said("article", "author_text", False),
         "image_relative": F.coalesce(~F.col("article.image").rlike("(?i)^https?://"), F.lit(False)),

@@ -24,9 +24,9 @@ FINDINGS = [
     "l_orderkey as audit_id", "cast(l_linenumber as bigint) * 1000000000 + l_partkey * 1000 + l_suppkey as n", f"{_PHASE} as phase",
     "case when l_quantity < 5 then 'critical' when l_quantity < 15 then 'high' when l_quantity < 28 then 'medium' when l_quantity < 43 then 'low' else 'info' end as severity",
     "case l_returnflag when 'A' then 'quick' when 'N' then 'medium' else 'heavy' end as effort",
-    "floor(l_discount * 100 + 0.5) / 4 as points", "concat('/p', cast(l_suppkey % 4 as string)) as url",
+    "floor(l_discount * 100 + 0.5) * (1 + l_linenumber % 3) / 4 as points", "concat('/p', cast(l_suppkey % 4 as string)) as url",
     "concat('Check ', cast(l_partkey % 40 as string)) as title",
-    "case l_partkey % 7 when 0 then 'Add a canonical link' when 1 then 'Publish llms.txt and llms-full.txt' when 2 then 'Declare the sitemap.xml' when 3 then 'Fill the Open Graph title' when 4 then 'Reduce LCP' when 5 then 'Link to Wikidata' else 'Rewrite the text' end as recommendation",
+    "case l_partkey % 12 when 0 then 'Add a canonical link' when 1 then 'Publish llms.txt and llms-full.txt' when 2 then 'Declare the sitemap.xml' when 3 then 'Fill the Open Graph title' when 4 then 'Reduce LCP' when 5 then 'Link to Wikidata' when 6 then 'Corriger la chaîne de redirections' when 7 then 'Ajouter datePublished' when 8 then 'Compléter le schéma Organization de la page' when 9 then 'Contenu mixte à corriger' when 10 then 'Fix the canonical URL' else 'Rewrite the text' end as recommendation",
 ]
 REQUESTS = ["event_id", "user_id as org_id", "ts", "event_type as status", "value as score"]
 

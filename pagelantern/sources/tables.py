@@ -57,7 +57,16 @@ def pages(spark: SparkSession, sf_dir: str, enriched: bool = True) -> DataFrame:
 
     Every seventeenth page answers 404 and every nineteenth 301, as the table has no status of its own.
     """
-    made = table(spark, sf_dir, "pages")
+    return bound_pages(table(spark, sf_dir, "pages"), enriched)
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder as a stream of its files."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern, as a stream reads no single file
+
+
+def bound_pages(made: DataFrame, enriched: bool = True) -> DataFrame:
+    """Rows of the pages table, or of a stream of it, as the audit reads them."""
     if enriched:
         made = made.selectExpr("page_id", f"{URL} as url", f"{HTML} as html")
         made = made.withColumn("html", F.expr(f"replace(replace(html, '</head>', {HEAD} || '</head>'), '</article>', {BODY} || '</article>')"))

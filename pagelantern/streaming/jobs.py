@@ -141,28 +141,49 @@ def stalled_runs(events: DataFrame, minutes: int = 6, late: str = "1 minute") ->
     return e.groupBy("run_id").transformWithStateInPandas(StalledRuns(minutes), out, outputMode="Append", timeMode="EventTime")
 
 
-def upsert_batches(stream: DataFrame, target: str, keys: list[str], order: str, checkpoint: str):
-    """Keeps the latest row of each key in a Parquet folder: every batch is merged with what is there, in a new version folder.
+def upsert_batches(stream: DataFrame, target: str, keys: list[str], order: str, checkpoint: str, buckets: int = 16):
+    """Keeps the latest row of each key in a Parquet folder, dealt into buckets by the keys' hash.
 
-    The versions are numbered by batch, so a repeated batch writes the same version again.
+    A batch is merged with the latest version of the buckets that it touches, and only those are written, as a new
+    version named by the batch: a repeated batch writes the same again, and no file that is read is overwritten.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{target}/v={number - 1}") if number else batch.limit(0)
-        newest = old.unionByName(batch).groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r"))
-        newest.select("r.*").write.mode("overwrite").parquet(f"{target}/v={number}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        try:
+            both = rows.select(*batch.columns, "bucket")
+            old = latest_version(spark, target, number)
+            if old is not None:
+                touched = rows.select("bucket").distinct()  # at most `buckets` rows
+                both = both.unionByName(old.join(F.broadcast(touched), "bucket", "left_semi").select(*batch.columns, "bucket"))
+            rest = [c for c in batch.columns if c not in keys]
+            newest = both.groupBy("bucket", *keys).agg(F.max_by(F.struct(*rest), order).alias("latest"))
+            newest.select("bucket", *keys, "latest.*").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={number}")
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest_version(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
+    """The rows of each bucket's latest version (before version `below`), None if nothing was written yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if below == 0 or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    rows = spark.read.option("basePath", target).parquet(f"{target}/v=*")
+    rows = rows if below is None else rows.where(F.col("v") < below)
+    last = rows.select("bucket", "v").distinct().groupBy("bucket").agg(F.max("v").alias("v"))
+    return rows.join(F.broadcast(last), ["bucket", "v"], "left_semi").drop("v")
+
+
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there into Parquet (append) or memory (complete) and returns the rows."""
+    """Runs a stream over all that is there into Parquet and returns the rows; in complete mode each batch replaces them."""
     spark, name = stream.sparkSession, f"run_{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/{name}-state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/{name}").start()
     else:
-        query = writer.format("memory").queryName(name).start()
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/{name}")).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/{name}") if mode == "append" else spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/{name}")

@@ -69,7 +69,7 @@ def test_upsert_keeps_latest(spark, tmp_path):
     data = [(1, T0, "queued"), (1, T0 + dt.timedelta(1), "completed"), (2, T0, "queued")]
     stream = _stream(spark, spark.createDataFrame(data, "id long, ts timestamp, status string"), f"{tmp_path}/in", 2)
     jobs.upsert_batches(stream, f"{tmp_path}/out", ["id"], "ts", f"{tmp_path}/state").awaitTermination()
-    last = spark.read.parquet(f"{tmp_path}/out/v=1")
+    last = jobs.latest_version(spark, f"{tmp_path}/out")
     assert sorted((r.id, r.status) for r in last.collect()) == [(1, "completed"), (2, "queued")]
 
 
