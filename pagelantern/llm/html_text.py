@@ -1,32 +1,38 @@
-"""Main text of web pages by markup and by a host's suffix array.
+"""Main text of web pages by a host's suffix array, with markup as further evidence.
 
 A page is read into blocks, the texts between block-level tags, each inside or outside the page's article (`article`,
 `main`, role main or a usual content class) and marked or not as menu, header, footer, sidebar, notice, advert, form,
 script or reader comments by its elements, roles, classes and ids.
 
-Outside articles a host's repeated text is boilerplate. The pages' token streams (words, and a token for each block's
-place) are concatenated for each host, and their suffixes sorted to the depth of `depth` tokens: suffixes that are
-neighbours with a common prefix of that depth, on `pages` or more distinct pages, are substrings that pages share, and
-each token they cover is boilerplate. The sort is dealt out: suffixes meet by the hash of host and prefix, each page
-counts once, counts are summed before the shuffle, and what is shared goes back to the pages by a join that adaptive
-execution can split, so no host is gathered in one task.
+The pages' token streams (words, and a token for each block's place) are concatenated for each host, and their suffixes
+sorted to the depth of `depth` tokens. A substring of that length or more is on several pages just if each of its
+pieces of `depth` tokens is, so the sort needs no more depth: equal prefixes of distinct pages, chained on a page, are
+the long repeated substrings, and their cover is the same as a full sort's. The sort is dealt out: suffixes meet by the hash
+of host and prefix, and what is shared goes back to the pages by a join, so no host is gathered in one task.
 
-Kept are the blocks of the article and, on pages without one, the runs outside that no other page shares. Inside
-articles shared text stays: copies of an article are articles.
+Two rules read the array; copies of a page (equal in all visible text), or of an article, count as one page in it:
+- Outside articles what two distinct pages share is boilerplate and goes; unique runs stay. A page of which less than `own`
+  (a tenth) would stay is a near copy: then only what more pages share goes, by the lowest number that leaves that much.
+- Inside an article a whole block is boilerplate if `share` (half) of the host's distinct articles hold it, `least` (5) at
+  least: a standing notice, a sign-off. If such blocks are more than half of an article, it is a copy and stays whole.
+
+Markup decides what no repetition shows: adverts, forms or comments that a host shows once go, and text in the article
+that other pages quote stays.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType
 
-from pagelantern.llm.common import added, cut, table
+from pagelantern.llm.common import added, cut, shared_folder, table
 
 # Fixed values of HTML: elements that start a line of their own, have no end tag, hold raw text, or hold no article text.
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -82,6 +88,8 @@ def blocks(page: str | None) -> list[tuple[int, str, str]]:
     """
     page, out, at, text = page or "", [], 0, []
     stack = [("", 0, False, "")]  # name, not article text (2: by its element), in the article, class
+    opened: dict[str, list[int]] = {}  # where in the stack the elements of a name are
+    walls: list[int] = []
 
     def flush():
         if text:
@@ -91,6 +99,11 @@ def blocks(page: str | None) -> list[tuple[int, str, str]]:
                 out.append((OFFSIDE if off else IN if inside else OUT, f"{name}.{kind}", said))
             text.clear()
 
+    def pop():
+        opened[stack.pop()[0]].pop()
+        if walls and walls[-1] == len(stack):
+            walls.pop()
+
     while at < len(page):
         m = TAG.search(page, at)
         if not m:
@@ -109,14 +122,13 @@ def blocks(page: str | None) -> list[tuple[int, str, str]]:
         if tag in BLOCK:
             flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if stack[k][1] != stack[k - 1][1] or stack[k][2] != stack[k - 1][2]:
-                        flush()
-                    del stack[k:]
-                    break
-                if stack[k][0] in WALLS and tag not in WALLS:
-                    break
+            places = opened.get(tag)
+            if places and (tag in WALLS or not walls or walls[-1] <= places[-1]):
+                first, above = places[-1], stack[places[-1] - 1]
+                if (bool(stack[-1][1]), stack[-1][2]) != (bool(above[1]), above[2]):
+                    flush()
+                while len(stack) > first:
+                    pop()
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -125,13 +137,15 @@ def blocks(page: str | None) -> list[tuple[int, str, str]]:
         if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             continue
         if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack[-1][0] == tag:
-            stack.pop()
+            pop()
         _, off, inside, kind = stack[-1]
         new_off, new_inside = _places(tag, raw, off, inside)
         if (bool(new_off), new_inside) != (bool(off), inside):
             flush()
-        if len(stack) < 500:
-            stack.append((tag, new_off, new_inside, attributes(raw).get("class", "")[:40] if "class" in raw else kind))
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in WALLS:
+            walls.append(len(stack))
+        stack.append((tag, new_off, new_inside, attributes(raw).get("class", "") if "class" in raw else kind))
     flush()
     return out
 
@@ -161,10 +175,27 @@ def prefixes(run, depth: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def article_text(found: list[tuple[int, str, str]]) -> str | None:
-    """The text of a page's article; None if it has none."""
-    inside = [text for place, _, text in found if place == IN]
-    return " ".join(inside) if inside else None
+def long_blocks(found: list[tuple[int, str, str]], depth: int) -> list[tuple[int, int]]:
+    """(block number, hash) of the article's blocks of `depth` words or more: suffixes that start and end with a block."""
+    return [(i, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 7) - (1 << 63)) for i, (place, _, text) in enumerate(found) if place == IN and text.count(" ") >= depth - 1]
+
+
+def read_page(page: str | None, depth: int) -> dict:
+    """What the suffix array needs of a page: its prefixes, its article's long blocks, and a hash of all text and of the article."""
+    found = blocks(page)
+    outside = np.unique(np.concatenate([np.empty(0, np.int64), *(prefixes(r, depth) for r in stretches(found))]))
+    inside = np.unique(np.array([h for _, h in long_blocks(found, depth)], dtype=np.int64))
+    of = lambda texts: xxhash.xxh64_intdigest("\0".join(texts).encode("utf-8", "surrogatepass"), 9) - (1 << 63)
+    return {"outside": outside, "inside": inside, "key": of(f"{place}{text}" for place, _, text in found), "article": of(text for place, _, text in found if place == IN), "has_article": any(place == IN for place, _, _ in found)}
+
+
+def article_text(found: list[tuple[int, str, str]], shared: dict[int, int], depth: int) -> str | None:
+    """The text of a page's article without standing blocks; None if it has no article."""
+    inside = [i for i, (place, _, _) in enumerate(found) if place == IN]
+    gone = {i for i, h in long_blocks(found, depth) if h in shared} if shared else set()
+    if 2 * sum(len(found[i][2]) for i in gone) > sum(len(found[i][2]) for i in inside):
+        gone = set()
+    return " ".join(found[i][2] for i in inside if i not in gone) if inside else None
 
 
 def uncovered(words: list[str], covered: np.ndarray, depth: int) -> list[str]:
@@ -177,53 +208,68 @@ def uncovered(words: list[str], covered: np.ndarray, depth: int) -> list[str]:
     return [w for w, k in zip(words, keep) if k]
 
 
-def unique_text(found: list[tuple[int, str, str]], shared: set[int], depth: int) -> str:
-    """The runs of a page without an article that no other page shares."""
-    out = []
-    for run in stretches(found):
-        covered = np.zeros(len(run) + depth, dtype=bool)
-        for k, h in enumerate(prefixes(run, depth).tolist()):
-            if h in shared:
+def unique_text(found: list[tuple[int, str, str]], shared: dict[int, int], depth: int, own: float = 0.1) -> str:
+    """The runs of a page without an article that no other page shares. shared: on how many distinct pages a suffix is."""
+    runs = [(run, np.array([shared.get(h, 1) for h in prefixes(run, depth).tolist()])) for run in stretches(found)]
+    whole = sum(len(text.split(" ")) for place, _, text in found if place == OUT)
+    words: list[str] = []
+    for most in [1, *sorted({int(n) for _, counts in runs for n in counts if n > 1})]:  # what is on more pages goes
+        words = []
+        for run, counts in runs:
+            covered = np.zeros(len(run) + depth, dtype=bool)
+            for k in np.flatnonzero(counts > most).tolist():
                 covered[k : k + depth] = True
-        starts = [k for k in range(len(run)) if k == 0 or run[k - 1][0] != run[k][0]]
-        for k, end in zip(starts, [*starts[1:], len(run)]):
-            if found[run[k][0]][0] == OUT:
-                words = [w for _, w in run[k + 1 : end]]  # without the token of the block's place
-                out += uncovered(words, covered[k + 1 : end], depth)
-    return " ".join(out)
+            starts = [k for k in range(len(run)) if k == 0 or run[k - 1][0] != run[k][0]]
+            for k, end in zip(starts, [*starts[1:], len(run)]):
+                if found[run[k][0]][0] == OUT:
+                    words += uncovered([w for _, w in run[k + 1 : end]], covered[k + 1 : end], depth)  # without the token of the block's place
+        if len(words) >= own * whole:
+            break
+    return " ".join(words)
 
 
-def extract(pages: DataFrame, depth: int = 6, least_pages: int = 3) -> DataFrame:
+def main_text(page: str | None, shared: dict[int, int], depth: int = 6) -> str:
+    """A page's main text, given which of its suffixes and blocks are the host's, and on how many distinct pages."""
+    found = blocks(page)
+    article = article_text(found, shared, depth)
+    return unique_text(found, shared, depth) if article is None else article
+
+
+def extract(pages: DataFrame, depth: int = 6, least: int = 5, share: float = 0.5, sent: int = 1 << 20) -> DataFrame:
     """page_id, url, text, n_chars and n_shared of every page (page_id, url, html).
 
     A null html counts as empty; an empty page, or one without article text, has text ''. A page whose url is null or
-    has no host shares the host ''. Repeated rows stay. n_shared is the number of suffixes outside the
-    article that other pages of the host share. Extra columns are ignored.
+    has no host shares the host ''. Repeated rows stay, and count as one page. n_shared is the number of suffixes and blocks
+    of a page's text that are the host's. What is shared goes to all executors up to `sent` suffixes in all, beyond
+    that the pages are shuffled to it. Extra columns are ignored.
     """
+    spark = pages.sparkSession
     base = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("page"))
-    base = base.withColumn("host", F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))))
-
-    # pages are parsed once for the suffixes and once for the text: cheaper than keeping all texts in between
-    def suffixes_of(rows):
-        runs = [[prefixes(r, depth) for r in stretches(blocks(x))] for x in rows]
-        return [[np.unique(np.concatenate([np.empty(0, np.int64), *r])) for r in runs]]
-
-    suffixes = added(base.select("page", "host", "html"), "html", suffixes_of, {"suffix": ArrayType(LongType())}).drop("html")
-    suffixes = suffixes.select("page", "host", F.explode("suffix").alias("suffix"))
-    shared = suffixes.groupBy("host", "suffix").count().where(F.col("count") >= least_pages).select("host", "suffix")
-    shared = cut(shared)
-    hits = suffixes.join(shared, ["host", "suffix"]).groupBy("page").agg(F.collect_set("suffix").alias("shared"))
-
-    def split(rows):
-        articles = [article_text(blocks(x)) for x in rows]
-        return [articles, [x if a is None else None for x, a in zip(rows, articles)]]
-
-    # of a page with an article only its text is shuffled, of the few others the html
-    texts = added(base.select("page_id", "url", "page", "html"), "html", split, {"article": StringType(), "html": StringType()})
-    joined = texts.join(hits, "page", "left").select("page_id", "url", F.struct("article", "html", "shared").alias("row"))
+    host = F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)))
+    fields = {"outside": ArrayType(LongType()), "inside": ArrayType(LongType()), "key": LongType(), "article": LongType(), "has_article": BooleanType()}
+
+    def read(rows):
+        made = [read_page(x, depth) for x in rows]
+        return [[r[k] for r in made] for k in fields]
+
+    # hashes alone are written: pages are parsed again for their text, which is cheaper than keeping all texts in between
+    folder = f"{shared_folder(spark)}/suffixes-{uuid.uuid4().hex}"
+    added(base.select("page", host.alias("host"), "html"), "html", read, fields).drop("html").write.parquet(folder)
+    seen = spark.read.parquet(folder)
+    counts = lambda rows: rows.groupBy("host", "suffix").agg(F.count("*").cast("int").alias("n"))
+    common = counts(seen.dropDuplicates(["host", "key"]).select("host", F.explode("outside").alias("suffix"))).where("n > 1")
+    articles = seen.where("has_article").select("host", "article", "inside").dropDuplicates(["host", "article"])
+    hosts = articles.groupBy("host").agg(F.count("*").alias("articles"))
+    standing = counts(articles.select("host", F.explode("inside").alias("suffix"))).where(F.col("n") >= least)
+    standing = standing.join(hosts, "host").where(F.col("n") >= share * F.col("articles")).drop("articles")
+    hits = seen.where("not has_article").select("page", "host", F.explode("outside").alias("suffix")).join(common, ["host", "suffix"])
+    hits = hits.unionByName(seen.select("page", "host", F.explode("inside").alias("suffix")).join(standing, ["host", "suffix"]))
+    hits = cut(hits.groupBy("page").agg(F.collect_set(F.struct("suffix", "n")).alias("shared")))
+    few = (hits.agg(F.sum(F.size("shared") + 4)).first()[0] or 0) <= sent
+    joined = base.join(F.broadcast(hits) if few else hits, "page", "left").select("page_id", "url", F.struct("html", "shared").alias("row"))
 
     def write(rows):
-        text = [unique_text(blocks(r["html"]), set(r["shared"] or ()), depth) if r["article"] is None else r["article"] for r in rows]
+        text = [main_text(r["html"], {x["suffix"]: x["n"] for x in r["shared"] or ()}, depth) for r in rows]
         return [text, [len(r["shared"] or ()) for r in rows]]
 
     out = added(joined, "row", write, {"text": StringType(), "n_shared": LongType()}).drop("row")
