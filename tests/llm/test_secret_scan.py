@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -10,7 +11,7 @@ from pagelantern.llm import secret_scan as s
 
 @pytest.fixture(scope="module")
 def model():
-    return s.train(s.generated())
+    return s.train(s.generated(n=2000))
 
 
 def best_by_trying_all(model, score):
@@ -45,6 +46,44 @@ def test_finds_made_up_secrets_and_leaves_the_rest(model):
     assert np.mean(found[1::2]) >= 0.9 and np.mean(found[0::2]) < 0.05
 
 
+def test_tokens_of_a_kind_have_the_same_features():
+    words, kinds = frozenset(["the"]), {}
+    tokens = ["the", "of", "Paris", "paris", "zzzzz", "abcdefghij", "jihgfedcba", "password", "Passwords", "AKIAx", "a1", "été", "Éte", "xoxo", "a" * 40]
+    for t in tokens:
+        kinds.setdefault(s.kind_of(t, words), set()).add(tuple(s.token_features(t, words)))
+    assert all(len(f) == 1 for f in kinds.values()) and len(kinds) < len(tokens)
+
+
+def test_planted_secrets_outside_the_patterns(spark, sf_dir):
+    """Recall and precision of the query's spans on secrets of forms that the base patterns miss, in the table's documents."""
+    rng = random.Random(8)
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows, planted, made = [], {}, set()
+    for k, (i, text) in enumerate(docs):
+        value = s.secret_phrase(rng) if k % 5 == 0 else s.secret_value(rng)
+        lead = rng.choice(["pwd = ", "pass: "]) if k % 5 == 0 else rng.choice(["", "deploy key: ", "export KEY=", "Bearer "])
+        words = text.split(" ")
+        at = rng.randrange(len(words) + 1)
+        before = " ".join([*words[:at], lead])
+        if k % 2:
+            rows.append((i, " ".join([*words[:at], lead + value, *words[at:]])))
+            planted[i] = (len(before), len(before) + len(value))
+            assert not any(a < planted[i][1] and planted[i][0] < b for a, b, _ in s.base_spans(rows[-1][1])), value
+        else:
+            rows.append((i, text))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(x.start, x.end) for x in r.spans if x.kind == "crf"] for r in s.scan(frame, s.learn(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))).collect()}
+    hits = [i for i, (a, b) in planted.items() if any(x <= a and y >= b for x, y in found[i])]
+    wrong = sum(not (i in planted and x < planted[i][1] and planted[i][0] < y) for i, spans in found.items() for x, y in spans)
+    assert len(hits) >= 0.9 * len(planted) and wrong <= 0.1 * sum(map(len, found.values()))
+
+
+def test_sample_is_bounded_whatever_repeats(frame):
+    rows = [(k, "password=abcdefgh123 in a text that a third of all rows hold " + "w " * (k % 3 > 0) * k) for k in range(300)]
+    docs = frame(rows, "doc_id long, text string")
+    assert s.learn(docs, sample=20, secrets=5, plain=5).weight.any() and s.learn(frame([], docs.schema)).weight.any()
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
