@@ -14,6 +14,7 @@ false positives alone, from how full its slice is, is taken off, and the largest
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql.types import DoubleType, StringType
 from pagelantern.llm.common import added, release, table
 
 ORDERS, HASHES = 5, 4
+SLICE = 1 << 18
 UNKNOWN = "und"
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -35,25 +37,37 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def grams(text: str | None) -> list[np.ndarray]:
-    """For each order the hashes of a text's n-grams, repeats included. A word's ends count as letters."""
+def code_points(text: str | None) -> np.ndarray:
+    """The letters of a text in lower case as code points, with one 0 for what is between words and at both ends; empty without letters."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     is_letter = letters()[codes]
     if not is_letter.any():
-        return [np.empty(0, np.uint64)] * ORDERS
-    codes = np.r_[np.uint32(0), np.where(is_letter, codes, 0), np.uint32(0)]
-    codes = codes[np.r_[True, (codes[1:] > 0) | (codes[:-1] > 0)]].astype(np.uint64)  # one gap between words
-    gaps = np.r_[0, np.cumsum(codes == 0)]
-    out, h = [], np.zeros(len(codes), np.uint64)
-    with np.errstate(over="ignore"):
-        for n in range(1, ORDERS + 1):
-            h = h[: len(codes) - n + 1] + (codes[n - 1 :] + np.uint64(1)) * STEPS[n - 1]
-            inside = gaps[n - 1 : len(codes)] - gaps[1 : len(codes) - n + 2] if n > 2 else np.zeros(len(h), int)
-            ok = (inside == 0) & (codes[: len(h)] > 0) if n == 1 else inside == 0
-            x = (h[ok] ^ np.uint64(n)) * STEPS[0]
-            x = (x ^ (x >> np.uint64(29))) * STEPS[1]
-            out.append(x ^ (x >> np.uint64(32)))
-    return out
+        return np.empty(0, np.uint32)
+    codes = np.r_[np.uint32(0), np.where(is_letter, codes, np.uint32(0)), np.uint32(0)]
+    return codes[np.r_[True, (codes[1:] > 0) | (codes[:-1] > 0)]]
+
+
+def grams(text: str | None, each: int = SLICE) -> Iterator[list[np.ndarray]]:
+    """For each slice of `each` places of a text, for each order the hashes of the n-grams that start there, repeats included.
+
+    A word's ends count as letters. Slices overlap by what an n-gram spans, so they hold each n-gram once, and memory
+    beyond the text's own code points is that of a slice, however long the text is.
+    """
+    whole = code_points(text)
+    for first in range(0, len(whole), each):
+        codes = whole[first : first + each + ORDERS - 1].astype(np.uint64)
+        gaps = np.r_[0, np.cumsum(codes == 0)]
+        out, h = [], np.zeros(len(codes), np.uint64)
+        with np.errstate(over="ignore"):
+            for n in range(1, ORDERS + 1):
+                h = h[: max(0, len(codes) - n + 1)] + (codes[n - 1 :] + np.uint64(1)) * STEPS[n - 1]
+                inside = gaps[n - 1 : len(codes)] - gaps[1 : len(codes) - n + 2] if n > 2 else np.zeros(len(h), int)
+                ok = (inside == 0) & (codes[: len(h)] > 0) if n == 1 else inside == 0
+                own = ok[:each]
+                x = (h[:each][own] ^ np.uint64(n)) * STEPS[0]
+                x = (x ^ (x >> np.uint64(29))) * STEPS[1]
+                out.append(x ^ (x >> np.uint64(32)))
+        yield out
 
 
 class LanguageFilter:
@@ -79,15 +93,16 @@ class LanguageFilter:
 
     def shares(self, text: str | None) -> np.ndarray | None:
         """For each language the corrected share of the text's n-grams; None without letters."""
-        hashes = np.concatenate(grams(text))
-        if not len(hashes):
-            return None
-        found = None
-        for places in self._places(hashes):
-            masks = self.masks[places]
-            found = masks if found is None else found & masks
-        n = np.array([np.count_nonzero(found[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(len(self.languages))])
-        return np.maximum(0, (n / len(hashes) - self.false) / (1 - self.false))
+        total, counts = 0, np.zeros(len(self.languages), dtype=np.int64)
+        for part in grams(text):
+            hashes, found = np.concatenate(part), None
+            for places in self._places(hashes):
+                masks = self.masks[places]
+                found = masks if found is None else found & masks
+            total += len(hashes)
+            for i in range(len(self.languages)):
+                counts[i] += np.count_nonzero(found[:, i // 64] >> np.uint64(i % 64) & np.uint64(1))
+        return np.maximum(0, (counts / total - self.false) / (1 - self.false)) if total else None
 
     def predict(self, text: str | None) -> tuple[str, float]:
         shares = self.shares(text) if self.languages else None
@@ -97,9 +112,11 @@ class LanguageFilter:
         return self.languages[best], float(shares[best] / total) if total > 0 else 0.0
 
 
-def learn(labelled: DataFrame, sample: int = 4000, least_rate: float = 2e-5, near: float = 0.5) -> LanguageFilter:
+def learn(labelled: DataFrame, sample: int = 4000, least_rate: float = 2e-5, near: float = 0.5, most: int = 2_500_000) -> LanguageFilter:
     """A filter from labelled (doc_id, text, lang). Rows with a null id, text or lang are left out.
 
+    With many languages least_rate is raised so that the n-grams of all of them, which the driver collects, are `most` at most.
+
     Languages are ordered by their number of documents, then by name; the first of equals wins a tie.
     """
     labelled = labelled.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
@@ -107,6 +124,7 @@ def learn(labelled: DataFrame, sample: int = 4000, least_rate: float = 2e-5, nea
     names = [lang for lang, _ in sizes]
     if not names:
         return LanguageFilter([], np.empty(0, np.uint64), np.empty(0, np.int64))
+    least_rate = max(least_rate, len(names) * ORDERS / most)
     part = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, min(1.0, sample / n))))
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < F.try_element_at(part, F.col("lang")) * (1 << 20))
 
@@ -115,11 +133,12 @@ def learn(labelled: DataFrame, sample: int = 4000, least_rate: float = 2e-5, nea
         size: dict[str, int] = {}
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
-                held.setdefault(lang, []).append(grams(text))
-                size[lang] = size.get(lang, 0) + len(text)
-                if size[lang] >= 500_000:  # characters, of about 40 bytes of hashes each
-                    yield summed(lang, held.pop(lang))
-                    size[lang] = 0
+                for part in grams(text):
+                    held.setdefault(lang, []).append(part)
+                    size[lang] = size.get(lang, 0) + len(part[0])
+                    if size[lang] >= 500_000:  # letters, of about 40 bytes of hashes each
+                        yield summed(lang, held.pop(lang))
+                        size[lang] = 0
         for lang, rows in held.items():
             yield summed(lang, rows)
         held.clear()

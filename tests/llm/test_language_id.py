@@ -1,24 +1,66 @@
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 
 from pagelantern.llm import language_id as lid
 
 
-def test_ngrams_equal_slow_ones():
-    def slow(text):
-        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
-        padded = "\0" + "\0".join(words) + "\0"
-        return [[padded[i : i + n] for i in range(len(padded) - n + 1) if "\0" not in padded[i : i + n][1 : n - 1] and (n > 1 or padded[i] != "\0")] for n in range(1, lid.ORDERS + 1)]
+def slow_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    padded = "\0" + "\0".join(words) + "\0"
+    return [[padded[i : i + n] for i in range(len(padded) - n + 1) if "\0" not in padded[i : i + n][1 : n - 1] and (n > 1 or padded[i] != "\0")] for n in range(1, lid.ORDERS + 1)]
+
+
+def joined(parts):
+    parts = list(parts)
+    return [np.concatenate([p[n] for p in parts]) for n in range(lid.ORDERS)] if parts else [np.empty(0, np.uint64)] * lid.ORDERS
 
+
+def test_ngrams_equal_slow_ones():
     for text in ("a", "The cat, the DOG!", "Übung macht  den Meister 12 mal", "x-y"):
-        seen = {}
-        for fast, want in zip(lid.grams(text), slow(text)):
-            assert len(fast) == len(want)
-            for h, g in zip(fast.tolist(), want):
-                assert seen.setdefault(h, g) == g
-        assert len(set(seen.values())) == len(seen)
-    assert all(len(g) == 0 for g in lid.grams("12 !") + lid.grams(None))
+        for each in (1, 2, 3, 7, 1000):
+            seen = {}
+            for fast, want in zip(joined(lid.grams(text, each)), slow_grams(text)):
+                assert len(fast) == len(want)
+                for h, g in zip(fast.tolist(), want):
+                    assert seen.setdefault(h, g) == g
+            assert len(set(seen.values())) == len(seen)
+    assert not list(lid.grams("12 !")) and not list(lid.grams(None))
+
+
+def test_long_texts_are_read_in_slices():
+    model = lid.LanguageFilter(["x"], np.concatenate(joined(lid.grams("long words"))), np.zeros(len(np.concatenate(joined(lid.grams("long words")))), dtype=np.int64))
+    tracemalloc.start()
+    assert model.predict("long words " * 700_000) == ("x", 1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600e6
+
+
+def test_predictions_equal_those_of_plain_sets(spark, sf_dir):
+    """Learning and deciding again with counted strings and exact sets, in plain Python."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [r for r in docs.collect() if r.text and r.lang]
+    seen = {}
+    for r in rows:
+        for n, gs in enumerate(slow_grams(r.text)):
+            seen.setdefault((r.lang, n), Counter()).update(gs)
+    rates = {}
+    for (lang, n), counts in seen.items():
+        for g, c in counts.items():
+            if (rate := c / sum(counts.values())) >= 2e-5:
+                rates.setdefault((n, g), {})[lang] = rate
+    owners = {k: {lang for lang, r in x.items() if r >= 0.5 * max(x.values())} for k, x in rates.items()}
+    model, same = lid.learn(docs), []
+    for r in rows[:60]:
+        gs = [(n, g) for n, x in enumerate(slow_grams(r.text)) for g in x]
+        shares = {lang: sum(lang in owners.get(k, ()) for k in gs) / len(gs) for lang in model.languages}
+        found = model.shares(r.text)
+        assert max(abs(found[i] - shares[lang]) for i, lang in enumerate(model.languages)) < 0.02
+        same.append(model.predict(r.text)[0] == max(model.languages, key=shares.get))
+    assert np.mean(same) > 0.95
 
 
 def test_filter_has_all_and_few_others():
