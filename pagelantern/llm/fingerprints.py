@@ -8,13 +8,14 @@ distinct shingles; up to k distinct shingles all three are exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelantern.llm.common import table
 
 K, WORDS = 64, 5
-MOST_RANGES = 20_000
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -57,43 +58,76 @@ def digits(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, each: int = 2000) -> DataFrame:
+def _array(values, kind: str) -> Column:
+    """A literal array, told as one text so that plans stay small."""
+    told = F.split(F.lit(",".join("null" if v is None else str(v) for v in values)), ",")
+    return F.transform(told, lambda x: F.when(x != "null", x.cast(kind))) if values else F.array().cast(f"array<{kind}>")
+
+
+def _below(x: Column, many: int, at: str) -> Column:
+    """How many of the ascending array in column `at`, of `many` values, are below x: a binary search."""
+    start = F.struct(F.lit(0).alias("lo"), F.lit(many).alias("hi"))
+
+    def step(a, _):
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        up = F.get(at, mid) < x
+        open_ = a["lo"] < a["hi"]
+        return F.struct(F.when(open_ & up, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~up, mid).otherwise(a["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, many.bit_length() + 1))), start, step, lambda a: a["lo"])
+
+
+def with_next(docs: DataFrame, each: int = 2000, most: int = 50_000, tie: list[str] | None = None) -> DataFrame:
     """docs (doc_id, and any columns) with next_<column> of the document next by descending doc_id, cyclically.
 
-    The ids are cut into ranges of about `each` rows at ids of the table, found by approximate percentiles. A
-    range's greatest row is also given to the range above, as the one that follows its last, so that one
-    window for each range, and one shuffle, suffice. Rows with equal ids follow each other by their other columns;
-    null ids come last.
+    Rows with equal ids follow each other by a hash of the columns `tie` (default: all); null ids come last. The ids are cut
+    into ranges of about `each` rows (of more, if there were more than `most` ranges) at ids of the table, found by
+    approximate percentiles; an id that has several percentiles, and the null ids, are cut further by the hash. A
+    row finds its range by binary search. The first row of a range is also given to the range that it follows, so one
+    window for each range, and one shuffle, suffice. Of the ranges the driver knows bounds and first rows' ids and hashes.
     """
-    n = docs.count()
-    many = max(1, min(MOST_RANGES, -(-n // each)))
-    shares = ",".join(f"{(i + 1) / many:.9f}" for i in range(many - 1))
-    edges, top = docs.agg(
-        F.expr(f"percentile_approx(doc_id, array({shares}), {10 * many + 1000})" if many > 1 else "cast(null as array<bigint>)"), F.max("doc_id")
-    ).first()
-    edges = sorted(set(edges or []) - {top})
-    bounds = F.expr(f"cast(array({','.join(f'{e}L' if e > -(2**63) else 'bigint(-9223372036854775808)' for e in edges)}) as array<bigint>)")
-    # range r holds the ids over edges[r - 1] and up to edges[r]; nulls are in range 0, below all others
-    own = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))))
-    here = F.struct(own.alias("range"), F.lit(False).alias("ghost"))
-    above = F.when(F.array_contains(bounds, F.col("doc_id")), F.struct((own + 1).alias("range"), F.lit(True).alias("ghost")))
-    first = F.when(F.col("doc_id") == F.lit(top), F.struct(F.lit(0).alias("range"), F.lit(True).alias("ghost")))
-    if top is None:
-        first = F.struct(F.lit(0).alias("range"), F.lit(True).alias("ghost"))
-    dealt = docs.withColumn("at", F.explode(F.array_compact(F.array(here, above, first))))
-    dealt = dealt.select("*", "at.range", "at.ghost").drop("at")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("range").orderBy("ghost", F.desc_nulls_last("doc_id"), *(F.col(c) for c in docs.columns if c != "doc_id"))
-    out = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in docs.columns))
-    return out.where("not ghost").drop("range", "ghost")
+    tie = tie or [c for c in docs.columns if c != "doc_id"]
+    docs = docs.withColumn("hash_", F.xxhash64("doc_id", *tie))
+    n, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    many = max(1, min(most, -(-(n - nulls) // each)))
+    edges = []
+    if many > 1:
+        shares = ",".join(f"{(i + 1) / many:.9f}" for i in range(many - 1))
+        edges = docs.agg(F.expr(f"percentile_approx(doc_id, array({shares}), {10 * many + 1000})")).first()[0] or []
+    seen = Counter(edges)
+    ids, start, parts, at = sorted(seen), [], [], max(1, min(most, -(-nulls // each)))
+    for i in ids:  # ids over the last bound and up to i; an id with several percentiles has ranges of its own
+        start.append(at)
+        parts.append(seen[i] if seen[i] > 1 else 0)
+        at += 1 + parts[-1]
+    docs = docs.withColumn("ids_", _array(ids, "bigint"))
+    place = _below(F.col("doc_id"), len(ids), "ids_")
+    spread = lambda k: F.least(k - 1, F.floor((F.col("hash_") / F.lit(2.0**64) + 0.5) * k)).cast("int")
+    heavy = F.coalesce(F.get(_array(parts, "int"), F.col("place_")), F.lit(0))
+    first = F.coalesce(F.get(_array(start, "int"), F.col("place_")), F.lit(at))
+    is_edge = F.coalesce(F.get("ids_", F.col("place_")) == F.col("doc_id"), F.lit(False))
+    own = F.when(F.col("doc_id").isNull(), spread(F.lit(max(1, min(most, -(-nulls // each)))))).when((heavy > 0) & is_edge, first + 1 + spread(heavy)).otherwise(first)
+    docs = docs.withColumn("place_", place).withColumn("range_", own).drop("ids_", "place_")
+    tops = {r["range_"]: r["top"] for r in docs.groupBy("range_").agg(F.max(F.struct("doc_id", "hash_")).alias("top")).collect()}
+    there = sorted(tops)
+    after = dict(zip(there, [*there[1:], *there[:1]]))  # the range whose last row is followed by this range's first
+    size = there[-1] + 1 if there else 0
+    told = lambda f, kind: F.get(_array([f(r) if r in tops else None for r in range(size)], kind), F.col("range_"))
+    is_top = F.col("hash_").eqNullSafe(told(lambda r: tops[r]["hash_"], "bigint")) & F.col("doc_id").eqNullSafe(told(lambda r: tops[r]["doc_id"], "bigint"))
+    here = F.struct("range_", F.lit(False).alias("ghost_"))
+    ghost = F.when(is_top, F.struct(told(after.__getitem__, "int").alias("range_"), F.lit(True).alias("ghost_")))
+    columns = [c for c in docs.columns if c not in ("hash_", "range_")]
+    dealt = docs.withColumn("at_", F.explode(F.array_compact(F.array(here, ghost)))).select(*columns, "hash_", "at_.*")
+    order = Window.partitionBy("range_").orderBy("ghost_", F.desc_nulls_last("doc_id"), F.desc("hash_"))
+    out = dealt.select(*columns, "ghost_", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
+    return out.where("not ghost_").drop("ghost_")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and their likeness to these and to the next document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("mark", sketch(F.col("text")))
-    pairs = with_next(docs).withColumn("n", F.length("text")).withColumn("cut", F.floor(F.col("n") / 3).cast("int"))
+    pairs = with_next(docs, tie=["text"]).withColumn("n", F.length("text")).withColumn("cut", F.floor(F.col("n") / 3).cast("int"))
     edited = F.concat(F.expr("substring(text, 1, n - cut)"), F.expr("substring(next_text, 1, cut)"))
     pairs = pairs.select("doc_id", "n", "mark", "next_mark", edited.alias("edited"))
     pairs = pairs.select("*", sketch(F.col("edited")).alias("edited_mark"))

@@ -47,6 +47,62 @@ def test_next_with_nulls_and_repeats(frame):
     assert fp.with_next(frame([], docs.schema)).count() == 0
 
 
+def test_next_with_hot_ids(frame):
+    """Ids and nulls that many rows share are cut by the hash: one cycle through all rows, ids descending, nulls last."""
+    rows = [(5, f"a{k}") for k in range(120)] + [(None, f"n{k}") for k in range(90)] + [(k, f"b{k}") for k in range(40)]
+    got = fp.with_next(frame(rows, "doc_id long, text string"), each=10).collect()
+    follows = {(r.doc_id, r.text): (r.next_doc_id, r.next_text) for r in got}
+    assert len(got) == len(rows) and sorted(map(str, follows)) == sorted(map(str, follows.values())) == sorted(map(str, rows))
+    at, order = (39, "b39"), []
+    while len(order) < len(rows):
+        order.append(at[0])
+        at = follows[at]
+    assert at == (39, "b39") and order == sorted((k for k, _ in rows if k is not None), reverse=True) + [None] * 90
+
+
+def slow_sketch(text):
+    """The bottom k of a text's shingle hashes, with the hash library's own XXH64 chained as Spark does."""
+    import ctypes
+
+    import xxhash
+
+    signed = lambda h: ctypes.c_int64(h).value
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+    if not w:
+        return []
+    hashes = set()
+    for group in [w[k : k + fp.WORDS] for k in range(len(w) - fp.WORDS + 1)] or [[" ".join(w)]]:
+        seed = 42
+        for x in group:
+            seed = xxhash.xxh64_intdigest(x.encode(), seed)
+        hashes.add(signed(seed))
+    return sorted(hashes)[: fp.K]
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """The query on null and empty texts, repeated rows and ids, and extra columns, against plain Python."""
+    texts = ["", None, "one", "a b c d e f g", "é ü\u00a0x \t y z w v u", " ".join(f"w{k}" for k in range(400)), "a b c d e f g"]
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(None, "null id " * 5, "x"), (3, "a b c d e f g", "x"), (3, "a b c d e f g", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = fp.op5_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    digits = lambda t: "".join(f"{h & (2**64 - 1):016x}" for h in slow_sketch(t))
+
+    def near(a, b):
+        a, b = slow_sketch(a), slow_sketch(b)
+        both = sorted({*a, *b})[: fp.K]
+        return sum(h in a and h in b for h in both) / len(both) if both else 1.0
+
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0]) + [rows[7]]
+    want = []
+    for k, (i, text, _) in enumerate(order):
+        text, nxt = text or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + nxt[:cut]
+        want.append((str(i), len(text), hashlib.sha256(edited.encode()).hexdigest(), digits(text), digits(edited), round(near(text, edited), 9), round(near(text, nxt), 9)))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)
+
+
 def test_query_on_table(spark, sf_dir):
     docs = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").collect()}
     order = sorted(docs, reverse=True)
