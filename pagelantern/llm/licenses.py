@@ -1,11 +1,17 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every passage (line) of a text that holds one of the `ANCHORS` is compared with every template, and a licence file's
-whole text with the templates as well. Vectors are sparse: a term's weight is its count times its inverse document
-frequency over all texts; terms of no template have the weight of a term that is in one text, so only the frequencies
-of the templates' few hundred terms are counted and sent. A text's own licence is the best template at or
-above the threshold. Licence files give their licence to their directory, and a directory without one takes that of
-its nearest ancestor: directories are joined with their ancestors' paths, then files with their directories.
+A header or licence text may stand anywhere in a text, wrapped over lines or within a paragraph. So a text's passages are all its
+windows of as many terms as a template has (the whole text, if it is shorter), and a licence file's whole text as well.
+Vectors are sparse: a term's weight is its count times its inverse document frequency over all texts; terms of no
+template have the weight of a term that is in one text, so only the frequencies of the templates' terms are counted and
+sent. A text's own licence is the template of its highest cosine, if that is at or above the threshold.
+
+The search is exact, but skips what cannot reach the threshold: a template of whose weight a text holds too little (by the
+inequality of Cauchy and Schwarz), and windows whose dot product, a difference of running sums, is too small for
+the least norm that a window with such terms can have.
+
+Licence files give their licence to their directory, and a directory without one takes that of its nearest ancestor:
+directories are joined with their ancestors' paths, then files with their directories.
 """
 
 from __future__ import annotations
@@ -13,35 +19,58 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import islice, repeat
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 from pagelantern.llm.common import added, cut, table
 
-# Short forms of public licence notices, by SPDX identifier.
+# Public licence texts, notices and headings, by SPDX identifier.
+_DISCLAIMER = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU = "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _DISCLAIMER),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("GPL-2.0", "This program is free software; you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2."),
-    ("LGPL-3.0", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License. Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0. Creative Commons Attribution ShareAlike 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "To the extent possible under law the author has waived all copyright and related rights to this work. CC0 public domain."),
+    ("GPL-3.0", _GNU.format("This program", "", "3")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", _GNU.format("This program", "", "2").replace("software:", "software;")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", _GNU.format("This library", "Lesser ", "3")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", _GNU.format("This library", "Lesser ", "2.1").replace("software:", "software;")),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", _GNU.format("This program", "Affero ", "3")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_3} {_BSD_END}"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("CC0-1.0", "To the extent possible under law the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC0-1.0", "No rights reserved. Dedicated to the public domain under CC0 1.0."),
     ("Proprietary", "All rights reserved."),
-    ("Proprietary", "Copyright. All rights reserved. No part may be reproduced without permission."),
+    ("Proprietary", "No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher."),
 ]
-ANCHORS = re.compile(r"licen[cs]e|copyright|copyleft|rights reserved|spdx|permission|redistribut|public domain|creative commons")
+TEMPLATES += [(f"CC-{k.upper()}-4.0", f"Licensed under CC {k.upper()} 4.0.") for k in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")]
+TEMPLATES += [(f"CC-{k}-4.0", f"This work is licensed under a Creative Commons {said} 4.0 International License.") for k, said in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"))]
+TEMPLATES += [(k, f"SPDX-License-Identifier: {k}") for k in dict.fromkeys(k for k, _ in TEMPLATES if k != "Proprietary")]
+EDGE = 1e-9  # cosines that differ by less are equal
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 
@@ -55,36 +84,60 @@ class Templates:
 
     def __init__(self, seen: dict[str, int], texts: int):
         weight = lambda n: math.log((1 + texts) / (1 + n)) + 1
-        self.rare = weight(1)
-        self.idf = {t: weight(seen.get(t, 0)) for _, text in TEMPLATES for t in terms(text)}
-        self.vectors = []
-        for name, text in TEMPLATES:
-            v = {t: n * self.idf[t] for t, n in Counter(terms(text)).items()}
-            self.vectors.append((name, v, math.sqrt(sum(x * x for x in v.values()))))
-
-    def best(self, passage: str) -> tuple[float, str]:
-        """The highest cosine of a passage to a template, and its licence; the first of equals."""
-        counts = Counter(terms(passage))
-        own = {t: n * self.idf.get(t, self.rare) for t, n in counts.items()}
-        size = math.sqrt(sum(x * x for x in own.values()))
-        near = [(sum(x * own[t] for t, x in v.items() if t in own) / (size * norm) if size else 0.0) for _, v, norm in self.vectors]
-        k = max(range(len(near)), key=near.__getitem__)
-        return near[k], self.vectors[k][0]
-
-    def own(self, text: str | None, whole: bool) -> tuple[str | None, float, int]:
-        """(licence, cosine, line from 0) of the best passage; a licence file's whole text is a passage of line -1."""
-        top = (0.0, None, -1)
-        if text and ANCHORS.search(text.lower()):
-            for k, line in enumerate(text.split("\n")):
-                if ANCHORS.search(line.lower()):
-                    near, name = self.best(line)
-                    if near > top[0]:
-                        top = (near, name, k)
-            if whole:
-                near, name = self.best(text)
-                if near > top[0]:
-                    top = (near, name, -1)
-        return top[1], top[0], top[2]
+        bags = [Counter(terms(text)) for _, text in TEMPLATES]
+        self.place = {t: i + 1 for i, t in enumerate(sorted(set().union(*bags)))}  # 0 is any other term
+        self.weight = np.array([weight(1), *(weight(seen.get(t, 0)) for t in self.place)])
+        self.long = [sum(bag.values()) for bag in bags]
+        self.vectors = np.zeros((len(bags), len(self.weight)))
+        for k, bag in enumerate(bags):
+            for t, n in bag.items():
+                self.vectors[k, self.place[t]] = n * self.weight[self.place[t]]
+        self.norms = np.sqrt((self.vectors**2).sum(1))
+
+    def cosine(self, k: int, window: np.ndarray, words: list[str]) -> float:
+        """The cosine of a window of terms (their places and words) to template k."""
+        size = sum((n * self.weight[self.place.get(t, 0)]) ** 2 for t, n in Counter(words).items())
+        return float((self.weight[window] * self.vectors[k, window]).sum() / (math.sqrt(size) * self.norms[k]))
+
+    def best(self, text: str, threshold: float, whole: bool = False) -> tuple[float, str | None, int]:
+        """(cosine, licence, term where the window starts) of the best window at or above the threshold, else (0, None, -1).
+
+        Of equal windows the first template's first one counts; whole: the whole text is a window too, starting at -1.
+        """
+        words, top = terms(text), (0.0, None, -1)
+        places = np.fromiter(map(self.place.get, words, repeat(0)), dtype=np.int64, count=len(words))
+        held = np.zeros(len(self.weight))
+        held[places] = 1
+        held[0] = 0
+        reach = np.sqrt((self.vectors**2) @ held) / self.norms  # no window's cosine is more
+        own = self.weight[places]
+        norms = np.sqrt(np.r_[0, np.cumsum(own**2)])
+        for k in np.flatnonzero(reach >= threshold - EDGE).tolist():
+            n = min(self.long[k], len(words))
+            dots = np.r_[0, np.cumsum(own * self.vectors[k, places])]
+            most = (dots[n:] - dots[: len(dots) - n]) / (np.sqrt(np.maximum(norms[n:] ** 2 - norms[: len(norms) - n] ** 2, 1e-12)) * self.norms[k])
+            likely = np.flatnonzero(most >= max(threshold, top[0]) - EDGE)
+            met = set()
+            for i in likely[np.argsort(-most[likely], kind="stable")].tolist():
+                if most[i] < top[0] - EDGE:
+                    break
+                window = tuple(words[i : i + n])
+                if window not in met:  # windows of repeated text are compared once
+                    met.add(window)
+                    near = self.cosine(k, places[i : i + n], words[i : i + n])
+                    if near >= threshold - EDGE and near > top[0] + EDGE:
+                        top = (near, TEMPLATES[k][0], i)
+            if whole and (near := self.cosine(k, places, words)) >= threshold - EDGE and near > top[0] + EDGE:
+                top = (near, TEMPLATES[k][0], -1)
+        return top
+
+    def own(self, text: str | None, whole: bool, threshold: float) -> tuple[str | None, float, int | None]:
+        """(licence, cosine, line from 0 where the best window starts, -1 for a whole licence file); (None, 0, None) below the threshold."""
+        near, name, at = self.best(text or "", threshold, whole)
+        if name is None:
+            return None, 0.0, None
+        low = (text or "").lower()
+        return name, near, -1 if at < 0 else low.count("\n", 0, next(islice(TERM.finditer(low), at, None)).start())
 
 
 def learn(docs: DataFrame) -> Templates:
@@ -102,7 +155,8 @@ def learn(docs: DataFrame) -> Templates:
 def scan(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """docs (path, text, any others but those that follow) with own_license, score, line, license and from_dir.
 
-    own_license is null below the threshold, and for null or empty texts. license is the own one or else that of the
+    own_license and line are null and score is 0 below the threshold, and for null or empty texts. line is where the best
+    window starts, -1 if it is a licence file's whole text. license is the own one or else that of the
     nearest ancestor directory with a licence file (own directory first), from_dir that directory. Of several licence
     files in a directory the highest score counts, then the first name. A null path has no directory. Repeated rows stay.
     """
@@ -111,12 +165,11 @@ def scan(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit(""))
 
     def of(rows):
-        return zip(*(sent.value.own(r["text"], r["file"]) for r in rows))
+        return zip(*(sent.value.own(r["text"], r["file"], threshold) for r in rows))
 
     marked = docs.withColumn("row", F.struct("text", base.rlike(FILE).alias("file"))).withColumn("from_file", base.rlike(FILE)).drop("text")
     marked = added(marked, "row", of, {"own_license": StringType(), "score": DoubleType(), "line": IntegerType()}).drop("row")
-    known = F.col("score") >= threshold
-    marked = marked.withColumns({"own_license": F.when(known, F.col("own_license")), "line": F.when(known, F.col("line")), "dir": folder})
+    marked = marked.withColumn("dir", folder)
     marked = cut(marked)
     given = marked.where("from_file and own_license is not null and dir is not null").groupBy("dir")
     given = cut(given.agg(F.min_by("own_license", F.struct(-F.col("score"), "own_license")).alias("given")))
