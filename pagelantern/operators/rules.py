@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelantern.functions import urls
 from pagelantern.sources import features as fx
 
 
@@ -50,7 +51,7 @@ T11b | technical-og | medium | 1 | quick | og_description = ''
 T11c | technical-og | medium | 1 | quick | og_image = ''
 T11d | technical-og | medium | 1 | quick | og_url = ''
 T11e | technical-og | medium | 1 | quick | og_type = ''
-T12 | technical-og | low | 1 | quick | og_image <> '' and og_image like '%:%' and lower(og_image) not like 'http%'
+T12 | technical-og | low | 1 | quick | og_image <> '' and not image_web
 T13a | technical-twitter | low | 0.5 | quick | tw_card = ''
 T13b | technical-twitter | low | 0.5 | quick | tw_title = ''
 T13c | technical-twitter | low | 0.5 | quick | tw_description = ''
@@ -73,7 +74,7 @@ S07 | schema-article | high | 3 | medium | article_like and not has_article_type
 S08 | schema-article | medium | least(3.5, 0.5 * article_missing) | quick | has_article_type and article_missing > 0
 S09 | schema-stacking | low | 1 | medium | n_objects > 0 and n_types < 3
 S10 | schema-context | medium | 1 | quick | n_no_context > 0
-S11 | schema-context | low | 0.5 | quick | n_no_context = 0 and n_http_context > 0
+S11 | schema-context | low | 0.5 | quick | n_http_context > 0
 S12 | schema-breadcrumb | medium | 1 | quick | depth >= 2 and not has_breadcrumb
 S13 | schema-article-author-stringly | low | 0.5 | quick | author_text
 S14 | schema-article-image | low | 0.5 | quick | image_relative
@@ -87,7 +88,7 @@ G04 | geo-semantic | high | 2 | medium | first_paragraph_words = 0
 G05 | geo-semantic | medium | 2 | medium | first_paragraph_words between 1 and 133
 G06 | geo-semantic | low | 1 | quick | first_paragraph_words > 167
 G07 | geo-answer-blocks | medium | 1 | medium | h2_count >= 3 and h2_questions < 0.6 * h2_count
-G08 | geo-answer-blocks | low | 0.5 | medium | h2_count > 0 and h2_unanswered > 0.5 * h2_count
+G08 | geo-answer-blocks | low | 0.5 | medium | h2_count >= 3 and h2_unanswered > 0.5 * h2_count
 G09 | geo-evidence | low | 1 | medium | words > 300 and not has_evidence
 G10 | geo-faqpage-schema | medium | 1 | medium | h2_questions > 0 and not has_faq and not has_qa
 G11 | geo-howto-schema | low | 0.5 | medium | guide_url and not has_howto
@@ -98,7 +99,7 @@ G15 | geo-tone | info | 0 | medium | hedges >= 4
     *_rules("entity", """
 N01 | entity-brand-coherence | high | 2 | quick | n_brand_roots > 1
 N04 | entity-wikipedia | low | 1 | heavy | has_org and org_same_as > 0 and not org_wikipedia
-N05 | entity-searchaction | low | 1 | quick | not has_search
+N05 | entity-searchaction | low | 1 | quick | not has_action
 N06 | entity-linking | low | 1 | medium | n_nouns >= 15 and n_nouns_linked < 0.3 * n_nouns
 """),
     *_rules("eeat", """
@@ -121,7 +122,7 @@ I03 | international-og-locale | low | 0.5 | quick | n_hreflang > 0 and og_locale
 I04 | international-hreflang-dup | medium | 1 | quick | n_hreflang > n_hreflang_distinct
 I05 | international-format | high | 1 | quick | n_hreflang_bad > 0
 I06 | international-self-ref | high | 2 | quick | n_hreflang > 0 and self_lang = ''
-I07 | international-html-lang | medium | 1 | quick | n_hreflang > 0 and self_lang <> '' and self_lang <> 'x-default' and html_lang <> '' and lower(substring(html_lang, 1, 2)) <> lower(substring(self_lang, 1, 2))
+I07 | international-html-lang | medium | 1 | quick | n_hreflang > 0 and self_lang <> '' and html_lang <> '' and split_part(lower(self_lang), '-', 1) not in ('x', split_part(lower(html_lang), '-', 1))
 I08 | international-html-lang-missing | low | 0.5 | quick | n_hreflang > 0 and html_lang = ''
 I10 | international-url-strategy | info | 0 | heavy | n_hreflang > 0 and cctld
 """),
@@ -136,10 +137,10 @@ P12 | performance-font-preload | low | 0.5 | quick | has_woff2 and not has_font_
 P13 | performance-scripts | medium | 0.5 | quick | n_blocking > 0
 """),
     *_rules("topical", """
-O01 | topical-linking-ratio | low | 1 | medium | n_links >= 10 and n_external > 0.5 * n_internal
+O01 | topical-linking-ratio | low | 1 | medium | n_links >= 10 and n_links - n_internal_text > 0.5 * n_internal_text
 O02 | topical-anchor-overopt | medium | 1 | medium | n_internal_text >= 6 and top_text > 0.8 * n_internal_text
 O03 | topical-anchor-generic | medium | 1 | medium | n_links >= 8 and n_generic > 0.2 * n_links
-O04 | topical-pillar-hint | low | 0.5 | heavy | h1_count > 0 and words >= 2000 and n_internal < 5
+O04 | topical-pillar-hint | low | 0.5 | heavy | h1_count > 0 and words >= 2000 and n_internal_text < 5
 O05 | topical-authority-outbound | low | 0.5 | quick | n_external >= 5 and n_authority = 0
 """),
     *_rules("common_mistakes", """
@@ -149,7 +150,7 @@ C03 | common-noopener | low | 0.5 | quick | n_blank >= 3 and n_blank_open > 0.3
 C04 | common-canonical | medium | 1 | medium | canonical <> '' and canonical_host = host and canonical_loose <> url_loose
 C05 | common-duplicate-title | medium | 0.5 | quick | title_count > 1
 C06 | common-img-alt | medium | 0.5 | medium | n_imgs >= 5 and n_no_alt > 0.3 * n_imgs
-C07 | common-noindex-canonical | high | 1 | quick | robots like '%noindex%' and canonical <> '' and canonical_loose = url_loose
+C07 | common-noindex-canonical | high | 1 | quick | robots like '%noindex%' and canonical <> '' and regexp_replace(canonical_url, '/+$', '') = regexp_replace(url, '/+$', '')
 C08 | common-js-only-nav | medium | 1 | medium | has_js_nav
 """),
 ]
@@ -189,8 +190,7 @@ def rule_inputs(features: DataFrame) -> DataFrame:
             "url_loose": loose(F.col("url")),
             "self_lang": F.coalesce("self_lang", F.lit("")),
             "top_text": F.coalesce("top_text", F.lit(0)),
-            "n_no_context": fx.count("jsonld", lambda b: ~b.contains('"@context"') & F.try_parse_json(b).isNotNull()),
-            "n_http_context": fx.count("jsonld", lambda b: b.rlike(r'"@context"\s*:\s*"http://')),
+            "image_web": urls.resolve(F.col("og_image"), F.col("url")).rlike("(?i)^https?://"),
         }
     )
 

@@ -53,6 +53,11 @@ def meta(name: str):
     return F.trim(F.coalesce(attr(F.get(first, 0), "content"), F.lit("")))
 
 
+#: A tag that says how wide (high) it is; a tag in a menu that a script follows.
+SIZED = r"""(?i)\s{}=["']?[^"'\s>]"""
+JS_LINK = r"""(?is)<[a-z][^>]*\s(?:onclick\s*=|role=["']?button\b)[^>]*>|<button[^>]*\srole=["']?link\b"""
+
+
 def link_tag(rel: str):
     return F.filter("link_tags", lambda t: t.rlike(rf"""(?i)\srel=["']{rel}["']"""))
 
@@ -86,10 +91,11 @@ def page_features(pages: DataFrame) -> DataFrame:
             "body": F.regexp_extract("clean", r"(?is)<body[^>]*>(.*)", 1),
             "metas": tags(F.col("clean"), "meta"),
             "link_tags": tags(F.col("clean"), "link"),
+            "script_tags": F.regexp_extract_all(F.regexp_replace("html", "(?s)<!--.*?-->", " "), F.lit(r"(?is)<script\s[^>]*>"), F.lit(0)),
             "anchor_tags": F.regexp_extract_all("clean", F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0)),
             "imgs": F.transform(
                 tags(F.col("clean"), "img"),
-                lambda t: F.struct(attr(t, "src").alias("src"), t.rlike(r"(?i)\salt=").alias("has_alt"), attr(t, "alt").alias("alt"), (t.rlike(r"(?i)\swidth=") & t.rlike(r"(?i)\sheight=")).alias("sized"), attr(t, "loading").alias("loading")),
+                lambda t: F.struct(attr(t, "src").alias("src"), t.rlike(r"(?i)\salt=").alias("has_alt"), attr(t, "alt").alias("alt"), (t.rlike(SIZED.format("width")) & t.rlike(SIZED.format("height"))).alias("sized"), F.when(t.rlike(r"(?i)\ssrc="), attr(t, "src")).otherwise(attr(t, "srcset")).rlike(r"(?i)\.(webp|avif)(\?|$|\s)").alias("modern"), attr(t, "loading").alias("loading")),
             ),
             "titles": F.regexp_extract_all("clean", F.lit(r"(?is)<title[^>]*>(.*?)</title>"), F.lit(1)),
             "h1s": inner(F.col("clean"), "h1"),
@@ -104,7 +110,7 @@ def page_features(pages: DataFrame) -> DataFrame:
                 F.transform("anchor_tags", lambda a: F.struct(a.alias("tag"), F.regexp_extract(a, r"(?is)^(<a\s[^>]*>)", 1).alias("start"))),
                 lambda x: F.struct(attr(x["start"], "href").alias("href"), F.lower(squeeze(x["tag"])).alias("text"), attr(x["start"], "rel").alias("rel"), attr(x["start"], "target").alias("target")),
             ),
-            "hreflangs": F.filter(F.transform("link_tags", lambda t: F.struct(attr(t, "hreflang").alias("lang"), attr(t, "href").alias("href"))), lambda x: x["lang"] != ""),
+            "hreflangs": F.filter(F.transform(link_tag("alternate"), lambda t: F.struct(attr(t, "hreflang").alias("lang"), attr(t, "href").alias("href"))), lambda x: (x["lang"] != "") & (x["href"] != "")),
             "body_text": squeeze(F.col("body")),
             "paragraphs": F.filter(F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|<p[\s>]|<h[1-6]|<ul|<div|</article>)"), F.lit(1)), squeeze), lambda t: t != ""),
         }
@@ -114,7 +120,9 @@ def page_features(pages: DataFrame) -> DataFrame:
     external = lambda a: a["href"].startswith("http") & (urls.host(a["href"]) != here)
     internal = lambda a: urls.internal_path(a["href"], base).isNotNull()
     both = F.filter("links", lambda a: (a["href"] != "") & (a["text"] != ""))
-    texts = F.transform(F.filter(both, internal), lambda a: a["text"])
+    # links with a text that stay on the site: rooted, dotted, or of its host once resolved (fragments too)
+    kept = lambda a: a["href"].rlike("^[/.]") | (urls.host(urls.resolve(a["href"], base)) == here)
+    texts = F.transform(F.filter(both, kept), lambda a: a["text"])
     blank = F.filter("links", lambda a: external(a) & (F.lower(a["target"]) == "_blank"))
     canonical = F.trim(F.coalesce(attr(F.get(link_tag("canonical"), 0), "href"), F.lit("")))
     nouns = F.array_except(F.array_distinct(F.transform(F.regexp_extract_all("body_text", F.lit(NOUN), F.lit(0)), F.lower)), F.lit(NO_NOUNS))
@@ -154,7 +162,7 @@ def page_features(pages: DataFrame) -> DataFrame:
         "has_article": F.col("clean").rlike(r"(?i)<article[\s>]"),
         "has_noscript": F.col("clean").rlike(r"(?i)<noscript[\s>]"),
         "has_time": F.col("clean").rlike(r"(?i)<time[^>]*\sdatetime="),
-        "has_review": F.lower("body_text").rlike(r"\breviewed\s+by\b|\brelu\s+par\b|\bfact[- ]check"),
+        "has_review": F.lower("body_text").rlike(r"\breviewed\s+by\b|\brelu\s+par\b|\bvérifié\s+par\b|\bfact[- ]check"),
         "n_nouns": F.size(nouns),
         "n_nouns_linked": F.size(F.filter(nouns, linked_texts.contains)),
         "dst_paths": F.array_distinct(F.array_compact(F.transform("links", lambda a: urls.internal_path(a["href"], base)))),
@@ -164,7 +172,7 @@ def page_features(pages: DataFrame) -> DataFrame:
         "n_external": count("links", external),
         "n_authority": count("links", lambda a: external(a) & urls.host(a["href"]).rlike(AUTHORITY)),
         "n_generic": count(both, lambda a: a["text"].rlike(rf"(^|\s)({'|'.join(GENERIC)})$")),
-        "n_bare": count("links", lambda a: a["href"].startswith("http") & a["text"].rlike(r"^https?://\S+$")),
+        "n_bare": count("links", lambda a: a["href"].startswith("http") & a["text"].rlike("^https?://")),
         "top_text": longest_run(F.array_sort(texts)),
         "n_hash_routes": count("links", lambda a: a["href"].rlike(r"^/?#/\w")),
         "n_blank": F.size(blank),
@@ -175,21 +183,21 @@ def page_features(pages: DataFrame) -> DataFrame:
         "is_saas": F.exists("links", lambda a: a["href"].rlike(SAAS_PATH)) | F.substring("body_text", 1, 3000).rlike(SAAS_WORDS),
         "n_imgs": F.size("imgs"),
         "n_no_alt": count("imgs", lambda i: ~i["has_alt"]),
-        "n_modern": count("imgs", lambda i: i["src"].rlike(r"(?i)\.(webp|avif)")),
+        "n_modern": count("imgs", lambda i: i["modern"]),
         "n_lazy": count("imgs", lambda i: F.lower(i["loading"]) == "lazy"),
         "n_unsized": count("imgs", lambda i: ~i["sized"]),
         "n_hreflang": F.size("hreflangs"),
         "n_hreflang_distinct": F.size(F.array_distinct(F.transform("hreflangs", lambda x: F.lower(x["lang"])))),
         "has_x_default": F.exists("hreflangs", lambda x: F.lower(x["lang"]) == "x-default"),
         "n_hreflang_bad": count("hreflangs", lambda x: ~x["lang"].rlike(r"^(x-default|[a-z]{2,3}(-([A-Z]{2}|Hans|Hant|Latn|Cyrl))?)$")),
-        "self_lang": F.get(F.transform(F.filter("hreflangs", lambda x: (urls.path(urls.resolve(x["href"], base)) == urls.path(base)) & (urls.host(urls.resolve(x["href"], base)) == here)), lambda x: x["lang"]), 0),
-        "n_insecure": F.regexp_count("clean", F.lit(r"""(?i)\s(src|href)=["']http://(?!localhost)""")),
+        "self_lang": F.get(F.transform(F.filter("hreflangs", lambda x: F.regexp_replace(urls.resolve(x["href"], base), "/+$", "") == F.regexp_replace(base, "/+$", "")), lambda x: x["lang"]), 0),
+        "n_insecure": F.regexp_count("clean", F.lit(r"""(?i)\s(src|href)=["']http://(?!localhost)""")) + count("script_tags", lambda t: t.rlike(r"""(?i)\ssrc=["']http://(?!localhost)""")),
         "n_blocking": F.size(F.filter(F.regexp_extract_all("head", F.lit(r"(?is)<script\s[^>]*\ssrc=[^>]*>|<script\ssrc=[^>]*>"), F.lit(0)), lambda t: ~t.rlike(r"(?i)\s(async|defer)"))),
         "has_preconnect": F.size(link_tag("preconnect")) > 0,
         "has_far_style": F.exists("link_tags", lambda t: t.rlike(r"""(?i)rel=["']stylesheet["']""") & t.rlike(r"""(?i)href=["']http""")),
         "has_woff2": F.exists("link_tags", lambda t: t.rlike(r"(?i)href=[^>]*\.woff2")),
         "has_font_preload": F.exists("link_tags", lambda t: t.rlike(r"""(?i)rel=["']preload["']""") & t.rlike(r"""(?i)as=["']font["']""")),
-        "has_js_nav": F.exists(F.regexp_extract_all("clean", F.lit(r"(?is)<nav[\s>].*?</nav>"), F.lit(0)), lambda n: ~n.rlike(r"(?i)<a\s[^>]*href=") & (F.regexp_count(n, F.lit(r"(?i)<button|onclick=|role=.button")) >= 3)),
+        "has_js_nav": F.exists(F.regexp_extract_all("clean", F.lit(r"(?is)<nav[\s>].*?</nav>"), F.lit(0)), lambda n: ~n.rlike(r"(?i)<a\s[^>]*href=") & (F.regexp_count(n, F.lit(JS_LINK)) >= 3)),
         "depth": count(F.split(urls.path(base), "/"), lambda s: s != ""),
         "guide_heading": F.exists(F.concat("h1s", "h2s"), lambda h: h.rlike("(?i)guide|tutoriel|comment")),
         "times": F.regexp_extract_all("clean", F.lit(r"""(?is)<time[^>]*\sdatetime=["']([^"']*)["']"""), F.lit(1)),
@@ -241,9 +249,10 @@ OBJECT = {
     "article_gaps": "array_except(array(" + ", ".join(f"'{f}'" for f in ARTICLE) + "), array_compact(array(" + ", ".join(f"if({_holds(f)}, '{f}', null)" for f in ARTICLE) + ")))",
     "n_person_missing": f"int(not {_holds('jobTitle')}) + int(size({_list(_at('sameAs'))}) = 0) + int(not {_holds('knowsAbout')})",
     "search": f"exists({_list("try_variant_get(v, r'$.potentialAction[\"@type\"]', 'variant')")}, t -> lower(t) like '%searchaction%')",
+    "action": f"coalesce(schema_of_variant({_at('potentialAction')}) like 'OBJECT%' or schema_of_variant({_at('potentialAction')}) like 'ARRAY%', false)",
     "author": _holds("author"),
     "author_text": f"coalesce(schema_of_variant({_at('author')}) = 'STRING', false)",
-    "image": _text(_at("image")),
+    "image": f"nullif(coalesce({_text(_at('image'))}, {_text("try_variant_get(v, '$.image.url', 'variant')")}), '')",
     "published": _text(_at("datePublished")),
     "modified": _text(_at("dateModified")),
     "dated": f"{_holds('datePublished')} or {_holds('dateModified')}",
@@ -260,6 +269,8 @@ def jsonld_facts(features: DataFrame) -> DataFrame:
     f = features.withColumn("parsed", F.expr("transform(jsonld, b -> try_parse_json(b))"))
     f = f.withColumn("n_broken", F.expr("size(filter(parsed, v -> v is null))"))
     f = f.withColumn("parsed", F.expr("filter(parsed, v -> v is not null)"))
+    roots = "filter(flatten(transform(parsed, v -> coalesce(try_variant_get(v, '$', 'array<variant>'), array(v)))), v -> schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%')"
+    f = f.withColumns({"n_no_context": F.expr(f"size(filter({roots}, v -> not {_holds('@context')}))"), "n_http_context": F.expr(f"size(filter({roots}, v -> coalesce({_text(_at('@context'))} like 'http://%', false)))")})
     for _ in range(3):
         f = f.withColumn("parsed", F.expr(opened.format("parsed")))
     fields = ", ".join(f"'{k}', {e}" for k, e in OBJECT.items())
@@ -280,10 +291,11 @@ def jsonld_facts(features: DataFrame) -> DataFrame:
         "org_name": F.col("org.name"),
         "has_site": F.col("site").isNotNull(),
         "has_search": said("site", "search", False),
+        "has_action": said("site", "action", False),
         "has_article_type": F.col("article").isNotNull(),
         "article_missing": F.coalesce(F.size("article.article_gaps"), F.lit(0)),
         "article_gaps": F.array_join("article.article_gaps", ","),
-        "article_author": said("article", "author", False),
+        "article_author": F.exists("objects", lambda o: o["author"] & F.exists(o["types"], lambda t: t.rlike("article|blogposting"))),
         "author_text": said("article", "author_text", False),
         "image_relative": F.coalesce(~F.col("article.image").rlike("(?i)^https?://"), F.lit(False)),
         "has_person": F.col("person").isNotNull(),

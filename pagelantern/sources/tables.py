@@ -41,7 +41,7 @@ BODY = """'' || case when page_id % 3 = 0 then '<h2>What is it?</h2><p>It is sho
  || case when page_id % 8 = 5 then '<a href="#/a">A</a><a href="#/b">B</a><a href="/#/c">C</a>' else '' end
  || case when page_id % 9 = 4 then '<p>Perhaps it works, maybe not. It might be so, it seems to be, perhaps.</p>' else '' end
  || case when page_id % 9 = 5 then '<p>Over 45 % of 1200 clients agree. Reviewed by Jo.</p><time datetime="2024-05-01">May</time>' else '' end
- || case when page_id % 10 = 7 then '<nav><button>a</button><button>b</button><span onclick="x()">c</span></nav>' else '' end
+ || case when page_id % 10 = 7 then '<nav><button onclick="a()">a</button><div role="button" onclick="b()">b</div><span onclick="x()">c</span><button>d</button></nav>' else '' end
  || case when page_id % 10 = 8 then '<img src="http://insecure.example/i.png" alt="i">' else '' end"""
 
 

@@ -45,7 +45,8 @@ CASES = [
     ("G05", page(body=f"<p>{words(133)}</p>"), page(body=f"<p>{words(134)}</p>")),
     ("G06", page(body=f"<p>{words(168)}</p>"), page(body=f"<p>{words(167)}</p>")),
     ("G07", page(body="<h2>a</h2><h2>What b?</h2><h2>c</h2>"), page(body="<h2>How a</h2><h2>What b</h2><h2>c</h2>")),
-    ("G08", page(body=f"<h2>a</h2><p>{words(61)}</p>"), page(body=f"<h2>a</h2><p>{words(60)}</p>")),
+    ("G08", page(body=f"<h2>a</h2><p>{words(61)}</p>" * 3), page(body=f"<h2>a</h2><p>{words(60)}</p>" * 3)),
+    ("G08", page(body=f"<h2>a</h2><p>{words(61)}</p>" * 3), page(body=f"<h2>a</h2><p>{words(61)}</p>" * 2)),
     ("G09", page(body=f"<p>{words(301)}</p>"), page(body=f"<p>{words(301)} 45 %</p>")),
     ("G12", page(body=words(800)), page(body=words(800) + "<blockquote>q</blockquote>")),
     ("G15", page(body="maybe perhaps maybe perhaps"), page(body="maybe perhaps maybe")),
@@ -62,7 +63,25 @@ CASES = [
     ("O03", page(body='<a href="/p">read more</a>' * 2 + '<a href="/q">text</a>' * 6), page(body='<a href="/p">read more</a>' + '<a href="/q">text</a>' * 7)),
     ("C02", page(body='<img src="http://b.example/i.png">'), page(body='<img src="http://localhost/i.png">')),
     ("C05", page("<title>a</title><title>b</title>"), page("<title>a</title>")),
-    ("C08", page(body="<nav><button>a</button><button>b</button><button>c</button></nav>"), page(body='<nav><button>a</button><button>b</button><a class="x" href="/c">c</a></nav>')),
+    ("C08", page(body='<nav><button onclick="a()">a</button><i role="button">b</i><button role="link">c</button></nav>'), page(body='<nav><i onclick="a()">a</i><i onclick="b()">b</i><i onclick="c()">c</i><a class="x" href="/c">c</a></nav>')),
+    ("C08", page(body='<nav><i onclick="a()">a</i><i onclick="b()">b</i><i onclick="c()">c</i></nav>'), page(body="<nav><button>a</button><button>b</button><button>c</button></nav>")),
+    ("C02", page('<script src="http://b.example/a.js"></script>'), page('<!-- <script src="http://b.example/a.js"></script> -->')),
+    ("C07", page('<meta name="robots" content="noindex"><link rel="canonical" href="https://a.example/x/">'), page('<meta name="robots" content="noindex"><link rel="canonical" href="http://a.example/x">')),
+    ("T12", page('<meta property="og:image" content="data:image/png;base64,x">'), page('<meta property="og:image" content="i/a:b.png">')),
+    ("S10", page('<script type="application/ld+json">[{"@context":"https://schema.org","@type":"Thing"},{"@type":"Thing"}]</script>'), page('<script type="application/ld+json">[{"@context":"https://schema.org","@type":"Thing"}]</script>')),
+    ("S11", page('<script type="application/ld+json">[{"@context":"http://schema.org"},{"@type":"Thing"}]</script>'), page('<script type="application/ld+json">{"@context":"https://schema.org","note":{"@context":"http://schema.org"}}</script>')),
+    ("S14", page('<script type="application/ld+json">{"@type":"Article","image":{"url":"/a.png"}}</script>'), page('<script type="application/ld+json">{"@type":"Article","image":""}</script>')),
+    ("N05", page('<script type="application/ld+json">{"@type":"WebSite","potentialAction":"x"}</script>'), page('<script type="application/ld+json">{"@type":"WebSite","potentialAction":[{"@type":"ReadAction"}]}</script>')),
+    ("S06", page('<script type="application/ld+json">{"@type":"WebSite","potentialAction":[{"@type":"SearchAction"}]}</script>'), page('<script type="application/ld+json">{"@type":"WebSite","potentialAction":{"@type":"SearchAction"}}</script>')),
+    ("E03", page('<script type="application/ld+json">{"@type":"Thing","author":"Jo"}</script>', "<article>x</article>"), page('<script type="application/ld+json">[{"@type":"Article"},{"@type":"TechArticle","author":"Jo"}]</script>', "<article>x</article>")),
+    ("E06", page(body="<article>x</article>"), page(body="<article>Vérifié par Jo</article>")),
+    ("E08", page(body="<article></article>" + '<a href="https://b.example/">https://b.example is here</a>' * 3), page(body="<article></article>" + '<a href="https://b.example/">see https://b.example</a>' * 3)),
+    ("I06", page('<link rel="alternate" hreflang="en" href="/x?a=1">'), page('<link rel="alternate" hreflang="en" href="https://a.example/x//">')),
+    ("I07", page('<link rel="alternate" hreflang="fil-PH" href="/x">', lang=' lang="fi"'), page('<link rel="alternate" hreflang="fil-PH" href="/x">', lang=' lang="fil"')),
+    ("I01", page('<link rel="canonical" hreflang="en" href="/x">'), page('<link rel="alternate" hreflang="en" href="/x">')),
+    ("P08", page(body='<img src="a.webp.png" srcset="a.webp 2x">'), page(body='<img srcset="a.webp 2x">')),
+    ("P10", page(body='<img src="a" width="" height="2">'), page(body="<img src='a' width=1 height=2>")),
+    ("O01", page(body='<a href="mailto:j@a.example">m</a>' * 4 + '<a href="/p">p</a>' * 6), page(body='<a href="#p">m</a>' * 4 + '<a href="./p">p</a>' * 6)),
 ]
 
 
