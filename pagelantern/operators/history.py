@@ -66,6 +66,11 @@ def validated_benchmarks(urls: DataFrame) -> DataFrame:
     return g.select("benchmark_id", "n", reason.alias("reason"))
 
 
+def audits_in_org(audits: DataFrame, asked: DataFrame) -> DataFrame:
+    """Audits that are asked for (audit_id, org_id) by the organization that owns them."""
+    return audits.join(asked.distinct(), ["audit_id", "org_id"], "left_semi")
+
+
 def valid_domain(domain):
     """Whether a text is a domain name of at most 253 characters."""
     return domain.rlike(r"^[a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(\.[a-zA-Z]{2,})+$") & (F.length(domain) <= 253)

@@ -20,7 +20,7 @@ STATUS = "case (audit_id + length(phase)) % 4 when 0 then 'completed' when 1 the
 
 
 def _members(s, d):
-    return tables.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("bigint").alias("org_id"), F.col("c_name").alias("name"), F.concat(F.lower("c_name"), F.lit("@x.example")).alias("email"))
+    return tables.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("bigint").alias("org_id"), F.col("c_name").alias("name"), F.concat(F.lower("c_name"), F.lit("@x.example")).alias("email"), (F.col("c_acctbal") >= 0).alias("active"))
 
 
 def _results(s, d):
@@ -35,14 +35,14 @@ def _bench(s, d):
 
 def _sink(s, d):
     folder = f"{shared_folder(s)}/findings-{uuid.uuid4().hex}"
-    sinks.append_findings(_f(s, d).where("n % 2 = 0"), folder)
-    sinks.append_findings(_f(s, d).where("n % 2 = 1"), folder)
+    sinks.append_findings(_f(s, d).where("severity in ('critical', 'high')"), folder)
+    sinks.append_findings(_f(s, d).where("severity not in ('critical', 'high')"), folder)
     return s.read.parquet(folder).groupBy("phase", "severity").agg(F.count("*").alias("findings"), scoring.round1(F.sum("points")).alias("points"))
 
 
 def _phase_upsert(s, d):
     rows = _results(s, d).withColumn("version", F.lit(1))
-    newer = rows.where("audit_id % 4 = 0").withColumns({"status": F.lit("completed"), "version": F.lit(2)})
+    newer = rows.where("status in ('running', 'failed')").withColumns({"status": F.lit("completed"), "version": F.lit(2)})
     return sinks.merged_results(rows, newer.unionByName(newer)).groupBy("phase", "status", "version").agg(F.count("*").alias("rows"))
 
 
@@ -65,19 +65,19 @@ QUERIES = {
     "due_with_plan": lambda s, d: history.due_with_plan(hq._schedules(s, d), _orgs(s, d), _a(s, d), hq.AS_OF).select("schedule_id", "org_id", "plan", "mode", "previous_id"),
     "phases_left": lambda s, d: sinks.phases_left(_a(s, d), src.rubric(s), _results(s, d)).groupBy("audit_id").agg(F.count("*").alias("left")),
     "phase_progress": lambda s, d: _results(s, d).groupBy("audit_id").agg(F.round(F.count_if(F.col("status").isin("completed", "skipped", "failed")) / F.count("*"), 4).alias("progress")),
-    "phase_seeding": lambda s, d: sinks.seeded(_a(s, d), src.rubric(s), _results(s, d).where("audit_id % 2 = 0")).groupBy("phase", "status").agg(F.count("*").alias("rows")),
+    "phase_seeding": lambda s, d: sinks.seeded(_a(s, d), src.rubric(s), _results(s, d).where("status in ('completed', 'skipped')")).groupBy("phase", "status").agg(F.count("*").alias("rows")),
     "phase_upsert": _phase_upsert,
     "findings_sink": _sink,
     "audit_completion": lambda s, d: sinks.completions(_ps(s, d)),
-    "audit_in_org": lambda s, d: _a(s, d).where("org_id = 7 and audit_id % 100 = 3").select("audit_id", "org_id", "target", "status", "score"),
+    "audit_in_org": lambda s, d: history.audits_in_org(_a(s, d), _a(s, d).selectExpr("audit_id", "case when mode = 'full' then org_id else org_id + 1 end as org_id")).select("audit_id", "org_id", "target", "status", "score"),
     "org_audits": lambda s, d: _a(s, d).where("org_id in (3, 7)").orderBy(F.desc("created_at"), "audit_id").limit(200).select("audit_id", "org_id", "created_at"),
     "findings_by_points": lambda s, d: scoring.placed(_f(s, d), ["audit_id"], [F.desc("points"), "n"], 10**9).select("audit_id", "place", "n"),
     "audit_detail": lambda s, d: _a(s, d).where("org_id = 7").join(_f(s, d).groupBy("audit_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("points"), "n"))), lambda x: x["n"].cast("string")), ",").alias("findings")), "audit_id", "left")
     .join(_ps(s, d).join(src.rubric(s).select("phase", "phase_order"), "phase").groupBy("audit_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("phase_order", "phase"))), lambda x: x["phase"]), ",").alias("phases")), "audit_id", "left").select("audit_id", "status", "phases", F.coalesce("findings", F.lit("")).alias("findings")),
     "org_detail": lambda s, d: _orgs(s, d).join(_members(s, d).groupBy("org_id").agg(F.count("*").alias("members")), "org_id", "left").join(scoring.placed(_a(s, d), ["org_id"], [F.desc("created_at"), "audit_id"], 20).groupBy("org_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "audit_id"))), lambda x: x["audit_id"].cast("string")), ",").alias("latest")), "org_id", "left")
     .join(history.usage_by_month(_a(s, d)).where("month = timestamp'1996-03-01'").select("org_id", "audits"), "org_id", "left").select("org_id", "name", F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("latest", F.lit("")).alias("latest"), F.coalesce("audits", F.lit(0)).alias("month")),
-    "users_memberships": lambda s, d: _members(s, d).select("user_id", "name").join(_members(s, d).where("user_id % 4 <> 0").join(_orgs(s, d).select("org_id", F.col("name").alias("org"), "plan"), "org_id").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("org", "plan"))).alias("orgs")), "user_id", "left").select("user_id", "name", F.size(F.coalesce("orgs", F.array())).alias("n"), F.coalesce(F.array_join(F.transform("orgs", lambda x: F.concat_ws("/", x["org"], x["plan"])), ","), F.lit("")).alias("orgs")),
-    "member_exists": lambda s, d: _members(s, d).join(_members(s, d).where("user_id % 7 = 0").select("email"), "email", "left_semi").select("user_id", "org_id"),
+    "users_memberships": lambda s, d: _members(s, d).select("user_id", "name").join(_members(s, d).where("active").join(_orgs(s, d).select("org_id", F.col("name").alias("org"), "plan"), "org_id").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("org", "plan"))).alias("orgs")), "user_id", "left").select("user_id", "name", F.size(F.coalesce("orgs", F.array())).alias("n"), F.coalesce(F.array_join(F.transform("orgs", lambda x: F.concat_ws("/", x["org"], x["plan"])), ","), F.lit("")).alias("orgs")),
+    "member_exists": lambda s, d: _members(s, d).join(_members(s, d).where("not active").select("email"), "email", "left_semi").select("user_id", "org_id"),
     "usage_page": lambda s, d: history.quota(_a(s, d), _orgs(s, d), "1996-03-10 00:00:00").join(scoring.placed(_a(s, d), ["org_id"], [F.desc("created_at"), "audit_id"], 10).groupBy("org_id").agg(F.count("*").alias("latest"), F.min("created_at").alias("since")), "org_id", "left").select("org_id", "used", "monthly", "latest", "since"),
     "citation_page": lambda s, d: history.page(joined_queries._flags(s, d).where("is_cited"), [F.desc("answer_id")], 5, 20).select("answer_id", "is_cited", "total"),
     "coverage_ratios": lambda s, d: site.host_facts(page_queries.inputs(s, d)).join(site.sitemap_ages(site.sitemap_entries(tables.site_files(s, d)), site_queries.AS_OF), "host", "left").select("host", F.round(F.col("breadcrumb") / F.col("pages"), 6).alias("breadcrumb"), F.round(F.col("thin") / F.col("pages"), 6).alias("thin"), F.round(F.col("recent") / F.nullif(F.col("dated"), F.lit(0)), 6).alias("recent")),
@@ -92,7 +92,7 @@ QUERIES = {
 }
 
 C, PS, RUNS, ORGS = f"with {src.CTES}", f"with {hq._PS}", hq._RUNS, hq._ORGS
-_MEMBERS = "mb as (select c_custkey as user_id, cast(c_nationkey as bigint) as org_id, c_name as name, lower(c_name) || '@x.example' as email from customer)"
+_MEMBERS = "mb as (select c_custkey as user_id, cast(c_nationkey as bigint) as org_id, c_name as name, lower(c_name) || '@x.example' as email, c_acctbal >= 0 as active from customer)"
 _RES = f"rs as (select *, {STATUS} as status from ps)"
 _BENCH = """b0 as (select org_id * 100 + user_id % 60 as benchmark_id, audit_id, target, 'https://' || target || case when audit_id % 29 = 0 then repeat('x', 2048) else '' end as url, case when audit_id % 31 = 0 then '' else target end as label, audit_id % 3 = 0 as is_reference from a where mode = 'full' or audit_id % 5 = 0),
 bu as (select * from b0 union all select benchmark_id, -audit_id, target, url, label, is_reference from b0 where audit_id % 11 = 0)"""
@@ -147,17 +147,17 @@ SQL = {
     "due_with_plan": f"{C}, {ORGS}, s as (select c_custkey as schedule_id, cast(c_nationkey as bigint) as org_id, timestamp '2024-01-01' + to_days(cast(c_custkey % 30 as int)) as next_run_at from customer where c_acctbal > 0), t as (select * from s where next_run_at <= timestamp '2024-01-15' order by next_run_at, schedule_id limit 20) select schedule_id, org_id, plan, case when plan = 'free' then 'flash' else 'full' end as mode, (select audit_id from a where a.org_id = t.org_id and status = 'completed' order by created_at desc, audit_id desc limit 1) as previous_id from t left join og using (org_id)",
     "phases_left": f"{PS}, {_RES} select audit_id, count(*) as \"left\" from rs where status not in ('completed', 'skipped') group by audit_id",
     "phase_progress": f"{PS}, {_RES} select audit_id, round(count(*) filter (status <> 'running') / count(*), 4) as progress from rs group by audit_id",
-    "phase_seeding": f"{PS}, {_RES} select phase, case when audit_id % 2 = 0 then status else 'pending' end as status, count(*) as rows from rs group by all",
-    "phase_upsert": f"{PS}, {_RES} select phase, case when audit_id % 4 = 0 then 'completed' else status end as status, case when audit_id % 4 = 0 then 2 else 1 end as version, count(*) as rows from rs group by all",
+    "phase_seeding": f"{PS}, {_RES} select phase, case when status in ('completed', 'skipped') then status else 'pending' end as status, count(*) as rows from rs group by all",
+    "phase_upsert": f"{PS}, {_RES} select phase, case when status in ('running', 'failed') then 'completed' else status end as status, case when status in ('running', 'failed') then 2 else 1 end as version, count(*) as rows from rs group by all",
     "findings_sink": f"{C} select phase, severity, count(*) as findings, floor(sum(floor(points * 10 + 0.5) / 10) * 10 + 0.5) / 10 as points from fd group by all",
     "audit_completion": f"{PS} select audit_id, 'completed' as status, floor(sum(score) / sum(score_max) * 100 * 10 + 0.5) / 10 as total, string_agg(phase || '=' || printf('%.1f', score), ',' order by phase) as breakdown from ps group by audit_id",
-    "audit_in_org": f"{C} select audit_id, org_id, target, status, score from a where org_id = 7 and audit_id % 100 = 3",
+    "audit_in_org": f"{C} select audit_id, org_id, target, status, score from a where mode = 'full'",
     "org_audits": f"{C} select audit_id, org_id, created_at from a where org_id = 3 or org_id = 7 order by created_at desc, audit_id limit 200",
     "findings_by_points": f"{C} select audit_id, row_number() over (partition by audit_id order by points desc, n) as place, n from fd",
     "audit_detail": f"{PS} select audit_id, status, (select string_agg(phase, ',' order by phase_order) from ru) as phases, coalesce((select string_agg(cast(n as varchar), ',' order by points desc, n) from fd where fd.audit_id = a.audit_id), '') as findings from a where org_id = 7",
     "org_detail": f"{C}, {ORGS}, {_MEMBERS}, l as (select *, row_number() over (partition by org_id order by created_at desc, audit_id) as k from a) select org_id, name, (select count(*) from mb where mb.org_id = og.org_id) as members, coalesce((select string_agg(cast(audit_id as varchar), ',' order by k) from l where l.org_id = og.org_id and k <= 20), '') as latest, (select count(*) from a where a.org_id = og.org_id and status <> 'failed' and created_at >= timestamp '1996-03-01' and created_at < timestamp '1996-04-01') as month from og",
-    "users_memberships": f"with {ORGS}, {_MEMBERS} select user_id, mb.name, case when user_id % 4 = 0 then 0 else 1 end as n, case when user_id % 4 = 0 then '' else og.name || '/' || plan end as orgs from mb join og using (org_id)",
-    "member_exists": f"with {_MEMBERS} select user_id, org_id from mb where email in (select email from mb where user_id % 7 = 0)",
+    "users_memberships": f"with {ORGS}, {_MEMBERS} select user_id, mb.name, cast(active as int) as n, case when active then og.name || '/' || plan else '' end as orgs from mb join og using (org_id)",
+    "member_exists": f"with {_MEMBERS} select user_id, org_id from mb where email in (select email from mb where not active)",
     "usage_page": f"{C}, {ORGS}, l as (select *, row_number() over (partition by org_id order by created_at desc, audit_id) as k from a) select org_id, (select count(*) from a where a.org_id = og.org_id and date_trunc('month', created_at) = timestamp '1996-03-01') as used, monthly, count(audit_id) as latest, min(created_at) as since from og left join (select * from l where k <= 10) l using (org_id) group by org_id, monthly",
     "citation_page": f"with {joined_queries._ANS} select answer_id, is_cited, count(*) over () as total from fl where is_cited order by answer_id desc limit 20 offset 5",
     "coverage_ratios": f"with {page_sql.FEATURES}, {page_sql.FACTS}, {page_sql.INPUTS}, {tables.SITE_FILES_SQL}, {site_queries._MAP_ENTRIES} select host, round(count(*) filter (has_breadcrumb) / count(*), 6) as breadcrumb, round(count(*) filter (words < 300) / count(*), 6) as thin, round(max(recent) / nullif(max(dated), 0), 6) as recent from i left join sa using (host) group by host",
