@@ -19,21 +19,23 @@ FRESHNESS = [
     ("F01", "'medium'", "1.5", "newest is null"),
     ("F02", "case when page_kind = 'landing' then 'medium' else 'low' end", "case when page_kind in ('landing', 'product') then 2 else 1 end", "age > tolerance"),
     ("F03", "'medium'", "1.5", "ld_age < 30 and http_age > 180"),
-    ("F06", "'low'", "1", "abs(ld_age - map_age) > 30"),
+    ("F06", "'low'", "1", "abs(gap) > 30"),
 ]
 
 
 def freshness(inputs: DataFrame, entries: DataFrame, as_of: str) -> DataFrame:
     """page_id, kind, newest date, age in days and the freshness rules broken; entries: sitemap_entries.
 
-    A page's dates are those of its structured data, its time elements and its sitemap entry (by path).
+    A page's dates are those of its structured data, its time elements and its sitemap entry (by path). Ages are whole
+    days of 24 hours up to `as_of`; F06 compares the entry with the newest date of the page itself.
     """
     maps = entries.select("host", urls.path(F.col("loc")).alias("path"), "lastmod").groupBy("host", "path").agg(F.max("lastmod").alias("map_date"))
     p = inputs.select("page_id", "host", "path", "page_kind", "ld_date", "times", "last_modified").join(maps, ["host", "path"], "left")
     times = F.array_max(F.transform("times", lambda t: F.try_to_timestamp(t)))
-    days = lambda c: F.expr(f"datediff(cast('{as_of}' as date), cast({c} as date))")
-    p = p.withColumn("newest", F.greatest("ld_date", times, "map_date"))
-    p = p.withColumns({"age": days("newest"), "ld_age": days("ld_date"), "map_age": days("map_date"), "http_age": days("last_modified")})
+    days = lambda a, b: F.floor((F.unix_timestamp(a) - F.unix_timestamp(b)) / 86400)
+    now = F.lit(as_of).cast("timestamp")
+    p = p.withColumn("said", F.greatest("ld_date", times)).withColumn("newest", F.greatest("said", "map_date"))
+    p = p.withColumns({"age": days(now, F.col("newest")), "ld_age": days(now, F.col("ld_date")), "http_age": days(now, F.col("last_modified")), "gap": days(F.col("said"), F.col("map_date"))})
     p = p.withColumn("tolerance", F.expr("case page_kind when 'blog' then 90 when 'evergreen' then 365 else 30 end"))
     return _broken(p, ["page_id", "page_kind", "age"], FRESHNESS)
 
@@ -61,7 +63,8 @@ def field_metric_rules(pages: DataFrame, metrics: DataFrame) -> DataFrame:
 def entity_rules(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     """page_id, entity and the entity rules N02 and N03; catalog (label, entity_id, rank): the first hit of a label counts."""
     first = catalog.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("rank"))).where("at = 1")
-    brand = F.lower(F.trim(F.coalesce("org_name", F.get(F.split("title", r" [-|·—] "), 0))))
+    named = F.coalesce("org_name", F.nullif("og_site_name", F.lit("")), "title")
+    brand = F.lower(F.regexp_replace(named, r"(?s)[\s|·—-].*$", ""))  # the first word of the first name there is
     p = inputs.where("has_org and not org_wikidata").select("page_id", brand.alias("label"))
     joined = p.join(first.select("label", "entity_id"), "label", "left")
     return _broken(joined, ["page_id", "entity_id"], [("N02", "'high'", "2", "entity_id is not null"), ("N03", "'medium'", "2", "entity_id is null")])

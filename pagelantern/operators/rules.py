@@ -89,11 +89,11 @@ G05 | geo-semantic | medium | 2 | medium | first_paragraph_words between 1 and 1
 G06 | geo-semantic | low | 1 | quick | first_paragraph_words > 167
 G07 | geo-answer-blocks | medium | 1 | medium | h2_count >= 3 and h2_questions < 0.6 * h2_count
 G08 | geo-answer-blocks | low | 0.5 | medium | h2_count >= 3 and h2_unanswered > 0.5 * h2_count
-G09 | geo-evidence | low | 1 | medium | words > 300 and not has_evidence
+G09 | geo-evidence | low | 1 | medium | body_words > 300 and not has_evidence
 G10 | geo-faqpage-schema | medium | 1 | medium | h2_questions > 0 and not has_faq and not has_qa
 G11 | geo-howto-schema | low | 0.5 | medium | guide_url and not has_howto
-G12 | geo-citable-content | low | 0.5 | quick | words >= 800 and citable = 0
-G13 | geo-semantic-html | medium | 1 | medium | words >= 400 and semantic = 0
+G12 | geo-citable-content | low | 0.5 | quick | body_words >= 800 and citable = 0
+G13 | geo-semantic-html | medium | 1 | medium | body_words >= 400 and semantic = 0
 G15 | geo-tone | info | 0 | medium | hedges >= 4
 """),
     *_rules("entity", """

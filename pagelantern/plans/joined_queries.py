@@ -68,6 +68,9 @@ dn as (select distinct answer_id, regexp_replace(regexp_replace(regexp_replace(r
 fl as (select answer_id, bool_or(d = 'alpha.example') or max(regexp_matches(lower(response_text), '(^|[^a-z0-9_.-])alpha\\.example([^a-z0-9_-]|$)')) as is_cited, coalesce(string_agg(d, ' ' order by d) filter (d <> 'alpha.example'), '') as competitors from raw join dn using (answer_id) where d like '%.%' group by answer_id)"""
 _DOM = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), ':\\d+$', ''), '^www\\.', '')"
 _RULE_UNION = lambda keys, rel, rules: " union all ".join(f"select {keys}, '{i}' as rule_id, {s} as severity, cast({p} as double) as points from {rel} where {w}" for i, s, p, w in rules)
+_NOW, _DAYS = f"timestamp '{AS_OF}'", lambda a, b: f"cast(floor((epoch({a}) - epoch({b})) / 86400) as bigint)"
+_SAID_FRESHNESS = [("F01", "'medium'", "1.5", "coalesce(ld_date, t, map_date) is null"), ("F02", "if(page_kind = 'landing', 'medium', 'low')", "if(page_kind in ('blog', 'evergreen'), 1, 2)", "age >= tolerance + 1"), ("F03", "'medium'", "1.5", "ld_age <= 29 and http_age >= 181"), ("F06", "'low'", "1", "gap not between -30 and 30")]
+_SAID_METRICS = [("P01", "'high'", "3", "lcp > 4000"), ("P02", "'medium'", "2", "lcp > 2500 and not lcp > 4000"), ("P03", "'high'", "3", "inp > 500"), ("P04", "'medium'", "2", "inp > 200 and not inp > 500"), ("P05", "if(cls > 0.25, 'high', 'medium')", "2", "cls > 0.1")]
 _GUARD = "case page_id % 8 when 0 then url when 1 then 'ftp://a.example/' when 2 then 'http://localhost/x' when 3 then 'http://10.' || page_id % 256 || '.0.1/' when 4 then 'http://172.' || page_id % 64 || '.0.1/' when 5 then 'http://8.8.' || page_id % 256 || '.8/' when 6 then 'http://[::1]/' else 'https://db.internal/' end"
 _MX = "mx as (select url, max(1500 + page_id % 40 * 100.0) as lcp, max(case when page_id % 4 = 0 then null else 100 + page_id % 9 * 60.0 end) as inp, max(page_id % 4 / 10.0) as cls from pages where page_id % 6 <> 0 group by url)"
 _PROT = page_sql._s(r"`[^`]+`|<code>[^<]+</code>|https?://[^\s<>\"')]+")
@@ -86,11 +89,11 @@ SQL = {
       tm as (select page_id, max(try_cast(regexp_extract(html, '<time[^>]*\\sdatetime="([^"]*)"', 1) as timestamp)) as t from p group by page_id),
       k as (select i.page_id, case when is_editorial then case when guide_heading then 'evergreen' else 'blog' end when regexp_matches(url, '(?i)/(product|produit|shop|boutique|feature|pricing|tarifs)/') then 'product' else 'landing' end as page_kind, ld_date, map_date, i.last_modified, tm.t from i left join se using (host, path) left join tm on tm.page_id = i.page_id),
       n as (select *, greatest(ld_date, t, map_date) as newest from k),
-      z as (select *, date '{AS_OF}' - cast(newest as date) as age, date '{AS_OF}' - cast(ld_date as date) as ld_age, date '{AS_OF}' - cast(map_date as date) as map_age, date '{AS_OF}' - cast(last_modified as date) as http_age, case page_kind when 'blog' then 90 when 'evergreen' then 365 else 30 end as tolerance from n)
-      {_RULE_UNION('page_id, page_kind, age', 'z', joined_rules.FRESHNESS)}""",
-    "rules_field_metrics": f"with {_MX}, z as (select page_id, mx.* from pages left join mx using (url)) {_RULE_UNION('page_id', 'z', joined_rules.METRICS)}",
+      z as (select *, {_DAYS(_NOW, 'newest')} as age, {_DAYS(_NOW, 'ld_date')} as ld_age, {_DAYS(_NOW, 'last_modified')} as http_age, {_DAYS('greatest(ld_date, t)', 'map_date')} as gap, case page_kind when 'blog' then 90 when 'evergreen' then 365 else 30 end as tolerance from n)
+      {_RULE_UNION('page_id, page_kind, age', 'z', _SAID_FRESHNESS)}""",
+    "rules_field_metrics": f"with {_MX}, z as (select page_id, mx.* from pages left join mx using (url)) {_RULE_UNION('page_id', 'z', _SAID_METRICS)}",
     "field_metric_p75": f"with {_MX} select count(lcp) as pages, cast(quantile_cont(lcp, 0.75) as double) as lcp, cast(quantile_cont(inp, 0.75) as double) as inp from mx",
-    "rules_entity_catalog": f"with {_I}, cat as (select label, arg_min(entity_id, rank) as entity_id from (values {CATALOG}) c(label, entity_id, rank) group by label), z as (select page_id, entity_id from i left join cat on cat.label = lower(trim(coalesce(org_name, title))) where has_org and not org_wikidata) select page_id, entity_id, case when entity_id is null then 'N03' else 'N02' end as rule_id, case when entity_id is null then 'medium' else 'high' end as severity, 2.0::double as points from z",
+    "rules_entity_catalog": f"with {_I}, cat as (select label, arg_min(entity_id, rank) as entity_id from (values {CATALOG}) c(label, entity_id, rank) group by label), z as (select page_id, entity_id from i left join cat on cat.label = lower(string_split_regex(coalesce(org_name, nullif(og_site_name, ''), title), '[\\s|·—-]')[1]) where has_org and not org_wikidata) select page_id, entity_id, case when entity_id is null then 'N03' else 'N02' end as rule_id, case when entity_id is null then 'medium' else 'high' end as severity, 2.0::double as points from z",
     "brand_coherence": f"with {_I}, z as (select page_id, list_sort(list_distinct(list_filter(list_transform(list_filter([org_name, nullif(og_site_name, ''), nullif(title, '')], lambda x: x is not null), lambda x: string_split_regex(lower(trim(x)), '[\\s|·—-]')[1]), lambda r: length(r) >= 3))) as r from i) select page_id, array_to_string(r, ',') as roots from z where len(r) > 1",
     "rules_link_status": site_queries._F + ", br as (select distinct e.host, e.src_page, e.dst_path, f.status from e join f on e.host = f.host and e.dst_path = f.path where f.status >= 300), z as (select src_page, count(*) filter (status >= 400) as broken, count(*) filter (status between 300 and 399) as redirected from br group by src_page) " + _RULE_UNION("src_page, broken, redirected", "z", [("C10", "'high'", "1", "broken > 0"), ("C09", "'medium'", "0.5", "redirected >= 2")]),
     "citation_answers": f"with {_ANS} select answer_id, response_text, array_to_string(list_sort(urls), ' ') as urls, case when length(response_text) > 12 then substring(response_text, 1, 12) || '…' else response_text end as short from raw",

@@ -69,6 +69,7 @@ def internal_path(h: str) -> str:
 EXTERNAL = f"(x.href like 'http%' and {host('x.href')} <> host)"
 INTERNAL = f"({internal_path('x.href')} is not null)"
 WORDS = "len(list_filter(string_split({}, ' '), lambda w: w <> ''))"
+LETTERS = "len(list_filter(string_split({}, ' '), lambda w: regexp_matches(w, '[A-Za-z0-9_À-ɏ]')))"
 TRUST = " + ".join(f"(case when len(list_filter(links, lambda x: regexp_matches(lower(x.href), '{'|'.join(w)}') or regexp_matches(x.text, '{'|'.join(w)}'))) > 0 then 0 else 1 end)" for w in fx.TRUST)
 KEPT = f"(x.href <> '' and x.text <> '' and (x.href[1] in ('/', '.') or {host(resolve('x.href'))} = host))"
 GENERIC = ", ".join(f"'{g}'" for g in fx.GENERIC)
@@ -93,9 +94,10 @@ COLUMNS = {
     "h1": "coalesce(h1s[1], '')",
     "h2_count": "len(h2s)",
     "h2_questions": n("h2s", f"regexp_matches(x, {_s(fx.QUESTION)})"),
-    "h2_unanswered": n("sections[2:]", f"{WORDS.format(squeeze("regexp_extract(x, '(?is)</h2>.*?<p(?:\\s[^>]*)?>(.*?)</p>', 1)"))} not between 1 and 60"),
+    "h2_unanswered": n("sections[2:]", f"{LETTERS.format(squeeze("regexp_extract(x, '(?is)</h2>.*?<p(?:\\s[^>]*)?>(.*?)</p>', 1)"))} not between 1 and 60"),
     "first_paragraph_words": n("string_split(coalesce(paragraphs[1], ''), ' ')", "regexp_matches(x, '[A-Za-z0-9_À-ɏ]')"),
     "words": WORDS.format("body_text"),
+    "body_words": LETTERS.format("body_text"),
     "body_chars": "length(body_text)",
     "html_bytes": "octet_length(encode(html))",
     "content_hash": "sha256(lower(body_text))",
@@ -197,7 +199,7 @@ g as (select page_id, n_broken, len(os) as n_objects, list_distinct(flatten(list
   org is not null as has_org, site is not null as has_site, art is not null as has_article_type, person is not null as has_person,
   case when org is null then 0 else {_missing('org', lambda o, f: f"{_named(o, f)} is not null", 'name', 'url', 'logo')} end as org_missing,
   case when org is null then 0 else len({SAME}) end as org_same_as,
-  len(list_filter({SAME}, lambda x: x like '%wikidata.org%')) > 0 as org_wikidata, len(list_filter({SAME}, lambda x: x like '%wikipedia.org%')) > 0 as org_wikipedia,
+  len(list_filter({SAME}, lambda x: lower(x) like '%wikidata.org%')) > 0 as org_wikidata, len(list_filter({SAME}, lambda x: lower(x) like '%wikipedia.org%')) > 0 as org_wikipedia,
   {_named('org', 'name')} as org_name,
   len(list_filter({_list("json_extract(site, '$.potentialAction.\"@type\"')")}, lambda x: lower(x) like '%searchaction%')) > 0 as has_search,
   coalesce(json_type({_get('site', 'potentialAction')}) in ('OBJECT', 'ARRAY'), false) as has_action, n_no_context, n_http_context,
@@ -207,7 +209,7 @@ g as (select page_id, n_broken, len(os) as n_objects, list_distinct(flatten(list
   coalesce(not regexp_matches(nullif(coalesce({_str(_get('art', 'image'))}, {_str("json_extract(art, '$.image.url')")}), ''), '(?i)^https?://'), false) as image_relative,
   case when person is null then 0 else {_missing('person', _holds, 'jobTitle', 'knowsAbout')} + (case when len({_list(_get('person', 'sameAs'))}) = 0 then 1 else 0 end) end as person_missing,
   len(list_filter(os, lambda o: {_holds('o', 'datePublished')} or {_holds('o', 'dateModified')})) > 0 as has_dates,
-  list_max(list_transform(os, lambda o: try_cast(coalesce({_str(_get('o', 'dateModified'))}, {_str(_get('o', 'datePublished'))}) as timestamp))) as ld_date from o2)"""
+  list_max(list_transform(os, lambda o: coalesce(try_cast({_str(_get('o', 'dateModified'))} as timestamp), try_cast({_str(_get('o', 'datePublished'))} as timestamp)))) as ld_date from o2)"""
 
 _STRIP = lambda c: f"regexp_replace(regexp_replace(regexp_replace({c}, '/+$', ''), '\\?.*$', ''), '#.*$', '')"
 _LOOSE = lambda c: f"regexp_replace(regexp_replace({c}, '^https?://', ''), '/$', '')"
@@ -281,11 +283,11 @@ G05 medium 2 medium geo-semantic: first_paragraph_words >= 1 and first_paragraph
 G06 low 1 quick geo-semantic: first_paragraph_words >= 168
 G07 medium 1 medium geo-answer-blocks: h2_count >= 3 and h2_questions / h2_count < 0.6
 G08 low 0.5 medium geo-answer-blocks: h2_count >= 3 and 2 * h2_unanswered > h2_count
-G09 low 1 medium geo-evidence: words >= 301 and has_evidence = false
+G09 low 1 medium geo-evidence: body_words >= 301 and has_evidence = false
 G10 medium 1 medium geo-faqpage-schema: h2_questions >= 1 and len(list_intersect(types, ['faqpage', 'qapage'])) = 0
 G11 low 0.5 medium geo-howto-schema: guide_url and not list_contains(types, 'howto')
-G12 low 0.5 quick geo-citable-content: words > 799 and citable < 1
-G13 medium 1 medium geo-semantic-html: words > 399 and semantic < 1
+G12 low 0.5 quick geo-citable-content: body_words > 799 and citable < 1
+G13 medium 1 medium geo-semantic-html: body_words > 399 and semantic < 1
 G15 info 0 medium geo-tone: hedges > 3
 """,
     "entity": """

@@ -116,6 +116,7 @@ def page_features(pages: DataFrame) -> DataFrame:
         }
     )
     word = lambda text: count(F.split(text, " "), lambda w: w != "")
+    letters = lambda text: count(F.split(text, " "), lambda w: w.rlike(r"[A-Za-z0-9_\u00C0-\u024F]"))
     here, base = F.col("host"), F.col("url")
     external = lambda a: a["href"].startswith("http") & (urls.host(a["href"]) != here)
     internal = lambda a: urls.internal_path(a["href"], base).isNotNull()
@@ -149,8 +150,9 @@ def page_features(pages: DataFrame) -> DataFrame:
         "h1": F.coalesce(F.get("h1s", 0), F.lit("")),
         "h2_count": F.size("h2s"),
         "h2_questions": count("h2s", lambda h: h.rlike(QUESTION)),
-        "h2_unanswered": count(F.slice("sections", F.lit(2), F.size("sections")), lambda s: ~word(answer(s)).between(1, 60)),
-        "first_paragraph_words": count(F.split(F.coalesce(F.get("paragraphs", 0), F.lit("")), " "), lambda w: w.rlike(r"[A-Za-z0-9_\u00C0-\u024F]")),
+        "h2_unanswered": count(F.slice("sections", F.lit(2), F.size("sections")), lambda s: ~letters(answer(s)).between(1, 60)),
+        "first_paragraph_words": letters(F.coalesce(F.get("paragraphs", 0), F.lit(""))),
+        "body_words": letters(F.col("body_text")),
         "words": word(F.col("body_text")),
         "body_chars": F.length("body_text"),
         "html_bytes": F.octet_length("html"),
@@ -278,8 +280,8 @@ def jsonld_facts(features: DataFrame) -> DataFrame:
     first = lambda *names: F.coalesce(*(F.get(F.filter("objects", lambda o: F.array_contains(o["types"], n)), 0) for n in names))
     f = f.withColumns({"org": first("organization"), "site": first("website"), "article": first("article", "blogposting", "newsarticle"), "person": first("person")})
     said = lambda c, field, default: F.coalesce(F.col(f"{c}.{field}"), F.lit(default))
-    same = lambda host: F.coalesce(F.exists("org.same_as", lambda s: s.contains(host)), F.lit(False))
-    dates = F.transform("objects", lambda o: F.try_to_timestamp(F.coalesce(o["modified"], o["published"])))
+    same = lambda host: F.coalesce(F.exists("org.same_as", lambda s: F.lower(s).contains(host)), F.lit(False))
+    dates = F.transform("objects", lambda o: F.coalesce(F.try_to_timestamp(o["modified"]), F.try_to_timestamp(o["published"])))
     facts = {
         "n_objects": F.size("objects"),
         "types": F.array_sort(F.array_distinct(F.flatten(F.transform("objects", lambda o: o["types"])))),

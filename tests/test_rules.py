@@ -1,8 +1,9 @@
 """Page rules at their boundaries, and plans that stay native and keep html out of shuffles."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from pagelantern.operators import rules
+from pagelantern.operators import joined_rules, rules
 from pagelantern.sources import features as fx
 from pagelantern.sources import tables
 
@@ -114,3 +115,28 @@ def test_plans_are_native_and_html_is_not_shuffled(spark, sf_dir):
     plan = rules.page_findings(rules.rule_inputs(made))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
     assert not [line for line in plan.splitlines() if "Exchange" in line and "html#" in line]
+
+
+def test_freshness(spark):
+    said = lambda *pairs: '<script type="application/ld+json">{' + ",".join(f'"{k}":"{v}"' for k, v in pairs) + "}</script>"
+    heads = [
+        page(said(("dateModified", "2024-01-01")), '<time datetime="2024-05-30">x</time>', url="https://a.example/1"),
+        page(said(("dateModified", "2024-01-01")), url="https://a.example/2"),
+        page(said(("dateModified", "no date"), ("datePublished", "2024-06-10T12:00:00")), url="https://a.example/3"),
+        page(url="https://a.example/4"),
+    ]
+    rows = [(k, "a.example", url, html, 200, None) for k, (html, url) in enumerate(heads, 1)]
+    pages = spark.createDataFrame(rows, SCHEMA).withColumn("last_modified", F.expr("timestamp'2023-01-01'"))
+    entries = spark.createDataFrame([("a.example", "https://a.example/1", "2024-05-28"), ("a.example", "https://a.example/2", "2024-03-01")], "host string, loc string, d string").select("host", "loc", F.to_timestamp("d").alias("lastmod"))
+    got = joined_rules.freshness(rules.rule_inputs(fx.page_features(pages)), entries, "2024-06-15").collect()
+    assert {(r.page_id, r.rule_id) for r in got} == {(2, "F02"), (2, "F06"), (3, "F03"), (4, "F01")}
+    assert {r.page_id: r.age for r in got}[3] == 4
+
+
+def test_entity_catalogue(spark):
+    org = '<script type="application/ld+json">{"@type":"Organization"%s}</script>'
+    made = [page(org % ',"name":"Acme Corp"'), page('<meta property="og:site_name" content="Acme — home">' + org % ""), page("<title>Other | Acme</title>" + org % ""), page(org % ',"name":"Acme","sameAs":"https://www.WikiData.org/wiki/Q1"')]
+    rows = [(k, "a.example", url, html, 200, None) for k, (html, url) in enumerate(made)]
+    catalog = spark.createDataFrame([("acme", "Q1", 1)], "label string, entity_id string, rank int")
+    got = joined_rules.entity_rules(rules.rule_inputs(fx.page_features(spark.createDataFrame(rows, SCHEMA))), catalog).collect()
+    assert {(r.page_id, r.rule_id) for r in got} == {(0, "N02"), (1, "N02"), (2, "N03")}
