@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelantern.llm import bpe, chat, embedding_dedup, fingerprints, html_text, language_id, licenses, mixing, secret_scan, simhash
+from pagelantern.llm import bpe, chat, embedding_dedup, fingerprints, html_text, language_id, licenses, mixing, prefix_trie, secret_scan, simhash
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_language_id": language_id.op9_language_id,
     "op10_chat": chat.op10_chat,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
 }
 
 SQL: dict[str, str] = {
     "op2_poisson_mix": mixing.SQL,
     "op10_chat": chat.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }
