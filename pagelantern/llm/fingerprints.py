@@ -59,18 +59,19 @@ def digits(a: Column) -> Column:
 
 
 def _array(values, kind: str) -> Column:
-    """A literal array, told as one text so that plans stay small."""
-    told = F.split(F.lit(",".join("null" if v is None else str(v) for v in values)), ",")
-    return F.transform(told, lambda x: F.when(x != "null", x.cast(kind))) if values else F.array().cast(f"array<{kind}>")
+    """A literal array: told as one text, which Spark reads once, when it plans (a cast of literals is constant, a lambda is not)."""
+    told = ",".join("null" if v is None else str(v) for v in values)
+    return F.split(F.lit(told), ",").try_cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
 
 
-def _below(x: Column, many: int, at: str) -> Column:
-    """How many of the ascending array in column `at`, of `many` values, are below x: a binary search."""
+def _below(x: Column, values: list) -> Column:
+    """How many of the ascending values are below x: a binary search."""
+    many, ascending = len(values), _array(values, "bigint")
     start = F.struct(F.lit(0).alias("lo"), F.lit(many).alias("hi"))
 
     def step(a, _):
         mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-        up = F.get(at, mid) < x
+        up = F.get(ascending, mid) < x
         open_ = a["lo"] < a["hi"]
         return F.struct(F.when(open_ & up, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~up, mid).otherwise(a["hi"]).alias("hi"))
 
@@ -84,7 +85,8 @@ def with_next(docs: DataFrame, each: int = 2000, most: int = 50_000, tie: list[s
     into ranges of about `each` rows (of more, if there were more than `most` ranges) at ids of the table, found by
     approximate percentiles; an id that has several percentiles, and the null ids, are cut further by the hash. A
     row finds its range by binary search. The first row of a range is also given to the range that it follows, so one
-    window for each range, and one shuffle, suffice. Of the ranges the driver knows bounds and first rows' ids and hashes.
+    window for each range, and one shuffle, suffice. Of the ranges the driver knows bounds and first rows' ids and hashes, which
+    the plan holds as constants, so a row's cost does not follow the number of ranges.
     """
     tie = tie or [c for c in docs.columns if c != "doc_id"]
     docs = docs.withColumn("hash_", F.xxhash64("doc_id", *tie))
@@ -100,14 +102,13 @@ def with_next(docs: DataFrame, each: int = 2000, most: int = 50_000, tie: list[s
         start.append(at)
         parts.append(seen[i] if seen[i] > 1 else 0)
         at += 1 + parts[-1]
-    docs = docs.withColumn("ids_", _array(ids, "bigint"))
-    place = _below(F.col("doc_id"), len(ids), "ids_")
+    place = _below(F.col("doc_id"), ids)
     spread = lambda k: F.least(k - 1, F.floor((F.col("hash_") / F.lit(2.0**64) + 0.5) * k)).cast("int")
     heavy = F.coalesce(F.get(_array(parts, "int"), F.col("place_")), F.lit(0))
     first = F.coalesce(F.get(_array(start, "int"), F.col("place_")), F.lit(at))
-    is_edge = F.coalesce(F.get("ids_", F.col("place_")) == F.col("doc_id"), F.lit(False))
+    is_edge = F.coalesce(F.get(_array(ids, "bigint"), F.col("place_")) == F.col("doc_id"), F.lit(False))
     own = F.when(F.col("doc_id").isNull(), spread(F.lit(max(1, min(most, -(-nulls // each)))))).when((heavy > 0) & is_edge, first + 1 + spread(heavy)).otherwise(first)
-    docs = docs.withColumn("place_", place).withColumn("range_", own).drop("ids_", "place_")
+    docs = docs.withColumn("place_", place).withColumn("range_", own).drop("place_")
     tops = {r["range_"]: r["top"] for r in docs.groupBy("range_").agg(F.max(F.struct("doc_id", "hash_")).alias("top")).collect()}
     there = sorted(tops)
     after = dict(zip(there, [*there[1:], *there[:1]]))  # the range whose last row is followed by this range's first

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelantern.llm import bpe, chat, embedding_dedup, fingerprints, html_text, language_id, licenses, mixing, prefix_trie, secret_scan, simhash
+from pagelantern.llm import bpe, chat, embedding_dedup, fingerprints, hard_negatives, html_text, language_id, licenses, mixing, prefix_trie, quality_mil, secret_scan, simhash
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_chat": chat.op10_chat,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_quality": quality_mil.op12_quality,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
     "op2_poisson_mix": mixing.SQL,
     "op10_chat": chat.SQL,
     "op11_prefix_trie": prefix_trie.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }

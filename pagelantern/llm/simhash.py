@@ -170,14 +170,15 @@ def simhash_groups(docs: DataFrame, budget: int = 3, leaves: int = 4096) -> Data
     """doc_id, fingerprint (16 hex digits) and component_id for every row of docs.
 
     component_id is the smallest doc_id that links of at most `budget` bits reach, the document's own included.
-    Extra columns are ignored. A row whose doc_id is null takes part and gets its group's component_id, null
-    if the group has no doc_id at all. An empty table gives no rows.
+    Extra columns are ignored. A row whose doc_id is null takes part like any other: links lead through it, and it gets its
+    group's component_id, null if the group has no doc_id at all. An empty table gives no rows.
     """
     prints = cut(fingerprints(docs))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = classes.where("rep is not null")
-    linked = components(trie_links(named, budget, leaves))
-    groups = named.join(linked, named.rep == linked.v, "left").select("fp", F.coalesce("c", "rep").alias("component_id"))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))  # a class is its fingerprint, whatever its ids
+    linked = components(trie_links(classes.select("fp", F.col("fp").alias("rep")), budget, leaves))
+    groups = cut(classes.join(linked, classes.fp == linked.v, "left").select("fp", "first", F.coalesce("c", "fp").alias("group")))
+    smallest = groups.groupBy("group").agg(F.min("first").alias("component_id"))
+    groups = groups.join(smallest, "group").select("fp", "component_id")
     return prints.join(groups, "fp", "left").select("doc_id", unhex_long("fp").alias("fingerprint"), "component_id")
 
 

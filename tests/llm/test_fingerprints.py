@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -60,6 +61,19 @@ def test_next_with_hot_ids(frame):
     assert at == (39, "b39") and order == sorted((k for k, _ in rows if k is not None), reverse=True) + [None] * 90
 
 
+def test_time_does_not_follow_the_number_of_ranges(spark):
+    """The ranges' bounds are constants of the plan, not arrays that every row reads."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    took = {}
+    for many in (20, 20, 2000):  # the first run compiles
+        out = fp.with_next(docs, each=40_000 // many)
+        began = time.time()
+        assert out.agg(F.sum("next_doc_id")).first()[0] == 40_000 * 39_999 // 2
+        took[many] = time.time() - began
+        assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert took[2000] < 4 * took[20] + 3
+
+
 def slow_sketch(text):
     """The bottom k of a text's shingle hashes, with the hash library's own XXH64 chained as Spark does."""
     import ctypes

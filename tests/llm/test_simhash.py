@@ -53,6 +53,25 @@ def test_edge_cases(frame):
     assert simhash.simhash_groups(frame([], docs.schema)).count() == 0
 
 
+def test_links_lead_through_rows_without_an_id(frame):
+    """A text whose fingerprint is within the budget of two others' that are not within it of each other, with and without an id."""
+    rng, texts = np.random.default_rng(8), {}
+    words = [f"w{k}" for k in range(900)]
+    for _ in range(400):  # edits of one long text, some of whose fingerprints lie near each other
+        t = list(words)
+        for k in rng.choice(900, int(rng.integers(1, 5)), replace=False):
+            t[k] = f"x{rng.integers(0, 9999)}"
+        texts.setdefault(simhash.fingerprint(" ".join(t)), " ".join(t))
+    near = lambda a, b: 0 < (a ^ b).bit_count() <= 3
+    bridge = next((a, m, b) for m in texts for a in texts for b in texts if near(a, m) and near(m, b) and (a ^ b).bit_count() > 3)
+    leaf = next((a, m) for a in texts for m in texts if near(a, m))
+    for ids, want in (((1, 9, 2), [1, 1, 1]), ((1, None, 2), [1, 1, 1]), ((5, None, 2), [2, 2, 2]), ((None, None, 2), [2, 2, 2]), ((None, None, None), [None] * 3)):
+        rows = simhash.simhash_groups(frame([(i, texts[f]) for i, f in zip(ids, bridge)], "doc_id long, text string")).collect()
+        assert sorted((r.component_id for r in rows), key=str) == want, ids
+    rows = simhash.simhash_groups(frame([(1, texts[leaf[0]]), (None, texts[leaf[1]])], "doc_id long, text string")).collect()
+    assert [r.component_id for r in rows] == [1, 1]
+
+
 def test_query_on_table(spark, sf_dir):
     docs = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     rows = simhash.op3_simhash(spark, sf_dir).collect()
