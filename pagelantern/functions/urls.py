@@ -45,6 +45,13 @@ def internal_path(href: Column, base: Column) -> Column:
     return F.when(usable & (origin(full) == origin(base)), path(full))
 
 
+def crawl_form(href: Column, base: Column) -> Column:
+    """The URL that a link leads to, as a crawl tells pages apart: absolute, without fragment, its path without a last slash (but /)."""
+    full = F.regexp_replace(resolve(href, base), "#.*$", "")
+    rooted = F.regexp_replace(full, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]+)(\?|$)", "$1/$2")
+    return F.regexp_replace(rooted, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]+/[^?]*[^/?])/(\?|$)", "$1$2")
+
+
 def crawlable(href: Column) -> Column:
     """Whether a link is worth following: no fragment, mail or telephone link, and no asset."""
     asset = r"(?i)\.(png|jpe?g|gif|svg|webp|avif|ico|css|js|pdf|zip|mp4|mp3|woff2?|ttf|xml|json)([?#]|$)"

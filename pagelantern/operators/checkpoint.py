@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the session's shared folder, without their lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """A new folder that driver and executors share, removed at the end; what should outlive it must be cut before."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        remove(spark, folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelantern.operators.scoring import round1, subject
+from pagelantern.operators.scoring import round1, with_subject
 
 
 def previous_runs(audits: DataFrame) -> DataFrame:
@@ -16,6 +16,18 @@ def previous_runs(audits: DataFrame) -> DataFrame:
     return out.select("audit_id", "org_id", "target", "created_at", "previous_id", "score", "previous_score", round1(F.col("score") - F.col("previous_score")).alias("delta"))
 
 
+def days_between(a, b):
+    """Whole days between two times, rounded, whichever is earlier; null if one is."""
+    seconds = F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1e6
+    return F.floor(seconds / 86400 + 0.5).cast("long")
+
+
+def run_gaps(audits: DataFrame) -> DataFrame:
+    """audit_id, previous_id and days: how long after the run before it each compared run was made."""
+    runs, at = previous_runs(audits), audits.select(F.col("audit_id").alias("previous_id"), F.col("created_at").alias("before"))
+    return runs.join(at, "previous_id").select("audit_id", "previous_id", days_between(F.col("created_at"), F.col("before")).alias("days"))
+
+
 def phase_deltas(scores: DataFrame, runs: DataFrame) -> DataFrame:
     """audit_id, phase, score, previous and delta; a phase that one run lacks counts as zero there."""
     now = scores.join(runs.select("audit_id", "previous_id"), "audit_id").select("audit_id", "phase", "score")
@@ -25,19 +37,21 @@ def phase_deltas(scores: DataFrame, runs: DataFrame) -> DataFrame:
     return zero.withColumn("delta", round1(F.col("score") - F.col("previous")))
 
 
-def finding_key():
-    """Phase, subject (else title) and URL: what makes a finding the same in two runs, however it is worded."""
-    about = F.coalesce(subject(F.concat_ws(" ", "title", "recommendation")), F.concat(F.lit("t:"), F.substring(F.lower("title"), 1, 60)))
-    return F.concat_ws(":", "phase", about, F.coalesce("url", F.lit("")))
+def with_key(findings: DataFrame) -> DataFrame:
+    """findings with key: phase, subject (else title) and URL, what makes a finding the same in two runs, however it is worded."""
+    about = F.coalesce("subject", F.concat(F.lit("t:"), F.substring(F.lower("title"), 1, 60)))
+    return with_subject(findings).withColumn("key", F.concat_ws(":", "phase", about, F.coalesce("url", F.lit(""))))
 
 
 def finding_deltas(findings: DataFrame, runs: DataFrame) -> DataFrame:
     """audit_id, key and change (introduced, resolved, persistent) against the previous run."""
-    keyed = findings.select("audit_id", finding_key().alias("key")).distinct()
-    now = keyed.join(runs.select("audit_id"), "audit_id").withColumn("here", F.lit(True))
-    before = runs.select(F.col("audit_id").alias("of"), F.col("previous_id").alias("audit_id")).join(keyed, "audit_id").select(F.col("of").alias("audit_id"), "key", F.lit(True).alias("there"))
-    change = F.when(F.col("here").isNull(), "resolved").when(F.col("there").isNull(), "introduced").otherwise("persistent")
-    return now.join(before, ["audit_id", "key"], "full").select("audit_id", "key", change.alias("change"))
+    # a run's findings are its own and, a second time, those before of the run that follows it: one join, then one aggregation
+    own = runs.select("audit_id", F.lit(True).alias("now"), F.col("audit_id").alias("of"))
+    roles = own.unionByName(runs.select(F.col("previous_id").alias("audit_id"), F.lit(False).alias("now"), F.col("audit_id").alias("of")))
+    told = with_key(findings).select("audit_id", "key").join(roles, "audit_id").groupBy(F.col("of").alias("audit_id"), "key")
+    seen = told.agg(F.bool_or("now").alias("here"), F.bool_or(~F.col("now")).alias("there"))
+    change = F.when(~F.col("here"), "resolved").when(~F.col("there"), "introduced").otherwise("persistent")
+    return seen.select("audit_id", "key", change.alias("change"))
 
 
 def ordered_deltas(deltas: DataFrame) -> DataFrame:
@@ -152,6 +166,18 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # the total is one row
 
 
+def pages_by(rows: DataFrame, by: str, order: list, size: int) -> DataFrame:
+    """rows with the page of its group that each lies on (from 1), its place, and the group's total, for all groups at once."""
+    total = rows.groupBy(by).agg(F.count("*").alias("total"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return placed.join(total, by).withColumn("page", F.ceil(F.col("place") / size).cast("int"))
+
+
+def newest(rows: DataFrame, by: str, order: list) -> DataFrame:
+    """rows with their place in their group, the newest first."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
 def sliding_rate(requests: DataFrame, limit: int = 3) -> DataFrame:
     """event_id, org_id, n (requests of the org in the hour up to this one) and allowed.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Order of severities; phases of each mode; subjects by pattern, the first match counts; letters without accents; phases by audience.
+# Order of severities; phases of each mode; subjects by pattern, the first match counts; letters without accents; labels of severities, phases, efforts and levels; phases by audience.
 SEVERITY = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
 MODES = {"flash": ["technical", "structured_data", "geo", "eeat"], "standard": ["technical", "structured_data", "geo", "entity", "eeat", "freshness", "international", "performance"]}
 SUBJECTS = [
@@ -42,6 +42,21 @@ SUBJECTS = [
 ]
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 LABELS = {"critical": "Critique", "high": "Élevé", "medium": "Moyen", "low": "Faible", "info": "Info"}
+PHASE_LABELS = {
+    "technical": "SEO technique",
+    "structured_data": "Données structurées",
+    "geo": "Visibilité IA (GEO)",
+    "entity": "Identité de marque (Entity)",
+    "eeat": "Crédibilité (E-E-A-T)",
+    "freshness": "Fraîcheur du contenu",
+    "international": "International (hreflang)",
+    "performance": "Performance (Core Web Vitals)",
+    "topical": "Autorité thématique",
+    "common_mistakes": "Erreurs courantes",
+    "synthesis": "Synthèse",
+}
+EFFORT_LABELS = {"quick": "Rapide (< 1 h)", "medium": "Moyen (< 1 jour)", "heavy": "Lourd (> 1 jour)"}
+LEVEL_LABELS = {"excellent": "Excellent", "good": "Bon", "fair": "À améliorer", "poor": "Critique"}
 AUDIENCES = {"technical": ["technical", "structured_data", "performance", "topical", "common_mistakes"], "marketing": ["geo", "eeat", "entity", "freshness", "international"]}
 
 
@@ -116,15 +131,27 @@ def subject(text: Column) -> Column:
     return F.coalesce(*(F.when(plain.rlike(p), s) for s, p in SUBJECTS))
 
 
+def with_subject(findings: DataFrame) -> DataFrame:
+    """findings with their subject, null if no pattern matches.
+
+    Findings repeat the texts of their rules, so each distinct title and recommendation is read once and joined back; a text
+    that very many findings share is dealt over several tasks by adaptive skew handling. Nulls are a text of their own.
+    """
+    text = F.concat_ws("\u0001", F.coalesce("title", F.lit("\u0002")), F.coalesce("recommendation", F.lit("\u0002")))
+    f = findings.withColumn("text_", text)
+    known = f.groupBy("text_").agg(F.first(F.concat_ws(" ", "title", "recommendation")).alias("said_")).select("text_", subject(F.col("said_")).alias("subject"))
+    return f.join(known, "text_", "left").drop("text_")
+
+
 def deduplicated(findings: DataFrame) -> DataFrame:
     """Of findings of an audit on one subject (else one recommendation) the strongest, with the number merged.
 
     Findings are merged in the order of arrival: the one with more points, then the graver, then the earlier stays, and
     the other's recommendation is added to it unless one holds the other. One audit's findings on a subject are one group.
     """
-    key = F.coalesce(subject(F.concat_ws(" ", "title", "recommendation")), F.substring(F.lower(F.trim("recommendation")), 1, 80))
+    key = F.coalesce("subject", F.substring(F.lower(F.trim("recommendation")), 1, 80))
     fields = ["n", "points", "w", "phase", "severity", "effort", "url", "title"]
-    f = findings.withColumns({"subject": key, "w": weight(F.col("severity"))})
+    f = with_subject(findings).withColumns({"subject": key, "w": weight(F.col("severity"))})
     item = F.struct(*fields, F.trim("recommendation").alias("recommendation"))
     groups = f.groupBy("audit_id", "subject").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
@@ -233,3 +260,34 @@ def rollup(audits: DataFrame, findings: DataFrame) -> DataFrame:
 
 def level(score: Column) -> Column:
     return F.when(score >= 80, "excellent").when(score >= 60, "good").when(score >= 40, "fair").otherwise("poor")
+
+
+def label(key: Column, labels: dict[str, str]) -> Column:
+    """A key's label; a key without one stands for itself."""
+    return F.coalesce(*(F.when(key == k, v) for k, v in labels.items()), key)
+
+
+def labelled(findings: DataFrame) -> DataFrame:
+    """findings with the labels of their severity, phase and effort."""
+    names = {"severity": LABELS, "phase": PHASE_LABELS, "effort": EFFORT_LABELS}
+    return findings.withColumns({f"{c}_label": label(F.col(c), known) for c, known in names.items()})
+
+
+def executive(audits: DataFrame, findings: DataFrame, scores: DataFrame, skipped: DataFrame) -> DataFrame:
+    """What a report's summary states, one row an audit: rounded score, level, findings, grave ones, best and worst phase.
+
+    Phases that an audit skipped (audit_id, phase) are neither best nor worst; one without points to give counts as no worst and
+    no best one. Of equal ratios the phase that comes first in the rubric (phase_order, in scores) is named.
+    """
+    total = F.floor(F.sum("score") / F.nullif(F.sum("score_max"), F.lit(0.0)) * 100 + 0.5).cast("long")
+    whole = scores.groupBy("audit_id").agg(total.alias("score"))
+    live = scores.where("phase <> 'synthesis'").join(skipped, ["audit_id", "phase"], "left_anti")
+    ratio = lambda empty: F.when(F.col("score_max") > 0, F.coalesce("score", F.lit(0.0)) / F.col("score_max")).otherwise(empty)
+    ends = live.groupBy("audit_id").agg(
+        F.min_by("phase", F.struct(ratio(1.0), "phase_order")).alias("worst"),
+        F.min_by("phase", F.struct(-ratio(0.0), "phase_order")).alias("best"),
+    )
+    real = findings.where("phase <> 'synthesis'").groupBy("audit_id").agg(F.count("*").alias("findings"), F.count_if(F.col("severity").isin("critical", "high")).alias("grave"))
+    out = audits.select("audit_id", "target").join(whole, "audit_id", "left").join(real, "audit_id", "left").join(ends, "audit_id", "left").na.fill(0, ["score", "findings", "grave"])
+    named = {"level": label(level(F.col("score")), LEVEL_LABELS), "worst": label(F.col("worst"), PHASE_LABELS), "best": label(F.col("best"), PHASE_LABELS)}
+    return out.withColumns(named).select("audit_id", "target", "score", "level", "findings", "grave", "best", "worst")

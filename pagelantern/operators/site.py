@@ -6,6 +6,7 @@ Everything is keyed by host; html never reaches a shuffle, only what the feature
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -260,18 +261,26 @@ def site_findings(pages: DataFrame, edges: DataFrame, files: DataFrame, as_of: s
     return wide.select("host", F.explode(F.array_compact(F.array(*made))).alias("f")).select("host", "f.*")
 
 
-def reachable(pages: DataFrame, edges: DataFrame, cut) -> DataFrame:
+def reachable(pages: DataFrame, edges: DataFrame, cut, most: int | None = None) -> DataFrame:
     """page_id and depth of all pages that links reach from each host's home, breadth first, at any depth.
 
-    Each round adds pages or is the last. The home is the page with path /, else the lowest page_id of the host. cut: writes a frame and returns it without its lineage.
+    The home is the page with path /, else the lowest page_id of the host. most: at most so many pages of a host, in the order
+    of depth, then page_id; a host that has them is followed no further. cut: writes a frame and returns it without its lineage.
+
+    Each round adds pages or is the last, and writes only the pages that it adds: those seen are the fronts so far.
     """
     known = pages.select("page_id", "host", "path")
-    hops = cut(edges.join(known.select("host", F.col("path").alias("dst_path"), F.col("page_id").alias("dst")), ["host", "dst_path"]).select("src_page", "dst").distinct())
-    seen = cut(homes(pages).select("page_id", F.lit(0).alias("depth")))
-    front = seen
+    hops = cut(edges.join(known.select("host", F.col("path").alias("dst_path"), F.col("page_id").alias("dst")), ["host", "dst_path"]).select("src_page", "dst", "host").distinct())
+    fronts = [cut(homes(pages).select("page_id", "host", F.lit(0).alias("depth")))]
     for depth in itertools.count(1):
-        step = front.join(hops, front.page_id == hops.src_page).select(F.col("dst").alias("page_id")).distinct()
-        front = cut(step.join(seen, "page_id", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = reduce(DataFrame.unionByName, fronts)
+        step = fronts[-1].select(F.col("page_id").alias("src_page")).join(hops, "src_page").select(F.col("dst").alias("page_id"), "host").distinct()
+        step = step.join(seen.select("page_id"), "page_id", "left_anti")
+        if most is not None:
+            place = F.row_number().over(Window.partitionBy("host").orderBy("page_id"))
+            left = seen.groupBy("host").agg((F.lit(most) - F.count("*")).alias("left"))
+            step = step.withColumn("place", place).where(F.col("place") <= most).join(left, "host").where(F.col("place") <= F.col("left"))
+        front = cut(step.select("page_id", "host", F.lit(depth).alias("depth")))
         if front.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(front))
+            return seen.select("page_id", "depth")
+        fronts.append(front)

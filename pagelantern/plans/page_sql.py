@@ -95,7 +95,7 @@ COLUMNS = {
     "h2_count": "len(h2s)",
     "h2_questions": n("h2s", f"regexp_matches(x, {_s(fx.QUESTION)})"),
     "h2_unanswered": n("sections[2:]", f"{LETTERS.format(squeeze("regexp_extract(x, '(?is)</h2>.*?<p(?:\\s[^>]*)?>(.*?)</p>', 1)"))} not between 1 and 60"),
-    "first_paragraph_words": n("string_split(coalesce(paragraphs[1], ''), ' ')", "regexp_matches(x, '[A-Za-z0-9_À-ɏ]')"),
+    "first_paragraph_words": n("string_split(coalesce(first_paragraph, ''), ' ')", "regexp_matches(x, '[A-Za-z0-9_À-ɏ]')"),
     "words": WORDS.format("body_text"),
     "body_words": LETTERS.format("body_text"),
     "body_chars": "length(body_text)",
@@ -147,6 +147,9 @@ COLUMNS = {
     "guide_heading": "len(list_filter(h1s || h2s, lambda h: regexp_matches(h, '(?i)guide|tutoriel|comment'))) > 0",
 }
 
+# Tags at which a paragraph ends, as the page's main text is told: its first paragraph lies in main, article or section or directly in the body.
+_BLOCK = r"(?is)</?(?:main|article|section|div|nav|header|footer|aside|ul|ol|dl|table|form|figure|figcaption|blockquote|details|summary|fieldset|address|menu|dialog|hgroup|center|pre|p|h[1-6]|hr|body)(?:\s[^>]*)?/?>"
+
 FEATURES = f"""p as ({PAGES_SQL}),
 c as (select *, regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>', ' ', 'g') as clean from p),
 t as (select *, regexp_extract(html, '(?is)<head[^>]*>(.*?)</head>', 1) as head, regexp_extract(clean, '(?is)<body[^>]*>(.*)', 1) as body,
@@ -157,9 +160,13 @@ t as (select *, regexp_extract(html, '(?is)<head[^>]*>(.*?)</head>', 1) as head,
   list_filter(list_transform(regexp_extract_all(html, '(?is)<script[^>]*type={Q}application/ld\\+json{Q}[^>]*>(.*?)</script>', 1), lambda b: trim(b)), lambda b: b <> '') as jsonld from c),
 u as (select *, list_transform(anchors, lambda x: {{'href': {attr('x.start', 'href')}, 'text': lower({squeeze('x.tag')}), 'rel': {attr('x.start', 'rel')}, 'target': {attr('x.start', 'target')}}}) as links,
   list_filter(list_transform(list_filter(link_tags, lambda t: lower({attr('t', 'rel')}) = 'alternate'), lambda t: {{'lang': {attr('t', 'hreflang')}, 'href': {attr('t', 'href')}}}), lambda x: x.lang <> '' and x.href <> '') as hreflangs,
-  {squeeze('body')} as body_text,
-  list_filter(list_transform(regexp_extract_all(body, '(?is)<p(?:\\s[^>]*)?>(.*?)(?:</p>|<p[\\s>]|<h[1-6]|<ul|<div|</article>)', 1), lambda y: {squeeze('y')}), lambda y: y <> '') as paragraphs from t),
-f as (select page_id, host, url, status, last_modified, links, hreflangs, jsonld, {', '.join(f'{e} as {k}' for k, e in COLUMNS.items())} from u)"""
+  {squeeze('body')} as body_text from t),
+pt as (select page_id, tg, tx, unnest(range(1, len(tg) + 1)) as k from (select page_id, regexp_extract_all(body, {_s(_BLOCK)}) as tg, string_split_regex(body, {_s(_BLOCK)}) as tx from t)),
+pr as (select page_id, k, lower(regexp_extract(tg[k], '^</?([A-Za-z0-9]+)', 1)) as tag, case when starts_with(tg[k], '</') then -1 else 1 end as way, {squeeze('tx[k + 1]')} as said from pt),
+pw as (select *, sum(case when tag in ('main', 'article', 'section') then way else 0 end) over (partition by page_id order by k) as inside,
+  sum(case when tag in ('p', 'hr', 'body') or regexp_matches(tag, '^h[1-6]$') then 0 else way end) over (partition by page_id order by k) as open from pr),
+pg as (select page_id, arg_min(said, (case when inside > 0 or open = 0 then 0 else 1 end, k)) as first_paragraph from pw where tag = 'p' and way = 1 and said <> '' group by page_id),
+f as (select page_id, host, url, status, last_modified, links, hreflangs, jsonld, {', '.join(f'{e} as {k}' for k, e in COLUMNS.items())} from u left join pg using (page_id))"""
 
 def _get(o: str, field: str) -> str:
     return f"json_extract({o}, '$.\"{field}\"')"
@@ -191,9 +198,16 @@ _FIRST = lambda t: f"list_filter(os, lambda o: list_contains({_TYPES('o')}, '{t}
 _TYPE = lambda *names: "(" + " or ".join(f"list_contains(types, '{t}')" for t in names) + ")"
 SAME = _list(_get("org", "sameAs"))
 
+#: What stands in a JSON array or in an object's @graph list, null for other values.
+_KIDS = "(case when json_type(node) = 'ARRAY' then json_extract(node, '$[*]') when json_type(json_extract(node, '$.\"@graph\"')) = 'ARRAY' then json_extract(node, '$.\"@graph\"[*]') end)"
+
 FACTS = f"""v as (select page_id, list_filter(jsonld, lambda x: json_valid(x)) as good, len(list_filter(jsonld, lambda x: not json_valid(x))) as n_broken from f),
 vr as (select *, list_filter(flatten(list_transform(good, lambda r: case when json_type(r) = 'ARRAY' then json_extract(r, '$[*]') else [r::json] end)), lambda r: json_type(r) in ('OBJECT', 'ARRAY')) as roots from v),
-o1 as (select page_id, n_broken, len(list_filter(roots, lambda r: not {_holds('r', '@context')})) as n_no_context, len(list_filter(roots, lambda r: coalesce({_str(_get('r', '@context'))} like 'http://%', false))) as n_http_context, list_filter(flatten(list_transform(good, lambda r: case when json_type(r) = 'ARRAY' then json_extract(r, '$[*]') when json_type(json_extract(r, '$."@graph"')) = 'ARRAY' then json_extract(r, '$."@graph"[*]') else [r::json] end)), lambda o: json_type(o) = 'OBJECT') as os from vr),
+ov as (with recursive nd as (
+    select page_id, [k] as route, good[k]::json as node from (select page_id, good, unnest(range(1, len(good) + 1)) as k from v)
+    union all select page_id, list_append(route, j), kids[j] from (select page_id, route, kids, unnest(range(1, len(kids) + 1)) as j from (select page_id, route, {_KIDS} as kids from nd)))
+  select page_id, list(node order by route) as os from nd where json_type(node) = 'OBJECT' and {_KIDS} is null group by page_id),
+o1 as (select page_id, n_broken, len(list_filter(roots, lambda r: not {_holds('r', '@context')})) as n_no_context, len(list_filter(roots, lambda r: coalesce({_str(_get('r', '@context'))} like 'http://%', false))) as n_http_context, coalesce(os, []) as os from vr left join ov using (page_id)),
 o2 as (select *, {_FIRST('organization')} as org, {_FIRST('website')} as site, coalesce({_FIRST('article')}, {_FIRST('blogposting')}, {_FIRST('newsarticle')}) as art, {_FIRST('person')} as person from o1),
 g as (select page_id, n_broken, len(os) as n_objects, list_distinct(flatten(list_transform(os, lambda o: {_TYPES('o')}))) as types,
   org is not null as has_org, site is not null as has_site, art is not null as has_article_type, person is not null as has_person,

@@ -77,6 +77,41 @@ def longest_run(items):
     return F.aggregate(items, start, step, lambda at: at["most"])
 
 
+#: Elements that end a paragraph and that are closed by a tag of their own; those whose paragraphs are the page's text; tags that end a paragraph.
+CONTAINERS = "main|article|section|div|nav|header|footer|aside|ul|ol|dl|table|form|figure|figcaption|blockquote|details|summary|fieldset|address|menu|dialog|hgroup|center|pre"
+TEXT_CONTAINERS = ["main", "article", "section"]
+BLOCK_TAG = rf"(?is)</?(?:{CONTAINERS}|p|h[1-6]|hr|body)(?:\s[^>]*)?/?>"
+
+
+def bound(value, use):
+    """use(value) with value as a lambda variable, so that it is computed once however often use reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def first_paragraph(body):
+    """The first paragraph with text in main, article or section or directly in the body, else the first one anywhere, else ''.
+
+    The body is cut at the tags that end a paragraph, so a paragraph's text is what follows its start tag. One walk over these
+    tags counts which elements are open.
+    """
+    names = F.transform(F.regexp_extract_all(body, F.lit(BLOCK_TAG), F.lit(0)), lambda t: F.struct(F.lower(F.regexp_extract(t, r"^</?([A-Za-z0-9]+)", 1)).alias("name"), t.startswith("</").alias("ends")))
+    texts = F.split(body, BLOCK_TAG)
+    tags_ = F.zip_with(names, F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0))), lambda n, t: F.struct(n["name"].alias("name"), n["ends"].alias("ends"), t.alias("text")))
+    state = lambda inside, depth, good, other: F.struct(inside.alias("inside"), depth.alias("depth"), good.alias("good"), other.alias("other"))
+    none = F.lit(None).cast("string")
+
+    def step(at, t):
+        move = F.when(t["ends"], -1).otherwise(1)
+        text = F.when((t["name"] == "p") & ~t["ends"], F.nullif(squeeze(t["text"]), F.lit("")))
+        own = F.greatest(F.lit(0), at["inside"] + F.when(t["name"].isin(TEXT_CONTAINERS), move).otherwise(0))
+        open_ = F.greatest(F.lit(0), at["depth"] + F.when(t["name"].rlike(f"^({CONTAINERS})$"), move).otherwise(0))
+        good = F.when((at["inside"] > 0) | (at["depth"] == 0), text)
+        nxt = state(own, open_, good, F.coalesce(at["other"], text))
+        return F.when(at["good"].isNotNull(), at).otherwise(nxt)
+
+    return F.aggregate(tags_, state(F.lit(0), F.lit(0), none, none), step, lambda at: F.coalesce(at["good"], at["other"], F.lit("")))
+
+
 def page_features(pages: DataFrame) -> DataFrame:
     """One row of features for each page (page_id, host, url, html, status, last_modified).
 
@@ -112,7 +147,7 @@ def page_features(pages: DataFrame) -> DataFrame:
             ),
             "hreflangs": F.filter(F.transform(link_tag("alternate"), lambda t: F.struct(attr(t, "hreflang").alias("lang"), attr(t, "href").alias("href"))), lambda x: (x["lang"] != "") & (x["href"] != "")),
             "body_text": squeeze(F.col("body")),
-            "paragraphs": F.filter(F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|<p[\s>]|<h[1-6]|<ul|<div|</article>)"), F.lit(1)), squeeze), lambda t: t != ""),
+            "first_paragraph": first_paragraph(F.col("body")),
         }
     )
     word = lambda text: count(F.split(text, " "), lambda w: w != "")
@@ -128,6 +163,8 @@ def page_features(pages: DataFrame) -> DataFrame:
     canonical = F.trim(F.coalesce(attr(F.get(link_tag("canonical"), 0), "href"), F.lit("")))
     nouns = F.array_except(F.array_distinct(F.transform(F.regexp_extract_all("body_text", F.lit(NOUN), F.lit(0)), F.lower)), F.lit(NO_NOUNS))
     linked_texts = F.array_join(F.transform(F.filter("links", lambda a: a["href"].rlike(r"^[/.]")), lambda a: a["text"]), "\n")
+    linked = lambda x: F.struct(F.size(x["nouns"]).alias("n"), F.size(F.filter(x["nouns"], x["texts"].contains)).alias("linked"))
+    noun_counts = bound(F.struct(nouns.alias("nouns"), linked_texts.alias("texts")), linked)
     # an answer is a paragraph of 1 to 60 words after the heading and before the next
     answer = lambda s: squeeze(F.regexp_extract(s, r"(?is)</h2>.*?<p(?:\s[^>]*)?>(.*?)</p>", 1))
     out = {
@@ -151,7 +188,7 @@ def page_features(pages: DataFrame) -> DataFrame:
         "h2_count": F.size("h2s"),
         "h2_questions": count("h2s", lambda h: h.rlike(QUESTION)),
         "h2_unanswered": count(F.slice("sections", F.lit(2), F.size("sections")), lambda s: ~letters(answer(s)).between(1, 60)),
-        "first_paragraph_words": letters(F.coalesce(F.get("paragraphs", 0), F.lit(""))),
+        "first_paragraph_words": letters(F.col("first_paragraph")),
         "body_words": letters(F.col("body_text")),
         "words": word(F.col("body_text")),
         "body_chars": F.length("body_text"),
@@ -165,8 +202,8 @@ def page_features(pages: DataFrame) -> DataFrame:
         "has_noscript": F.col("clean").rlike(r"(?i)<noscript[\s>]"),
         "has_time": F.col("clean").rlike(r"(?i)<time[^>]*\sdatetime="),
         "has_review": F.lower("body_text").rlike(r"\breviewed\s+by\b|\brelu\s+par\b|\bvérifié\s+par\b|\bfact[- ]check"),
-        "n_nouns": F.size(nouns),
-        "n_nouns_linked": F.size(F.filter(nouns, linked_texts.contains)),
+        "n_nouns": noun_counts["n"],
+        "n_nouns_linked": noun_counts["linked"],
         "dst_paths": F.array_distinct(F.array_compact(F.transform("links", lambda a: urls.internal_path(a["href"], base)))),
         "n_links": F.size(both),
         "n_internal": count("links", internal),
@@ -264,17 +301,20 @@ OBJECT = {
 def jsonld_facts(features: DataFrame) -> DataFrame:
     """features with columns of its structured data (jsonld), computed inside the row: no second scan and no join.
 
-    Arrays and @graph lists are opened to a depth of three. Of several objects of a type the first counts. Blocks that do
-    not parse are counted in n_broken. A page without structured data has zeros, false and an empty list of types.
+    Arrays and @graph lists are opened until none is left, at any depth. Of several objects of a type the first counts. Blocks
+    that do not parse are counted in n_broken. A page without structured data has zeros, false and an empty list of types.
     """
-    opened = "flatten(transform({}, v -> coalesce(try_variant_get(v, '$', 'array<variant>'), try_variant_get(v, r'$[\"@graph\"]', 'array<variant>'), array(v))))"
+    # a level is opened a step, and each level has a bracket of its own in the text; steps after the last level do nothing
+    closed = "(schema_of_variant(v) like 'ARRAY%' or (schema_of_variant(v) like 'OBJECT%' and coalesce(schema_of_variant(try_variant_get(v, r'$[\"@graph\"]', 'variant')) like 'ARRAY%', false)))"
+    opened = "flatten(transform(s.items, v -> coalesce(try_variant_get(v, '$', 'array<variant>'), try_variant_get(v, r'$[\"@graph\"]', 'array<variant>'), array(v))))"
+    state = f"transform(array({{0}}), x -> named_struct('items', x, 'more', exists(x, v -> {closed})))[0]"
+    levels = "sequence(1, aggregate(jsonld, 1, (n, b) -> n + regexp_count(b, r'\\[')))"
     f = features.withColumn("parsed", F.expr("transform(jsonld, b -> try_parse_json(b))"))
     f = f.withColumn("n_broken", F.expr("size(filter(parsed, v -> v is null))"))
     f = f.withColumn("parsed", F.expr("filter(parsed, v -> v is not null)"))
     roots = "filter(flatten(transform(parsed, v -> coalesce(try_variant_get(v, '$', 'array<variant>'), array(v)))), v -> schema_of_variant(v) like 'OBJECT%' or schema_of_variant(v) like 'ARRAY%')"
     f = f.withColumns({"n_no_context": F.expr(f"size(filter({roots}, v -> not {_holds('@context')}))"), "n_http_context": F.expr(f"size(filter({roots}, v -> coalesce({_text(_at('@context'))} like 'http://%', false)))")})
-    for _ in range(3):
-        f = f.withColumn("parsed", F.expr(opened.format("parsed")))
+    f = f.withColumn("parsed", F.expr(f"aggregate({levels}, {state.format('parsed')}, (s, k) -> if(s.more, {state.format(opened)}, s), s -> s.items)"))
     fields = ", ".join(f"'{k}', {e}" for k, e in OBJECT.items())
     f = f.withColumn("objects", F.expr(f"transform(filter(parsed, v -> schema_of_variant(v) like 'OBJECT%'), v -> named_struct({fields}))")).drop("parsed")
     first = lambda *names: F.coalesce(*(F.get(F.filter("objects", lambda o: F.array_contains(o["types"], n)), 0) for n in names))

@@ -6,6 +6,7 @@ Columns are SQL text that Spark and the comparison engine both run.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelantern.operators.rules import PHASES
 from pagelantern.sources.tables import table
@@ -39,6 +40,32 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*FINDINGS)
 
 
+def store(audits_: DataFrame, findings_: DataFrame, folder: str, parts: int = 32) -> None:
+    """Writes audits and their findings under a folder in partitions by the hash of their organization.
+
+    Findings get their audit's org_id, so a tenant's reads open its partition of both tables and nothing else.
+    """
+    part = F.pmod(F.xxhash64("org_id"), F.lit(parts)).cast("int").alias("part")
+    owned = findings_.join(audits_.select("audit_id", "org_id"), "audit_id")
+    for name, rows in (("audits", audits_), ("findings", owned)):
+        # each partition goes to several tasks, so that one large tenant is no single task
+        dealt = rows.select("*", part).withColumn("deal_", F.pmod(F.xxhash64("audit_id"), F.lit(4)))
+        dealt.repartition("part", "deal_").drop("deal_").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{name}")
+
+
+def of_orgs(spark: SparkSession, folder: str, name: str, orgs: list[int], parts: int = 32) -> DataFrame:
+    """The stored rows of some organizations: partitions are chosen when the query is planned, by the ids' hashes."""
+    wanted = spark.createDataFrame([(o,) for o in orgs], "org_id long").select(F.pmod(F.xxhash64("org_id"), F.lit(parts)).cast("int").alias("part"))
+    chosen = sorted({r["part"] for r in wanted.collect()})
+    return spark.read.parquet(f"{folder}/{name}").where(F.col("part").isin(chosen) & F.col("org_id").isin(list(orgs))).drop("part")
+
+
+def of_plan(spark: SparkSession, folder: str, name: str, orgs: DataFrame, parts: int = 32) -> DataFrame:
+    """The stored rows of the organizations in a table (org_id, ...), with its columns: partitions are pruned while the query runs."""
+    asked = orgs.withColumn("part", F.pmod(F.xxhash64("org_id"), F.lit(parts)).cast("int"))
+    return spark.read.parquet(f"{folder}/{name}").join(asked, ["part", "org_id"]).drop("part")
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*REQUESTS)
 

@@ -31,6 +31,7 @@ HEAD = """'' || case when page_id % 2 = 0 then '<meta name="description" content
  || case when page_id % 4 = 0 then '<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"Organization","name":"Brand' || page_id % 3 || '","url":"https://b.example"' || case when page_id % 8 = 0 then ',"logo":"l.png","sameAs":["https://www.wikidata.org/wiki/Q1","https://en.wikipedia.org/wiki/B","https://a.example","https://b.example","https://c.example"]' else ',"sameAs":["https://a.example"]' end || '},{"@type":"WebSite","name":"B"' || case when page_id % 12 = 0 then ',"potentialAction":{"@type":"SearchAction"}' else '' end || '}]}</script>' else '' end
  || case when page_id % 4 = 1 then '<script type="application/ld+json">{"@context":"' || case when page_id % 8 = 1 then 'http' else 'https' end || '://schema.org","@type":["Article","' || case when page_id % 3 = 0 then 'FAQPage' else 'Thing' end || '"],"headline":"H","datePublished":"2024-0' || (1 + page_id % 9) || '-11","author":' || case when page_id % 3 = 1 then '"Jo"' else '{"@type":"Person","name":"Jo"}' end || ',"image":"' || case when page_id % 5 = 0 then '/rel.png' else 'https://i.example/a.png' end || '"}</script>' else '' end
  || case when page_id % 12 = 3 then '<script type="application/ld+json">{"@type": "Person", "name": "Jo"' || case when page_id % 24 = 3 then ', "jobTitle": "Editor", "sameAs": ["https://x.example"]' else '' end || '}</script>' else '' end
+ || case when page_id % 16 = 11 then '<script type="application/ld+json">[[{"@graph":[{"@type":"BreadcrumbList"},{"@graph":[[{"@graph":[{"@graph":[{"@graph":[{"@type":"Organization","name":"Deep","url":"https://d.example"}]},{"@type":"Product"}]}]}]]}]}],{"@graph":{"@type":"HowTo"}}]</script>' else '' end
  || case when page_id % 9 = 7 then '<script type="application/ld+json">{broken</script>' else '' end"""
 
 BODY = """'' || case when page_id % 3 = 0 then '<h2>What is it?</h2><p>It is short.</p><h2>Details of use</h2><p>' || repeat('many words ', 40) || '</p><h2>How to start</h2><ul><li>x</li></ul>' else '' end
@@ -45,10 +46,15 @@ BODY = """'' || case when page_id % 3 = 0 then '<h2>What is it?</h2><p>It is sho
  || case when page_id % 10 = 8 then '<img src="http://insecure.example/i.png" alt="i">' else '' end"""
 
 
+#: Markup put before the first <article>: paragraphs outside the main text.
+BEFORE = """'' || case when page_id % 6 = 1 then '<div class="menu"><p>Menu one two</p></div>' when page_id % 6 = 4 then '<header><p>Head</p></header><p></p><div><section><p>In a section.</p></section></div>' when page_id % 12 = 3 then '<p> <b>Directly</b> in the body </p>' else '' end"""
+
+
 #: Some pages move to paths that others link to, some become copies, and some are very long, so that the rules on
 #: broken trust pages, alternates, copies and long pages have cases. SQL text for both engines.
 URL = """case when page_id % 34 = 0 then regexp_extract(url, '^(https?://[^/]+)', 1) || '/about' when page_id % 13 = 6 then regexp_extract(url, '^(https?://[^/]+)', 1) || '/alt/' || page_id % 4 else url end"""
 HTML = """case when page_id % 9 = 8 then '<html><head><title>Copy</title></head><body><p>The same text on many pages.</p></body></html>' when page_id % 14 = 5 then '<html><head></head><body><p>' || repeat('long ', 3000) || '</p></body></html>' when page_id % 14 = 9 then '<html><head></head><body><p>bare</p></body></html>' else html end"""
+MARKED = f"replace(replace(replace(html, '</head>', {HEAD} || '</head>'), '<article>', {BEFORE} || '<article>'), '</article>', {BODY} || '</article>')"
 HOST = "regexp_extract(url, '^https?://([^/:?#]+)', 1)"
 
 
@@ -69,7 +75,7 @@ def bound_pages(made: DataFrame, enriched: bool = True) -> DataFrame:
     """Rows of the pages table, or of a stream of it, as the audit reads them."""
     if enriched:
         made = made.selectExpr("page_id", f"{URL} as url", f"{HTML} as html")
-        made = made.withColumn("html", F.expr(f"replace(replace(html, '</head>', {HEAD} || '</head>'), '</article>', {BODY} || '</article>')"))
+        made = made.withColumn("html", F.expr(MARKED))
     return made.select(
         "page_id",
         F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("host"),
@@ -82,7 +88,7 @@ def bound_pages(made: DataFrame, enriched: bool = True) -> DataFrame:
 
 #: The same pages as SQL for the comparison engine.
 PAGES_SQL = f"""select page_id, lower({HOST}) as host, url,
- replace(replace(html, '</head>', {HEAD} || '</head>'), '</article>', {BODY} || '</article>') as html,
+ {MARKED} as html,
  case when page_id % 17 = 0 then 404 when page_id % 19 = 0 then 301 else 200 end as status,
  timestamp '2024-01-01 00:00:00' + to_days(cast(page_id % 200 as int)) as last_modified from (select page_id, {URL} as url, {HTML} as html from pages)"""
 

@@ -15,8 +15,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 from pagelantern.operators import rules
+from pagelantern.operators.keyed_store import KeyedStore
 from pagelantern.sources import features as fx
 
+
 def read_pages(spark: SparkSession, folder: str, schema: StructType, files: int = 50) -> DataFrame:
     """New page files of a folder as they arrive, at most `files` a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
@@ -142,39 +144,31 @@ def stalled_runs(events: DataFrame, minutes: int = 6, late: str = "1 minute") ->
 
 
 def upsert_batches(stream: DataFrame, target: str, keys: list[str], order: str, checkpoint: str, buckets: int = 16):
-    """Keeps the latest row of each key in a Parquet folder, dealt into buckets by the keys' hash.
+    """Keeps the latest row of each key in a stored table, each batch merged as the version that its number names.
 
-    A batch is merged with the latest version of the buckets that it touches, and only those are written, as a new
-    version named by the batch: a repeated batch writes the same again, and no file that is read is overwritten.
+    A batch reads and writes the buckets that its rows touch; a repeated batch writes the same again, a broken one is never seen.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
-        try:
-            both = rows.select(*batch.columns, "bucket")
-            old = latest_version(spark, target, number)
-            if old is not None:
-                touched = rows.select("bucket").distinct()  # at most `buckets` rows
-                both = both.unionByName(old.join(F.broadcast(touched), "bucket", "left_semi").select(*batch.columns, "bucket"))
-            rest = [c for c in batch.columns if c not in keys]
-            newest = both.groupBy("bucket", *keys).agg(F.max_by(F.struct(*rest), order).alias("latest"))
-            newest.select("bucket", *keys, "latest.*").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={number}")
-        finally:
-            rows.unpersist()
+        KeyedStore(batch.sparkSession, target, keys, order, buckets).merge(batch, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The rows of each bucket's latest version (before version `below`), None if nothing was written yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if below == 0 or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    rows = spark.read.option("basePath", target).parquet(f"{target}/v=*")
-    rows = rows if below is None else rows.where(F.col("v") < below)
-    last = rows.select("bucket", "v").distinct().groupBy("bucket").agg(F.max("v").alias("v"))
-    return rows.join(F.broadcast(last), ["bucket", "v"], "left_semi").drop("v")
+def latest_version(spark: SparkSession, target: str) -> DataFrame | None:
+    """The rows of a table that upsert_batches keeps, None if nothing was committed yet."""
+    return KeyedStore(spark, target, [], "").read()
+
+
+def arriving(rows: DataFrame, folder: str, by: str, files: int = 2) -> DataFrame:
+    """rows as a stream of micro-batches, one for each value of the integer column `by` (few values), in its order.
+
+    Each batch is written as `files` files, after the one before, and a trigger takes as many.
+    """
+    numbers = sorted(r[by] for r in rows.select(by).distinct().collect())
+    for k in numbers:
+        rows.where(F.col(by) == k).drop(by).repartition(files).write.mode("append").parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.drop(by).schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
