@@ -117,7 +117,7 @@ SQL = {
       select audit_id, 'Y01' as rule_id, 'critical' as severity, grave as metric from w where grave >= 1 union all select audit_id, 'Y02', 'info', quick from w where quick >= 3
       union all select audit_id, 'Y03', 'high', hot from w where hot >= 1 union all select audit_id, 'Y04', 'high', weak from w where weak >= 3 union all select audit_id, 'Y05', 'info', n from w""",
     "previous_run": _C + f", {_RUNS} select * from pr",
-    "phase_delta": f"with {_PS}, {_RUNS}, {_DELTA} select * from pdl",
+    "phase_delta": f"with {_PS}, z as (select a.audit_id, phase, ps.score as score, lag(ps.score) over w as previous from ps join a on a.audit_id = ps.audit_id where status = 'completed' window w as (partition by org_id, target, phase order by created_at, a.audit_id)) select *, floor((score - previous) * 10 + 0.5) / 10 as delta from z where previous is not null",
     "drift_alerts_24h": _C.replace("with ", "with recursive ", 1) + f""", {_RUNS}, al as (select *, row_number() over (partition by org_id, target order by created_at, audit_id) as k from pr where delta <= -10),
       nx as (select x.org_id, x.target, x.k, min(y.k) as nxt from al x left join al y on x.org_id = y.org_id and x.target = y.target and y.created_at >= x.created_at + interval 24 hour group by all),
       wk as (select org_id, target, k, nxt from nx where k = 1 union all select nx.org_id, nx.target, nx.k, nx.nxt from wk join nx on nx.org_id = wk.org_id and nx.target = wk.target and nx.k = wk.nxt)

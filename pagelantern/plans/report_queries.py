@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from pagelantern.operators import codebase, history, scoring, sinks, site
-from pagelantern.operators.checkpoint import shared_folder
+from pagelantern.operators.checkpoint import cut, scratch
 from pagelantern.plans import history_queries as hq
 from pagelantern.plans import joined_queries, page_queries, page_sql, site_queries
 from pagelantern.sources import code, tables
@@ -28,16 +26,16 @@ def _results(s, d):
 
 
 def _bench(s, d):
-    """Benchmarks of one to seven audits of an organization's latest; the first is the reference, at times the second as well."""
-    rows = _a(s, d).where("mode = 'full' or audit_id % 5 = 0").selectExpr("org_id * 100 + user_id % 60 as benchmark_id", "audit_id", "target", "concat('https://', target, case when audit_id % 29 = 0 then repeat('x', 2048) else '' end) as url", "case when audit_id % 31 = 0 then '' else target end as label", "audit_id % 3 = 0 as is_reference")
+    """Benchmarks of some of an organization's users' audits, too few or too many at times, with none or several references."""
+    rows = _a(s, d).selectExpr("org_id * 100 + user_id % 60 as benchmark_id", "audit_id", "target", "concat('https://', target, case when audit_id % 29 = 0 then repeat('x', 2048) else '' end) as url", "case when audit_id % 31 = 0 then '' else target end as label", "audit_id % 3 = 0 as is_reference")
     return rows.unionByName(rows.where("audit_id % 11 = 0").withColumn("audit_id", -F.col("audit_id")))
 
 
 def _sink(s, d):
-    folder = f"{shared_folder(s)}/findings-{uuid.uuid4().hex}"
-    sinks.append_findings(_f(s, d).where("severity in ('critical', 'high')"), folder)
-    sinks.append_findings(_f(s, d).where("severity not in ('critical', 'high')"), folder)
-    return s.read.parquet(folder).groupBy("phase", "severity").agg(F.count("*").alias("findings"), scoring.round1(F.sum("points")).alias("points"))
+    with scratch(s, "findings") as folder:
+        sinks.append_findings(_f(s, d).where("severity in ('critical', 'high')"), folder)
+        sinks.append_findings(_f(s, d).where("severity not in ('critical', 'high')"), folder)
+        return cut(s.read.parquet(folder).groupBy("phase", "severity").agg(F.count("*").alias("findings"), scoring.round1(F.sum("points")).alias("points")))
 
 
 def _phase_upsert(s, d):
@@ -46,6 +44,58 @@ def _phase_upsert(s, d):
     return sinks.merged_results(rows, newer.unionByName(newer)).groupBy("phase", "status", "version").agg(F.count("*").alias("rows"))
 
 
+def _listed(rows, by, order, value, name):
+    """A group's values in order, joined by commas; groups are an audit's findings or an organization's few rows."""
+    item = F.struct(*(F.col(c).alias(f"o{k}") if isinstance(c, str) else c.alias(f"o{k}") for k, c in enumerate(order)), F.col(value).cast("string").alias("value"))
+    return rows.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["value"]), ",").alias(name))
+
+
+def audit_detail(s, d):
+    """Every audit with its findings, the dearest first, and its phases in the order of the rubric."""
+    found = _listed(_f(s, d), "audit_id", [-F.col("points"), "n"], "n", "findings")
+    phases = _listed(_ps(s, d).join(F.broadcast(src.rubric(s).select("phase", "phase_order")), "phase"), "audit_id", ["phase_order"], "phase", "phases")  # the rubric is ten rows
+    out = _a(s, d).join(found, "audit_id", "left").join(phases, "audit_id", "left")
+    return out.select("audit_id", "status", "phases", F.coalesce("findings", F.lit("")).alias("findings"))
+
+
+def org_audits(s, d, orgs=None, most=200):
+    """Each organization's `most` newest audits (of some organizations, if told)."""
+    rows = _a(s, d) if orgs is None else _a(s, d).where(F.col("org_id").isin(orgs))
+    return scoring.placed(rows, ["org_id"], [F.desc("created_at"), "audit_id"], most).select("org_id", "place", "audit_id", "created_at")
+
+
+def org_detail(s, d, month="1996-03-01"):
+    """Every organization with its members, its 20 newest audits and its use of a month."""
+    members = _members(s, d).groupBy("org_id").agg(F.count("*").alias("members"))
+    latest = _listed(org_audits(s, d, most=20), "org_id", ["place"], "audit_id", "latest")
+    used = history.usage_by_month(_a(s, d)).where(F.col("month") == F.lit(month).cast("timestamp")).select("org_id", F.col("audits").alias("month"))
+    out = _orgs(s, d).join(members, "org_id", "left").join(latest, "org_id", "left").join(used, "org_id", "left")
+    return out.select("org_id", "name", F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("latest", F.lit("")).alias("latest"), F.coalesce("month", F.lit(0)).alias("month"))
+
+
+def users_memberships(s, d):
+    """Every user with the organizations that the user belongs to: up to three for an active user, none for others."""
+    users = _members(s, d)
+    held = users.where("active").select("user_id", F.explode(F.expr("transform(sequence(0, cast(user_id % 3 as int)), k -> (org_id + 7 * k) % 25)")).alias("org_id"))
+    held = held.join(_orgs(s, d).select("org_id", F.col("name").alias("org"), "plan"), "org_id").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("org", "plan"))).alias("orgs"))
+    text = F.array_join(F.transform("orgs", lambda x: F.concat_ws("/", x["org"], x["plan"])), ",")
+    return users.select("user_id", "name").join(held, "user_id", "left").select("user_id", "name", F.size(F.coalesce("orgs", F.array())).alias("n"), F.coalesce(text, F.lit("")).alias("orgs"))
+
+
+def usage_page(s, d, as_of="1996-03-10 00:00:00"):
+    """Every organization's use of the month against its limit, and its ten newest audits."""
+    newest = org_audits(s, d, most=10).groupBy("org_id").agg(F.count("*").alias("latest"), F.min("created_at").alias("since"))
+    return history.quota(_a(s, d), _orgs(s, d), as_of).join(newest, "org_id", "left").select("org_id", "used", "monthly", "latest", "since")
+
+
+def coverage_ratios(s, d):
+    """Each host's shares of pages with breadcrumbs, of thin pages, and of recent entries in its sitemaps."""
+    ages = site.sitemap_ages(site.sitemap_entries(tables.site_files(s, d)), site_queries.AS_OF)
+    share = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 6)
+    out = site.host_facts(page_queries.inputs(s, d)).join(ages, "host", "left")
+    return out.select("host", share("breadcrumb", "pages").alias("breadcrumb"), share("thin", "pages").alias("thin"), share("recent", "dated").alias("recent"))
+
+
 QUERIES = {
     "quick_wins": lambda s, d: scoring.quick_wins(_f(s, d)).select("audit_id", "place", "n", "points", "subject"),
     "merged_recommendations": lambda s, d: scoring.deduplicated(_f(s, d)).select("audit_id", "subject", "n", "recommendation"),
@@ -70,17 +120,15 @@ QUERIES = {
     "findings_sink": _sink,
     "audit_completion": lambda s, d: sinks.completions(_ps(s, d)),
     "audit_in_org": lambda s, d: history.audits_in_org(_a(s, d), _a(s, d).selectExpr("audit_id", "case when mode = 'full' then org_id else org_id + 1 end as org_id")).select("audit_id", "org_id", "target", "status", "score"),
-    "org_audits": lambda s, d: _a(s, d).where("org_id in (3, 7)").orderBy(F.desc("created_at"), "audit_id").limit(200).select("audit_id", "org_id", "created_at"),
+    "org_audits": org_audits,
     "findings_by_points": lambda s, d: scoring.placed(_f(s, d), ["audit_id"], [F.desc("points"), "n"], 10**9).select("audit_id", "place", "n"),
-    "audit_detail": lambda s, d: _a(s, d).where("org_id = 7").join(_f(s, d).groupBy("audit_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("points"), "n"))), lambda x: x["n"].cast("string")), ",").alias("findings")), "audit_id", "left")
-    .join(_ps(s, d).join(src.rubric(s).select("phase", "phase_order"), "phase").groupBy("audit_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("phase_order", "phase"))), lambda x: x["phase"]), ",").alias("phases")), "audit_id", "left").select("audit_id", "status", "phases", F.coalesce("findings", F.lit("")).alias("findings")),
-    "org_detail": lambda s, d: _orgs(s, d).join(_members(s, d).groupBy("org_id").agg(F.count("*").alias("members")), "org_id", "left").join(scoring.placed(_a(s, d), ["org_id"], [F.desc("created_at"), "audit_id"], 20).groupBy("org_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "audit_id"))), lambda x: x["audit_id"].cast("string")), ",").alias("latest")), "org_id", "left")
-    .join(history.usage_by_month(_a(s, d)).where("month = timestamp'1996-03-01'").select("org_id", "audits"), "org_id", "left").select("org_id", "name", F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("latest", F.lit("")).alias("latest"), F.coalesce("audits", F.lit(0)).alias("month")),
-    "users_memberships": lambda s, d: _members(s, d).select("user_id", "name").join(_members(s, d).where("active").join(_orgs(s, d).select("org_id", F.col("name").alias("org"), "plan"), "org_id").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("org", "plan"))).alias("orgs")), "user_id", "left").select("user_id", "name", F.size(F.coalesce("orgs", F.array())).alias("n"), F.coalesce(F.array_join(F.transform("orgs", lambda x: F.concat_ws("/", x["org"], x["plan"])), ","), F.lit("")).alias("orgs")),
+    "audit_detail": audit_detail,
+    "org_detail": org_detail,
+    "users_memberships": users_memberships,
     "member_exists": lambda s, d: _members(s, d).join(_members(s, d).where("not active").select("email"), "email", "left_semi").select("user_id", "org_id"),
-    "usage_page": lambda s, d: history.quota(_a(s, d), _orgs(s, d), "1996-03-10 00:00:00").join(scoring.placed(_a(s, d), ["org_id"], [F.desc("created_at"), "audit_id"], 10).groupBy("org_id").agg(F.count("*").alias("latest"), F.min("created_at").alias("since")), "org_id", "left").select("org_id", "used", "monthly", "latest", "since"),
+    "usage_page": usage_page,
     "citation_page": lambda s, d: history.page(joined_queries._flags(s, d).where("is_cited"), [F.desc("answer_id")], 5, 20).select("answer_id", "is_cited", "total"),
-    "coverage_ratios": lambda s, d: site.host_facts(page_queries.inputs(s, d)).join(site.sitemap_ages(site.sitemap_entries(tables.site_files(s, d)), site_queries.AS_OF), "host", "left").select("host", F.round(F.col("breadcrumb") / F.col("pages"), 6).alias("breadcrumb"), F.round(F.col("thin") / F.col("pages"), 6).alias("thin"), F.round(F.col("recent") / F.nullif(F.col("dated"), F.lit(0)), 6).alias("recent")),
+    "coverage_ratios": coverage_ratios,
     "cluster_samples": site_queries._graph(lambda p, e: site.cluster_samples(p)),
     "subpage_cap": lambda s, d: site.capped_pages(tables.pages(s, d).select("page_id", "host"), CAPS),
     "missing_fields": lambda s, d: page_queries.inputs(s, d).where("article_missing > 0").select("page_id", "article_missing", "article_gaps"),
@@ -94,7 +142,7 @@ QUERIES = {
 C, PS, RUNS, ORGS = f"with {src.CTES}", f"with {hq._PS}", hq._RUNS, hq._ORGS
 _MEMBERS = "mb as (select c_custkey as user_id, cast(c_nationkey as bigint) as org_id, c_name as name, lower(c_name) || '@x.example' as email, c_acctbal >= 0 as active from customer)"
 _RES = f"rs as (select *, {STATUS} as status from ps)"
-_BENCH = """b0 as (select org_id * 100 + user_id % 60 as benchmark_id, audit_id, target, 'https://' || target || case when audit_id % 29 = 0 then repeat('x', 2048) else '' end as url, case when audit_id % 31 = 0 then '' else target end as label, audit_id % 3 = 0 as is_reference from a where mode = 'full' or audit_id % 5 = 0),
+_BENCH = """b0 as (select org_id * 100 + user_id % 60 as benchmark_id, audit_id, target, 'https://' || target || case when audit_id % 29 = 0 then repeat('x', 2048) else '' end as url, case when audit_id % 31 = 0 then '' else target end as label, audit_id % 3 = 0 as is_reference from a),
 bu as (select * from b0 union all select benchmark_id, -audit_id, target, url, label, is_reference from b0 where audit_id % 11 = 0)"""
 _DEDUP = f"""dd as (select audit_id, {hq._SUB} as subject, list_reduce(list({{'n': n, 'points': points, 'w': {hq._W}, 'rec': trim(recommendation)}} order by n), lambda p, q: {{
  'n': case when q.points > p.points or (q.points = p.points and q.w > p.w) then q.n else p.n end, 'points': greatest(p.points, q.points), 'w': case when q.points > p.points or (q.points = p.points and q.w > p.w) then q.w else p.w end,
@@ -105,28 +153,30 @@ _CODE = f"""{code.CODE_SQL}, cr as (select repo, {_ROLE(['package.json'])} as pa
  bool_or(lower(path) = 'app/layout.tsx') as has_app, bool_or(path like 'pages/%') as has_pages, bool_or(lower(path) like '%router.tsx') as has_router, bool_or(path = 'index.html') as has_index from cf group by repo),
 cs as (select *, case when package like '%"next"%' then case when has_pages and not has_app then 'next-pages' else 'next-app' end when package like '%"nuxt"%' then 'nuxt' when package like '%@remix%' then 'remix' when package like '%"astro"%' then 'astro' when package like '%"react"%' then 'react-spa' when has_index and (package is null or package not like '%"vue"%') then 'static' else 'other' end as stack from cr)"""
 _CODE_RULES = [
-    ("K01", "high", "1", "not (regexp_matches(lt || chr(10) || ht, '\\btitle\\s*:\\s*[''\"`{]') or ht like '%<title>T</title>%')"),
-    ("K02", "medium", "1", "not (regexp_matches(lt || chr(10) || ht, '\\bdescription\\s*:\\s*[''\"`{]') or ht like '%<meta name=\"description\"%')"),
-    ("K03", "medium", "1", "stack = 'static' and ht not like '%<meta name=\"viewport\"%'"),
-    ("K04", "low", "1", "not regexp_matches(lt || ht, '<html lang=\"en')"),
+    ("K01", "high", "1", "not (regexp_matches(lt || chr(10) || ht, '\\btitle\\s*:\\s*[''\"`{]') or regexp_matches(ht, '(?i)<title>[^<]+</title>'))"),
+    ("K02", "medium", "1", "not (regexp_matches(lt || chr(10) || ht, '\\bdescription\\s*:\\s*[''\"`{]') or regexp_matches(ht, '(?i)<meta name=.description'))"),
+    ("K03", "medium", "1", "stack = 'static' and not regexp_matches(ht, '(?i)<meta name=.viewport')"),
+    ("K04", "low", "1", "not (regexp_matches(lt || ht, '(?i)<html lang=.[a-z]') or regexp_matches(lt, '\\blang: *[''\"`][a-z]'))"),
     ("K05", "medium", "3 - og", "og < 3"),
-    ("K06", "medium", "1", "robots is null"),
-    ("K07", "medium", "2", "sitemap is null"),
-    ("K08", "critical", "5", "objs = 0"),
-    ("K09", "critical", "3", "not org"),
-    ("K10", "medium", "2", "not web"),
-    ("K11", "low", "1", "objs > 0 and kinds < 3"),
-    ("K12", "high", "4", "llms is null"),
-    ("K13", "low", "1", "llms in ('# Site', 'plain')"),
-    ("K14", "critical", "case when robots like '%GPTBot%' then 2 else 6 end", "robots like 'User-agent: GPTBot%Disallow: /' or robots like 'User-agent: *%Disallow: /'"),
+    ("K06", "medium", "1", "coalesce(robots, '') = ''"),
+    ("K07", "medium", "2", "coalesce(sitemap, '') = ''"),
+    ("K08", "critical", "5", "len(objs) = 0"),
+    ("K09", "critical", "3", "not list_contains(kinds, 'organization')"),
+    ("K10", "medium", "2", "not list_contains(kinds, 'website')"),
+    ("K11", "low", "1", "len(objs) > 0 and len(kinds) < 3"),
+    ("K12", "high", "4", "coalesce(llms, '') = ''"),
+    ("K13", "low", "1", "llms <> '' and not (regexp_matches(llms, '(^|\\n)# +[^ ]') and regexp_matches(llms, '(^|\\n)> +[^ ]'))"),
+    ("K14", "critical", "least(6, 2 * shut)", "shut > 0"),
     ("K15", "medium", "2", "stack = 'static' and len(list_filter(string_split_regex(coalesce(regexp_extract(ht, '(?s)<p>(.*?)</p>', 1), ''), '\\s+'), lambda w: w <> '')) < 100"),
-    ("K16", "low", "1", "layout is not null and layout not like '%description:%'"),
+    ("K16", "low", "1", "lt <> '' and not regexp_matches(lt, 'description *:')"),
 ]
-_CODE_FIND = f"""{_CODE}, cx as (select *, coalesce(layout, '') as lt, coalesce(html, '') as ht, html like '%ld+json%@context%' as h_ld, page like '%@context%' as p_ld, repo % 4 = 0 and html like '%ld+json%@context%' as h_org,
- html like '%ld+json%@context%' and (repo % 4 = 1 or repo % 5 = 0) as h_web from cs),
-cz as (select *, case when coalesce(h_ld, false) then 2 else 0 end + case when coalesce(p_ld, false) then 1 else 0 end as objs, coalesce(h_org, false) or coalesce(p_ld, false) as org, coalesce(h_web, false) as web,
- len(list_distinct((case when h_ld then [case repo % 4 when 0 then 'organization' when 1 then 'website' else 'thing' end, 'person', case when repo % 5 = 0 then 'website' else 'article' end] else [] end) || (case when p_ld then ['organization'] else [] end))) as kinds,
- case when lt like '%openGraph%' then 3 when ht like '%og:title%' then 1 else 0 end as og from cx)
+# of a robots file the group of a crawler counts, else that of all; the bound files have one group of one rule
+_CODE_FIND = f"""{_CODE}, cx as (select *, coalesce(layout, '') as lt, coalesce(html, '') as ht, lower(regexp_extract(robots, '(?i)user-agent: *([^\\n]*)', 1)) as agent, regexp_extract(robots, '(?i)disallow: *([^\\n]*)', 1) as path_shut from cs),
+cy as (select *, list_filter(regexp_extract_all(lt || ht, '(?is)<script[^>]*ld.json[^>]*>(.*?)</script>', 1), lambda b: json_valid(b)) || list_filter(regexp_extract_all(lt || coalesce(page, '') || ht, '(?s)JSON\\.stringify\\(\\s*(\\{{.*?\\}})\\s*\\)', 1), lambda b: contains(b, 'schema.org')) as blocks,
+ case when path_shut <> '/' then 0 when agent = '*' then {len(codebase.BOTS)} when agent in ({", ".join(repr(b) for b in codebase.BOTS)}) then 1 else 0 end as shut,
+ least(1, len(regexp_extract_all(lt, 'openGraph: *\\{{[^}}]*title *:')) + len(regexp_extract_all(ht, 'og:title'))) + least(1, len(regexp_extract_all(lt, 'openGraph: *\\{{[^}}]*description *:')) + len(regexp_extract_all(ht, 'og:description'))) + least(1, len(regexp_extract_all(lt, 'openGraph: *\\{{[^}}]*images? *:')) + len(regexp_extract_all(ht, 'og:image'))) as og from cx),
+c1 as (select *, flatten(list_transform(blocks, lambda b: case when json_type(json_extract(b, '$."@graph"')) = 'ARRAY' then json_extract(b, '$."@graph"[*]') else [b::json] end)) as objs from cy),
+cz as (select *, list_distinct(flatten(list_transform(objs, lambda o: case when json_type(json_extract(o, '$."@type"')) = 'ARRAY' then list_transform(json_extract_string(o, '$."@type"[*]'), lambda t: lower(t)) else [lower(json_extract_string(o, '$."@type"'))] end))) as kinds from c1)
 """ + " union all ".join(f"select repo, '{i}' as rule_id, '{s}' as severity, cast({p} as double) as points from cz where {w}" for i, s, p, w in _CODE_RULES)
 SQL = {
     "quick_wins": f"{C}, {_DEDUP.replace("FROM_ROWS", "(select * from fd where effort = 'quick' and severity <> 'info')")}, z as (select audit_id, row_number() over (partition by audit_id order by x.points desc, x.n) as place, x.n as n, x.points as points, subject from dd) select * from z where place <= 10",
@@ -143,7 +193,7 @@ SQL = {
     "drift_report": f"{PS}, {RUNS}, {hq._DELTA}, z as (select audit_id, string_agg(phase || ' ' || printf('%.1f', delta), ', ' order by delta, phase) as phases from pdl where delta < 0 group by audit_id) select pr.audit_id, pr.delta, coalesce(phases, '') as phases from pr left join z using (audit_id) where pr.delta <= -60",
     "benchmark_rows": f"{PS}, {_BENCH} select benchmark_id, bu.target, is_reference, bu.audit_id, a.status, ps.phase, ps.score from bu left join a on a.audit_id = bu.audit_id left join ps on ps.audit_id = bu.audit_id",
     "benchmark_validation": f"{C}, {_BENCH} select benchmark_id, count(*) as n, case when count(*) < 2 then 'too few' when count(*) > 5 then 'too many' when count(*) filter (is_reference) <> 1 then 'reference' when max(length(url)) > 2048 then 'url' when min(length(label)) = 0 then 'label' end as reason from bu group by benchmark_id",
-    "domain_validation": "select page_id, page_id % 4 in (2, 3) as valid from pages",
+    "domain_validation": "with z as (select page_id, string_split(case page_id % 4 when 0 then url when 1 then 'localhost' when 2 then 'a-' || page_id || '.example' else repeat('a', 60) || '.fr' end, '.') as parts from pages) select page_id, len(parts) > 1 and length(parts[1]) between 1 and 63 and trim(parts[1], '-') = parts[1] and translate(lower(parts[1]), 'abcdefghijklmnopqrstuvwxyz0123456789-', '') = '' and len(list_filter(parts[2:], lambda x: length(x) < 2 or translate(lower(x), 'abcdefghijklmnopqrstuvwxyz', '') <> '')) = 0 and list_sum(list_transform(parts, lambda x: length(x) + 1)) <= 254 as valid from z",
     "due_with_plan": f"{C}, {ORGS}, s as (select c_custkey as schedule_id, cast(c_nationkey as bigint) as org_id, timestamp '2024-01-01' + to_days(cast(c_custkey % 30 as int)) as next_run_at from customer where c_acctbal > 0), t as (select * from s where next_run_at <= timestamp '2024-01-15' order by next_run_at, schedule_id limit 20) select schedule_id, org_id, plan, case when plan = 'free' then 'flash' else 'full' end as mode, (select audit_id from a where a.org_id = t.org_id and status = 'completed' order by created_at desc, audit_id desc limit 1) as previous_id from t left join og using (org_id)",
     "phases_left": f"{PS}, {_RES} select audit_id, count(*) as \"left\" from rs where status not in ('completed', 'skipped') group by audit_id",
     "phase_progress": f"{PS}, {_RES} select audit_id, round(count(*) filter (status <> 'running') / count(*), 4) as progress from rs group by audit_id",
@@ -152,11 +202,11 @@ SQL = {
     "findings_sink": f"{C} select phase, severity, count(*) as findings, floor(sum(floor(points * 10 + 0.5) / 10) * 10 + 0.5) / 10 as points from fd group by all",
     "audit_completion": f"{PS} select audit_id, 'completed' as status, floor(sum(score) / sum(score_max) * 100 * 10 + 0.5) / 10 as total, string_agg(phase || '=' || printf('%.1f', score), ',' order by phase) as breakdown from ps group by audit_id",
     "audit_in_org": f"{C} select audit_id, org_id, target, status, score from a where mode = 'full'",
-    "org_audits": f"{C} select audit_id, org_id, created_at from a where org_id = 3 or org_id = 7 order by created_at desc, audit_id limit 200",
+    "org_audits": f"{C} select org_id, place, audit_id, created_at from (select *, row_number() over (partition by org_id order by created_at desc, audit_id) as place from a) where place <= 200",
     "findings_by_points": f"{C} select audit_id, row_number() over (partition by audit_id order by points desc, n) as place, n from fd",
-    "audit_detail": f"{PS} select audit_id, status, (select string_agg(phase, ',' order by phase_order) from ru) as phases, coalesce((select string_agg(cast(n as varchar), ',' order by points desc, n) from fd where fd.audit_id = a.audit_id), '') as findings from a where org_id = 7",
+    "audit_detail": f"{PS} select audit_id, status, (select string_agg(phase, ',' order by phase_order) from ru) as phases, coalesce((select string_agg(cast(n as varchar), ',' order by points desc, n) from fd where fd.audit_id = a.audit_id), '') as findings from a",
     "org_detail": f"{C}, {ORGS}, {_MEMBERS}, l as (select *, row_number() over (partition by org_id order by created_at desc, audit_id) as k from a) select org_id, name, (select count(*) from mb where mb.org_id = og.org_id) as members, coalesce((select string_agg(cast(audit_id as varchar), ',' order by k) from l where l.org_id = og.org_id and k <= 20), '') as latest, (select count(*) from a where a.org_id = og.org_id and status <> 'failed' and created_at >= timestamp '1996-03-01' and created_at < timestamp '1996-04-01') as month from og",
-    "users_memberships": f"with {ORGS}, {_MEMBERS} select user_id, mb.name, cast(active as int) as n, case when active then og.name || '/' || plan else '' end as orgs from mb join og using (org_id)",
+    "users_memberships": f"with {ORGS}, {_MEMBERS}, hl as (select user_id, og.name || '/' || plan as said from (select user_id, (org_id + 7 * k) % 25 as org_id from mb, range(3) r(k) where active and k <= user_id % 3) join og using (org_id)) select user_id, mb.name, cast(count(said) as int) as n, coalesce(string_agg(said, ',' order by said), '') as orgs from mb left join hl using (user_id) group by all",
     "member_exists": f"with {_MEMBERS} select user_id, org_id from mb where email in (select email from mb where not active)",
     "usage_page": f"{C}, {ORGS}, l as (select *, row_number() over (partition by org_id order by created_at desc, audit_id) as k from a) select org_id, (select count(*) from a where a.org_id = og.org_id and date_trunc('month', created_at) = timestamp '1996-03-01') as used, monthly, count(audit_id) as latest, min(created_at) as since from og left join (select * from l where k <= 10) l using (org_id) group by org_id, monthly",
     "citation_page": f"with {joined_queries._ANS} select answer_id, is_cited, count(*) over () as total from fl where is_cited order by answer_id desc limit 20 offset 5",

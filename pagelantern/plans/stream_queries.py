@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from pagelantern.operators.checkpoint import shared_folder
+from pagelantern.operators.checkpoint import cut, scratch
 from pagelantern.plans import history_queries, page_sql
-from pagelantern.sources.tables import bound_pages, stream, table
+from pagelantern.sources.tables import HTML, bound_pages, stream, table
 from pagelantern.streaming import jobs
 
 STATUS = "case when event_id % 7 = 0 and user_id % 3 <> 0 then 'completed' else 'started' end"
@@ -17,15 +15,13 @@ _STATE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.
 
 
 def _run(rows):
-    """A query that runs a stream over what is there."""
+    """A query that runs a stream over what is there, in a session of its own: state with timers needs its own store setting."""
 
     def query(s, d):
-        before = s.conf.get(_STATE[0])
-        s.conf.set(*_STATE)  # state with timers needs this store
-        try:
-            return jobs.run_available(rows(s, d), f"{shared_folder(s)}/streams-{uuid.uuid4().hex}")
-        finally:
-            s.conf.set(_STATE[0], before)
+        own = s.newSession()
+        own.conf.set(*_STATE)
+        with scratch(s, "streams") as folder:
+            return cut(jobs.run_available(rows(own, d), folder))
 
     return query
 
@@ -35,10 +31,10 @@ def _events(s, d):
 
 
 def _upsert(s, d):
-    folder = f"{shared_folder(s)}/latest-{uuid.uuid4().hex}"
-    rows = stream(s, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_id", "value")
-    jobs.upsert_batches(rows, f"{folder}/rows", ["user_id"], "at", f"{folder}/state").awaitTermination()
-    return jobs.latest_version(s, f"{folder}/rows").select("user_id", "event_id", "value")
+    with scratch(s, "latest") as folder:
+        rows = stream(s, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_id", "value")
+        jobs.upsert_batches(rows, f"{folder}/rows", ["user_id"], "at", f"{folder}/state").awaitTermination()
+        return cut(jobs.latest_version(s, f"{folder}/rows").select("user_id", "event_id", "value"))
 
 
 QUERIES = {
@@ -47,8 +43,8 @@ QUERIES = {
     "st_sessions": lambda s, d: jobs.sessions(table(s, d, "events")),
     "st_audit": _run(lambda s, d: jobs.continuous_audit(bound_pages(stream(s, d, "pages"))).select("page_id", "rule_id", "points")),
     "st_drift_alerts": _run(lambda s, d: jobs.drift_alerts(_events(s, d).select(F.col("user_id").alias("schedule_id"), "ts", F.round("value", 2).alias("score")))),
-    "st_first_copies": _run(lambda s, d: jobs.first_copies(stream(s, d, "pages").select(F.expr("lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))").alias("host"), F.expr("sha2(cast(length(html) % 10 as string), 256)").alias("content_hash"), F.expr(TS).alias("ts"))).select("host", "content_hash")),
-    "st_stalled_runs": _run(lambda s, d: jobs.stalled_runs(_events(s, d).select(F.col("user_id").alias("run_id"), "ts", F.expr(STATUS).alias("status")).where("ts < timestamp'2024-01-20'"))),
+    "st_first_copies": _run(lambda s, d: jobs.first_copies(bound_pages(stream(s, d, "pages").withColumn("html", F.expr(HTML)), enriched=False).select("host", F.sha2("html", 256).alias("content_hash"), F.expr(TS).alias("ts"))).select("host", "content_hash")),
+    "st_stalled_runs": _run(lambda s, d: jobs.stalled_runs(_events(s, d).select(F.col("user_id").alias("run_id"), "ts", F.expr(STATUS).alias("status")))),
     "st_with_plan": _run(lambda s, d: jobs.with_plan(_events(s, d).select("event_id", (F.col("user_id") % 25).alias("org_id")), history_queries._orgs(s, d).select("org_id", "plan"))),
     "st_upsert": _upsert,
 }
@@ -62,8 +58,8 @@ SQL = {
       nx as (select x.user_id, x.k, min(y.k) as nxt from al x left join al y on y.user_id = x.user_id and y.ts >= x.ts + interval 24 hour group by all),
       wk as (select user_id, k, nxt from nx where k = 1 union all select nx.user_id, nx.k, nx.nxt from wk join nx on nx.user_id = wk.user_id and nx.k = wk.nxt)
       select user_id as schedule_id, ts as at, score, round(delta, 4) as delta from al join (select user_id, k from wk) using (user_id, k)""",
-    "st_first_copies": "select distinct lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) as host, sha256(cast(length(html) % 10 as varchar)) as content_hash from pages",
-    "st_stalled_runs": "with e as (select user_id, ts, event_id % 7 = 0 and user_id % 3 <> 0 as done from events where ts < timestamp '2024-01-20') select user_id as run_id, max(ts) as started_at from e group by user_id having not bool_or(done) and max(ts) + interval 6 minute <= (select max(ts) - interval 1 minute from e)",
+    "st_first_copies": f"select distinct lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) as host, sha256({HTML}) as content_hash from pages",
+    "st_stalled_runs": "with e as (select user_id, ts, event_id % 7 = 0 and user_id % 3 <> 0 as done from events) select user_id as run_id, max(ts) as started_at from e group by user_id having not bool_or(done) and max(ts) + interval 6 minute <= (select max(ts) - interval 1 minute from e)",
     "st_with_plan": "select event_id, user_id % 25 as org_id, case n_regionkey % 3 when 0 then 'free' when 1 then 'pro' else 'agency' end as plan from events join nation on n_nationkey = user_id % 25",
     "st_upsert": "select user_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(value, (ts, event_id)) as value from events group by user_id",
 }
