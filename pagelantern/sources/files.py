@@ -21,7 +21,8 @@ def tree(spark: SparkSession, folder: str, names: str | None = None, depth: int
     """owner, path, length and content (bytes) of the files below a folder, down to `depth` names below the owner.
 
     names: a glob on file names, e.g. `{robots.txt,*.xml}`; others are not read. Contents are read only where a query
-    asks for them: a query of paths lists files. Hidden files, whose name starts with a dot, are not listed.
+    asks for them: a query of paths lists files. As in all of Spark's readers, empty files and files or folders whose names start
+    with a dot or an underscore count as absent.
     """
     home = _home(spark, folder)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

@@ -140,3 +140,65 @@ def test_entity_catalogue(spark):
     catalog = spark.createDataFrame([("acme", "Q1", 1)], "label string, entity_id string, rank int")
     got = joined_rules.entity_rules(rules.rule_inputs(fx.page_features(spark.createDataFrame(rows, SCHEMA))), catalog).collect()
     assert {(r.page_id, r.rule_id) for r in got} == {(0, "N02"), (1, "N02"), (2, "N03")}
+
+
+PARAGRAPHS = [
+    ("<div><p>Menu one two</p></div><article><p>In the article.</p></article>", "In the article."),
+    ("<div><p>Menu</p></div><p>Directly in the body</p>", "Directly in the body"),
+    ("<div><p>Only in a <b>div</b></p></div>", "Only in a div"),
+    ("<div><p>Menu</p><section><div><p>In a <i>section</i> of a div</p></div></section></div><p>later</p>", "In a section of a div"),
+    ("<main><p> </p><p></p><div><p>Main, nested</p></div></main>", "Main, nested"),
+    ("<header><p>Head</p></header><p>After the header<p>Next", "After the header"),
+    ("<nav><ul><li><p>Listed</p></li><li>x</ul></nav><p>After an open item</p>", "After an open item"),
+    ("<article><h1>No paragraph</h1></article><aside><p>Aside</p></aside><footer><p>Foot</p></footer>", "Aside"),
+    ("<div><p>Cut by<div>a block</div></p></div>", "Cut by"),
+    ("</div></article><p>Stray ends</p><div><p>no</p></div>", "Stray ends"),
+    ("<MAIN><P CLASS='x'>Upper case</P></MAIN>", "Upper case"),
+    ("<section></section><div><p>Behind a section</p></div><p>Body</p>", "Body"),
+    ("<p>Said <br> in<br/>two lines</p>", "Said in two lines"),
+    ("no paragraph", ""),
+    ("", ""),
+]
+
+
+def test_first_paragraph_by_container(spark):
+    rows = spark.createDataFrame([(k, html) for k, (html, _) in enumerate(PARAGRAPHS)], "k int, html string").select("k", fx.first_paragraph(F.col("html")).alias("p"))
+    assert [(r.k, r.p) for r in rows.orderBy("k").collect()] == [(k, p) for k, (_, p) in enumerate(PARAGRAPHS)]
+
+
+def test_paragraph_rules_read_the_main_text(spark):
+    menu = "<div><p>Menu one two</p></div>"
+    bodies = [f"{menu}<article><p>{words(n)}</p></article>" for n in (133, 134, 167, 168)] + [menu, "<main><p>short</p></main>", "<main></main>"]
+    found = [b & {"G04", "G05", "G06"} for b in broken(spark, [page(body=b) for b in bodies])]
+    assert found == [{"G05"}, set(), set(), {"G06"}, {"G05"}, {"G05"}, {"G04"}]
+
+
+def ld(text):
+    return f'<script type="application/ld+json">{text}</script>'
+
+
+def test_structured_data_at_any_depth(spark):
+    org = '{"@type":"Organization","name":"Deep"}'
+    nested = org
+    for k in range(12):
+        nested = f'{{"@graph":[{nested}]}}' if k % 2 else f"[[{nested}]]"
+    other = '{"@graph":{"@type":"Thing"},"@type":"HowTo"}'  # a graph that is no list is an object like any other
+    heads = [ld(nested), ld(f"[{other},[[]],null,1,\"x\"]"), ld('{"@graph":[]}'), ld("[]") + ld("{broken"), ld(f'{{"@graph":[{{"@type":"Article"}},[{org},{{"@graph":[{{"@type":"Person"}}]}}]]}}'), ""]
+    rows = [(k, "a.example", "https://a.example/x", page(head=h)[0], 200, None) for k, h in enumerate(heads)]
+    made = fx.jsonld_facts(fx.page_features(spark.createDataFrame(rows, SCHEMA))).orderBy("page_id").select("n_objects", "n_broken", "types", "has_org", "org_name").collect()
+    assert [tuple(r) for r in made] == [
+        (1, 0, ["organization"], True, "Deep"),
+        (1, 0, ["howto"], False, None),
+        (0, 0, [], False, None),
+        (0, 1, [], False, None),
+        (3, 0, ["article", "organization", "person"], True, "Deep"),
+        (0, 0, [], False, None),
+    ]
+
+
+def test_linked_nouns_are_found_in_link_texts(spark):
+    nouns = ["Alpha", "Bravo", "Charlie", "Delta Echo", "Foxtrot"]
+    body = "<p>" + ". And ".join(nouns) + '.</p><a href="/a">about alphas</a><a href="./b">delta echo</a><a href="https://b.example/">Bravo</a>'
+    html, url = page(body=body)
+    made = fx.page_features(spark.createDataFrame([(1, "a.example", url, html, 200, None)], SCHEMA)).select("n_nouns", "n_nouns_linked").first()
+    assert made.n_nouns_linked == 2 and made.n_nouns >= 5
