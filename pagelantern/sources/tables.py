@@ -11,6 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt evenly over the cores if its scan would keep less than half of them busy.
+
+    A table of a few row groups whose rows are dear to compute, as pages are, would else run on one core. Larger tables stay
+    as they are scanned, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 #: Markup put before </head> and before </article>, by page_id, so that every rule has pages that break it and pages
 #: that keep it. SQL text that Spark and the comparison engine both run.
 HEAD = """'' || case when page_id % 2 = 0 then '<meta name="description" content="A page about ' || page_id || case when page_id % 8 = 0 then repeat(' long words', 20) else '' end || '">' else '' end
@@ -63,7 +73,7 @@ def pages(spark: SparkSession, sf_dir: str, enriched: bool = True) -> DataFrame:
 
     Every seventeenth page answers 404 and every nineteenth 301, as the table has no status of its own.
     """
-    return bound_pages(table(spark, sf_dir, "pages"), enriched)
+    return bound_pages(spread(table(spark, sf_dir, "pages")), enriched)
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
