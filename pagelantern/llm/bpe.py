@@ -9,7 +9,8 @@ encoding of a shared prefix is computed once. The tokens that end at a node are
 the vocabulary's tokens read backwards.
 
 Most words of a text are cut at single spaces, so texts are cut there first, and only pieces that were not met before
-into words. Pieces and words stay, with the bytes of their ids, in a bounded cache for later batches of the same task.
+into words. Pieces and words stay, with the bytes of their ids, in a cache for later batches of the same task. It is bounded
+by bytes, and long pieces, of which texts without spaces consist, are not kept.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from pagelantern.llm.common import added, table
 
-CACHED_WORDS, CACHED_PAIRS = 500_000, 400_000
+CACHED_BYTES, KEPT_CHARS = 96 << 20, 48  # words and pieces are kept up to so many bytes in all, and no longer one
+CACHED_PAIRS = 400_000
 TOKEN = -1  # where a node of `tails` holds the token that ends the walk
 SPACE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -112,6 +114,7 @@ class Tokenizer:
         self.follows: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0  # about how many bytes the cache of words and pieces takes
 
     def may_follow(self, x: int, y: int) -> bool:
         """Whether BPE leaves the border between tokens x and y, by undoing their merges, the latest first."""
@@ -186,8 +189,8 @@ class Tokenizer:
             for k, part in enumerate(self.cut(text) if self.cut and text else [text or ""]):
                 parts += [part] if k % 2 else pieces(part)
             cut.append(parts)
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
+        if self.held > CACHED_BYTES:
+            self.known, self.held = {"": b""}, 0
         new = set(chain.from_iterable(cut)).difference(self.known)
         for s in new & self.added.keys():
             self.known[s] = array("i", [self.added[s]]).tobytes()
@@ -198,15 +201,22 @@ class Tokenizer:
             else:
                 several[piece] = said = (whole if wide(piece) else fast)(piece)
                 words.update(said)
-        self.learn(words.difference(self.known))
+        fresh = words.difference(self.known)
+        self.learn(fresh)
         known = self.known.__getitem__
         for piece, said in several.items():
             self.known[piece] = b"".join(map(known, said))
-        return [np.frombuffer(b"".join(map(known, parts)), dtype=np.int32) for parts in cut]
+        out = [np.frombuffer(b"".join(map(known, parts)), dtype=np.int32) for parts in cut]
+        for s in chain(fresh, several.keys() - fresh):
+            if len(s) > KEPT_CHARS:  # texts without spaces are made of long pieces that hardly come again
+                del self.known[s]
+            else:
+                self.held += 150 + 8 * len(s)
+        return out
 
     def forget(self) -> None:
         """Empties the caches."""
-        self.known, self.follows = {"": b""}, {}
+        self.known, self.held, self.follows = {"": b""}, 0, {}
 
     def decode(self, ids) -> str:
         """The text of a list of ids; bytes that are not UTF-8 become U+FFFD."""

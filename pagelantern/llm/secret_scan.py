@@ -31,7 +31,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "crf")
-TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s+/.\-]")
+#: A run of letters, digits and +/.- is a token (a long one with the = that end base64), and so is any other mark.
+TOKEN = re.compile(r"[\w+/.\-]+(?:(?==)(?<=[\w+/.\-]{16})={1,2}(?![\w=]))?|[^\w\s+/.\-]")
 O, B, I = range(3)  # noqa: E741
 SIZE = 1 << 13  # feature slots
 AROUND = (-2, -1, 0, 1)  # positions of the tokens whose features count
@@ -149,6 +150,24 @@ def secret_phrase(rng: random.Random) -> str:
     return word + rng.choice("&!#%*$^") + "".join(rng.choice(LOW + DIGIT) for _ in range(rng.randint(3, 7)))
 
 
+def secret_block(rng: random.Random) -> tuple[str, str, str]:
+    """What leads to a made-up private key in lines of base64, its lines, and what ends it."""
+    kind = rng.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", "DSA "])
+    body = "".join(rng.choice(LOW + HIGH + DIGIT + "+/") for _ in range(rng.randint(90, 420)))
+    wide = rng.choice([64, 64, 70, 76])
+    lines = "\n".join(body[k : k + wide] for k in range(0, len(body), wide)) + rng.choice(["", "=", "=="])
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n", lines, f"\n-----END {kind}PRIVATE KEY-----"
+
+
+def secret_words(rng: random.Random) -> tuple[str, str]:
+    """What leads to a made-up passphrase or key of groups, and it: forms that only their lead tells from plain ones."""
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    if rng.random() < 0.5:
+        return rng.choice(["pass: ", "password is ", "passphrase: ", "pwd=", "login pass: ", "PASS = "]), pick(LOW, rng.randint(14, 30))
+    chars, size = rng.choice([(HIGH + DIGIT, 5), (HIGH + DIGIT, 4), (LOW + DIGIT, 4), (LOW + DIGIT, 6)])
+    return rng.choice(["license key: ", "activation key = ", "serial: ", "client_secret: ", "client id: ", "key="]), "-".join(pick(chars, size) for _ in range(rng.randint(3, 6)))
+
+
 def plain_value(rng: random.Random) -> str:
     """A made-up value that is no secret."""
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
@@ -170,6 +189,7 @@ def generated(seed: int = 5, n: int = 3000, leads=LEADS, real=()) -> list[tuple[
     """
     rng, out = random.Random(seed), []
     for i in range(n):
+        tail = ""
         if real:
             around, tags, about = real[rng.randrange(len(real))]
         else:
@@ -179,9 +199,13 @@ def generated(seed: int = 5, n: int = 3000, leads=LEADS, real=()) -> list[tuple[
             value, lead = secret_value(rng), rng.choice(leads)
             if i % 6 == 1:
                 value, lead = secret_phrase(rng), rng.choice([x for x in leads if x.strip()[-1:] in ("=", ":")])
+            elif i % 12 == 3:
+                lead, value = secret_words(rng)
+            elif i % 12 == 9:
+                lead, value, tail = secret_block(rng)
         else:
             value, lead = plain_value(rng), rng.choice(PLAIN_LEADS)
-        made = labelled_tokens(lead + value, [(len(lead), len(lead) + len(value))] if i % 2 else [])
+        made = labelled_tokens(lead + value + tail, [(len(lead), len(lead) + len(value))] if i % 2 else [])
         at = rng.randrange(len(around) + 1)
         first, last = max(0, at - 10), at + 10
         out.append(([*around[first:at], *(t[0] for t in made), *around[at:last]], [*tags[first:at], *(t[3] for t in made), *tags[at:last]], about))

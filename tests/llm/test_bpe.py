@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,7 +42,7 @@ def test_every_token_by_itself():
 
 
 def test_cache_limits_do_not_matter(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 500)
     monkeypatch.setattr(bpe, "CACHED_PAIRS", 3)
     for text in ("one two three four five six", "seven eight one two", "one one one"):
         check(text)
@@ -72,6 +73,24 @@ def test_white_space_runs_and_marks(parts):
     assert "".join(bpe.pieces("".join(parts))) == "".join(parts)
 
 
+def test_texts_without_spaces_do_not_fill_the_cache():
+    rng = np.random.default_rng(6)
+    coder = bpe.Tokenizer(PATH)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 400))) + "。" + "x" * 300 for _ in range(300)]
+    for k in range(0, 300, 50):
+        for text, ids in zip(texts[k : k + 50], coder.encode(texts[k : k + 50])):
+            assert ids.tolist() == THEIRS.encode(text, add_special_tokens=False).ids
+    assert len(coder.known) < 50 and coder.held < 50_000
+    words = [" ".join(f"w{k}x{j}" for j in range(2000)) for k in range(20)]
+    before, bpe.CACHED_BYTES = bpe.CACHED_BYTES, 1 << 20
+    try:
+        for w in words:
+            assert coder.encode([w])[0].tolist() == THEIRS.encode(w, add_special_tokens=False).ids
+            assert coder.held < (1 << 20) + 500_000 and sum(200 + 8 * len(s) for s in coder.known) < 3 << 20
+    finally:
+        bpe.CACHED_BYTES = before
+
+
 def test_added_tokens_with_conditions_are_refused(tmp_path):
     import json
 

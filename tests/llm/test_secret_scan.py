@@ -78,6 +78,53 @@ def test_planted_secrets_outside_the_patterns(spark, sf_dir):
     assert len(hits) >= 0.9 * len(planted) and wrong <= 0.1 * sum(map(len, found.values()))
 
 
+def other_forms(rng):
+    """Secrets of forms that the training lines do not have: (name, text before, secret, text after), and plain values."""
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    low, every = s.LOW, s.LOW + s.HIGH + s.DIGIT
+    words = lambda by: by.join(rng.choice(["correct", "horse", "battery", "staple", "river", "orange", "window"]) for _ in range(4))
+    secrets = [
+        ("connection string", "AccountKey=", pick(every + "+/", 86) + "==", ";EndpointSuffix=x"),
+        ("webhook", f"https://hooks.example.com/T{pick(every, 8)}/", pick(every, 24), ""),
+        ("private key", "-----BEGIN PRIVATE KEY-----\n", "\n".join(pick(every + "+/", 64) for _ in range(6)) + "\n" + pick(every, 30) + "==", "\n-----END PRIVATE KEY-----"),
+        ("passphrase", "pass: ", words(""), ""),
+        ("words", "passphrase is ", words("-"), ""),
+        ("licence key", "License: ", "-".join(pick(s.HIGH + s.DIGIT, 6) for _ in range(5)), ""),
+        ("basic", "Authorization: Basic ", pick(every, 26) + "==", ""),
+        ("cookie", "Set-Cookie: session=", pick(every, 40), "; Path=/"),
+        ("client id", '{"client_id": "', pick(s.DIGIT, 12) + "-" + pick(low + s.DIGIT, 32), '"}'),
+        ("url password", "postgres://app:", pick(every, 14), "@db.internal:5432/main"),
+        ("upper hex", "salt ", pick("0123456789ABCDEF", 48), ""),
+    ]
+    hexes = lambda k: pick("0123456789abcdef", k)
+    plain = [f"{hexes(8)}-{hexes(4)}-4{hexes(3)}-a{hexes(3)}-{hexes(12)}", f"978-{pick(s.DIGIT, 1)}-{pick(s.DIGIT, 4)}-{pick(s.DIGIT, 4)}-1", "2024-03-11T10:22:31Z", f"/usr/lib/{pick(low, 7)}.so.2", pick(low, 26), f"+49 {pick(s.DIGIT, 3)} {pick(s.DIGIT, 7)}"]
+    return secrets, plain
+
+
+def test_forms_that_it_was_not_trained_on(spark):
+    """Most are found whole, with the = that end base64, and plain values are left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model, texts, rng = s.learn(docs), [r.text or "" for r in docs.collect()], random.Random(17)
+    hits, wrong, seen = {}, 0, 0
+
+    def put(before, value, after):
+        words = rng.choice(texts).split(" ")[:200]
+        at = rng.randrange(len(words) + 1)
+        lead = " ".join([*words[:at], before])
+        return s.spans(lead + value + after + " " + " ".join(words[at:]), model), len(lead), len(lead) + len(value)
+
+    for _ in range(25):
+        secrets, plain = other_forms(rng)
+        for name, before, value, after in secrets:
+            found, a, b = put(before, value, after)
+            hits.setdefault(name, []).append(any(x <= a and b <= y for x, y, _ in found))
+        for value in plain:
+            found, a, b = put("see ", value, "")
+            wrong, seen = wrong + any(x < b and a < y for x, y, _ in found), seen + 1
+    assert sum(map(sum, hits.values())) >= 0.85 * sum(map(len, hits.values())), {k: sum(v) / len(v) for k, v in hits.items()}
+    assert sum(hits["private key"]) >= 0.9 * len(hits["private key"]) and wrong <= 0.05 * seen
+
+
 def test_sample_is_bounded_whatever_repeats(frame):
     rows = [(k, "password=abcdefgh123 in a text that a third of all rows hold " + "w " * (k % 3 > 0) * k) for k in range(300)]
     docs = frame(rows, "doc_id long, text string")
