@@ -149,7 +149,7 @@ _DEDUP = f"""dd as (select audit_id, {hq._SUB} as subject, list_reduce(list({{'n
  'rec': case when contains(lower(p.rec), lower(q.rec)) or contains(lower(q.rec), lower(p.rec)) then case when q.points > p.points or (q.points = p.points and q.w > p.w) then q.rec else p.rec end
   when q.points > p.points or (q.points = p.points and q.w > p.w) then q.rec || chr(10) || '- ' || p.rec else p.rec || chr(10) || '- ' || q.rec end}}) as x from FROM_ROWS group by all)"""
 _ROLE = lambda paths: "coalesce(" + ", ".join(f"max(content) filter (path = '{p}')" for p in paths) + ")"
-_CODE = f"""{code.CODE_SQL}, cr as (select repo, {_ROLE(['package.json'])} as package, {_ROLE(['app/layout.tsx', 'src/app/layout.tsx'])} as layout, {_ROLE(['app/page.tsx', 'pages/index.tsx'])} as page, {_ROLE(['index.html', 'dist/index.html'])} as html, {_ROLE(['public/robots.txt', 'robots.txt'])} as robots, {_ROLE(['public/sitemap.xml'])} as sitemap, {_ROLE(['public/llms.txt'])} as llms,
+_CODE = f"""{code.CODE_SQL}, cr as (select repo, {_ROLE(['package.json'])} as package, {_ROLE(['app/layout.tsx', 'src/app/layout.tsx', 'pages/_document.tsx'])} as layout, {_ROLE(['app/page.tsx', 'pages/index.tsx'])} as page, {_ROLE(['index.html', 'dist/index.html'])} as html, {_ROLE(['public/robots.txt', 'robots.txt'])} as robots, {_ROLE(['public/sitemap.xml'])} as sitemap, {_ROLE(['public/llms.txt'])} as llms,
  bool_or(lower(path) = 'app/layout.tsx') as has_app, bool_or(path like 'pages/%') as has_pages, bool_or(lower(path) like '%router.tsx') as has_router, bool_or(path = 'index.html') as has_index from cf group by repo),
 cs as (select *, case when package like '%"next"%' then case when has_pages and not has_app then 'next-pages' else 'next-app' end when package like '%"nuxt"%' then 'nuxt' when package like '%@remix%' then 'remix' when package like '%"astro"%' then 'astro' when package like '%"react"%' then 'react-spa' when has_index and (package is null or package not like '%"vue"%') then 'static' else 'other' end as stack from cr)"""
 _CODE_RULES = [

@@ -17,6 +17,7 @@ FILES = [
     ("'app/layout.tsx'", "doc_id % 3 = 0", "'export const metadata = { ' || case when doc_id % 2 = 0 then 'title: \"T\", ' else '' end || case when doc_id % 5 < 2 then 'description: \"D\", ' else '' end || case when doc_id % 7 = 0 then 'openGraph: { title: \"a\", description: \"b\", images: [] }' else '' end || '};' || case when doc_id % 4 = 1 then '<html lang=\"en\">' else '' end"),
     ("'src/app/layout.tsx'", "doc_id % 3 = 0", "'never read'"),
     ("'pages/index.tsx'", "doc_id % 9 = 0", "'JSON.stringify({\"@context\": \"https://schema.org\", \"@type\": \"Organization\"}) JSON.stringify({ other: 1 })'"),
+    ("'pages/_document.tsx'", "doc_id % 9 = 1", "'<Html lang=\"fr\">' || case when doc_id % 2 = 0 then ' description: \"d\"' else '' end"),
     ("'src/Router.tsx'", "doc_id % 4 = 2", "'routes'"),
     ("'index.html'", "doc_id % 3 = 1", f"'<html' || case when doc_id % 2 = 0 then ' lang=\"en\"' else '' end || '><head>' || case when doc_id % 5 = 0 then '<title>T</title><meta name=\"description\" content=\"d\"><meta name=\"viewport\" content=\"w\">' else '' end || case when doc_id % 8 = 0 then '<meta property=\"og:title\" content=\"t\">' else '' end || '</head><body><p>' || coalesce(text, '') || '</p>' || case when doc_id % 7 < 3 then {_LD} when doc_id % 7 = 3 then '<script type=\"application/ld+json\">{{broken</script>' else '' end || '</body></html>'"),
     ("'dist/index.html'", "doc_id % 3 = 1", "'never read'"),

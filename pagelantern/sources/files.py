@@ -40,17 +40,54 @@ def text(content):
     return F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^﻿", "")
 
 
-def repository_files(spark: SparkSession, folder: str, most: int = 4 << 20) -> DataFrame:
+def _store(home: str):
+    """pyarrow's file system of a folder, and the folder's path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(home if "://" in home else home.replace(":", "://", 1))
+
+
+def unlisted(spark: SparkSession, folder: str, owners: DataFrame, paths: list[str]) -> DataFrame:
+    """owner, path, length and content of the files at `paths` of each owner: files that Spark does not list, asked for by name.
+
+    Tasks open them through pyarrow, an owner after another; a store that it does not know is an error.
+    """
+    home = _home(spark, folder)
+
+    def read(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        store, root = _store(home)
+        for b in batches:
+            out = []
+            for owner in b["owner"]:
+                for at, info in zip(paths, store.get_file_info([f"{root}/{owner}/{p}" for p in paths])):
+                    if info.type == fs.FileType.File:
+                        with store.open_input_stream(info.path) as source:
+                            out.append((owner, at, info.size, source.read()))
+            yield pd.DataFrame(out, columns=["owner", "path", "length", "content"])
+
+    return owners.select("owner").distinct().mapInPandas(read, "owner string, path string, length long, content binary")
+
+
+def repository_files(spark: SparkSession, folder: str, most: int = 4 << 20, hidden: bool = True) -> DataFrame:
     """repo, path and content of every file of the repositories in a folder.
 
     Only files whose name may have a role are opened, and only up to `most` bytes; of the others the path counts alone,
-    and content is null, as it is for text that is not UTF-8.
+    and content is null, as it is for text that is not UTF-8. Files with a role whose name begins with an underscore are not
+    listed by Spark and are asked for by name; without `hidden` they count as absent.
     """
     wanted = sorted({p.rsplit("/", 1)[-1] for paths in ROLES.values() for p in paths})
     names = tree(spark, folder).select(F.col("owner").alias("repo"), "path")
     opened = tree(spark, folder, "{" + ",".join(wanted) + "}").where(F.col("length") <= most)
     opened = opened.where(F.lower("path").isin([p.lower() for paths in ROLES.values() for p in paths]))
-    return names.join(opened.select(F.col("owner").alias("repo"), "path", text(F.col("content")).alias("content")), ["repo", "path"], "left")
+    out = names.join(opened.select(F.col("owner").alias("repo"), "path", text(F.col("content")).alias("content")), ["repo", "path"], "left")
+    if not hidden:
+        return out
+    more = unlisted(spark, folder, names.select(F.col("repo").alias("owner")), [p for paths in ROLES.values() for p in paths if p.rsplit("/", 1)[-1][0] == "_"])
+    content = F.when(F.col("length") <= most, text(F.col("content")))
+    return out.unionByName(more.select(F.col("owner").alias("repo"), "path", content.alias("content")))
 
 
 def site_files(spark: SparkSession, folder: str, hosts: DataFrame) -> DataFrame:
@@ -75,9 +112,8 @@ def write_tree(files: DataFrame, folder: str) -> None:
 
     def write(batches):
         import pandas as pd
-        from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(home if "://" in home else home.replace(":", "://", 1))
+        store, root = _store(home)
         for b in batches:
             made = set()
             for owner, path, content in zip(b["owner"], b["path"], b["content"]):

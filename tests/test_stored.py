@@ -29,14 +29,16 @@ def put(folder, **contents):
 def test_repositories_are_read_from_folders(spark, tmp_path):
     put(tmp_path, **{
         "r 1/package.json": b'{"dependencies":{"next":"1"}}', "r 1/app/layout.tsx": "é title: 't'".encode(), "r 1/public/robots.txt": b"\xff\xfe", "r 1/robots.txt": b"\xef\xbb\xbfUser-agent: *",
-        "r 1/deep/a/b/c/d/e/f/g/in.txt": b"x", "r 1/deep/a/b/c/d/e/f/g/h/out.txt": b"x", "r 1/src/main.ts": b"never opened",
+        "r 1/deep/a/b/c/d/e/f/g/in.txt": b"x", "r 1/deep/a/b/c/d/e/f/g/h/out.txt": b"x", "r 1/src/main.ts": b"never opened", "r 1/pages/_document.js": b"<Html>", "r2/pages/_document.tsx": b"z" * 60, "r2/pages/_app.tsx": b"no role",
         "r2/index.html": b"<p>x</p>", "r2/public/llms.txt": b"", "r2/dist/index.html": b"y" * 100, "loose.txt": b"of no repository",
     })
     got = {(r.repo, r.path): r.content for r in files.repository_files(spark, str(tmp_path), most=50).collect()}
     assert got[("r 1", "app/layout.tsx")] == "é title: 't'" and got[("r2", "index.html")] == "<p>x</p>"
     assert got[("r 1", "robots.txt")] == "User-agent: *"  # without the mark
     assert got[("r 1", "public/robots.txt")] is None and got[("r2", "dist/index.html")] is None and got[("r 1", "src/main.ts")] is None
-    assert ("r 1", "deep/a/b/c/d/e/f/g/in.txt") in got and not any(p.endswith("out.txt") for _, p in got) and len(got) == 8 and ("r2", "public/llms.txt") not in got
+    assert got[("r 1", "pages/_document.js")] == "<Html>" and got[("r2", "pages/_document.tsx")] is None
+    assert len(files.repository_files(spark, str(tmp_path), hidden=False).collect()) == 8
+    assert ("r 1", "deep/a/b/c/d/e/f/g/in.txt") in got and not any(p.endswith("out.txt") for _, p in got) and len(got) == 10 and ("r2", "public/llms.txt") not in got
 
 
 def test_paths_alone_open_no_file(spark, tmp_path):
