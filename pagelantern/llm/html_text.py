@@ -5,10 +5,11 @@ A page is read into blocks, the texts between block-level tags, each inside or o
 script or reader comments by its elements, roles, classes and ids.
 
 The pages' token streams (words, and a token for each block's place) are concatenated for each host, and their suffixes
-sorted to the depth of `depth` tokens. A substring of that length or more is on several pages just if each of its
-pieces of `depth` tokens is, so the sort needs no more depth: equal prefixes of distinct pages, chained on a page, are
-the long repeated substrings, and their cover is the same as a full sort's. The sort is dealt out: suffixes meet by the hash
-of host and prefix, and what is shared goes back to the pages by a join, so no host is gathered in one task.
+grouped by their first `depth` tokens. That is what the host's suffix array tells to this depth: suffixes with a common
+prefix lie together, and how many pages they are of is counted. It is an index of pieces of `depth` tokens and no
+sorted array: the order of the groups, and common prefixes longer than `depth`, are never computed, since a substring of that length or more
+is on several pages just if each of its pieces of `depth` tokens is, so the cover is the same as a full sort's. Suffixes meet
+by the hash of host and prefix, and what is shared goes back to the pages by a join, so no host is gathered in one task.
 
 Two rules read the array; copies of a page (equal in all visible text), or of an article, count as one page in it:
 - Outside articles what two distinct pages share is boilerplate and goes; unique runs stay. A page of which less than `own`
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType
 
-from pagelantern.llm.common import added, cut, shared_folder, table
+from pagelantern.llm.common import added, cut, remove, shared_folder, table
 
 # Fixed values of HTML: elements that start a line of their own, have no end tag, hold raw text, or hold no article text.
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -265,6 +266,7 @@ def extract(pages: DataFrame, depth: int = 6, least: int = 5, share: float = 0.5
     hits = seen.where("not has_article").select("page", "host", F.explode("outside").alias("suffix")).join(common, ["host", "suffix"])
     hits = hits.unionByName(seen.select("page", "host", F.explode("inside").alias("suffix")).join(standing, ["host", "suffix"]))
     hits = cut(hits.groupBy("page").agg(F.collect_set(F.struct("suffix", "n")).alias("shared")))
+    remove(spark, folder)
     few = (hits.agg(F.sum(F.size("shared") + 4)).first()[0] or 0) <= sent
     joined = base.join(F.broadcast(hits) if few else hits, "page", "left").select("page_id", "url", F.struct("html", "shared").alias("row"))
 

@@ -316,7 +316,7 @@ def train(examples, epochs: int = 6, batch: int = 200, rate: float = 0.3, decay:
     n, long = len(examples), max(len(x[0]) for x in examples)
     often = Counter(t.lower() for x in examples for t in x[0] if len(t) < 13)
     words = frozenset(w for w, k in often.items() if k >= least)
-    told = {t: slots(t, words) for x in examples for t in x[0]}
+    told = {t: slots(t, words) for t in {t for x in examples for t in x[0]}}
     tag, live = np.zeros((n, long), dtype=np.int64), np.zeros((n, long), dtype=bool)
     place, feature, group, ends = [], [], [], [0]
     for r, (tokens, tags, about) in enumerate(examples):

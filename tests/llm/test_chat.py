@@ -35,3 +35,10 @@ def test_query_on_table(spark, sf_dir):
     for k, turns in convs.items():
         loss = "".join(t for role, t in turns if role == "assistant")
         assert (got[k].n_turns, got[k].turns_sha256, got[k].loss_chars, got[k].loss_sha256) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)), len(loss), sha(loss))
+
+
+def test_a_very_long_text(frame):
+    long = "</turn> word \\ " * 200_000
+    made = chat.examples(frame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string"))
+    got = made.select(F.expr("substring(formatted, loss_start + 1, loss_chars)").alias("loss"), chat.parsed(F.col("formatted")).alias("turns")).select(chat.unescape(F.col("loss")).alias("loss"), "turns").first()
+    assert got.loss == long and [t.text for t in got.turns] == [long, long]

@@ -59,3 +59,10 @@ def test_nulls_and_empty(frame):
 def test_plan_is_native(spark, sf_dir):
     plan = mixing.op2_poisson_mix(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_a_very_long_text_stays_whole(frame):
+    long = "word " * 400_000
+    docs = frame([(1, long, "a"), *((k, "word " * 40, "b") for k in range(2, 2002))], "doc_id long, text string, source string")
+    kept = [r.text for r in mixing.poisson_mix(docs, {"a": 3.0, "b": 1.0}).collect() if r.source == "a"]
+    assert kept and set(kept) == {long}
