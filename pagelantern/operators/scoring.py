@@ -279,8 +279,7 @@ def executive(audits: DataFrame, findings: DataFrame, scores: DataFrame, skipped
     Phases that an audit skipped (audit_id, phase) are neither best nor worst; one without points to give counts as no worst and
     no best one. Of equal ratios the phase that comes first in the rubric (phase_order, in scores) is named.
     """
-    total = F.floor(F.sum("score") / F.nullif(F.sum("score_max"), F.lit(0.0)) * 100 + 0.5).cast("long")
-    whole = scores.groupBy("audit_id").agg(total.alias("score"))
+    whole = audit_scores(scores).select("audit_id", F.floor(F.col("total") + 0.5).cast("long").alias("score"))
     live = scores.where("phase <> 'synthesis'").join(skipped, ["audit_id", "phase"], "left_anti")
     ratio = lambda empty: F.when(F.col("score_max") > 0, F.coalesce("score", F.lit(0.0)) / F.col("score_max")).otherwise(empty)
     ends = live.groupBy("audit_id").agg(

@@ -168,7 +168,7 @@ SQL = {
     "sql_worst_pages": f"with {page_sql.FINDINGS}, z as (select host, url, count(*) as findings, round(sum(points), 1) as points from fi group by host, url), y as (select *, row_number() over (partition by host order by points desc, url) as place from z) select host, url, findings, points from y where place <= 3",
     "crawl_budget": f"select page_id, depth from (select page_id, depth, row_number() over (partition by {page_sql.host('url')} order by depth, page_id) as k from ({site_queries.SQL['link_reachability']}) join pages using (page_id)) where k <= {BUDGET}",
     "executive_facts": f"""with {hq._PS}, o as (select ps.*, phase_order, score / ps.score_max as ratio from ps join ru using (phase)), lv as (select * from o where not ({report_queries.SKIPPED})),
-      x as (select audit_id, cast(floor(sum(score) / sum(score_max) * 100 + 0.5) as bigint) as score from ps group by audit_id), w as (select audit_id, arg_min(phase, (ratio, phase_order)) as worst, arg_min(phase, (-ratio, phase_order)) as best from lv group by audit_id),
+      x as (select audit_id, cast(floor(floor(sum(score) / sum(score_max) * 100 * 10 + 0.5) / 10 + 0.5) as bigint) as score from ps group by audit_id), w as (select audit_id, arg_min(phase, (ratio, phase_order)) as worst, arg_min(phase, (-ratio, phase_order)) as best from lv group by audit_id),
       f as (select audit_id, count(*) as findings, count(*) filter (severity in ('critical', 'high')) as grave from fd group by audit_id)
       select audit_id, target, x.score, case when x.score >= 80 then 'Excellent' when x.score >= 60 then 'Bon' when x.score >= 40 then 'À améliorer' else 'Critique' end as level, coalesce(findings, 0) as findings, coalesce(grave, 0) as grave, {_BOOK(scoring.PHASE_LABELS, 'best')} as best, {_BOOK(scoring.PHASE_LABELS, 'worst')} as worst from a join x using (audit_id) left join w using (audit_id) left join f using (audit_id)""",
     "benchmarks_page": f"with {src.CTES}, z as (select org_id, org_id * 100 + user_id % 60 as benchmark_id, max(created_at) as created_at from a group by all) select org_id, cast((place + 4) // 5 as int) as page, place, benchmark_id, total from (select *, row_number() over (partition by org_id order by created_at desc, benchmark_id) as place, count(*) over (partition by org_id) as total from z)",
