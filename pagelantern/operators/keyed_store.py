@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 class KeyedStore:
     """The newest row of each key, by the column `order` (its later value wins; of equal ones the row new to the store).
 
-    keys must not be null-free: null is a key like any other. bucket_bytes is not needed: choose `buckets` so that one
-    bucket's rows suit a task. Of a repeated merge, told by its version, the result is the same.
+    A null key is a key like any other. `buckets` stays the same for a table's life; choose it so that one bucket's rows suit a
+    task. One writer merges at a time, as a stream's batches do; a repeated merge, told by its version, has the same result.
+    `keep` commits stay readable.
     """
 
     def __init__(self, spark: SparkSession, folder: str, keys: list[str], order: str, buckets: int = 16, keep: int = 2):
@@ -66,8 +67,11 @@ class KeyedStore:
     def merge(self, rows: DataFrame, version: int) -> list[int]:
         """Merges rows as a version above all it builds on, and returns the buckets written.
 
-        The merge builds on the last commit below `version`; a version that was committed is written again from there.
+        The merge builds on the last commit below `version`. A version that was committed is done: the same merge again, as after
+        a failure of the writer, touches no file, so readers never miss one.
         """
+        if version in self.versions():
+            return sorted(b for b, v in self.manifest(version).items() if v == version)
         before = [v for v in self.versions() if v < version]
         old = self.manifest(before[-1]) if before else {}
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
