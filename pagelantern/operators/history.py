@@ -105,20 +105,24 @@ def drift(runs: DataFrame, threshold: float = 10.0) -> DataFrame:
 def suppressed_alerts(runs: DataFrame, threshold: float = 10.0, hours: int = 24) -> DataFrame:
     """Drift alerts, at most one in `hours` for an org and target; a suppressed alert does not restart the clock.
 
-    Whether an alert counts depends on the one before it, so each target's alerts are walked in order; they are few.
+    Whether an alert counts depends on the one before it, so each target's alerts are walked in order, as a stream: Spark
+    sorts them, with spilling, and a task holds one batch, however many alerts a target has. An alert without a time
+    comes last, and counts only as the first of its target.
     """
     import pandas as pd
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        rows = rows.sort_values(["created_at", "audit_id"])
-        for at in rows["created_at"]:
-            keep.append(last is None or at - last >= pd.Timedelta(hours=hours))
-            last = at if keep[-1] else last
-        return rows[keep]
+    def walk(batches):
+        last, gap = None, pd.Timedelta(hours=hours)
+        for rows in batches:
+            keep = []
+            for first, at in zip(rows["first"], rows["created_at"]):
+                keep.append(bool(first or at - last >= gap))
+                last = at if keep[-1] else last
+            yield rows[keep].drop(columns="first")
 
     alerts = drift(runs, threshold).select("org_id", "target", "audit_id", "created_at", "delta")
-    return alerts.groupBy("org_id", "target").applyInPandas(walk, alerts.schema)
+    order = Window.partitionBy("org_id", "target").orderBy(F.asc_nulls_last("created_at"), "audit_id")
+    return alerts.withColumn("first", F.row_number().over(order) == 1).mapInPandas(walk, alerts.schema)
 
 
 def benchmark(scores: DataFrame, audits: DataFrame, labels: list[str]) -> DataFrame:

@@ -89,6 +89,21 @@ def test_suppressed_alerts(spark):
     assert sorted(r.audit_id for r in history.suppressed_alerts(runs).collect()) == [0, 2, 4]
 
 
+def test_a_target_of_many_alerts_is_walked_in_batches(spark):
+    hour = lambda k: f"timestamp '2024-01-01' + make_interval(0, 0, 0, 0, {k})"
+    rows = spark.sql(f"select if(id % 3 = 0, null, id % 3) as org_id, 'x' as target, id as audit_id, {hour('cast(id as int)')} as created_at, -20.0d as delta from range(600)")
+    rows = rows.unionByName(spark.sql("select 9L as org_id, k as target, id as audit_id, if(id = 1000, null, timestamp '2024-01-01') as created_at, -20.0d as delta from values ('a', 1000L), ('a', 1001L), ('b', 1000L) as t(k, id)"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = history.suppressed_alerts(rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.audit_id for r in got if r.target == "x") == sorted(k + d for k in range(0, 600, 24) for d in range(3))
+    assert {r.org_id for r in got if r.target == "x"} == {None, 1, 2}
+    assert sorted((r.target, r.audit_id) for r in got if r.org_id == 9) == [("a", 1001), ("b", 1000)]
+    assert not history.suppressed_alerts(rows.where("false")).collect()
+
+
 def test_next_run(spark):
     rows = spark.createDataFrame([("2024-01-31 00:00:00", f) for f in ("daily", "weekly", "monthly")], "a string, f string")
     got = rows.select(history.next_run(F.to_timestamp("a"), F.col("f")).cast("string")).collect()
