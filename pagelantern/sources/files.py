@@ -47,47 +47,110 @@ def _store(home: str):
     return fs.FileSystem.from_uri(home if "://" in home else home.replace(":", "://", 1))
 
 
-def unlisted(spark: SparkSession, folder: str, owners: DataFrame, paths: list[str]) -> DataFrame:
-    """owner, path, length and content of the files at `paths` of each owner: files that Spark does not list, asked for by name.
+#: How many bytes of contents a task gathers before it hands them on.
+BATCH = 8 << 20
+FILES_SCHEMA = "repo string, path string, length long, content binary"
 
-    Tasks open them through pyarrow, an owner after another; a store that it does not know is an error.
+
+def _unlisted(name: str) -> bool:
+    """Whether Spark's readers pass over a file or folder by its name."""
+    return name[0] == "." or name[0] == "_" and "=" not in name
+
+
+def owners_in(spark: SparkSession, folder: str) -> DataFrame:
+    """owner: the names of the folders directly below a folder, listed by one task; nothing below them is looked at."""
+    home = _home(spark, folder)
+
+    def listed(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for _ in batches:
+            store, root = _store(home)
+            found = [i.base_name for i in store.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.Directory]
+            for k in range(0, len(found), 10_000):
+                yield pa.RecordBatch.from_pydict({"owner": found[k : k + 10_000]})
+
+    return spark.range(1, numPartitions=1).mapInArrow(listed, "owner string")
+
+
+def repository_files(spark: SparkSession, folder: str, most: int = 4 << 20, hidden: bool = True, owners: DataFrame | None = None, depth: int = 9) -> DataFrame:
+    """repo, path and content of every file of the repositories in a folder, down to `depth` names below a repository.
+
+    Only files whose name may have a role are opened, and only up to `most` bytes; of the others the path counts alone,
+    and content is null, as it is for text that is not UTF-8. As in Spark's readers, empty files and names that begin with a dot
+    or an underscore count as absent, but for files with a role, unless `hidden` is off.
+
+    Repositories (owner), those named or all in the folder, are dealt over the tasks, which list and open their files through
+    pyarrow: many small files are neither listed by the driver nor planned as parts of a scan. A store that pyarrow does not know
+    is an error.
     """
     home = _home(spark, folder)
+    wanted = {p for paths in ROLES.values() for p in paths}
+    names, lower = {p.rsplit("/", 1)[-1] for p in wanted}, {p.lower() for p in wanted}
 
     def read(batches):
-        import pandas as pd
+        import pyarrow as pa
         from pyarrow import fs
 
         store, root = _store(home)
+        made = lambda rows: pa.RecordBatch.from_pydict({c: [r[k] for r in rows] for k, c in enumerate(["repo", "path", "length", "content"])}, pa.schema([("repo", pa.string()), ("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())]))
+        rows, size = [], 0
         for b in batches:
-            out = []
-            for owner in b["owner"]:
-                for at, info in zip(paths, store.get_file_info([f"{root}/{owner}/{p}" for p in paths])):
-                    if info.type == fs.FileType.File:
+            for owner in b.column(0).to_pylist():
+                if not owner or _unlisted(owner):
+                    continue
+                base = f"{root}/{owner}"
+                for info in store.get_file_info(fs.FileSelector(base, allow_not_found=True, recursive=True)):
+                    if info.type != fs.FileType.File:
+                        continue
+                    path = info.path[len(base) + 1 :]
+                    parts = path.split("/")
+                    if any(map(_unlisted, parts)):
+                        if not (hidden and path in wanted):
+                            continue
+                    elif not info.size or len(parts) > depth:
+                        continue
+                    content = None
+                    if info.size <= most and parts[-1] in names and path.lower() in lower:
                         with store.open_input_stream(info.path) as source:
-                            out.append((owner, at, info.size, source.read()))
-            yield pd.DataFrame(out, columns=["owner", "path", "length", "content"])
+                            content = source.read()
+                    rows.append((owner, path, info.size, content))
+                    size += 100 + len(content or b"")
+                    if size > BATCH:
+                        yield made(rows)
+                        rows, size = [], 0
+        if rows:
+            yield made(rows)
 
-    return owners.select("owner").distinct().mapInPandas(read, "owner string, path string, length long, content binary")
+    told = owners_in(spark, folder) if owners is None else owners.select(F.col("owner").cast("string").alias("owner")).distinct()
+    dealt = told.repartition(_dealt(spark), "owner")
+    return dealt.mapInArrow(read, FILES_SCHEMA).select("repo", "path", text(F.col("content")).alias("content"))
 
 
-def repository_files(spark: SparkSession, folder: str, most: int = 4 << 20, hidden: bool = True) -> DataFrame:
-    """repo, path and content of every file of the repositories in a folder.
+def _dealt(spark: SparkSession) -> int:
+    """Tasks over which owners are dealt: a few for each core, as repositories differ in size."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    Only files whose name may have a role are opened, and only up to `most` bytes; of the others the path counts alone,
-    and content is null, as it is for text that is not UTF-8. Files with a role whose name begins with an underscore are not
-    listed by Spark and are asked for by name; without `hidden` they count as absent.
-    """
-    wanted = sorted({p.rsplit("/", 1)[-1] for paths in ROLES.values() for p in paths})
-    names = tree(spark, folder).select(F.col("owner").alias("repo"), "path")
-    opened = tree(spark, folder, "{" + ",".join(wanted) + "}").where(F.col("length") <= most)
-    opened = opened.where(F.lower("path").isin([p.lower() for paths in ROLES.values() for p in paths]))
-    out = names.join(opened.select(F.col("owner").alias("repo"), "path", text(F.col("content")).alias("content")), ["repo", "path"], "left")
-    if not hidden:
-        return out
-    more = unlisted(spark, folder, names.select(F.col("repo").alias("owner")), [p for paths in ROLES.values() for p in paths if p.rsplit("/", 1)[-1][0] == "_"])
-    content = F.when(F.col("length") <= most, text(F.col("content")))
-    return out.unionByName(more.select(F.col("owner").alias("repo"), "path", content.alias("content")))
+
+def remove_tree(owners: DataFrame, folder: str) -> None:
+    """Removes the folders of owners below a folder, by tasks; one that is not there is no error."""
+    spark = owners.sparkSession
+    home = _home(spark, folder)
+
+    def remove(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = _store(home)
+        for b in batches:
+            for owner in b.column(0).to_pylist():
+                if owner and store.get_file_info(f"{root}/{owner}").type == fs.FileType.Directory:
+                    store.delete_dir(f"{root}/{owner}")
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    told = owners.select(F.col("owner").cast("string").alias("owner")).distinct().repartition(_dealt(spark), "owner")
+    told.mapInArrow(remove, "n long").agg(F.sum("n")).collect()
 
 
 def site_files(spark: SparkSession, folder: str, hosts: DataFrame) -> DataFrame:

@@ -41,6 +41,17 @@ def test_repositories_are_read_from_folders(spark, tmp_path):
     assert ("r 1", "deep/a/b/c/d/e/f/g/in.txt") in got and not any(p.endswith("out.txt") for _, p in got) and len(got) == 10 and ("r2", "public/llms.txt") not in got
 
 
+def test_many_small_files_are_no_parts_of_a_scan(spark, tmp_path):
+    put(tmp_path, **{f"r{k}/{p}": b"x" for k in range(40) for p in ("index.html", "pages/_document.tsx", ".git/index.html", "src/a.ts")})
+    read = files.repository_files(spark, str(tmp_path))
+    assert "binaryFile" not in read._jdf.queryExecution().executedPlan().toString()  # one of 4 MB each, as Spark counts
+    assert sorted((r.repo, r.path, r.content) for r in read.collect()) == sorted((f"r{k}", p, c) for k in range(40) for p, c in (("index.html", "x"), ("pages/_document.tsx", "x"), ("src/a.ts", None)))
+    some = spark.createDataFrame([("r1",), ("r2",), ("none",), ("r1",)], "owner string")
+    assert {r.repo for r in files.repository_files(spark, str(tmp_path), owners=some).collect()} == {"r1", "r2"}
+    files.remove_tree(some, str(tmp_path))
+    assert sorted(os.listdir(tmp_path)) == sorted(f"r{k}" for k in range(40) if k not in (1, 2))
+
+
 def test_paths_alone_open_no_file(spark, tmp_path):
     put(tmp_path, **{"r/a.txt": b"x" * 1000})
     plan = files.tree(spark, str(tmp_path)).select("owner", "path")._jdf.queryExecution().executedPlan().toString()
