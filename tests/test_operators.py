@@ -170,3 +170,13 @@ def test_many_sitemap_files_of_a_host(spark):
     files = spark.createDataFrame([("h", "sitemap", "zzz"), ("h", "sitemap", "<url><loc>https://h/p1</loc></url>"), ("h", "robots", "User-agent: *")], "host string, kind string, body string")
     got = {r.rule_id for r in site.site_findings(pages, edges, files, "2024-01-01").collect()}
     assert {"T22", "O07", "O09", "O10", "G01"} <= got and not {"T24", "T25", "O08"} & got
+
+
+def shared_path(spark):
+    """Pages of which three have one path, with two statuses, and a page that links to it."""
+    pages = spark.createDataFrame([(1, "h", "/", 200), (2, "h", "/x", 404), (3, "h", "/x", 301), (4, "h", "/x", 404)], "page_id long, host string, path string, status int")
+    return pages, spark.createDataFrame([(1, "h", "/x")], "src_page long, host string, dst_path string")
+
+
+def test_links_lead_to_every_status_of_a_path(spark):
+    assert sorted(tuple(r) for r in site.broken_links(*shared_path(spark)).collect()) == [("h", 1, "/x", 301), ("h", 1, "/x", 404)]
