@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelantern.functions import text, urls
-from pagelantern.operators import citations, codebase, history, scoring, site
+from pagelantern.operators import citations, codebase, history, joined_rules, scoring, site
 from pagelantern.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -180,3 +180,8 @@ def shared_path(spark):
 
 def test_links_lead_to_every_status_of_a_path(spark):
     assert sorted(tuple(r) for r in site.broken_links(*shared_path(spark)).collect()) == [("h", 1, "/x", 301), ("h", 1, "/x", 404)]
+
+
+def test_link_status_counts_every_status_of_a_path(spark):
+    got = joined_rules.link_status_rules(site.broken_links(*shared_path(spark))).collect()
+    assert [(r.src_page, r.broken, r.redirected, r.rule_id) for r in got] == [(1, 1, 1, "C10")]
