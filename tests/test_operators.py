@@ -185,3 +185,17 @@ def test_links_lead_to_every_status_of_a_path(spark):
 def test_link_status_counts_every_status_of_a_path(spark):
     got = joined_rules.link_status_rules(site.broken_links(*shared_path(spark))).collect()
     assert [(r.src_page, r.broken, r.redirected, r.rule_id) for r in got] == [(1, 1, 1, "C10")]
+
+
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """A folder whose pages table has several pages of a URL, none of which is worst in all metrics."""
+    folder = str(tmp_path_factory.mktemp("copies"))
+    spark.createDataFrame([(k, "https://a.example/x", "") for k in (5, 38, 39, 79, 8)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{folder}/pages.parquet/*.parquet'")
+    return folder, con
+
+
+def test_field_percentiles_count_the_worst_of_copies(spark, copies):
+    assert [tuple(r) for r in registry.QUERIES["field_metric_p75"](spark, copies[0]).collect()] == copies[1].execute(registry.SQL["field_metric_p75"]).fetchall() == [(1, 5400.0, 520.0)]
