@@ -199,3 +199,9 @@ def copies(spark, tmp_path_factory):
 
 def test_field_percentiles_count_the_worst_of_copies(spark, copies):
     assert [tuple(r) for r in registry.QUERIES["field_metric_p75"](spark, copies[0]).collect()] == copies[1].execute(registry.SQL["field_metric_p75"]).fetchall() == [(1, 5400.0, 520.0)]
+
+
+def test_field_rules_count_the_worst_of_copies(spark, copies):
+    rows = registry.QUERIES["rules_field_metrics"](spark, copies[0]).select("page_id", "rule_id", "severity", "points").collect()
+    assert sorted(tuple(r) for r in rows) == sorted(copies[1].execute(registry.SQL["rules_field_metrics"]).fetchall())
+    assert {(r.rule_id, r.severity) for r in rows if r.page_id == 8} == {("P01", "high"), ("P03", "high"), ("P05", "high")}
