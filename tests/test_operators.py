@@ -205,3 +205,15 @@ def test_field_rules_count_the_worst_of_copies(spark, copies):
     rows = registry.QUERIES["rules_field_metrics"](spark, copies[0]).select("page_id", "rule_id", "severity", "points").collect()
     assert sorted(tuple(r) for r in rows) == sorted(copies[1].execute(registry.SQL["rules_field_metrics"]).fetchall())
     assert {(r.rule_id, r.severity) for r in rows if r.page_id == 8} == {("P01", "high"), ("P03", "high"), ("P05", "high")}
+
+
+def listed_again(spark):
+    """Sitemap files that list two locations twice, one with its newest date first and one with it last, and one without date."""
+    url = "<url><loc>https://h/%s</loc>%s</url>"
+    date = "<lastmod>2024-%s-01</lastmod>"
+    bodies = [url % ("a", date % "06") + url % ("b", date % "01"), url % ("a", date % "01") + url % ("b", date % "06"), url % ("a", "") + url % ("b", "")]
+    return site.sitemap_entries(spark.createDataFrame([("h", "sitemap", b) for b in bodies], "host string, kind string, body string").coalesce(1))
+
+
+def test_entries_listed_again_have_their_newest_date(spark):
+    assert sorted((r.loc, str(r.lastmod)[:10]) for r in listed_again(spark).collect()) == [("https://h/a", "2024-06-01"), ("https://h/b", "2024-06-01")]
