@@ -217,3 +217,7 @@ def listed_again(spark):
 
 def test_entries_listed_again_have_their_newest_date(spark):
     assert sorted((r.loc, str(r.lastmod)[:10]) for r in listed_again(spark).collect()) == [("https://h/a", "2024-06-01"), ("https://h/b", "2024-06-01")]
+
+
+def test_ages_count_the_newest_date_of_an_entry(spark):
+    assert [tuple(r) for r in site.sitemap_ages(listed_again(spark), "2024-07-01").collect()] == [("h", 2, 2, 2)]
