@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagelantern.operators import joined_rules, rules
+from pagelantern.operators import joined_rules, rules, site
 from pagelantern.sources import features as fx
 from pagelantern.sources import tables
 
@@ -202,3 +202,12 @@ def test_linked_nouns_are_found_in_link_texts(spark):
     html, url = page(body=body)
     made = fx.page_features(spark.createDataFrame([(1, "a.example", url, html, 200, None)], SCHEMA)).select("n_nouns", "n_nouns_linked").first()
     assert made.n_nouns_linked == 2 and made.n_nouns >= 5
+
+
+def test_freshness_reads_the_newest_of_an_entry_listed_again(spark):
+    body = lambda d: f"<url><loc>https://a.example/x</loc><lastmod>{d}</lastmod></url><url><loc>https://a.example/y</loc><lastmod>{'2024-06-10' if d < '2024-02' else '2024-01-05'}</lastmod></url>"
+    files = spark.createDataFrame([("a.example", "sitemap", body(d)) for d in ("2024-01-05", "2024-06-10")], "host string, kind string, body string").coalesce(1)
+    rows = [(k, "a.example", f"https://a.example/{p}", page()[0], 200, None) for k, p in enumerate("xy")]
+    pages = spark.createDataFrame(rows, SCHEMA).withColumn("last_modified", F.expr("timestamp'2023-01-01'"))
+    got = joined_rules.freshness(rules.rule_inputs(fx.page_features(pages)), site.sitemap_entries(files), "2024-06-15")
+    assert not got.where("rule_id in ('F01', 'F02')").collect()  # both pages' newest dates are five days old
