@@ -221,3 +221,21 @@ def test_entries_listed_again_have_their_newest_date(spark):
 
 def test_ages_count_the_newest_date_of_an_entry(spark):
     assert [tuple(r) for r in site.sitemap_ages(listed_again(spark), "2024-07-01").collect()] == [("h", 2, 2, 2)]
+
+
+def scored(spark):
+    audits = spark.createDataFrame([(1,), (2,), (None,)], "audit_id long")
+    rubric = spark.createDataFrame([("geo", 10.0), ("topical", 5.0)], "phase string, score_max double")
+    findings = spark.createDataFrame([(1, "geo", 2.5), (1, "geo", 1.0), (1, "topical", 9.0), (1, None, 1.0), (1, "else", 1.0), (3, "geo", 1.0)], "audit_id long, phase string, points double")
+    return scoring.phase_scores(audits, findings, rubric)
+
+
+def test_scores_of_phases_are_not_shuffled(spark):
+    scores = scored(spark)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, scores.collect()), key=key) == [(1, "geo", 6.5, 10.0), (1, "topical", 0.0, 5.0), (2, "geo", 10.0, 10.0), (2, "topical", 5.0, 5.0), (None, "geo", 10.0, 10.0), (None, "topical", 5.0, 5.0)]
+    modes = scoring.mode_scores(scores)
+    assert sorted(map(tuple, modes.where("audit_id = 1").collect())) == [(1, "flash", 65.0), (1, "full", 43.3), (1, "standard", 65.0)]
+    assert scoring.mode_scores(scores.where("phase = 'topical' and audit_id = 2")).collect() == [(2, "full", 100.0)]
+    exchanges = [x for x in modes._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and not [x for x in exchanges if "phase" in x or "mode" in x]
