@@ -239,3 +239,18 @@ def test_scores_of_phases_are_not_shuffled(spark):
     assert scoring.mode_scores(scores.where("phase = 'topical' and audit_id = 2")).collect() == [(2, "full", 100.0)]
     exchanges = [x for x in modes._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
     assert exchanges and not [x for x in exchanges if "phase" in x or "mode" in x]
+
+
+def spotted(spark):
+    rows = [(1, u, p, 1.0) for u in ("/a", "/b") for p in ("geo", "geo", "eeat")] + [(1, "/c", "geo", 1.0)] * 3 + [(2, "/a", p, 2.0) for p in ("geo", "eeat", None)]
+    return spark.createDataFrame(rows, "audit_id long, url string, phase string, points double")
+
+
+def shuffles(df):
+    return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_hotspots_take_one_shuffle(spark):
+    found = scoring.hotspots(spotted(spark))
+    assert sorted(map(tuple, found.collect())) == [(1, "/a", 3, 2, 3.0), (1, "/b", 3, 2, 3.0), (2, "/a", 3, 2, 6.0)]
+    assert shuffles(found) == 1
