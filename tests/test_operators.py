@@ -254,3 +254,9 @@ def test_hotspots_take_one_shuffle(spark):
     found = scoring.hotspots(spotted(spark))
     assert sorted(map(tuple, found.collect())) == [(1, "/a", 3, 2, 3.0), (1, "/b", 3, 2, 3.0), (2, "/a", 3, 2, 6.0)]
     assert shuffles(found) == 1
+
+
+def test_top_hotspots_shuffle_findings_once(spark):
+    found = scoring.top_hotspots(spotted(spark))
+    assert sorted((r.audit_id, r.url, r.place) for r in found.collect()) == [(1, "/a", 1), (1, "/b", 2)]
+    assert shuffles(found) == 2  # the findings, and the hotspots by their audit
