@@ -260,3 +260,13 @@ def test_top_hotspots_shuffle_findings_once(spark):
     found = scoring.top_hotspots(spotted(spark))
     assert sorted((r.audit_id, r.url, r.place) for r in found.collect()) == [(1, "/a", 1), (1, "/b", 2)]
     assert shuffles(found) == 2  # the findings, and the hotspots by their audit
+
+
+def test_terms_are_searched_by_letters_they_all_have(spark):
+    assert [text.needle(p) for p in (r"(?i)\bgpt-?4o?\b", r"(?i)\bai\s+overviews?\b", r"(?i)\bhttp\b(?!s|://|/\w|\w)", r"(?i)\b(a|b)cd\b", r"[ab]cd")] == ["gpt", "overview", "http", "", ""]
+    said = "Gpt4O and CHAT gpt, OPEN  ai; GOOGLE google schema.ORG e-eat I.A. ai Overview İhttp `seo` seo"
+    want = "GPT-4 and CHAT gpt, OpenAI; GOOGLE Google Schema.org E-E-A-T IA. AI Overviews İHTTP `seo` SEO"
+    got = one(spark, text.canonical_casing(F.col("x")), said, "", None)
+    assert got == [want, "", None]
+    plan = spark.range(1).select(text.canonical_casing(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") <= 2  # one for all terms
