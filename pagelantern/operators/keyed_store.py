@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 class KeyedStore:
     """The newest row of each key, by the column `order` (its later value wins; of equal ones the row new to the store).
 
-    A null key is a key like any other. `buckets` stays the same for a table's life; choose it so that one bucket's rows suit a
-    task. One writer merges at a time, as a stream's batches do; a repeated merge, told by its version, has the same result.
+    A null key is a key like any other. `buckets` stays the same for a table's life; a bucket of more than `suited` rows is
+    written by several tasks, a file each. One writer merges at a time, as a stream's batches do; a repeated merge, told by its version, has the same result.
     `keep` commits stay readable.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], order: str, buckets: int = 16, keep: int = 2):
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], order: str, buckets: int = 16, keep: int = 2, suited: int = 500_000):
         self.spark, self.folder, self.keys, self.order, self.buckets, self.keep = spark, folder.rstrip("/"), keys, order, buckets, keep
+        self.suited = suited
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -77,18 +78,24 @@ class KeyedStore:
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
         rows = rows.withColumn("bucket", bucket).persist()
         try:
-            touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # `buckets` rows at most
+            counts = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}  # `buckets` rows at most
+            touched, size = sorted(counts), sum(counts.values())
             known = {b: old[b] for b in touched if b in old}
             both = rows.withColumn("new_", F.lit(1))
             if known:
-                stored = self._files(known, rows.drop("bucket").schema).withColumn("bucket", bucket).withColumn("new_", F.lit(0))
-                both = both.unionByName(stored)
+                stored = self._files(known, rows.drop("bucket").schema)
+                size += stored.count()  # told by the files' footers
+                both = both.unionByName(stored.withColumn("bucket", bucket).withColumn("new_", F.lit(0)))
             rest = [c for c in rows.columns if c not in (*self.keys, "bucket")]
             last = F.max_by(F.struct(*rest), F.struct(self.order, "new_")).alias("last_")
-            newest = both.groupBy("bucket", *self.keys).agg(last).select("bucket", *self.keys, "last_.*")
             if touched:
-                # one task a bucket: a bucket is one file
-                newest.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/v={version}")
+                # a bucket is one file, or several of about `suited` rows: one shuffle, and no task whose rows grow with the table
+                parts = -(-size // (len(touched) * self.suited))
+                part = F.pmod(F.xxhash64(F.lit(parts), *self.keys), F.lit(parts))
+                tasks = len(touched) if parts == 1 else 2 * len(touched) * parts
+                both = both.withColumn("part_", part).repartition(tasks, "bucket", "part_")
+                newest = both.groupBy("bucket", "part_", *self.keys).agg(last).select("bucket", *self.keys, "last_.*")
+                newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/v={version}")
         finally:
             rows.unpersist()
         self._commit(version, old | dict.fromkeys(touched, version))

@@ -256,3 +256,12 @@ def test_report_facts(spark):
     assert got[1] == ("a.example", 50, "À améliorer", 2, 1, "Crédibilité (E-E-A-T)", "Visibilité IA (GEO)")
     assert got[2] == ("b.example", 90, "Excellent", 1, 0, "Crédibilité (E-E-A-T)", "Crédibilité (E-E-A-T)")
     assert got[3][:5] == ("c.example", 0, "Critique", 0, 0)
+
+
+def test_a_large_bucket_is_several_files(spark, tmp_path):
+    store = KeyedStore(spark, f"{tmp_path}/s", ["k"], "at", buckets=2, suited=20)
+    store.merge(spark.createDataFrame([(k, 1, "old") for k in range(400)], SCHEMA), 0)
+    first = len(store.read()._jdf.inputFiles())
+    store.merge(spark.createDataFrame([(k, 2, "new") for k in range(0, 400, 2)], SCHEMA), 1)
+    assert rows_of(store.read()) == [(k, 1 + (k + 1) % 2, "old" if k % 2 else "new") for k in range(400)]
+    assert first > 10 and len(store.read()._jdf.inputFiles()) > 10
