@@ -223,6 +223,22 @@ def test_ages_count_the_newest_date_of_an_entry(spark):
     assert [tuple(r) for r in site.sitemap_ages(listed_again(spark), "2024-07-01").collect()] == [("h", 2, 2, 2)]
 
 
+def test_entries_are_read_without_white_space_and_times_of_day(spark, tmp_path):
+    urls_ = [(1, "https://a.example/x "), (3, "https://a.example/x"), (4, "https://a.example/y\n")]
+    spark.createDataFrame([(k, u, "") for k, u in urls_], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("sitemap_entries", "sitemap_ages"):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        said = con.execute(registry.SQL[name])
+        assert sorted(map(tuple, got.select(*(d[0] for d in said.description)).collect())) == sorted(said.fetchall())
+    assert [(r.listed, r.dated) for r in got.collect()] == [(2, 2)]
+    url = "<url><loc>\n https://h/%s </loc><lastmod>%s</lastmod></url>"
+    body = "".join(url % x for x in (("a", "10:00"), ("b", "now"), ("c", "2024"), ("d", " 2024-06-01T10:00:00Z")))
+    entries = site.sitemap_entries(spark.createDataFrame([("h", "sitemap", body)], "host string, kind string, body string"))
+    assert sorted((r.loc, str(r.lastmod)) for r in entries.collect()) == [("https://h/a", "None"), ("https://h/b", "None"), ("https://h/c", "2024-01-01 00:00:00"), ("https://h/d", "2024-06-01 10:00:00")]
+
+
 def scored(spark):
     audits = spark.createDataFrame([(1,), (2,), (None,)], "audit_id long")
     rubric = spark.createDataFrame([("geo", 10.0), ("topical", 5.0)], "phase string, score_max double")
