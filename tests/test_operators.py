@@ -239,6 +239,25 @@ def test_entries_are_read_without_white_space_and_times_of_day(spark, tmp_path):
     assert sorted((r.loc, str(r.lastmod)) for r in entries.collect()) == [("https://h/a", "None"), ("https://h/b", "None"), ("https://h/c", "2024-01-01 00:00:00"), ("https://h/d", "2024-06-01 10:00:00")]
 
 
+def test_freshness_reads_all_dates_that_a_page_says(spark, tmp_path):
+    body = lambda *times: "<html><head></head><body>" + "".join(times) + "</body></html>"
+    time = lambda t, q='"': f"<time class=x datetime={q}{t}{q}>t</time>"
+    made = [
+        (1, "https://a.example/map.xml", body()),  # no entry of the sitemap
+        (70, "https://a.example/b", body(time("2023-01-01"), time("2024-06-10", "'"))),
+        (7, "https://a.example/c", body(f"<!-- {time('2024-06-10')} -->", time("2023-01-01").upper())),
+        (14, "https://a.example/d", body(time("10:00"), time("now"))),
+        (2, "https://a.example/e ", body(time("2024-06-01"))),
+    ]
+    spark.createDataFrame(made, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    said = con.execute(registry.SQL["rules_freshness"])
+    got = registry.QUERIES["rules_freshness"](spark, str(tmp_path)).select(*(d[0] for d in said.description)).collect()
+    assert sorted(map(norm, map(tuple, got))) == sorted(map(norm, said.fetchall()))
+    assert {(r.page_id, r.rule_id) for r in got if r.rule_id in ("F01", "F02")} == {(1, "F02"), (7, "F02"), (14, "F01")}
+
+
 def scored(spark):
     audits = spark.createDataFrame([(1,), (2,), (None,)], "audit_id long")
     rubric = spark.createDataFrame([("geo", 10.0), ("topical", 5.0)], "phase string, score_max double")
