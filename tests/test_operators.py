@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelantern.functions import text, urls
-from pagelantern.operators import citations, codebase, history, joined_rules, scoring, site
+from pagelantern.operators import citations, codebase, history, joined_rules, scoring, sinks, site
 from pagelantern.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -258,6 +258,16 @@ def test_freshness_reads_all_dates_that_a_page_says(spark, tmp_path):
     assert {(r.page_id, r.rule_id) for r in got if r.rule_id in ("F01", "F02")} == {(1, "F02"), (7, "F02"), (14, "F01")}
 
 
+def test_outbox_keeps_audits_of_an_organization_together(spark):
+    audits = spark.range(400).selectExpr("id as audit_id", "if(id = 399, null, id % 5) as org_id").repartition(8)
+    hooks = spark.createDataFrame([(o, 10 * o + h, e) for o in range(6) for h, e in enumerate(("a", "b, a ", "ab", "b"))], "org_id long, hook_id long, events string")
+    got = sinks.outbox(audits, hooks, "a").select("*", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r.audit_id, r.hook_id) for r in got) == sorted((k, 10 * (k % 5) + h) for k in range(399) for h in (0, 1))
+    orgs = {(r.part, r.audit_id % 5) for r in got}
+    assert len(orgs) <= 5 + 4 - 1  # ranges of organizations over four partitions
+    assert len({p for p, _ in orgs}) > 1
+
+
 def scored(spark):
     audits = spark.createDataFrame([(1,), (2,), (None,)], "audit_id long")
     rubric = spark.createDataFrame([("geo", 10.0), ("topical", 5.0)], "phase string, score_max double")
