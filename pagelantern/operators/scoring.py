@@ -70,13 +70,21 @@ def weight(severity: Column) -> Column:
     return F.coalesce(*(F.when(severity == s, w) for s, w in SEVERITY.items()), F.lit(0))
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """df by the hash of keys over all of the session's shuffle partitions, which adaptive execution then leaves as they are.
+def input_bytes(df: DataFrame) -> int:
+    """The bytes of the tables that df reads, as its plan states them; tables of unknown size, such as lists of rows, count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 62)
 
-    Aggregations and joins by these keys need no other shuffle. Where a map side's aggregation finds little to merge, this spares
-    its memory, and partitions stay small where adaptive execution would join them by their compressed size.
+
+def dealt(df: DataFrame, *keys: str, each: int = 8 << 20) -> DataFrame:
+    """df by the hash of keys over the session's shuffle partitions, or one for `each` bytes that df reads if these are more.
+
+    So a task's share does not grow with the tables. Aggregations and joins by these keys need no other shuffle. Where a map side's
+    aggregation finds little to merge, this spares its memory, and adaptive execution leaves partitions as they are, where it would
+    join them by their compressed size.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // each)), *keys)
 
 
 def phase_scores(audits: DataFrame, findings: DataFrame, rubric: DataFrame) -> DataFrame:
@@ -208,8 +216,10 @@ def content_gaps(findings: DataFrame, k: int = 3) -> DataFrame:
 
 def top_hotspots(findings: DataFrame, k: int = 5) -> DataFrame:
     """The k dearest hotspots of each audit that has two or more."""
-    some = hotspots(findings).withColumn("spots", F.count("*").over(Window.partitionBy("audit_id"))).where("spots >= 2").drop("spots")
-    return placed(some, ["audit_id"], [F.desc("points"), "url"], k)
+    place = F.row_number().over(Window.partitionBy("audit_id").orderBy(F.desc("points"), "url"))
+    # spots are counted after the places, in whose order the rows of an audit already are: one sort for both
+    some = hotspots(findings).withColumn("place", place).withColumn("spots", F.count("*").over(Window.partitionBy("audit_id")))
+    return some.where((F.col("spots") >= 2) & (F.col("place") <= k)).drop("spots")
 
 
 def strengths(scores: DataFrame, k: int = 5, least: float = 0.7) -> DataFrame:

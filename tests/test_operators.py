@@ -1,6 +1,7 @@
 """Functions and operators on small cases, and the queries against their SQL on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -307,6 +308,25 @@ def test_top_hotspots_shuffle_findings_once(spark):
     assert shuffles(found) == 2  # the findings, and the hotspots by their audit
 
 
+def test_findings_are_dealt_by_the_size_of_their_tables(spark, tmp_path, monkeypatch):
+    spotted(spark).coalesce(1).write.parquet(str(tmp_path / "f"))
+    read = lambda: spark.read.parquet(str(tmp_path / "f"))
+    size = sum(x.stat().st_size for x in (tmp_path / "f").glob("*.parquet"))
+    assert scoring.input_bytes(read()) == size
+    assert scoring.input_bytes(read().join(read().select("audit_id"), "audit_id")) == 2 * size  # and no product
+    assert scoring.input_bytes(spotted(spark)) == 0  # a list of rows
+    assert scoring.dealt(read(), "audit_id").rdd.getNumPartitions() == 4  # the session's
+    assert scoring.dealt(read(), "audit_id", each=-(-size // 9)).rdd.getNumPartitions() == 9
+    monkeypatch.setattr(scoring, "input_bytes", lambda df: 80 << 20)
+    found = scoring.top_hotspots(read())
+    assert sorted((r.audit_id, r.url, r.place) for r in found.collect()) == [(1, "/a", 1), (1, "/b", 2)]
+    assert re.search(r"hashpartitioning\(audit_id#\d+L, url#\d+, 10\)", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_hotspots_are_placed_and_counted_along_one_sort(spark):
+    assert scoring.top_hotspots(spotted(spark)).select("*")._jdf.queryExecution().executedPlan().toString().count("Sort [audit_id") == 1
+
+
 def test_terms_are_searched_by_letters_they_all_have(spark):
     assert [text.needle(p) for p in (r"(?i)\bgpt-?4o?\b", r"(?i)\bai\s+overviews?\b", r"(?i)\bhttp\b(?!s|://|/\w|\w)", r"(?i)\b(a|b)cd\b", r"[ab]cd")] == ["gpt", "overview", "http", "", ""]
     said = "Gpt4O and CHAT gpt, OPEN  ai; GOOGLE google schema.ORG e-eat I.A. ai Overview İhttp `seo` seo"
