@@ -50,6 +50,9 @@ def _store(home: str):
 #: How many bytes of contents a task gathers before it hands them on.
 BATCH = 8 << 20
 FILES_SCHEMA = "repo string, path string, length long, content binary"
+#: The paths that may have a role, their names, and the paths in lower case.
+WANTED = {p for paths in ROLES.values() for p in paths}
+WANTED_NAMES, WANTED_LOWER = {p.rsplit("/", 1)[-1] for p in WANTED}, {p.lower() for p in WANTED}
 
 
 def _unlisted(name: str) -> bool:
@@ -74,6 +77,50 @@ def owners_in(spark: SparkSession, folder: str) -> DataFrame:
     return spark.range(1, numPartitions=1).mapInArrow(listed, "owner string")
 
 
+def _repository(store, base: str, owner: str, most: int, hidden: bool, depth: int):
+    """repo, path, length and content of each file of a repository, whose folder is `base`, as repository_files tells them."""
+    from pyarrow import fs
+
+    if not owner or _unlisted(owner):
+        return
+    for info in store.get_file_info(fs.FileSelector(base, allow_not_found=True, recursive=True)):
+        if info.type != fs.FileType.File:
+            continue
+        path = info.path[len(base) + 1 :]
+        parts = path.split("/")
+        if any(map(_unlisted, parts)):
+            if not (hidden and path in WANTED):
+                continue
+        elif not info.size or len(parts) > depth:
+            continue
+        content = None
+        if info.size <= most and parts[-1] in WANTED_NAMES and path.lower() in WANTED_LOWER:
+            with store.open_input_stream(info.path) as source:
+                content = source.read()
+        yield owner, path, info.size, content
+
+
+def _gathered(rows):
+    """Rows of repositories' files as record batches of about BATCH bytes."""
+    import pyarrow as pa
+
+    schema = pa.schema([("repo", pa.string()), ("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+    made = lambda rows: pa.RecordBatch.from_pydict({c: [r[k] for r in rows] for k, c in enumerate(schema.names)}, schema)
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 100 + len(row[3] or b"")
+        if size > BATCH:
+            yield made(held)
+            held, size = [], 0
+    if held:
+        yield made(held)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.select("repo", "path", text(F.col("content")).alias("content"))
+
+
 def repository_files(spark: SparkSession, folder: str, most: int = 4 << 20, hidden: bool = True, owners: DataFrame | None = None, depth: int = 9) -> DataFrame:
     """repo, path and content of every file of the repositories in a folder, down to `depth` names below a repository.
 
@@ -86,51 +133,77 @@ def repository_files(spark: SparkSession, folder: str, most: int = 4 << 20, hidd
     is an error.
     """
     home = _home(spark, folder)
-    wanted = {p for paths in ROLES.values() for p in paths}
-    names, lower = {p.rsplit("/", 1)[-1] for p in wanted}, {p.lower() for p in wanted}
 
     def read(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
         store, root = _store(home)
-        made = lambda rows: pa.RecordBatch.from_pydict({c: [r[k] for r in rows] for k, c in enumerate(["repo", "path", "length", "content"])}, pa.schema([("repo", pa.string()), ("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())]))
-        rows, size = [], 0
-        for b in batches:
-            for owner in b.column(0).to_pylist():
-                if not owner or _unlisted(owner):
-                    continue
-                base = f"{root}/{owner}"
-                for info in store.get_file_info(fs.FileSelector(base, allow_not_found=True, recursive=True)):
-                    if info.type != fs.FileType.File:
-                        continue
-                    path = info.path[len(base) + 1 :]
-                    parts = path.split("/")
-                    if any(map(_unlisted, parts)):
-                        if not (hidden and path in wanted):
-                            continue
-                    elif not info.size or len(parts) > depth:
-                        continue
-                    content = None
-                    if info.size <= most and parts[-1] in names and path.lower() in lower:
-                        with store.open_input_stream(info.path) as source:
-                            content = source.read()
-                    rows.append((owner, path, info.size, content))
-                    size += 100 + len(content or b"")
-                    if size > BATCH:
-                        yield made(rows)
-                        rows, size = [], 0
-        if rows:
-            yield made(rows)
+        yield from _gathered(row for b in batches for owner in b.column(0).to_pylist() for row in _repository(store, f"{root}/{owner}", owner, most, hidden, depth))
 
     told = owners_in(spark, folder) if owners is None else owners.select(F.col("owner").cast("string").alias("owner")).distinct()
-    dealt = told.repartition(_dealt(spark), "owner")
-    return dealt.mapInArrow(read, FILES_SCHEMA).select("repo", "path", text(F.col("content")).alias("content"))
+    return _told(dealt(told, "owner").mapInArrow(read, FILES_SCHEMA))
+
+
+def written_and_read(files: DataFrame, folder: str, most: int = 4 << 20, hidden: bool = True, depth: int = 9, kept: int = 64) -> DataFrame:
+    """What repository_files tells of files (owner, path, content: bytes or text) that are written below a folder, which all executors share.
 
+    A task writes a repository, reads it from there and removes its files before it turns to the next, so few files stand at a time
+    however many there are, and most go before the file system has given them blocks. Each attempt of a task has a folder of its own: one
+    that is repeated or runs beside another meets none of its files. What a failed attempt leaves goes with the folder.
+    Up to `kept` directories stay for the next repository. A null owner, path or content writes nothing. Where rows share owner
+    and path, any of them is what stays.
+    """
+    home = _home(files.sparkSession, folder)
 
-def _dealt(spark: SparkSession) -> int:
-    """Tasks over which owners are dealt: a few for each core, as repositories differ in size."""
-    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    def passed(batches):
+        from pyspark import TaskContext
+
+        store, root = _store(home)
+        base = f"{root}/attempt-{TaskContext.get().taskAttemptId()}"
+        made, used, written = set(), set(), set()  # directories that stand, those of them that this repository needs, and its files
+
+        def write(path, content):
+            inside = {path[:k] for k, c in enumerate(path) if c == "/"}
+            if path in made - used:  # an empty directory of an earlier repository
+                store.delete_dir(f"{base}/{path}")
+                made.difference_update([d for d in made if f"{d}/".startswith(f"{path}/")])
+            if not made or inside - made:
+                store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+            made.update(inside, [""])
+            used.update(inside)
+            with store.open_output_stream(f"{base}/{path}") as out:
+                out.write(content)
+            written.add(path)
+
+        def taken(owner):
+            yield from _repository(store, base, owner, most, hidden, depth)
+            for path in written:
+                store.delete_file(f"{base}/{path}")
+            if len(made) > kept:
+                store.delete_dir(base)
+                made.clear()
+            used.clear()
+            written.clear()
+
+        def rows():
+            at = None
+            for b in batches:
+                for owner, path, content in zip(*(b.column(k).to_pylist() for k in range(3))):
+                    if at not in (None, owner):
+                        yield from taken(at)
+                    at = owner
+                    write(path, content)
+            if at is not None:
+                yield from taken(at)
+
+        yield from _gathered(rows())
+
+    whole = files.select(F.col("owner").cast("string").alias("owner"), "path", F.col("content").cast("binary").alias("content")).dropna()
+    return _told(dealt(whole, "owner").sortWithinPartitions("owner").mapInArrow(passed, FILES_SCHEMA))
+
+
+def dealt(rows: DataFrame, owner: str) -> DataFrame:
+    """Rows dealt by their owner over a few tasks for each core, as repositories differ in size."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), owner)
 
 
 def remove_tree(owners: DataFrame, folder: str) -> None:
@@ -149,8 +222,8 @@ def remove_tree(owners: DataFrame, folder: str) -> None:
                     store.delete_dir(f"{root}/{owner}")
             yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
 
-    told = owners.select(F.col("owner").cast("string").alias("owner")).distinct().repartition(_dealt(spark), "owner")
-    told.mapInArrow(remove, "n long").agg(F.sum("n")).collect()
+    told = owners.select(F.col("owner").cast("string").alias("owner")).distinct()
+    dealt(told, "owner").mapInArrow(remove, "n long").agg(F.sum("n")).collect()
 
 
 def site_files(spark: SparkSession, folder: str, hosts: DataFrame) -> DataFrame:

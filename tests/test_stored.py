@@ -2,16 +2,17 @@
 
 import datetime as dt
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagelantern.functions import urls
-from pagelantern.operators import history, scoring, sinks, site
+from pagelantern.operators import checkpoint, codebase, history, scoring, sinks, site
 from pagelantern.operators.checkpoint import scratch
 from pagelantern.operators.keyed_store import KeyedStore
-from pagelantern.plans import history_queries, sql_surface
-from pagelantern.sources import files, tables
+from pagelantern.plans import history_queries, registry, sql_surface
+from pagelantern.sources import code, files, tables
 from pagelantern.sources import history as src
 from pagelantern.streaming import jobs
 
@@ -52,6 +53,58 @@ def test_many_small_files_are_no_parts_of_a_scan(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == sorted(f"r{k}" for k in range(40) if k not in (1, 2))
 
 
+def standing(folder):
+    """The files of repositories that stand below a folder."""
+    return [os.path.join(at, f) for at, _, found in os.walk(folder) for f in found if "/repositories-" in at]
+
+
+@pytest.mark.parametrize("name", ["files_code_findings"])
+def test_few_files_of_repositories_stand_at_a_time(spark, sf_dir, name):
+    shared, most, done = checkpoint.shared_folder(spark).removeprefix("file:"), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.005):
+            most[0] = max(most[0], len(standing(shared)))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        registry.QUERIES[name](spark, sf_dir).count()
+    finally:
+        done.set()
+        watcher.join()
+    assert 0 < most[0] <= 4 * len(code.FILES)  # a repository for each task that runs, of 200
+    assert not standing(shared)
+
+
+def test_written_repositories_are_read_as_those_in_a_folder(spark, tmp_path):
+    rows = [
+        ("a", "robots.txt", b"\xef\xbb\xbfUser-agent: *"), ("a", "app/layout.tsx", "é".encode()), ("a", "src/x/main.ts", b"never opened"), ("a", "llms.txt", b""), ("a", "public/robots.txt", b"\xff"), ("a", "package.json", None),
+        ("b", "app", b"a file where others have a folder"), ("b", "src/x", b"y"), ("b", "pages/_document.tsx", b"z"), ("b", "pages/_app.tsx", b"hidden"), ("b", ".git/config", b"hidden"),
+        ("c", "app/layout.tsx", b"l" * 60), ("c", "1/2/3/4/5/6/7/8/in", b"x"), ("c", "1/2/3/4/5/6/7/8/9/out", b"x"), ("c", "src/x/index.html", b"x"), ("c d", "index.html", b"<p>"), (".e", "index.html", b"x"),
+    ]
+    df = spark.createDataFrame(rows, "owner string, path string, content binary").repartition(5)
+    key = lambda r: (r.repo, r.path, r.content)
+    files.write_tree(df.where("path <> 'package.json'"), f"{tmp_path}/t")
+    want = sorted(map(key, files.repository_files(spark, f"{tmp_path}/t", most=50).collect()), key=str)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(files, "dealt", lambda rows, owner: rows.coalesce(1))  # one task, which keeps the folders of one for the next
+        for kept in (0, 64):
+            got = files.written_and_read(df, f"{tmp_path}/w", most=50, kept=kept)
+            assert sorted(map(key, got.collect()), key=str) == want
+    assert len(want) == 11 and ("b", "app", None) in want and ("a", "robots.txt", "User-agent: *") in want and ("c", "app/layout.tsx", None) in want
+    assert sorted(map(key, files.written_and_read(df.unionAll(df), f"{tmp_path}/w", most=50).collect()), key=str) == want  # each path once
+    nulls = spark.createDataFrame([(None, "a", b"x"), ("a", None, b"x"), ("a", "b", None)], df.schema)
+    assert files.written_and_read(nulls, f"{tmp_path}/w").collect() == []
+    assert [f for _, _, found in os.walk(f"{tmp_path}/w") for f in found] == []
+
+
+def test_contents_of_repositories_are_not_shuffled_for_their_findings(spark):
+    snapshot = codebase.roles(spark.createDataFrame([("r", "index.html", "<p>")], "repo string, path string, content string"))
+    plan = codebase.snapshot_findings(snapshot)._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "Join" not in plan.children().head().toString()
+
+
 def test_paths_alone_open_no_file(spark, tmp_path):
     put(tmp_path, **{"r/a.txt": b"x" * 1000})
     plan = files.tree(spark, str(tmp_path)).select("owner", "path")._jdf.queryExecution().executedPlan().toString()
