@@ -58,7 +58,7 @@ def standing(folder):
     return [os.path.join(at, f) for at, _, found in os.walk(folder) for f in found if "/repositories-" in at]
 
 
-@pytest.mark.parametrize("name", ["files_code_findings"])
+@pytest.mark.parametrize("name", ["files_code_roles", "files_code_findings"])
 def test_few_files_of_repositories_stand_at_a_time(spark, sf_dir, name):
     shared, most, done = checkpoint.shared_folder(spark).removeprefix("file:"), [0], threading.Event()
 
