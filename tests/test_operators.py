@@ -269,6 +269,27 @@ def test_outbox_keeps_audits_of_an_organization_together(spark):
     assert len({p for p, _ in orgs}) > 1
 
 
+def test_outbox_is_written_small_whatever_the_number_of_hooks(spark, tmp_path):
+    audits, hooks = spark.range(4_000_000).where("id < 400").selectExpr("id as audit_id", "id div 200 as org_id"), spark.range(19_202).selectExpr("id as hook_id", "id % 2 as org_id", "'a' as events")
+    sinks.outbox(audits, hooks, "a").write.parquet(str(tmp_path / "o"))
+    got = spark.read.parquet(str(tmp_path / "o"))
+    assert got.count() == got.distinct().count() == 400 * 9601 and got.where("audit_id div 200 = hook_id % 2").count() == 400 * 9601
+    assert sum(x.stat().st_size for x in (tmp_path / "o").glob("*.parquet")) < 0.5 * 400 * 9601
+
+
+def test_outbox_keeps_nulls_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "AUDITS", 3)
+    monkeypatch.setattr(sinks, "HOOKS", 2)
+    audits = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (2, 1), (3, 1), (4, 2), (5, None), (6, 3)], "audit_id long, org_id long")
+    hooks = spark.createDataFrame([(1, 10, "a"), (1, 10, "a"), (1, None, "a"), (1, 11, "b, a"), (1, 12, "b"), (2, 20, "a"), (None, 30, "a"), (2, 21, None)], "org_id long, hook_id long, events string")
+    out = sinks.outbox(audits, hooks, "a")
+    want = [(a, h) for a in (1, 1, None, 2, 3) for h in (10, 10, None, 11)] + [(4, 20)]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    # the rows of a block of audits are made one by one: generated code would hold them all
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "- Generate explode(transform(held" in plan
+
+
 def scored(spark):
     audits = spark.createDataFrame([(1,), (2,), (None,)], "audit_id long")
     rubric = spark.createDataFrame([("geo", 10.0), ("topical", 5.0)], "phase string, score_max double")
